@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, simhash, tokens
+from palimpsest.llm import classifier, decontaminate, mixing, simhash, tokens
 from palimpsest.llm.common import read
 from palimpsest.llm.oracles import ORACLES
 
@@ -34,8 +34,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(read(spark, sf_dir, "documents"), weights=(5, 2, 1), epochs=1.5, most=2.0).drop("text_hash")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_shards": op2_token_shards,
     "op4_simhash": op4_simhash,
+    "op7_source_mix": op7_source_mix,
+    "op10_quality": op10_quality,
 }
