@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import classifier, decontaminate, mixing, simhash, tokens
+from palimpsest.llm import backoff, classifier, decontaminate, licenses, lines, mixing, private, rules, simhash, tokens
 from palimpsest.llm.common import read
 from palimpsest.llm.oracles import ORACLES
 
@@ -29,23 +29,43 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(read(spark, sf_dir, "documents"), tokenizer_file(), end_id=1)
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), key="palimpsest")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, seed=42)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = backoff.score(read(spark, sf_dir, "documents"), order=2, cutoff=2)
+    return found.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"))
+
+
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read(spark, sf_dir, "documents"), weights=(5, 2, 1), epochs=1.5, most=2.0).drop("text_hash")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), licenses.known(spark))
+
+
+def op9_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_decontaminate": op1_decontaminate,
-    "op2_token_shards": op2_token_shards,
-    "op4_simhash": op4_simhash,
-    "op7_source_mix": op7_source_mix,
-    "op10_quality": op10_quality,
-}
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_token_shards, op3_pseudonyms, op4_simhash, op5_backoff, op6_fuzzy_lines, op7_source_mix, op8_licenses, op9_risk_rules, op10_quality,
+    )
+}
