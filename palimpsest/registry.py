@@ -1,6 +1,9 @@
-"""All registered queries and their SQL, by module of operators."""
+"""All registered queries and their SQL, gathered from the modules of queries."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from palimpsest.queries import history, lineage, relations, text
+
+MODULES = (relations, history, text, lineage)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
