@@ -25,21 +25,34 @@ from palimpsest.llm.common import drop_table, materialize, words
 ALPHA, CUTOFF = 0.4, 2
 
 
+def _hash(i: Column, size: int, start: int = 0) -> Column:
+    """The hash of the n-gram of ``size`` words of ``h`` at place ``i``: of its context and its suffix, which overlap."""
+    if size == 1:
+        return F.get("h", i + start)
+    return F.xxhash64(_hash(i, size - 1, start), _hash(i, size - 1, start + 1))
+
+
+def _starts(order: int) -> Column:
+    return F.when(F.size("h") >= order, F.sequence(F.lit(0), F.size("h") - order)).otherwise(F.array().cast("array<int>"))
+
+
 def _grams(order: int) -> Column:
-    """Structs (g, u, s) of all n-grams of the array of word hashes ``h``: hash of the whole, its context, its suffix."""
-    at = lambda i, k: F.get("h", i + k)
-    join = lambda i, a, b: at(i, a) if b - a == 1 else F.xxhash64(*[at(i, k) for k in range(a, b)])
-    starts = F.when(F.size("h") >= order, F.sequence(F.lit(0), F.size("h") - order)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(join(i, 0, order).alias("g"), join(i, 0, order - 1).alias("u"), join(i, 1, order).alias("s")))
+    """Structs (u, s) of all n-grams: hashes of context and suffix."""
+    return F.transform(_starts(order), lambda i: F.struct(_hash(i, order - 1).alias("u"), _hash(i, order - 1, 1).alias("s")))
 
 
 def _hashed(order: int) -> Column:
-    at = lambda i, k: F.get("h", i + k)
-    starts = F.when(F.size("h") >= order, F.sequence(F.lit(0), F.size("h") - order)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*[at(i, k) for k in range(order)]))
+    return F.col("h") if order == 1 else F.transform(_starts(order), lambda i: _hash(i, order))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def tables(texts: DataFrame, order: int, cutoff: int) -> list[DataFrame]:
+def tables(texts: DataFrame, order: int, cutoff: int, passes: int) -> list[DataFrame]:
     """For each order the table ``g, c, score, delta``: count, ln S, and what a hit adds to backing off."""
     grams = texts.select(F.explode("h").alias("g")).groupBy("g").agg(F.count("*").alias("c"))
     one = materialize(grams, "unigrams")
@@ -48,14 +61,19 @@ def tables(texts: DataFrame, order: int, cutoff: int) -> list[DataFrame]:
     drop_table(one)
     counts = out[0].select(F.col("g").alias("u"), F.col("c").alias("cu"))
     for n in range(2, order + 1):
-        seen = texts.select(F.explode(_grams(n)).alias("x")).select("x.*").groupBy("g", "u", "s").agg(F.count("*").alias("c")).where(F.col("c") >= cutoff)
-        kept = materialize(seen, f"counted-{n}")
+        each = texts.select(F.explode(_grams(n)).alias("x")).select("x.*")
+        parts = []
+        for k in range(passes):
+            seen = each.where(F.pmod(F.xxhash64("u", "s"), F.lit(passes)) == k).groupBy("u", "s").agg(F.count("*").alias("c")).where(F.col("c") >= cutoff)
+            parts.append(materialize(seen, f"counted-{n}-{k}"))
+        kept = _union(parts).select(F.xxhash64("u", "s").alias("g"), "u", "s", "c")
         lower = out[-1].select(F.col("g").alias("s"), F.col("score").alias("lower"))
         scored = kept.join(counts, "u").withColumn("score", F.log(F.col("c") / F.col("cu"))).join(lower, "s", "left")
         # A suffix below the cutoff backs off itself; it occurs at least as often as the whole, so it is in its table.
         out.append(materialize(scored.select("g", "c", "score", (F.col("score") - math.log(ALPHA) - F.col("lower")).alias("delta")), f"order-{n}"))
         counts = out[-1].select(F.col("g").alias("u"), F.col("c").alias("cu"))
-        drop_table(kept)
+        for part in parts:
+            drop_table(part)
     return out
 
 
@@ -69,17 +87,15 @@ def score(docs: DataFrame, *, order: int = 2, cutoff: int = CUTOFF, passes: int
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(text).alias("w"))
     shaped = rows.select("doc_id", F.xxhash64("w").alias("t"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    held = tables(shaped, order, cutoff)
+    held = tables(shaped, order, cutoff, passes)
     sums = []
     for n, table in enumerate(held, 1):
         gain = table.select("g", F.col("score" if n == 1 else "delta").alias("x"))
-        for k in range(passes if n > 1 else 1):
-            there = shaped.select("t", F.explode("h" if n == 1 else _hashed(n)).alias("g"))
-            here, part = (there, gain) if n == 1 else (there.where(F.pmod("g", F.lit(passes)) == k), gain.where(F.pmod("g", F.lit(passes)) == k))
-            sums.append(materialize(here.join(part, "g").groupBy("t").agg(F.sum("x").alias("x")), f"sums-{n}-{k}"))
-    added = sums[0]
-    for more in sums[1:]:
-        added = added.unionByName(more)
+        there = shaped.select("t", F.explode(_hashed(n)).alias("g"))
+        for k in range(passes):
+            mine = F.pmod(F.col("g"), F.lit(passes)) == k
+            sums.append(materialize(there.where(mine).join(gain.where(mine), "g").groupBy("t").agg(F.sum("x").alias("x")), f"sums-{n}-{k}"))
+    added = _union(sums)
     # Equal texts share the key ``t``: their sums and words are added up alike, so that the mean stays.
     about = materialize(shaped.select("doc_id", "t", F.size("h").cast("long").alias("n_words")), "texts")
     per = about.groupBy("t").agg(F.sum("n_words").alias("words"), F.sum(sum((F.greatest(F.col("n_words") - n, F.lit(0)) for n in range(1, order)), F.lit(0))).alias("backoffs"))

@@ -23,7 +23,7 @@ from palimpsest.llm.common import drop_table, materialize, small
 from palimpsest.llm.components import connected_components
 
 #: Code points of a shingle, bands and hashes in a band, similarity, lines of a band that are paired.
-SHINGLE, BANDS, ROWS, SIMILAR, PAIRED = 9, 8, 3, 0.8, 16
+SHINGLE, BANDS, ROWS, SIMILAR, PAIRED = 9, 8, 3, 0.8, 64
 
 
 def _wide(line: Column) -> Column:
@@ -34,10 +34,11 @@ def _starts(wide: Column, shingle: int) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.octet_length(wide) - 4 * shingle + 1, F.lit(1)), F.lit(4))
 
 
-def _shingles(line: Column, shingle: int) -> Column:
-    """The different shingles of a line, hashed; a shorter line is one."""
-    wide = _wide(line)
-    return F.array_distinct(F.transform(_starts(wide, shingle), lambda i: F.xxhash64(F.substr(wide, i, F.lit(4 * shingle)))))
+def _shingled(lines: DataFrame, shingle: int) -> DataFrame:
+    """``id, s`` of ``lines(id, line)``: the different shingles of each line, hashed; a shorter line is one."""
+    wide = lines.select("id", _wide(F.col("line")).alias("wide"))  # a column of its own, so that it is made once a line
+    each = F.transform(_starts(F.col("wide"), shingle), lambda i: F.xxhash64(F.substr("wide", i, F.lit(4 * shingle))))
+    return wide.select("id", F.array_distinct(each).alias("s"))
 
 
 def signatures(lines: DataFrame, shingle: int, hashes: int) -> DataFrame:
@@ -61,7 +62,7 @@ def similar_lines(lines: DataFrame, *, shingle: int = SHINGLE, bands: int = BAND
     few = shared.where(F.col("n") <= paired)
     pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
     crowded = shared.where(F.col("n") > paired).select("id").distinct()
-    met = lines.join(small(materialize(crowded, "crowded")), "id", "left_semi").select("id", F.explode(_shingles(F.col("line"), shingle)).alias("s"))
+    met = _shingled(lines.join(small(materialize(crowded, "crowded")), "id", "left_semi"), shingle).select("id", F.explode("s").alias("s"))
     there = materialize(met, "crowd-shingles")
     rare = there.groupBy("s").agg(F.count("*").alias("df"), F.min("id").alias("least"))
     ranked = there.join(rare.where("df > 1"), "s")
@@ -76,7 +77,7 @@ def similar_lines(lines: DataFrame, *, shingle: int = SHINGLE, bands: int = BAND
     star = prefix.join(group.where(F.col("n") > paired), "s").select(F.col("least").alias("a"), F.col("id").alias("b")).where("a < b")
     wanted = materialize(pairs.unionByName(close).unionByName(star).distinct(), "candidates")
     ids = materialize(wanted.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    texts = materialize(lines.join(small(ids), "id", "left_semi").select("id", _shingles(F.col("line"), shingle).alias("s")), "wanted-shingles")
+    texts = materialize(_shingled(lines.join(small(ids), "id", "left_semi"), shingle), "wanted-shingles")
     both = wanted.join(texts.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     edges = materialize(both.where(common >= similar * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar")

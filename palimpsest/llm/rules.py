@@ -99,19 +99,20 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def cutoffs(measured: DataFrame, rate: float = RATE, delta: float = DELTA) -> DataFrame:
     """``stratum, rule, cutoff`` in force, from ``measured(stratum, values)``: one row for each good document that passed the base rules."""
     grids = F.array(*[F.array(*[F.lit(c) for c in g]) for g in GRIDS.values()])
-    each = measured.select("stratum", F.posexplode("values").alias("rule", "v")).withColumn("over", F.size(F.filter(F.get(grids, F.col("rule")), lambda c: F.col("v") > c)))
-    counted = each.groupBy("stratum", "rule", "over").agg(F.count("*").alias("docs"))
-    tests = counted.select("stratum", "rule").distinct().withColumn("step", F.explode(F.sequence(F.lit(1), F.size(F.get(grids, F.col("rule"))))))
-    # A document above its first ``over`` cutoffs is rejected at each of those steps.
-    there = counted.unionByName(tests.select("stratum", "rule", F.col("step").alias("over"), F.lit(0).cast("long").alias("docs"))).groupBy("stratum", "rule", "over").agg(F.sum("docs").alias("docs"))
+    grid = F.get(grids, F.col("rule"))
+    # The first step at which a document is rejected, one beyond the last if it never is.
+    each = measured.select("stratum", F.posexplode("values").alias("rule", "v")).withColumn("step", F.size(F.filter(grid, lambda c: F.col("v") <= c)) + 1)
+    counted = each.groupBy("stratum", "rule", "step").agg(F.count("*").alias("docs"))
+    steps = counted.select("stratum", "rule").distinct().withColumn("step", F.explode(F.sequence(F.lit(1), F.size(grid))))
+    there = counted.unionByName(steps.withColumn("docs", F.lit(0).cast("long"))).groupBy("stratum", "rule", "step").agg(F.sum("docs").alias("docs"))
     w = Window.partitionBy("stratum", "rule")
-    tested = there.withColumn("n", F.sum("docs").over(w)).withColumn("k", F.sum("docs").over(w.orderBy(F.desc("over")))).where("over > 0")
+    tested = there.withColumn("n", F.sum("docs").over(w)).withColumn("k", F.sum("docs").over(w.orderBy("step"))).where(F.col("step") <= F.size(grid))
     strata = measured.select("stratum").distinct().agg(F.count("*").alias("strata"))
     level = F.lit(delta) / (F.greatest(F.col("strata"), F.lit(1)) * len(GRIDS))
     tail = binomial_tail(F.col("n").cast("double"), F.col("k").cast("double"), rate / len(GRIDS))
     held = tested.crossJoin(F.broadcast(strata)).withColumn("ok", tail <= level)  # one row with the number of strata
-    run = held.withColumn("all_ok", F.min(F.col("ok").cast("int")).over(w.orderBy("over"))).where("all_ok = 1")
-    last = run.groupBy("stratum", "rule").agg(F.max("over").alias("step"))
+    run = held.withColumn("all_ok", F.min(F.col("ok").cast("int")).over(w.orderBy("step"))).where("all_ok = 1")
+    last = run.groupBy("stratum", "rule").agg(F.max("step").alias("step"))
     return last.select("stratum", "rule", F.get(F.get(grids, F.col("rule")), F.col("step") - 1).alias("cutoff"))
 
 
