@@ -34,11 +34,15 @@ def _starts(wide: Column, shingle: int) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.octet_length(wide) - 4 * shingle + 1, F.lit(1)), F.lit(4))
 
 
+def _shingles(wide: str, shingle: int) -> Column:
+    """The different shingles of a column of ``_wide`` lines, hashed; a shorter line is one."""
+    return F.array_distinct(F.transform(_starts(F.col(wide), shingle), lambda i: F.xxhash64(F.substr(wide, i, F.lit(4 * shingle)))))
+
+
 def _shingled(lines: DataFrame, shingle: int) -> DataFrame:
-    """``id, s`` of ``lines(id, line)``: the different shingles of each line, hashed; a shorter line is one."""
+    """``id, s`` of ``lines(id, line)``: the different shingles of each line."""
     wide = lines.select("id", _wide(F.col("line")).alias("wide"))  # a column of its own, so that it is made once a line
-    each = F.transform(_starts(F.col("wide"), shingle), lambda i: F.xxhash64(F.substr("wide", i, F.lit(4 * shingle))))
-    return wide.select("id", F.array_distinct(each).alias("s"))
+    return wide.select("id", _shingles("wide", shingle).alias("s"))
 
 
 def signatures(lines: DataFrame, shingle: int, hashes: int) -> DataFrame:
@@ -77,10 +81,13 @@ def similar_lines(lines: DataFrame, *, shingle: int = SHINGLE, bands: int = BAND
     star = prefix.join(group.where(F.col("n") > paired), "s").select(F.col("least").alias("a"), F.col("id").alias("b")).where("a < b")
     wanted = materialize(pairs.unionByName(close).unionByName(star).distinct(), "candidates")
     ids = materialize(wanted.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    texts = materialize(_shingled(lines.join(small(ids), "id", "left_semi"), shingle), "wanted-shingles")
-    both = wanted.join(texts.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    edges = materialize(both.where(common >= similar * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar")
+    texts = materialize(lines.join(small(ids), "id", "left_semi").select("id", "line"), "wanted-lines")
+    both = wanted.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    # Pairs travel with their lines, which are far smaller than the lines' shingles.
+    wide = both.select("a", "b", _wide(F.col("la")).alias("wa"), _wide(F.col("lb")).alias("wb"))
+    sets = wide.select("a", "b", _shingles("wa", shingle).alias("sa"), _shingles("wb", shingle).alias("sb"))
+    common = sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
+    edges = materialize(common.where(F.col("n") >= similar * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"), "similar")
     for t in (shared, there, prefix, wanted, texts):
         drop_table(t)
     return edges
