@@ -19,6 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from palimpsest.llm.common import short_batches
 
 #: Labelled rows that learning reads at most (taken by hash), and preference pairs drawn from them.
 SAMPLE, PAIRS = 20_000, 100_000
@@ -117,29 +120,30 @@ def learn(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, sample:
     return fit(x, np.array([r.quality == 1 for r in rows], dtype=bool), threshold=threshold)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``score`` of each row of ``docs(text, ...)``, and the columns ``keep``; null and empty texts are scored as blank ones."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``score`` of each row of ``docs(text, ...)`` before its columns, as a struct ``row``; null and empty texts are scored as blank ones."""
+    short_batches(docs.sparkSession)
+    # The text crosses to Python once, within the row.
+    rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct("*").alias("row"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t.as_py() or b"") for t in batch.column(0).cast(pa.binary())]).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([pa.array(model.score(x)), *batch.columns[1:]], names=["score", *batch.schema.names[1:]])
-
-    from pyspark.sql import types as T
+            texts = batch.column(0).field("text").cast(pa.binary())
+            x = np.array([features(t.as_py() or b"") for t in texts]).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([pa.array(model.score(x)), batch.column(0)], names=["score", "row"])
 
-    return rows.mapInArrow(scan, T.StructType([T.StructField("score", T.DoubleType()), *rows.schema.fields[1:]]))
+    return rows.mapInArrow(scan, T.StructType([T.StructField("score", T.DoubleType()), *rows.schema.fields]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``; a null doc_id is not held out."""
     model = learn(docs, labels, threshold=threshold)
-    scored = score(docs, model, ["doc_id"])
+    scored = score(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
     held = F.coalesce(_held_out(F.col("doc_id")), F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accept(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
-    packed = docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("__row"))
-    return score(packed, learn(docs, labels, threshold=threshold), ["__row"]).where(F.col("score") >= threshold).select("__row.*")
+    kept = score(docs, learn(docs, labels, threshold=threshold)).where(F.col("score") >= threshold)
+    return kept.select(*[F.col(f"row.`{f.name}`").cast(f.dataType).alias(f.name) for f in docs.schema.fields])

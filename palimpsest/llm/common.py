@@ -55,6 +55,17 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Let Arrow batches of this session hold fewer rows and bytes than by default: texts may be very long.
+
+    Settings that are already below these stay as they are.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows; stops counting just beyond."""
     return df.limit(rows + 1).count() <= rows

@@ -10,6 +10,7 @@ result comes from a join on the window's hash.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,16 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import ascii_lower, materialize
+from palimpsest.llm.common import ascii_lower, materialize, short_batches
 
 #: Lower-cases A-Z; anything that is not in a word becomes a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same in texts that are not lower-cased.
-CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Benchmark windows, and bytes of benchmark text, that may be broadcast.
 WINDOWS, ITEM_BYTES = 2_000_000, 64_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Words of a text as it stands, in UTF-8.
+CASED_BYTES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 SCHEMA = T.StructType().add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType())).add("hits", T.ArrayType(T.IntegerType()))
 
 
@@ -86,6 +87,7 @@ class WindowSet:
 
 
 def _scan(rows: DataFrame, items: list[tuple[str, bytes]], size: int, spans: bool) -> DataFrame:
+    short_batches(rows.sparkSession)
     held = rows.sparkSession.sparkContext.broadcast(items)
     made: dict[int, WindowSet] = {}
 
@@ -161,6 +163,13 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = 8, items: int = 2)
     )
 
 
+def without(text: bytes, hits: list[int]) -> bytes:
+    """A text less its words at the places ``hits``, each with what stands between it and the next word."""
+    starts = [m.start() for m in CASED_BYTES.finditer(text)]
+    gone, ends = set(hits), [*starts[1:], len(text)]
+    return text[: starts[0]] + b"".join(text[a:b] for k, (a, b) in enumerate(zip(starts, ends, strict=True)) if k not in gone)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 8, items: int = 2) -> DataFrame:
     """``docs`` without what the benchmark's windows hit, with all its columns.
 
@@ -171,11 +180,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 8, items: int = 2)
     """
     # One struct and reserved names: columns of ``docs`` may have any name.
     packed = docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("__row"))
-    found = scan_documents(packed, benchmark, size, keep=["__row"], spans=True).where(F.size("items") < items)
-    text = F.col("__row.text").cast("string")
-    gaps, there = F.split(text, CASED, -1), F.regexp_extract_all(text, F.lit(CASED), F.lit(0))
-    kept = F.transform(there, lambda w, i: F.when(F.array_contains("hits", i), F.lit("")).otherwise(F.concat(w, F.get(gaps, i + 1))))
-    cut = F.when(F.col("n_hit") > 0, F.concat(F.get(gaps, F.lit(0)), F.array_join(kept, ""))).otherwise(text)
-    out = found.withColumn("__cut", cut)
-    new = {"text": F.col("__cut"), "n_chars": F.when(F.col("n_hit") > 0, F.char_length("__cut")).otherwise(F.col("__row.n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*[(new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col(f"__row.`{f.name}`")) for f in docs.schema.fields])
+    found = scan_documents(packed, benchmark, size, keep=["__row"], spans=True).where(F.size("items") < items).select("hits", "__row")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).field("text").cast(pa.binary())
+            new = [without(t.as_py(), h).decode() if h else None for t, h in zip(texts, batch.column(0).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), batch.column(1)], names=["__cut", "__row"])
+
+    row = found.schema["__row"]
+    out = found.mapInArrow(cut, T.StructType([T.StructField("__cut", T.StringType()), row]))
+    hit = F.col("__cut").isNotNull()
+    new = {"text": F.col("__cut"), "n_chars": F.char_length("__cut")}
+    old = lambda f: F.col(f"__row.`{f.name}`")
+    return out.select(*[(F.when(hit, new[f.name].cast(f.dataType)).otherwise(old(f)) if f.name in new else old(f)).alias(f.name) for f in docs.schema.fields])

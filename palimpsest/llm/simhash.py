@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import drop_table, materialize
+from palimpsest.llm.common import drop_table, materialize, short_batches
 from palimpsest.llm.components import connected_components
 
 #: Widths of the segments; each fits into a Golay word of 23 bits.
@@ -127,6 +127,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             fps = np.array([fingerprint(t.as_py() or b"", shingle, seed) for t in texts], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
+    short_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text).alias("h")).mapInArrow(scan, "doc_id long, fp long, text_hash long")
 

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import shared_dir
+from palimpsest.llm.common import shared_dir, short_batches
 
 #: Magic numbers of the seekable zstandard format: skippable frames, the seek table's kind, its end.
 SKIP, TABLE, END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -146,7 +146,7 @@ class Codec:
     ids of words for later batches. Else texts are encoded whole.
     """
 
-    def __init__(self, file: str, memory: int = 400_000) -> None:
+    def __init__(self, file: str, memory: int = 200_000) -> None:
         import json
         import os
 
@@ -218,12 +218,9 @@ def _listed(values: pa.Array) -> list:
     return values.to_numpy(zero_copy_only=False).tolist()
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(file: str) -> Codec:
-    """One for each file and Python worker; workers are reused by later tasks."""
-    return _CODECS.get(file) or _CODECS.setdefault(file, Codec(file))
+    """A codec for one task; what it remembers goes with it, since idle workers stay alive."""
+    return Codec(file)
 
 
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -245,6 +242,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
     every executor has at this place. Rows are dealt by ranges of (doc_id, text hash), about
     ``shard_bytes`` of text each; a task holds the ids of one frame at a time.
     """
+    short_batches(docs.sparkSession, rows=4000, size=16 << 20)  # larger ones share more of their words
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (1 << 20)))
@@ -252,10 +250,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
     ranged = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = ShardWriter(level, frame_ids)
+        writer, coder = ShardWriter(level, frame_ids), codec(tokenizer)
         for batch in batches:
             for docs, texts in slices(batch):
-                counts, ids = codec(tokenizer).encode(texts)
+                counts, ids = coder.encode(texts)
                 ends = np.cumsum(counts)
                 for doc, a, b in zip(docs.to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
                     for record in writer.add(doc, np.append(ids[a:b], np.uint32(end_id))):
