@@ -10,7 +10,6 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SMALL
-from oracle import compare
+from oracle import SMALL, compare
 
 from palimpsest.registry import ORACLES, QUERIES
 
