@@ -86,8 +86,9 @@ def similar_lines(lines: DataFrame, *, shingle: int = SHINGLE, bands: int = BAND
     # Pairs travel with their lines, which are far smaller than the lines' shingles.
     wide = both.select("a", "b", _wide(F.col("la")).alias("wa"), _wide(F.col("lb")).alias("wb"))
     sets = wide.select("a", "b", _shingles("wa", shingle).alias("sa"), _shingles("wb", shingle).alias("sb"))
-    common = sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
-    edges = materialize(common.where(F.col("n") >= similar * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"), "similar")
+    # Written before it is filtered: a filter would move below, and make the shingles anew within itself.
+    common = materialize(sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n")), "compared")
+    edges = common.where(F.col("n") >= similar * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
     for t in (shared, there, prefix, wanted, texts):
         drop_table(t)
     return edges
