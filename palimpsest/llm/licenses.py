@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import materialize, small
 from palimpsest.llm.license_texts import SPELLINGS, TEXTS
 
-#: A line that only names holders and years.
-COPYRIGHT = r"(?m)^[^\p{L}\n©]*(?:\(c\)|©|copyright\b|all rights reserved)[^\n]*$"
+#: A line that only names holders and years: "copyright" alone may begin any line of a sentence, so a sign or year has to follow.
+COPYRIGHT = r"(?m)^[^\p{L}\n©]*(?:©|(?:\(c\)|copyright\b)[^\n]*(?:©|\b(?:19|20)[0-9]{2}\b|[\[<{](?:yyyy|year))|copyright\b[ \t:,]*\(c\)|all rights reserved)[^\n]*$"
 
 
 def canonical_lines(text: Column) -> Column:

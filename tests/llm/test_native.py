@@ -137,6 +137,18 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(docs, known.limit(0)).where("licensed").count() == 0
 
 
+def test_wrapping_does_not_matter(spark):
+    """MIT as it is published, on one line a paragraph, and wrapped so that lines begin with "copyright"."""
+    from palimpsest.llm.license_texts import TEXTS
+
+    flat = [" ".join(p.split()) for p in TEXTS["MIT"].split("\n\n")]
+    published = "\n\n".join(flat).replace("SHALL THE AUTHORS", "SHALL THE\nAUTHORS").replace("Permission is", "Copyright (c) 2019 Some One\nCopyright 2020, 2021 Another\n\nPermission is")
+    broken = "\n\n".join(flat).replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS").replace("copyright notice", "\ncopyright notice")
+    rows = [(1, published), (2, "\n\n".join(flat)), (3, broken), (4, published.replace("BE LIABLE FOR ANY CLAIM", "PAY FOR ANY CLAIM"))]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known(spark)).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "MIT", 4: None}
+
+
 # Pseudonyms
 
 
