@@ -9,8 +9,8 @@ first line.
 A band shared by very many different lines is not paired: its lines go by their rarest
 shingles. Of two lines with similarity s or more, each having shingles in any one order,
 some shingle is among the first n - ceil(s n) + 1 of both. With the rarest first, the
-texts that crowd a band hardly share one unless they are near-copies, and those of
-a shared rare shingle are linked to its least line.
+texts that crowd a band hardly share one unless they are near-copies; ``prefixes``
+links those of a shared rare shingle exactly, however many they are.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from palimpsest.llm import prefixes
 from palimpsest.llm.common import drop_table, materialize, small
 from palimpsest.llm.components import connected_components
 
@@ -55,6 +56,21 @@ def signatures(lines: DataFrame, shingle: int, hashes: int) -> DataFrame:
     return hashed.groupBy("id").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(keys)])
 
 
+def _compared(lines: DataFrame, wanted: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """Those of the pairs ``wanted(a, b)``, which are a table, that have similarity ``similar`` or more."""
+    ids = materialize(wanted.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    texts = materialize(lines.join(small(ids), "id", "left_semi").select("id", "line"), "wanted-lines")
+    both = wanted.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    # Pairs travel with their lines, which are far smaller than the lines' shingles.
+    wide = both.select("a", "b", _wide(F.col("la")).alias("wa"), _wide(F.col("lb")).alias("wb"))
+    sets = wide.select("a", "b", _shingles("wa", shingle).alias("sa"), _shingles("wb", shingle).alias("sb"))
+    # Written before it is filtered: a filter would move below, and make the shingles anew within itself.
+    common = materialize(sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n")), "compared")
+    for t in (wanted, texts):
+        drop_table(t)
+    return common.where(F.col("n") >= similar * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
+
+
 def similar_lines(lines: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, paired: int = PAIRED) -> DataFrame:
     """Edges ``(a, b)`` between ids of ``lines(id, line)`` with similarity ``similar`` or more."""
     signed = signatures(lines, shingle, bands * rows)
@@ -74,22 +90,10 @@ def similar_lines(lines: DataFrame, *, shingle: int = SHINGLE, bands: int = BAND
     # Shingles of one line only come first of all; they are counted, not kept.
     spread = ranked.join(sizes, "id").withColumn("shared", F.count("*").over(Window.partitionBy("id"))).withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")))
     prefix = spread.where(F.col("size") - F.col("shared") + F.col("k") <= F.col("size") - F.ceil(F.col("size") * similar) + 1)
-    prefix = materialize(prefix.select("s", "id"), "prefix")
-    group = prefix.groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
-    near = prefix.join(group.where(F.col("n") <= paired).select("s"), "s", "left_semi")
-    close = near.select("s", F.col("id").alias("a")).join(near.select("s", F.col("id").alias("b")), "s").where("a < b").select("a", "b")
-    star = prefix.join(group.where(F.col("n") > paired), "s").select(F.col("least").alias("a"), F.col("id").alias("b")).where("a < b")
-    wanted = materialize(pairs.unionByName(close).unionByName(star).distinct(), "candidates")
-    ids = materialize(wanted.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    texts = materialize(lines.join(small(ids), "id", "left_semi").select("id", "line"), "wanted-lines")
-    both = wanted.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    # Pairs travel with their lines, which are far smaller than the lines' shingles.
-    wide = both.select("a", "b", _wide(F.col("la")).alias("wa"), _wide(F.col("lb")).alias("wb"))
-    sets = wide.select("a", "b", _shingles("wa", shingle).alias("sa"), _shingles("wb", shingle).alias("sb"))
-    # Written before it is filtered: a filter would move below, and make the shingles anew within itself.
-    common = materialize(sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n")), "compared")
-    edges = common.where(F.col("n") >= similar * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
-    for t in (shared, there, prefix, wanted, texts):
+    prefix = materialize(prefix.select(F.col("s").alias("key"), "id", (F.col("size") - F.col("shared") + F.col("k")).alias("at"), F.col("size").alias("n")), "prefix")
+    verified = lambda wanted: _compared(lines, wanted, shingle, similar)
+    edges = verified(materialize(pairs.distinct(), "candidates")).unionByName(prefixes.links(prefix, verified, similar))
+    for t in (shared, there, prefix):
         drop_table(t)
     return edges
 

@@ -265,3 +265,33 @@ def test_fuzzy_lines(spark, docs, none):
     assert lines.duplicates(docs).count() == docs.count() and lines.duplicates(none).count() == 0
     cleaned = {x.doc_id: x.text for x in lines.clean(spark.createDataFrame(texts[:3], "doc_id long, text string")).collect()}
     assert cleaned[0] == texts[0][1] and cleaned[2] == ""
+
+
+def test_crowds_of_different_lines_link_exactly(spark):
+    """Boilerplate of few phrases with a letter changed: many share every rare shingle, and few are similar to any one hub."""
+    import random
+
+    r, texts = random.Random(8), set()
+    for k in range(4):
+        base = "".join(r.choice("abcdefgh ") for _ in range(60)) + "the same words at the end of all of them " + "xyzw"[k] * 9
+        for _ in range(70):
+            at = r.randrange(len(base))
+            texts.add(base[:at] + r.choice("ABCDEFGH") + base[at + 1 :])
+    texts = sorted(texts)
+    edges = lines.similar_lines(spark.createDataFrame(list(enumerate(texts)), "id long, line string"), bands=24, rows=1, paired=8).collect()
+
+    def groups(pairs):
+        root = list(range(len(texts)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        return [find(x) == find(y) for x in range(len(texts)) for y in range(x)]
+
+    want = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if slow_similar(a, b) >= 0.8]
+    assert all(slow_similar(texts[e.a], texts[e.b]) >= 0.8 for e in edges)
+    assert groups([(e.a, e.b) for e in edges]) == groups(want)
