@@ -8,7 +8,8 @@ result is again a valid value of the format:
 
 - card numbers (13 to 19 digits that pass the Luhn check): all digits but the last are
   permuted, the last is set to pass the check again; spaces and hyphens stay.
-- phone numbers of the North American plan: area and exchange codes stay valid.
+- phone numbers of the North American plan: area and exchange codes stay valid; area codes
+  below 200, which are not in use, become others below 200.
 - social security numbers with valid area, group and serial.
 - dates from 1900 to 2099, year first or last, that exist: permuted as day numbers.
 - IPv4 addresses: permuted as 32 bits.
@@ -34,10 +35,12 @@ PATTERNS: dict[str, str] = {
     "secret": r"\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:token|password|passwd|secret|api_?key) ?[=:] ?\"?[A-Za-z0-9_\-+/]{12,}\"?)",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9]|-[0-9])",
+    "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9]|-[0-9])",
     "date": r"(?<![0-9/-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9]|[/-][0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[ -][0-9])",
+    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}(?![0-9])",
 }
+#: A match of "card" is a whole run of digits, which may hold cards beside other numbers: in these groupings anywhere, in others at its end.
+GROUPED = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without any of these have nothing to look for.
 HINT = r"[0-9@]|(?i:password|passwd|secret|token|key)"
@@ -93,7 +96,38 @@ def _luhn(digits: Column, skip: int) -> Column:
     return F.aggregate(F.transform(reverse, value), F.lit(0), lambda a, x: a + x)
 
 
+def _parts(m: Column) -> Column:
+    """Digits and separators of a run in turn."""
+    return F.regexp_extract_all(m, F.lit("[0-9]+|[ -]"), F.lit(0))
+
+
+def _cards(m: Column) -> Column:
+    """Valid cards within a run, as structs (i, j, text) of the first and last part, by place; they may overlap."""
+    parts = _parts(m)
+    last = F.size(parts) - 1
+    # 19 digits have 18 separators at most.
+    runs = lambda i: F.transform(F.sequence(i, F.least(i + 36, last), F.lit(2)), lambda j: F.struct(i.alias("i"), j.alias("j"), F.array_join(F.slice(parts, i + 1, j - i + 1), "").alias("text")))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), last, F.lit(2)), runs))
+    right = F.filter(every, lambda c: F.char_length(_digits(c["text"])).between(13, 19) & (c["text"].rlike(GROUPED) | (c["j"] == last)) & (_luhn(_digits(c["text"]), 0) % 10 == 0))
+    grouped = F.filter(right, lambda c: c["text"].rlike(GROUPED))
+    return F.when(F.size(grouped) > 0, grouped).otherwise(F.slice(right, 1, 1))
+
+
 def _card(key: str, m: Column) -> Column:
+    """The run with each card in it replaced, from the left, the rest as it is; struct (out, n) with their number."""
+    parts = _parts(m)
+    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("n"))
+    until = lambda s, i: F.array_join(F.slice(parts, s["at"] + 1, F.greatest(i - s["at"], F.lit(0))), "")
+
+    def step(s: Column, c: Column) -> Column:
+        free = c["i"] >= s["at"]
+        out = F.when(free, F.concat(s["out"], until(s, c["i"]), _new_card(key, c["text"]))).otherwise(s["out"])
+        return F.struct(out.alias("out"), F.when(free, c["j"] + 1).otherwise(s["at"]).alias("at"), (s["n"] + free.cast("int")).alias("n"))
+
+    return F.aggregate(_cards(m), state, step, lambda s: F.struct(F.concat(s["out"], until(s, F.size(parts))).alias("out"), s["n"].alias("n")))
+
+
+def _new_card(key: str, m: Column) -> Column:
     d = _digits(m)
     n = F.char_length(d)
     half = F.floor((n - 1) / 2).cast("int")
@@ -102,18 +136,21 @@ def _card(key: str, m: Column) -> Column:
     p = feistel(key, "card", a.cast("long"), power(half), b.cast("long"), power(n - 1 - half))
     body = lambda s: F.concat(_zeros(s["a"], half), _zeros(s["b"], n - 1 - half))
     whole = lambda s: F.concat(body(s), ((10 - _luhn(body(s), 1) % 10) % 10).cast("string"))
-    return F.when(_luhn(d, 0) % 10 == 0, _fill(m, whole(p))).otherwise(m)
+    return _fill(m, whole(p))
 
 
 def _phone(key: str, m: Column) -> Column:
     d = F.right(_digits(m), F.lit(10))
-    a = ((_part(d, 1, 1) - 2) * 100 + _part(d, 2, 2)) * 100 + _part(d, 7, 2)
+    # Area codes below 200 are not in use, but written: they are permuted among themselves.
+    unused = _part(d, 1, 3) < 200
+    least = F.when(unused, 0).otherwise(200)
+    a = (_part(d, 1, 3) - least) * 100 + _part(d, 7, 2)
     b = ((_part(d, 4, 1) - 2) * 100 + _part(d, 5, 2)) * 100 + _part(d, 9, 2)
     m1 = F.lit(80_000).cast("long")
-    p = feistel(key, "phone", a, m1, b, m1)
-    code = lambda x: _zeros(F.floor(x / 100) + 200, 3)
+    p = feistel(key, "phone", a, F.when(unused, F.lit(20_000).cast("long")).otherwise(m1), b, m1)
+    code = lambda x, low=200: _zeros(F.floor(x / 100) + low, 3)
     tail = lambda x: _zeros(x % 100, 2)
-    digits = F.concat(code(p["a"]), code(p["b"]), tail(p["a"]), tail(p["b"]))
+    digits = F.concat(code(p["a"], least), code(p["b"]), tail(p["a"]), tail(p["b"]))
     return _fill(m, F.concat(F.substr(_digits(m), F.lit(1), F.char_length(_digits(m)) - 10), digits))
 
 
@@ -156,11 +193,17 @@ def _email(key: str, m: Column) -> Column:
 
 def pseudonym(key: str, m: Column) -> Column:
     """The pseudonym of one match of ``ANY``."""
-    made = {"email": _email(key, m), "secret": F.lit("[secret]"), "ip": _ip(key, m), "ssn": _ssn(key, m), "phone": _phone(key, m), "date": _date(key, m), "card": _card(key, m)}
+    made = {"email": _email(key, m), "secret": F.lit("[secret]"), "ip": _ip(key, m), "ssn": _ssn(key, m), "phone": _phone(key, m), "date": _date(key, m), "card": _card(key, m)["out"]}
     whole = {k: f"^(?:{p})$" for k, p in PATTERNS.items()}
     return reduce(lambda e, k: e.when(m.rlike(whole[k]), made[k]), list(PATTERNS)[1:], F.when(m.rlike(whole["email"]), made["email"])).otherwise(m)
 
 
+def _more(m: Column, key: str) -> Column:
+    """Cards in a match beyond the first."""
+    long = F.char_length(m) > 26  # two cards of 13 digits and what parts them
+    return F.when(long & m.rlike(f"^(?:{PATTERNS['card']})$"), F.greatest(_card(key, m)["n"] - 1, F.lit(0))).otherwise(0)
+
+
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with the column text replaced, and columns ``n_found`` and ``n_replaced`` (long) put last.
 
@@ -176,6 +219,7 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     gaps = F.when(F.size("__old") > 0, F.split("__text", ANY, -1)).otherwise(none)
     joined = F.concat(F.get("__gap", F.lit(0)), F.array_join(F.transform("__new", lambda x, i: F.concat(x, F.get("__gap", i + 1))), ""))
     out = new.withColumn("__gap", gaps).withColumn("__out", F.when(F.size("__old") > 0, joined).otherwise(F.col("__text")))
+    more = F.aggregate("__old", F.lit(0), lambda n, m: n + _more(m, key))
     changed = F.size(F.filter(F.zip_with("__old", "__new", lambda a, b: a != b), lambda x: x))
     columns = [F.col("__out").alias(f.name) if f.name == "text" else F.col(f"__row.`{f.name}`") for f in docs.schema.fields]
-    return out.select(*columns, F.coalesce(F.size("__old"), F.lit(0)).cast("long").alias("n_found"), F.greatest(changed, F.lit(0)).cast("long").alias("n_replaced"))
+    return out.select(*columns, (F.greatest(F.size("__old"), F.lit(0)) + F.coalesce(more, F.lit(0))).cast("long").alias("n_found"), (F.greatest(changed, F.lit(0)) + F.coalesce(more, F.lit(0))).cast("long").alias("n_replaced"))

@@ -182,6 +182,23 @@ def test_pseudonyms(spark, docs, none):
     assert same.columns == [*docs.columns, "n_found", "n_replaced"] and same.count() == docs.count() and private.pseudonymize(none, "k").count() == 0
 
 
+def test_cards_beside_digits_and_all_area_codes(spark):
+    one, two, amex = "4111111111111111", "7536784127813050", "3782 822463 10005"
+    assert luhn(one) and luhn(two) and luhn(amex)
+    texts = [f"{one} 12/27", f"{two} 4242424242424242", "2027 4111 1111 1111 1111", f"no {amex} 9 or", "call (124) 555-4766 or (017) 555-4766", "4111 1111 1111 1112 12", one, "41 1111 1111 111111"]
+    got = {r.doc_id: r for r in private.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    new = got[6].text
+    assert new != one and luhn(new) and len(new) == 16
+    assert got[0].text == f"{new} 12/27"
+    a, b = got[1].text.split()
+    assert a != two and b != "4242424242424242" and luhn(a) and luhn(b) and (got[1].n_found, got[1].n_replaced) == (2, 2)
+    assert got[2].text.replace(" ", "") == "2027" + new
+    assert amex not in got[3].text and got[3].text.endswith(" 9 or")
+    phones = re.findall(r"\((\d{3})\) ([2-9]\d\d)-(\d{4})", got[4].text)
+    assert len(phones) == 2 and got[4].n_replaced == 2 and all(p[0] < "200" for p in phones) and "4766" not in got[4].text
+    assert got[5].text == texts[5] and got[7].text.replace(" ", "") == new
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
