@@ -24,10 +24,10 @@ def query(sql: str = ""):
     return add
 
 
-def tips(c: Catalog, n: int, *, least: bool = False) -> DataFrame:
-    """The last commits of the first branches, or their first ones."""
+def tips(c: Catalog, n: int | None = None, *, least: bool = False) -> DataFrame:
+    """The last commits of the first ``n`` branches or of all, or their first ones."""
     pick = F.min_by if least else F.max_by
-    return c.commits.where(F.col("branch") <= n).groupBy("branch").agg(pick("commit_id", "position").alias("id")).select("id")
+    return (c.commits if n is None else c.commits.where(F.col("branch") <= n)).groupBy("branch").agg(pick("commit_id", "position").alias("id")).select("id")
 
 
 TIPS = "tips AS (SELECT arg_max(commit_id, position) AS id FROM commits WHERE branch <= 20 GROUP BY branch)"
@@ -375,3 +375,39 @@ def propagation_status(c: Catalog) -> DataFrame:
     prints = c.paths.groupBy("commit_id").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("fingerprint"))
     sources = c.commits.select("commit_id").join(prints, "commit_id", "left")
     return history.propagation(sources, graph.ancestors(c.parents, tips(c, 20)), prints)
+
+
+# The same from all branches; the SQL above holds the first 20, tests hold these against brute force.
+
+
+@query()
+def graph_ancestors_all(c: Catalog) -> DataFrame:
+    return graph.ancestors(c.parents, tips(c)).select("commit_id")
+
+
+@query()
+def graph_descendants_all(c: Catalog) -> DataFrame:
+    return graph.descendants(c.parents, tips(c, least=True)).select("commit_id")
+
+
+@query()
+def graph_first_parent_all(c: Catalog) -> DataFrame:
+    return graph.ancestors(graph.first_parents(c.parents), tips(c))
+
+
+@query()
+def graph_bounded_distance_all(c: Catalog) -> DataFrame:
+    return graph.ancestors(c.parents, tips(c), bound=5)
+
+
+@query()
+def set_good_bad_difference_all(c: Catalog) -> DataFrame:
+    bad = tips(c)
+    good = graph.ancestors(c.parents, bad.where("id % 2 = 0")).select("commit_id")
+    return graph.ancestors(c.parents, bad).select("commit_id").join(good, "commit_id", "left_anti")
+
+
+@query()
+def set_union_intersect_scope_all(c: Catalog) -> DataFrame:
+    timed = Scope(since=SINCE, until=UNTIL).apply(c.commits, c.parents)
+    return timed.join(graph.ancestors(c.parents, tips(c)), "commit_id", "left_semi").select("commit_id")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.catalog import Catalog, bind, with_views
-from palimpsest.functions import provenance, text
+from palimpsest.functions import provenance, scoring, text
 from palimpsest.operators import patches, search
 
 QUERIES, ORACLES = {}, {}
@@ -144,6 +144,11 @@ def text_explanation_strength(c: Catalog) -> DataFrame:
 VECTORS = "q AS (SELECT embedding AS e FROM embeddings WHERE vec_id < 3), s AS (SELECT vec_id, round(max(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[]))), 6) AS similarity FROM embeddings, q GROUP BY vec_id)"
 
 
+VECTOR_PAIRS = """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
+  FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10"""
+
+
 def queried(c: Catalog) -> DataFrame:
     return c.vectors.where("vec_id < 3").select("embedding")
 
@@ -167,6 +172,15 @@ def hybrid_rrf(c: Catalog) -> DataFrame:
     return search.hybrid(c.documents, c.vectors, TERMS, queried(c))
 
 
+@query(VECTOR_PAIRS)
+def vec_topk_cosine_all(c: Catalog) -> DataFrame:
+    """The ten best for each vector whose id is divisible by 100, itself left out."""
+    q = c.vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
+    met = c.vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(scoring.cosine(F.col("embedding"), F.col("e")), 6).alias("similarity"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return met.withColumn("rank", F.row_number().over(best)).where("rank <= 10")
+
+
 @query("SELECT sha256(text) AS fingerprint, min(doc_id) AS representative, count(*) AS members FROM documents GROUP BY 1 HAVING count(*) > 1")
 def agg_patch_groups(c: Catalog) -> DataFrame:
     return c.documents.groupBy(F.sha2("text", 256).alias("fingerprint")).agg(F.min("doc_id").alias("representative"), F.count("*").alias("members")).where("members > 1")

@@ -1,0 +1,44 @@
+"""Closures from the tips of all branches against a walk in Python."""
+
+from __future__ import annotations
+
+from collections import defaultdict
+
+from oracle import SMALL
+
+from palimpsest.catalog import bind
+from palimpsest.queries.history import QUERIES
+
+
+def walk(edges, start):
+    seen, todo = dict.fromkeys(start, 0), list(start)
+    for x in todo:
+        for y in edges[x]:
+            if y not in seen:
+                seen[y] = seen[x] + 1
+                todo.append(y)
+    return seen
+
+
+def test_closures_from_all_branches(spark):
+    c = bind(spark, SMALL)
+    commits, up, first, down, last, least = c.commits.collect(), defaultdict(list), defaultdict(list), defaultdict(list), {}, {}
+    for p in c.parents.collect():
+        up[p.commit_id].append(p.parent_id)
+        down[p.parent_id].append(p.commit_id)
+        if p.position == 0:
+            first[p.commit_id].append(p.parent_id)
+    for x in sorted(commits, key=lambda x: x.position):
+        last[x.branch] = x.commit_id
+        least.setdefault(x.branch, x.commit_id)
+    ids = lambda name: sorted(r.commit_id for r in QUERIES[name](spark, SMALL).collect())
+    far = lambda name: {r.commit_id: r.distance for r in QUERIES[name](spark, SMALL).collect()}
+    tips, reached = set(last.values()), walk(up, last.values())
+    assert len(tips) > 20 and ids("graph_ancestors_all") == sorted(reached)
+    assert ids("graph_descendants_all") == sorted(walk(down, least.values()))
+    assert far("graph_first_parent_all") == walk(first, last.values())
+    assert far("graph_bounded_distance_all") == {k: d for k, d in reached.items() if d <= 5}
+    good = walk(up, [x for x in tips if x % 2 == 0])
+    assert ids("set_good_bad_difference_all") == sorted(set(reached) - set(good))
+    timed = {r.commit_id for r in QUERIES["filter_scope_time"](spark, SMALL).collect()}
+    assert ids("set_union_intersect_scope_all") == sorted(timed & set(reached))
