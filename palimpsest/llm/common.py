@@ -19,9 +19,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is configured."""
+    """The folder all executors share; a local one only in local mode, where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="palimpsest-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -48,11 +50,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a table that ``materialize`` made and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop_path(df.sparkSession, name)
+
+
+def drop_path(spark: SparkSession, name: str) -> None:
+    """Delete a folder of the shared file system with all in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def short_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:

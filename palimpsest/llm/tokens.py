@@ -1,21 +1,23 @@
 """Token ids in seekable binary shards.
 
-A shard file is a run of zstandard frames, in the public seekable format with one
-addition. Its layout:
+A shard file is a run of zstandard frames in the public seekable format:
 
-    frame, pad, frame, pad, ..., index, pad, seek table, pad
+    frame, gap, frame, gap, ..., index, seek table
 
 - frame: an independent zstandard frame over little-endian unsigned 32-bit ids of
   whole documents.
-- pad: an empty skippable frame (``PAD``). It ends every record, because Spark's
-  own writer puts it there: the files go through Hadoop's commit protocol, reach any
-  file system that Spark can write, and lost tasks leave nothing behind.
+- gap: a skippable frame of four bytes (``GAP``). Spark's own text writer writes the
+  files, through Hadoop's commit protocol, so that they reach any file system that
+  Spark can write and lost tasks leave nothing behind; it ends every record with a
+  separator. The separator is the magic number that ends a seek table: it is the
+  contents of a gap within a file, and the end of the seek table at its end.
 - index: a skippable frame holding a zstandard frame with, for each document in
   order, doc_id (signed 64 bits), number of ids (unsigned 64) and frame (unsigned
-  32), and one byte telling whether doc_id is null, column by column.
-- seek table: a skippable frame with, for each frame, its stored size (pad
-  included), its size in bytes once decompressed and the low 32 bits of the XXH64
-  of those bytes; last in it the number of frames, a descriptor and a magic number.
+  32, gaps not counted), and one byte telling whether doc_id is null, column by column.
+- seek table: a skippable frame with, for each frame before it (gaps and the index
+  too, as frames of no data), its stored size, its size once decompressed and
+  the low 32 bits of the XXH64 of that; last in it the number of frames, a descriptor
+  and the magic number. It ends the file.
 
 A reader takes the seek table from the end of the file, then the index, then only
 the frames that hold the documents asked for, checking each one's checksum.
@@ -24,21 +26,24 @@ the frames that hold the documents asked for, checking each one's checksum.
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import shared_dir, short_batches
+from palimpsest.llm.common import drop_path, materialize, shared_dir, short_batches, small
 
 #: Magic numbers of the seekable zstandard format: skippable frames, the seek table's kind, its end.
 SKIP, TABLE, END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-PAD = struct.pack("<II", SKIP, 0)
+#: What ends each record, and the skippable frame that it completes within a file.
+SEPARATOR = struct.pack("<I", END)
+GAP = struct.pack("<II", SKIP, len(SEPARATOR)) + SEPARATOR
 #: Ids in a frame, at least (a longer document makes a longer one); bytes of text in a shard, about.
 FRAME_IDS, SHARD_BYTES = 1 << 16, 32 << 20
 
@@ -50,7 +55,7 @@ def _checksum(raw: bytes) -> int:
 
 
 class ShardWriter:
-    """Builds a shard record by record; ``PAD`` is to follow each record."""
+    """Builds a shard record by record; ``SEPARATOR`` is to follow each record, the last one too."""
 
     def __init__(self, level: int = 3, frame_ids: int = FRAME_IDS) -> None:
         import zstandard
@@ -61,7 +66,7 @@ class ShardWriter:
         self.docs: list[tuple[int, int, int, int]] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[bytes]:
-        self.docs.append((doc_id or 0, len(ids), len(self.entries), doc_id is None))
+        self.docs.append((doc_id or 0, len(ids), len(self.entries) // 2, doc_id is None))
         self.held.append(ids.astype("<u4"))
         self.held_ids += len(ids)
         if self.held_ids >= self.frame_ids:
@@ -70,18 +75,19 @@ class ShardWriter:
     def _frame(self) -> bytes:
         raw = np.concatenate(self.held).tobytes()
         frame = self.pack(raw)
-        self.entries.append((len(frame) + len(PAD), len(raw), _checksum(raw)))
+        self.entries += [(len(frame), len(raw), _checksum(raw)), (len(GAP), 0, _checksum(b""))]
         self.held, self.held_ids = [], 0
-        return frame
+        return frame + GAP[: -len(SEPARATOR)]
 
     def close(self) -> Iterator[bytes]:
         if self.held:
             yield self._frame()
         ids, counts, frames, nulls = zip(*self.docs, strict=True) if self.docs else ((), (), (), ())
         index = self.pack(b"".join([np.array(ids, "<i8").tobytes(), np.array(counts, "<u8").tobytes(), np.array(frames, "<u4").tobytes(), np.array(nulls, "u1").tobytes()]))
-        yield struct.pack("<III", SKIP + 1, len(index) + 4, len(self.docs)) + index
-        table = b"".join(struct.pack("<III", *e) for e in self.entries) + struct.pack("<IBI", len(self.entries), 0x80, END)
-        yield struct.pack("<II", TABLE, len(table)) + table
+        index = struct.pack("<III", SKIP + 1, len(index) + 4, len(self.docs)) + index
+        entries = [*self.entries, (len(index), 0, _checksum(b""))]
+        table = b"".join(struct.pack("<III", *e) for e in entries) + struct.pack("<IBI", len(entries), 0x80, END)
+        yield index + (struct.pack("<II", TABLE, len(table)) + table)[: -len(SEPARATOR)]
 
 
 class ShardReader:
@@ -91,17 +97,19 @@ class ShardReader:
         import zstandard
 
         self.file, self.unpack = file, zstandard.ZstdDecompressor().decompress
-        end = file.seek(0, io.SEEK_END) - len(PAD)
-        count, kind, magic = struct.unpack("<IBI", self._at(end - 9, 9))
+        end = file.seek(0, io.SEEK_END)
+        count, kind, magic = struct.unpack("<IBI", self._at(max(end - 9, 0), 9))
         if magic != END or kind != 0x80:
             raise ValueError("not a seekable shard")
-        start = end - 9 - 12 * count - 8
-        self.entries = np.frombuffer(self._at(start + 8, 12 * count), "<u4").reshape(-1, 3).astype(np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.entries[:, 0])])
-        head, size, n = struct.unpack("<III", self._at(int(self.starts[-1]), 12))
+        entries = np.frombuffer(self._at(end - 9 - 12 * count, 12 * count), "<u4").reshape(-1, 3).astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(entries[:, 0])])
+        at = int(starts[-2])
+        head, size, n = struct.unpack("<III", self._at(at, 12))
         if head != SKIP + 1:
             raise ValueError("no index before the seek table")
-        raw = self.unpack(self._at(int(self.starts[-1]) + 12, size - 4))
+        raw = self.unpack(self._at(at + 12, size - 4))
+        #: Places and entries of the frames that hold ids; a gap follows each.
+        self.starts, self.entries = starts[:-2:2], entries[:-1:2]
         self.doc_ids = np.frombuffer(raw, "<i8", n)
         self.counts = np.frombuffer(raw, "<u8", n, 8 * n).astype(np.int64)
         self.frames = np.frombuffer(raw, "<u4", n, 16 * n).astype(np.int64)
@@ -115,8 +123,9 @@ class ShardReader:
         return self.file.read(size)
 
     def frame(self, k: int) -> np.ndarray:
-        raw = self.unpack(self._at(int(self.starts[k]), int(self.entries[k, 0]) - len(PAD)), max_output_size=int(self.entries[k, 1]))
-        if _checksum(raw) != self.entries[k, 2]:
+        size, whole, checksum = self.entries[k].tolist()
+        raw = self.unpack(self._at(int(self.starts[k]), size), max_output_size=whole)
+        if _checksum(raw) != checksum:
             raise ValueError(f"frame {k} is damaged")
         return np.frombuffer(raw, "<u4")
 
@@ -132,106 +141,76 @@ class ShardReader:
             yield None if self.nulls[k] else int(self.doc_ids[k]), int(self.offsets[k]), ids[at : at + int(self.counts[k])]
 
 
-#: Pre-tokenizer patterns whose matches never span white space and which drop all of it (a fixed value).
+#: A pre-tokenizer pattern whose matches never span white space and which drops all of it (a fixed value).
 WORDWISE = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Characters that the library is given at a time, about.
+PIECE = 1 << 17
+SPACE = re.compile(r"[ \t\n\r]")
 
 
 class Codec:
     """Ids of whole texts, by the tokenizers library.
 
-    If the tokenizer treats each run of non-space characters by itself, the
-    different runs of a batch are found first, most of them are taken apart into a
-    word and its punctuation, and each is encoded once; a bounded memory keeps the
-    ids of words for later batches. Else texts are encoded whole.
+    Texts are given to it together, up to ``PIECE`` characters at a time. If the
+    tokenizer treats each run of non-space characters by itself, a longer text is
+    given in pieces that end at white space, so that memory does not grow with it.
     """
 
-    def __init__(self, file: str, memory: int = 200_000) -> None:
+    def __init__(self, file: str) -> None:
         import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer, self.memory = Tokenizer.from_file(file), memory
-        spec = json.loads(self.tokenizer.to_str())
-        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.tokenizer = Tokenizer.from_file(file)
+        state = lambda part: json.loads(part.__getstate__()) if part else {}
+        steps = state(self.tokenizer.pre_tokenizer).get("pretokenizers", [])
+        kinds = [n["type"] for n in state(self.tokenizer.normalizer).get("normalizers", [])]
         split = steps[0] if len(steps) == 2 and steps[0]["type"] == "Split" and steps[1]["type"] == "ByteLevel" else {}
         self.wordwise = kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": WORDWISE} and split["invert"] and split["behavior"] == "Removed"
-        self.bare = Tokenizer(self.tokenizer.model)
-        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        #: Latin letters that normalisation leaves alone once lower-cased, by their byte-level form.
-        self.letters = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c} if self.wordwise else {}
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each text, and all ids one after the other."""
-        if not self.wordwise:
-            found = [self._whole(t) for t in texts.to_pylist()]
-            return np.array([len(x) // 4 for x in found], dtype=np.int64), np.frombuffer(b"".join(found), "<u4")
-        runs = pc.ascii_split_whitespace(texts)
-        coded = runs.flatten().dictionary_encode()
-        different, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        cores = pc.ascii_rtrim(different, characters=PUNCTUATION)
-        lower = pc.utf8_lower(cores)
-        words = lower.dictionary_encode()
-        plain = self._words(words.dictionary)
-        # A run is a plain word and the punctuation after it; or all of it stands in the second place.
-        first = words.indices.to_numpy(zero_copy_only=False)
-        odd = ~plain[first] | pc.match_substring(different, "\u0130").to_numpy(zero_copy_only=False)  # lower-cases to two characters
-        cut = np.where(odd, 0, pc.binary_length(cores).to_numpy(zero_copy_only=False))
-        rest = np.flatnonzero(cut < pc.binary_length(different).to_numpy(zero_copy_only=False))
-        tails: dict[bytes, int] = {}
-        second = np.full(len(different), -1)
-        second[rest] = [tails.setdefault(r[c:], len(tails)) for r, c in zip(_listed(different.take(rest).cast(pa.binary())), cut[rest].tolist(), strict=True)]
-        pieces = [self.words.get(w, b"") for w in _listed(words.dictionary)] + [b""] + [self._whole(t.decode()) for t in tails]
-        empty = len(words.dictionary)
-        pair = np.stack([np.where(odd, empty, first), empty + 1 + second], axis=1).astype(np.int32)
-        sizes = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces)) // 4
-        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.frombuffer(b"".join(pieces), "<u4"))
-        out = lists.take(pa.array(pair[at].reshape(-1))).flatten().to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(sizes[pair].sum(axis=1)[at])])
-        bounds = np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy(zero_copy_only=False))])
-        return np.diff(ends[bounds]), out
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _words(self, words: pa.Array) -> np.ndarray:
-        """Which of the different words are plain; the ids of those are in memory afterwards."""
-        listed, known, letter = _listed(words), self.words, self.letters.__contains__
-        if len(known) > self.memory:
-            known.clear()
-        new = [w for w in listed if w not in known and 0 < len(w) < 200 and all(map(letter, w))]
-        form = self.letters.__getitem__
-        for k in range(0, len(new), 1000):
-            part = new[k : k + 1000]
-            e = self.bare.encode(["".join(map(form, w)) for w in part], is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(e.ids, dtype="<u4").tobytes()
-            ends = (4 * np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(part)))).tolist()
-            known.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-        return np.fromiter(map(known.__contains__, listed), dtype=bool, count=len(listed))
-
-
-def _listed(values: pa.Array) -> list:
-    return values.to_numpy(zero_copy_only=False).tolist()
-
 
+    def pieces(self, text: str, most: int = PIECE) -> Iterator[str]:
+        at = 0
+        while self.wordwise and len(text) - at > most:
+            # The last white space within reach, else the next one beyond it.
+            cut = max(text.rfind(c, at, at + most) for c in " \t\n\r")
+            if cut <= at:
+                found = SPACE.search(text, at + most)
+                cut = found.start() if found else len(text)
+            yield text[at:cut]
+            at = cut
+        yield text[at:]
+
+    def encode(self, texts: Iterable[str], most: int = PIECE) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            if len(text) > most:
+                yield from self._together(held)
+                held, size = [], 0
+                parts = [np.concatenate([*self._together([p])]) for p in self.pieces(text, most)]
+                yield np.concatenate(parts)
+                continue
+            held.append(text)
+            size += len(text)
+            if size >= most:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ():
+            yield np.array(e.ids, dtype="<u4")
+
+
+@lru_cache(maxsize=1)
 def codec(file: str) -> Codec:
-    """A codec for one task; what it remembers goes with it, since idle workers stay alive."""
+    """The codec of this process: tasks that share a worker share it."""
     return Codec(file)
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Runs of rows of a batch (doc_id, text) with about ``most`` bytes of text, or one longer text."""
-    sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes) // most
-    for rows in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(part)) + 1):
-        if len(rows):
-            yield batch.column(0).slice(rows[0], len(rows)), batch.column(1).slice(rows[0], len(rows))
-
-
 def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, level: int = 3, shard_bytes: int = SHARD_BYTES, frame_ids: int = FRAME_IDS) -> None:
     """Encode ``docs(doc_id, text)`` whole and write them to ``path`` in ascending doc_id.
 
@@ -240,9 +219,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
     so that null and empty texts hold one id. Other columns are left out; without
     rows, the shards are empty. ``tokenizer``: a file of the tokenizers library that
     every executor has at this place. Rows are dealt by ranges of (doc_id, text hash), about
-    ``shard_bytes`` of text each; a task holds the ids of one frame at a time.
+    ``shard_bytes`` of text each; a task holds the ids of one frame, and of one long text, at a time.
     """
-    short_batches(docs.sparkSession, rows=4000, size=16 << 20)  # larger ones share more of their words
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (1 << 20)))
@@ -251,52 +230,81 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, coder = ShardWriter(level, frame_ids), codec(tokenizer)
+        end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for docs, texts in slices(batch):
-                counts, ids = coder.encode(texts)
-                ends = np.cumsum(counts)
-                for doc, a, b in zip(docs.to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
-                    for record in writer.add(doc, np.append(ids[a:b], np.uint32(end_id))):
-                        yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["value"])
-        yield pa.RecordBatch.from_arrays([pa.array(list(writer.close()), pa.binary())], names=["value"])
+            texts = (t.as_py() for t in batch.column(1))
+            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(texts), strict=True):
+                for record in writer.add(doc, np.concatenate([ids, end])):
+                    yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["value"])
+        for record in writer.close():
+            yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["value"])
 
-    binary = ranged.mapInArrow(shard, "value binary")
-    binary.select(F.col("value").cast("string")).write.option("lineSep", PAD.decode("ascii")).option("compression", "none").text(path)
+    binary = ranged.mapInArrow(shard, "value binary").select(F.col("value").cast("string"))
+    binary.write.option("encoding", "ISO-8859-1").option("lineSep", SEPARATOR.decode("latin-1")).option("compression", "none").text(path)
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each document in the shards at ``path``: doc_id, start, n_tokens, ids_crc32.
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("shard"), "content")
 
-    ``start`` counts the ids of all documents before it, over all shards in order
-    of their names. Only one row a shard (its number of ids) goes to the driver.
+
+def read_documents(spark: SparkSession, path: str, doc_ids: Iterable[int]) -> DataFrame:
+    """``doc_id, ids`` (array of long) of the given documents; only the frames that hold them are decompressed.
+
+    ``doc_ids`` travel with the plan, so they are to be few; those that are not there give
+    no row, and a doc_id of several rows gives them all.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    one = files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("shard"), "content")
+    short_batches(spark)
+    wanted = sorted({int(d) for d in doc_ids})
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [int(ShardReader(io.BytesIO(c.as_py())).offsets[-1]) for c in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64())], names=["shard", "total"])
+            for content in batch.column(1):
+                for d, _, ids in ShardReader(io.BytesIO(content.as_py())).documents(wanted):
+                    yield pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return _files(spark, path).mapInArrow(rows, "doc_id long, ids array<long>")
+
+
+#: Shards whose numbers of ids are added up together in one task.
+BLOCK = 4096
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each document in the shards at ``path``: doc_id, start, n_tokens, ids_crc32.
+
+    ``start`` counts the ids of all documents before it, over all shards in order of
+    their names: the sums of blocks of shards first, then those within a block.
+    """
+    short_batches(spark)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [(d, starts[k] + at, len(ids), zlib.crc32(ids.tobytes())) for d, at, ids in ShardReader(io.BytesIO(content.as_py())).documents()]
-                d, s, n, crc = zip(*found, strict=True) if found else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), *[pa.array(x, pa.int64()) for x in (s, n, crc)]], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                reader = ShardReader(io.BytesIO(content.as_py()))
+                crc = [zlib.crc32(ids.tobytes()) for _, _, ids in reader.documents()]
+                arrays = [pa.array(np.full(len(crc), k)), pa.array(reader.doc_ids, mask=reader.nulls), pa.array(reader.offsets[:-1]), pa.array(reader.counts), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays([a.cast(pa.int64()) for a in arrays], names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    starts, before = {}, 0
-    for r in sorted(one.mapInArrow(totals, "shard long, total long").collect()):
-        starts[r.shard] = before
-        before += r.total
-    return one.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = materialize(_files(spark, path).mapInArrow(rows, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long"), "read-back")
+    totals = found.groupBy("shard").agg(F.sum("n_tokens").alias("ids")).withColumn("block", F.floor(F.col("shard") / BLOCK))
+    before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = totals.groupBy("block").agg(F.sum("ids").alias("ids")).select("block", before(Window.orderBy("block")).alias("base"))
+    starts = totals.join(small(blocks), "block").select("shard", (F.col("base") + before(Window.partitionBy("block").orderBy("shard"))).alias("base"))
+    return found.join(small(starts), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def encode(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
-    """Write ``docs`` as shards into the shared folder and report the documents as read back from them."""
+def encode(docs: DataFrame, tokenizer: str, *, path: str | None = None, **options) -> DataFrame:
+    """Write ``docs`` as shards to ``path`` and report the documents as read back from them.
+
+    Without ``path`` the shards go into the shared folder, and away once they are read.
+    """
     import uuid
 
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest/shards-{uuid.uuid4().hex}"
-    write_shards(docs, path, tokenizer, **options)
-    return read_shards(spark, path)
+    place = path or f"{shared_dir(spark)}/palimpsest/shards-{uuid.uuid4().hex}"
+    write_shards(docs, place, tokenizer, **options)
+    found = read_shards(spark, place)
+    if not path:
+        drop_path(spark, place)
+    return found

@@ -12,7 +12,7 @@ from palimpsest.llm.queries import tokenizer_file
 
 
 def shard(records) -> bytes:
-    return b"".join(r + tokens.PAD for r in records)
+    return b"".join(r + tokens.SEPARATOR for r in records)
 
 
 def test_shard_round_trip_and_damage():
@@ -38,15 +38,59 @@ def test_shard_round_trip_and_damage():
     assert list(empty.documents()) == []
 
 
+def test_stock_readers_open_a_shard():
+    """The library's own stream reader skips gaps, index and table; a reader by the format's text finds each frame from the end."""
+    import struct
+
+    import xxhash
+    import zstandard
+
+    w = tokens.ShardWriter(frame_ids=50)
+    data = shard([r for k in range(40) for r in w.add(k, np.arange(k, dtype=np.uint32) + k)] + list(w.close()))
+    want = b"".join((np.arange(k, dtype="<u4") + k).astype("<u4").tobytes() for k in range(40))
+    assert zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read() == want
+    assert data[-4:] == struct.pack("<I", 0x8F92EAB1)
+    frames, flags = struct.unpack("<IB", data[-9:-4])
+    table = len(data) - 9 - 12 * frames
+    assert flags == 0x80 and struct.unpack("<II", data[table - 8 : table]) == (0x184D2A5E, 12 * frames + 9)
+    at, out = 0, b""
+    for k in range(frames):
+        stored, size, checksum = struct.unpack_from("<III", data, table + 12 * k)
+        raw = zstandard.ZstdDecompressor().decompress(data[at : at + stored], max_output_size=size) if size else b""
+        assert len(raw) == size and xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF == checksum
+        at, out = at + stored, out + raw
+    assert out == want and at == table - 8
+
+
 def test_codec_equals_the_library():
-    import pyarrow as pa
+    texts = ["Don't it's WE'LL İstanbul ﬁne x y 漢字 ½ a1b2 ée <|endoftext|>x ß ſ K word's ''", "", "  ", "a" * 500, "x.'s", "word,word;", "Ünïcödé!!", "The the THE.", " \n".join(["e\u0301 it's", "\u0301x  <|endoftext|> y"] * 40)]
+    plain = Tokenizer.from_file(tokenizer_file())
+    coder = tokens.codec(tokenizer_file())
+    assert coder.wordwise
+    for most in (tokens.PIECE, 40, 3):
+        for t, ids in zip(texts, coder.encode(texts, most), strict=True):
+            assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    assert "".join(coder.pieces(texts[-1], 20)) == texts[-1]
+
+
+def test_long_texts(spark):
+    """A text of over a megabyte, one without any space, and one of a single line."""
+    texts = ["lorem ipsum, dolor! " * 60_000, "x" * 300_000, "é\n" * 200_000]
+    plain = Tokenizer.from_file(tokenizer_file())
+    got = tokens.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer_file()).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
 
-    texts = ["Don't it's WE'LL İstanbul ﬁne x y 漢字 ½ a1b2 ée <|endoftext|>x ß ſ K word's ''", "", "  ", "a" * 500, "x.'s", "word,word;", "Ünïcödé!!", "The the THE."]
+def test_documents_by_id(spark, docs, tmp_path):
+    path = str(tmp_path / "shards")
+    tokens.write_shards(docs, path, tokenizer_file())
     plain = Tokenizer.from_file(tokenizer_file())
-    counts, ids = tokens.codec(tokenizer_file()).encode(pa.array(texts))
-    ends = np.cumsum(counts)
-    for t, n, e in zip(texts, counts, ends, strict=True):
-        assert ids[e - n : e].tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    got = tokens.read_documents(spark, path, [1, 6, 9, 999]).collect()
+    assert sorted(r.doc_id for r in got) == [1, 6, 6, 9]
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.ids == [*plain.encode(text[r.doc_id], add_special_tokens=False).ids, 1] for r in got)
 
 
 def test_encode(spark, docs, none):
