@@ -34,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,66 +144,135 @@ class ShardReader:
 
 #: A pre-tokenizer pattern whose matches never span white space and which drops all of it (a fixed value).
 WORDWISE = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-#: Characters that the library is given at a time, about.
-PIECE = 1 << 17
-SPACE = re.compile(r"[ \t\n\r]")
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of text that are encoded together, about, and of words and their ids that a process remembers.
+PIECE, MEMORY = 2 << 20, 40 << 20
+#: What a word takes beside its bytes and ids, about.
+ENTRY = 200
 
 
 class Codec:
     """Ids of whole texts, by the tokenizers library.
 
-    Texts are given to it together, up to ``PIECE`` characters at a time. If the
-    tokenizer treats each run of non-space characters by itself, a longer text is
-    given in pieces that end at white space, so that memory does not grow with it.
+    If the tokenizer treats each run of non-space characters by itself, the
+    different runs of about ``PIECE`` bytes of text are found first, most of them are
+    taken apart into a word and its punctuation, and each is encoded once; what is
+    remembered of words is bounded in bytes. Else texts are encoded whole.
     """
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, memory: int = MEMORY) -> None:
         import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer, self.memory = Tokenizer.from_file(file), memory
         state = lambda part: json.loads(part.__getstate__()) if part else {}
         steps = state(self.tokenizer.pre_tokenizer).get("pretokenizers", [])
         kinds = [n["type"] for n in state(self.tokenizer.normalizer).get("normalizers", [])]
         split = steps[0] if len(steps) == 2 and steps[0]["type"] == "Split" and steps[1]["type"] == "ByteLevel" else {}
         self.wordwise = kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": WORDWISE} and split["invert"] and split["behavior"] == "Removed"
-
-    def pieces(self, text: str, most: int = PIECE) -> Iterator[str]:
-        at = 0
-        while self.wordwise and len(text) - at > most:
-            # The last white space within reach, else the next one beyond it.
-            cut = max(text.rfind(c, at, at + most) for c in " \t\n\r")
-            if cut <= at:
-                found = SPACE.search(text, at + most)
-                cut = found.start() if found else len(text)
-            yield text[at:cut]
-            at = cut
-        yield text[at:]
-
-    def encode(self, texts: Iterable[str], most: int = PIECE) -> Iterator[np.ndarray]:
-        """The ids of each text, in order."""
-        held: list[str] = []
-        size = 0
+        #: The same model, which the two share, without the steps before it.
+        self.bare = Tokenizer(self.tokenizer.model)
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Latin letters that normalisation leaves alone once lower-cased, by their byte-level form.
+        self.letters = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c} if self.wordwise else {}
+        self.words: dict[str, bytes] = {}
+        self.held = 0
+
+    def encode(self, texts: Iterable[bytes], most: int = PIECE) -> Iterator[np.ndarray]:
+        """The ids of each UTF-8 text, in order."""
+        group, size = [], 0
         for text in texts:
+            if not self.wordwise:
+                yield np.frombuffer(self._whole(text.decode()), "<u4")
+                continue
             if len(text) > most:
-                yield from self._together(held)
-                held, size = [], 0
-                parts = [np.concatenate([*self._together([p])]) for p in self.pieces(text, most)]
-                yield np.concatenate(parts)
+                yield from self._together(group)
+                yield np.concatenate([ids for part in pieces(text, most) for ids in self._together([part])])
+                group, size = [], 0
                 continue
-            held.append(text)
+            group.append(text)
             size += len(text)
             if size >= most:
-                yield from self._together(held)
-                held, size = [], 0
-        yield from self._together(held)
-
-    def _together(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ():
-            yield np.array(e.ids, dtype="<u4")
+                yield from self._together(group)
+                group, size = [], 0
+        yield from self._together(group)
+
+    def _together(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if texts:
+            counts, ids = self._runs(pa.array(texts, pa.binary()).cast(pa.string()))
+            ends = np.cumsum(counts).tolist()
+            yield from (ids[a:b] for a, b in zip([0, *ends], ends, strict=False))
+
+    def _runs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids one after the other."""
+        runs = pc.ascii_split_whitespace(texts)
+        coded = runs.flatten().dictionary_encode()
+        different, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        cores = pc.ascii_rtrim(different, characters=PUNCTUATION)
+        lower = pc.utf8_lower(cores)
+        words = lower.dictionary_encode()
+        plain = self._words(words.dictionary)
+        # A run is a plain word and the punctuation after it; or all of it stands in the second place.
+        first = words.indices.to_numpy(zero_copy_only=False)
+        odd = ~plain[first] | pc.match_substring(different, "\u0130").to_numpy(zero_copy_only=False)  # lower-cases to two characters
+        cut = np.where(odd, 0, pc.binary_length(cores).to_numpy(zero_copy_only=False))
+        rest = np.flatnonzero(cut < pc.binary_length(different).to_numpy(zero_copy_only=False))
+        tails: dict[bytes, int] = {}
+        second = np.full(len(different), -1)
+        second[rest] = [tails.setdefault(r[c:], len(tails)) for r, c in zip(_listed(different.take(rest).cast(pa.binary())), cut[rest].tolist(), strict=True)]
+        pieces = [self.words.get(w, b"") for w in _listed(words.dictionary)] + [b""] + [self._whole(t.decode()) for t in tails]
+        empty = len(words.dictionary)
+        pair = np.stack([np.where(odd, empty, first), empty + 1 + second], axis=1).astype(np.int32)
+        sizes = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces)) // 4
+        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.frombuffer(b"".join(pieces), "<u4"))
+        out = lists.take(pa.array(pair[at].reshape(-1))).flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes[pair].sum(axis=1)[at])])
+        bounds = np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy(zero_copy_only=False))])
+        return np.diff(ends[bounds]), out
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _words(self, words: pa.Array) -> np.ndarray:
+        """Which of the different words are plain; the ids of those are in memory afterwards."""
+        listed, known, letter = _listed(words), self.words, self.letters.__contains__
+        if self.held > self.memory:
+            known.clear()
+            self.held = 0
+        new = [w for w in listed if w not in known and 0 < len(w) < 200 and all(map(letter, w))]
+        form = self.letters.__getitem__
+        for k in range(0, len(new), 1000):
+            part = new[k : k + 1000]
+            e = self.bare.encode(["".join(map(form, w)) for w in part], is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(e.ids, dtype="<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(part)))).tolist()
+            known.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            self.held += len(raw) + sum(map(len, part)) + ENTRY * len(part)
+        return np.fromiter(map(known.__contains__, listed), dtype=bool, count=len(listed))
+
+
+def _listed(values: pa.Array) -> list:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+
+
+def pieces(text: bytes, most: int) -> Iterator[bytes]:
+    """``text`` cut at white space into parts of ``most`` bytes or less, or of one longer run."""
+    at = 0
+    while len(text) - at > most:
+        # The last white space within reach, else the next one beyond it.
+        cut = max(text.rfind(c, at, at + most) for c in (b" ", b"\n", b"\t"))
+        if cut <= at:
+            found = SPACE.search(text, at + most)
+            cut = found.start() if found else len(text)
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
 
 @lru_cache(maxsize=1)
@@ -232,7 +302,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
         writer, coder = ShardWriter(level, frame_ids), codec(tokenizer)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            texts = (t.as_py() for t in batch.column(1))
+            texts = (t.as_py() for t in batch.column(1).cast(pa.binary()))
             for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(texts), strict=True):
                 for record in writer.add(doc, np.concatenate([ids, end])):
                     yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["value"])

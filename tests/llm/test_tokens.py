@@ -65,12 +65,16 @@ def test_stock_readers_open_a_shard():
 def test_codec_equals_the_library():
     texts = ["Don't it's WE'LL İstanbul ﬁne x y 漢字 ½ a1b2 ée <|endoftext|>x ß ſ K word's ''", "", "  ", "a" * 500, "x.'s", "word,word;", "Ünïcödé!!", "The the THE.", " \n".join(["e\u0301 it's", "\u0301x  <|endoftext|> y"] * 40)]
     plain = Tokenizer.from_file(tokenizer_file())
-    coder = tokens.codec(tokenizer_file())
-    assert coder.wordwise
-    for most in (tokens.PIECE, 40, 3):
-        for t, ids in zip(texts, coder.encode(texts, most), strict=True):
-            assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
-    assert "".join(coder.pieces(texts[-1], 20)) == texts[-1]
+    coded = [t.encode() for t in texts]
+    for coder in (tokens.Codec(tokenizer_file()), tokens.Codec(tokenizer_file(), memory=100)):
+        assert coder.wordwise
+        for most in (tokens.PIECE, 40, 3):
+            for t, ids in zip(texts, coder.encode(coded, most), strict=True):
+                assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
+        assert coder.held <= coder.memory + 300 * sum(len(t.split()) for t in texts)
+    assert b"".join(tokens.pieces(coded[-1], 20)) == coded[-1]
+    coder.wordwise = False
+    assert [x.tolist() for x in coder.encode(coded)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_long_texts(spark):
