@@ -146,7 +146,7 @@ class ShardReader:
 WORDWISE = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Bytes of text that are encoded together, about, and of words and their ids that a process remembers.
-PIECE, MEMORY = 2 << 20, 40 << 20
+PIECE, MEMORY = 2 << 20, 80 << 20
 #: What a word takes beside its bytes and ids, about.
 ENTRY = 200
 
