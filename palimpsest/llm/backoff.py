@@ -1,106 +1,186 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Counts of word n-grams over all documents are tables keyed by 64-bit hashes. With c
+Counts of word n-grams over all documents are tables keyed by 64-bit hashes of words
+(the n-gram ``u w`` by the pair of the hashes of its context and its suffix). With c
 the count and N the number of words, a word w after the context u scores
 
     S(w | u) = c(u w) / c(u)            if c(u w) reaches the cutoff,
                0.4 S(w | u shortened)   else,        and S(w) = c(w) / N.
 
 The logarithm of S is that of the unigram plus one term for each order: ln 0.4,
-and for an n-gram in its table a difference that only depends on the n-gram. So each
-order is one join of exploded n-grams with its table, summed by text. The n-grams of
-an order are joined in passes over slices of their hashes, each written before the
-next begins, so that a pass holds but its share of the shuffle.
+and for an n-gram in its table a difference that only depends on the n-gram. So
+scoring is one join of all exploded n-grams with the union of the tables, summed by
+text. N-grams of the corpus that make up 1 / ``HOT`` of its words or more, of which an
+order has ``HOT`` at most, are looked up where they are exploded; so no key of the join
+holds more than that share of the rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import drop_table, materialize, words
+from palimpsest.llm.common import drop_table, materialize, pieces, short_batches
 
 ALPHA, CUTOFF = 0.4, 2
+#: N-grams of an order that are looked up in a broadcast table, at most; bytes of text that are exploded together, about.
+HOT, PIECE = 1 << 17, 4 << 20
+
+# Primes of the XXH64 hash (fixed values).
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """XXH64 of eight bytes each."""
+    h = _turn((seed + P5 + np.uint64(8)) ^ _turn(x * P2, 31) * P1, 27) * P1 + P4
+    h = (h ^ h >> np.uint64(33)) * P2
+    h = (h ^ h >> np.uint64(29)) * P3
+    return h ^ h >> np.uint64(32)
+
+
+def joined(u: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The key of n-grams by the hashes of context and suffix: Spark's ``xxhash64(u, s)``."""
+    return _hash_long(s.view(np.uint64), _hash_long(u.view(np.uint64), np.full(len(u), 42, np.uint64))).view(np.int64)
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after the other, and the number of words of each text."""
+    from xxhash import xxh64_intdigest
+
+    runs = pc.ascii_split_whitespace(texts)
+    coded = runs.flatten().dictionary_encode()
+    different = coded.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.fromiter((xxh64_intdigest(w, 42) for w in different), np.uint64, len(different)).view(np.int64)
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    sizes = runs.value_lengths().to_numpy(zero_copy_only=False)
+    # White space at an end of a text leaves an empty word.
+    full = at != different.index(b"") if b"" in different else np.ones(len(at), dtype=bool)
+    return hashes[at[full]], np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full], minlength=len(sizes))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], most: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(keys, hashes, sizes)`` of runs of rows of batches ``(t, text)`` with about ``most`` bytes of text, or one longer text."""
+    for batch in batches:
+        t, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        bytes_ = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        part = np.cumsum(bytes_) // most
+        for rows in np.split(np.arange(len(t)), np.flatnonzero(np.diff(part)) + 1):
+            if len(rows) == 1 and bytes_[rows[0]] > most:
+                cut = [_words(pa.array([p], pa.binary()).cast(pa.string()))[0] for p in pieces(texts[rows[0]].cast(pa.binary()).as_py(), most)]
+                h = np.concatenate(cut)
+                yield t[rows], h, np.array([len(h)])
+            elif len(rows):
+                yield t[rows], *_words(texts.slice(rows[0], len(rows)))
+
+
+def _orders(h: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(u, s, key, text)`` of the n-grams of each order within texts; words have s = 0 and their own hash as key."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    key = h
+    yield h, np.zeros(len(h), np.int64), h, text
+    for _ in range(1, order):
+        inside = text[1:] == text[:-1] if len(text) else np.empty(0, bool)
+        # The last n-gram of a text has no successor in it; ``key`` and ``text`` stay aligned by place.
+        u, s, text = key[:-1][inside], key[1:][inside], text[:-1][inside]
+        key = joined(u, s)
+        yield u, s, key, text
+
+
+def _shaped(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``columns``, the key ``t`` of the text, and the text in lower case."""
+    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.select(*columns, F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def _hash(i: Column, size: int, start: int = 0) -> Column:
-    """The hash of the n-gram of ``size`` words of ``h`` at place ``i``: of its context and its suffix, which overlap."""
-    if size == 1:
-        return F.get("h", i + start)
-    return F.xxhash64(_hash(i, size - 1, start), _hash(i, size - 1, start + 1))
-
-
-def _starts(order: int) -> Column:
-    return F.when(F.size("h") >= order, F.sequence(F.lit(0), F.size("h") - order)).otherwise(F.array().cast("array<int>"))
-
-
-def _grams(order: int) -> Column:
-    """Structs (u, s) of all n-grams: hashes of context and suffix."""
-    return F.transform(_starts(order), lambda i: F.struct(_hash(i, order - 1).alias("u"), _hash(i, order - 1, 1).alias("s")))
-
-
-def _hashed(order: int) -> Column:
-    return F.col("h") if order == 1 else F.transform(_starts(order), lambda i: _hash(i, order))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def tables(docs: DataFrame, order: int, cutoff: int) -> list[DataFrame]:
+    """For each order the table ``g, c, score, delta``: count, ln S, and what a hit adds to backing off (words: ``g, c, score``)."""
 
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, sizes in _grouped(batches):
+            for n, (u, s, key, _) in enumerate(_orders(h, sizes, order), 1):
+                # Repeats within the group are added up before they travel.
+                _, first, c = np.unique(key, return_index=True, return_counts=True)
+                arrays = [pa.array(np.full(len(c), n, np.int32)), pa.array(u[first]), pa.array(s[first]), pa.array(c)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["n", "u", "s", "c"])
 
-def tables(texts: DataFrame, order: int, cutoff: int, passes: int) -> list[DataFrame]:
-    """For each order the table ``g, c, score, delta``: count, ln S, and what a hit adds to backing off."""
-    grams = texts.select(F.explode("h").alias("g")).groupBy("g").agg(F.count("*").alias("c"))
-    one = materialize(grams, "unigrams")
+    each = _shaped(docs).mapInArrow(explode, "n int, u long, s long, c long")
+    seen = each.groupBy("n", "u", "s").agg(F.sum("c").alias("c")).where((F.col("n") == 1) | (F.col("c") >= cutoff))
+    held = materialize(seen, "grams")
+    one = held.where("n = 1").select(F.col("u").alias("g"), "c")
     total = one.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0] or 1
     out = [materialize(one.withColumn("score", F.log(F.col("c") / F.lit(float(total)))), "order-1")]
-    drop_table(one)
-    counts = out[0].select(F.col("g").alias("u"), F.col("c").alias("cu"))
     for n in range(2, order + 1):
-        each = texts.select(F.explode(_grams(n)).alias("x")).select("x.*")
-        parts = []
-        for k in range(passes):
-            seen = each.where(F.pmod(F.xxhash64("u", "s"), F.lit(passes)) == k).groupBy("u", "s").agg(F.count("*").alias("c")).where(F.col("c") >= cutoff)
-            parts.append(materialize(seen, f"counted-{n}-{k}"))
-        kept = _union(parts).select(F.xxhash64("u", "s").alias("g"), "u", "s", "c")
+        counts = out[-1].select(F.col("g").alias("u"), F.col("c").alias("cu"))
         lower = out[-1].select(F.col("g").alias("s"), F.col("score").alias("lower"))
-        scored = kept.join(counts, "u").withColumn("score", F.log(F.col("c") / F.col("cu"))).join(lower, "s", "left")
-        # A suffix below the cutoff backs off itself; it occurs at least as often as the whole, so it is in its table.
+        kept = held.where(F.col("n") == n).select(F.xxhash64("u", "s").alias("g"), "u", "s", "c")
+        # Context and suffix occur at least as often as the whole, so both are in the table before.
+        scored = kept.join(counts, "u").withColumn("score", F.log(F.col("c") / F.col("cu"))).join(lower, "s")
         out.append(materialize(scored.select("g", "c", "score", (F.col("score") - math.log(ALPHA) - F.col("lower")).alias("delta")), f"order-{n}"))
-        counts = out[-1].select(F.col("g").alias("u"), F.col("c").alias("cu"))
-        for part in parts:
-            drop_table(part)
+    drop_table(held)
     return out
 
 
-def score(docs: DataFrame, *, order: int = 2, cutoff: int = CUTOFF, passes: int = 2) -> DataFrame:
+def score(docs: DataFrame, *, order: int = 2, cutoff: int = CUTOFF, hot: int = HOT) -> DataFrame:
     """``doc_id, n_words, log_score`` for every row of ``docs(doc_id, text, ...)``.
 
     Words are lower-cased and lie between ASCII white space. ``log_score`` is the mean
-    of ln S over the words of a text, null if it has none. Counts are over all rows,
-    repeated ones included; equal texts score alike. ``cutoff`` is for orders above one.
+    of ln S over the words of a text, null if it has none; null texts have none. Counts
+    are over all rows, repeated ones included; equal texts score alike. ``cutoff`` is for
+    orders above one. Other columns play no part; no rows give no rows.
     """
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(text).alias("w"))
-    shaped = rows.select("doc_id", F.xxhash64("w").alias("t"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    held = tables(shaped, order, cutoff, passes)
-    sums = []
-    for n, table in enumerate(held, 1):
-        gain = table.select("g", F.col("score" if n == 1 else "delta").alias("x"))
-        there = shaped.select("t", F.explode(_hashed(n)).alias("g"))
-        for k in range(passes):
-            mine = F.pmod(F.col("g"), F.lit(passes)) == k
-            sums.append(materialize(there.where(mine).join(gain.where(mine), "g").groupBy("t").agg(F.sum("x").alias("x")), f"sums-{n}-{k}"))
-    added = _union(sums)
+    spark = docs.sparkSession
+    short_batches(spark)
+    held = tables(docs, order, cutoff)
+    total = held[0].agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    gains = [t.select("g", "c", F.col("score" if n == 1 else "delta").alias("x")) for n, t in enumerate(held, 1)]
+    often = []
+    for table in gains:
+        # At most ``hot`` n-grams of an order can have a count of total / hot.
+        top = table.where(F.col("c") * hot >= F.lit(max(total, 1))).select("g", "x").toPandas().sort_values("g")
+        often.append((top["g"].to_numpy(np.int64), top["x"].to_numpy(np.float64)))
+    known = spark.sparkContext.broadcast(often)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, h, sizes in _grouped(batches):
+            sums = np.zeros(len(t))
+            for (top, gain), (_, _, key, text) in zip(known.value, _orders(h, sizes, order), strict=True):
+                if len(top):
+                    at = np.minimum(np.searchsorted(top, key), len(top) - 1)
+                    hit = top[at] == key
+                    sums += np.bincount(text[hit], gain[at[hit]], minlength=len(t))
+                    key, text = key[~hit], text[~hit]
+                yield _rows(t[text], key, None, None)
+            # What is known at once goes on under the text's own key, with its value.
+            yield _rows(t, t, sums, sizes)
+
+    grams = _shaped(docs).mapInArrow(explode, "t long, g long, own double, n long")
+    rest = None
+    for table in gains:
+        cold = table.where(F.col("c") * hot < F.lit(max(total, 1))).select("g", "x")
+        rest = cold if rest is None else rest.unionByName(cold)
+    x = F.coalesce("own", "x")
+    backoffs = sum((F.greatest(F.col("n") - k, F.lit(0)) for k in range(1, order)), F.lit(0))
     # Equal texts share the key ``t``: their sums and words are added up alike, so that the mean stays.
-    about = materialize(shaped.select("doc_id", "t", F.size("h").cast("long").alias("n_words")), "texts")
-    per = about.groupBy("t").agg(F.sum("n_words").alias("words"), F.sum(sum((F.greatest(F.col("n_words") - n, F.lit(0)) for n in range(1, order)), F.lit(0))).alias("backoffs"))
-    means = added.groupBy("t").agg(F.sum("x").alias("x")).join(per, "t").select("t", ((F.col("x") + F.col("backoffs") * math.log(ALPHA)) / F.col("words")).alias("log_score"))
-    out = about.join(materialize(means, "means"), "t", "left")
+    per = grams.join(rest, "g", "left").groupBy("t").agg(F.sum(x).alias("x"), F.sum("n").alias("words"), F.sum(backoffs).alias("backoffs"), F.count("own").alias("copies"))
+    mean = (F.col("x") + F.col("backoffs") * math.log(ALPHA)) / F.col("words")
+    means = materialize(per.select("t", F.expr("words div copies").alias("n_words"), F.when(F.col("words") > 0, mean).alias("log_score")), "means")
     for table in held:
         drop_table(table)
-    return out.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("log_score")).alias("log_score"))
+    return _shaped(docs, F.col("doc_id").cast("long").alias("doc_id")).drop("text").join(means, "t").select("doc_id", "n_words", "log_score")
+
+
+def _rows(t: np.ndarray, g: np.ndarray, own: np.ndarray | None, n: np.ndarray | None) -> pa.RecordBatch:
+    none = lambda kind: pa.nulls(len(t), kind)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(t), pa.array(g), none(pa.float64()) if own is None else pa.array(own), none(pa.int64()) if n is None else pa.array(n.astype(np.int64))], names=["t", "g", "own", "n"]
+    )

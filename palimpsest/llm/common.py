@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
+SPACES = re.compile(SPACE.encode())
 #: Rows that may be broadcast; beyond it the operators join by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -81,6 +84,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
+def pieces(text: bytes, most: int) -> Iterator[bytes]:
+    """A UTF-8 text cut at ASCII white space into parts of ``most`` bytes or less, or of one longer word."""
+    at = 0
+    while len(text) - at > most:
+        # The last white space within reach, else the next one beyond it.
+        cut = max(text.rfind(c, at, at + most) for c in (b" ", b"\n", b"\t"))
+        if cut <= at:
+            found = SPACES.search(text, at + most)
+            cut = found.start() if found else len(text)
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

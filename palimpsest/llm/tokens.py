@@ -26,7 +26,6 @@ the frames that hold the documents asked for, checking each one's checksum.
 from __future__ import annotations
 
 import io
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -38,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import drop_path, materialize, shared_dir, short_batches, small
+from palimpsest.llm.common import drop_path, materialize, pieces, shared_dir, short_batches, small
 
 #: Magic numbers of the seekable zstandard format: skippable frames, the seek table's kind, its end.
 SKIP, TABLE, END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -258,23 +257,6 @@ def _listed(values: pa.Array) -> list:
     return values.to_numpy(zero_copy_only=False).tolist()
 
 
-SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
-
-
-def pieces(text: bytes, most: int) -> Iterator[bytes]:
-    """``text`` cut at white space into parts of ``most`` bytes or less, or of one longer run."""
-    at = 0
-    while len(text) - at > most:
-        # The last white space within reach, else the next one beyond it.
-        cut = max(text.rfind(c, at, at + most) for c in (b" ", b"\n", b"\t"))
-        if cut <= at:
-            found = SPACE.search(text, at + most)
-            cut = found.start() if found else len(text)
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 @lru_cache(maxsize=1)
 def codec(file: str) -> Codec:
     """The codec of this process: tasks that share a worker share it."""

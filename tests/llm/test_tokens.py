@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from palimpsest.llm import tokens
+from palimpsest.llm import common, tokens
 from palimpsest.llm.queries import tokenizer_file
 
 
@@ -72,7 +72,7 @@ def test_codec_equals_the_library():
             for t, ids in zip(texts, coder.encode(coded, most), strict=True):
                 assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
         assert coder.held <= coder.memory + 300 * sum(len(t.split()) for t in texts)
-    assert b"".join(tokens.pieces(coded[-1], 20)) == coded[-1]
+    assert b"".join(common.pieces(coded[-1], 20)) == coded[-1]
     coder.wordwise = False
     assert [x.tolist() for x in coder.encode(coded)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
