@@ -1,18 +1,23 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Counts of word n-grams over all documents are tables keyed by 64-bit hashes of words
-(the n-gram ``u w`` by the pair of the hashes of its context and its suffix). With c
-the count and N the number of words, a word w after the context u scores
+With c the count of a word n-gram over all documents and N the number of words, a word
+w after the context u scores
 
     S(w | u) = c(u w) / c(u)            if c(u w) reaches the cutoff,
                0.4 S(w | u shortened)   else,        and S(w) = c(w) / N.
 
-The logarithm of S is that of the unigram plus one term for each order: ln 0.4,
-and for an n-gram in its table a difference that only depends on the n-gram. So
-scoring is one join of all exploded n-grams with the union of the tables, summed by
-text. N-grams of the corpus that make up 1 / ``HOT`` of its words or more, of which an
-order has ``HOT`` at most, are looked up where they are exploded; so no key of the join
-holds more than that share of the rows.
+N-grams are 64-bit hashes: of words, and of the pair of the hashes of context and suffix.
+Relations hold them by blocks of documents, packed, since a row each would cost far more
+to move than the n-gram itself:
+
+- blocks (block, doc_ids, sizes, words): about ``PIECE`` bytes of text in hashed words;
+- grams (bucket, block, keys, counts): the different n-grams of a block, exploded
+  and cut by ranges of their hashes into buckets of some ``BUCKET`` n-grams of the corpus;
+- found (block, bucket, totals): the counts of each bucket's n-grams over all blocks, as
+  a table of the bucket, joined to the n-grams that were asked for.
+
+Blocks joined with what was found for them give the scores, summed by document. An n-gram
+that is frequent everywhere travels once for each block, so no bucket is larger for it.
 """
 
 from __future__ import annotations
@@ -23,14 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import drop_table, materialize, pieces, short_batches
 
 ALPHA, CUTOFF = 0.4, 2
-#: N-grams of an order that are looked up in a broadcast table, at most; bytes of text that are exploded together, about.
-HOT, PIECE = 1 << 17, 4 << 20
+#: Bytes of text in a block, about; words of the corpus for each bucket of an order.
+PIECE, BUCKET = 4 << 20, 1 << 21
 
 # Primes of the XXH64 hash (fixed values).
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -49,18 +54,18 @@ def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 
 def joined(u: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """The key of n-grams by the hashes of context and suffix: Spark's ``xxhash64(u, s)``."""
-    return _hash_long(s.view(np.uint64), _hash_long(u.view(np.uint64), np.full(len(u), 42, np.uint64))).view(np.int64)
+    """The keys of n-grams by the hashes of context and suffix: Spark's ``xxhash64(u, s)``."""
+    return _hash_long(s, _hash_long(u, np.full(len(u), 42, np.uint64)))
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, one after the other, and the number of words of each text."""
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the words of all texts, one after the other, and the number of words of each text."""
     from xxhash import xxh64_intdigest
 
     runs = pc.ascii_split_whitespace(texts)
     coded = runs.flatten().dictionary_encode()
     different = coded.dictionary.cast(pa.binary()).to_pylist()
-    hashes = np.fromiter((xxh64_intdigest(w, 42) for w in different), np.uint64, len(different)).view(np.int64)
+    hashes = np.fromiter((xxh64_intdigest(w, 42) for w in different), np.uint64, len(different))
     at = coded.indices.to_numpy(zero_copy_only=False)
     sizes = runs.value_lengths().to_numpy(zero_copy_only=False)
     # White space at an end of a text leaves an empty word.
@@ -68,69 +73,129 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes[at[full]], np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full], minlength=len(sizes))
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], most: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(keys, hashes, sizes)`` of runs of rows of batches ``(t, text)`` with about ``most`` bytes of text, or one longer text."""
+def blocked(batches: Iterator[pa.RecordBatch], most: int = PIECE) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """``(doc_ids, hashes of their words, sizes)`` of runs of rows ``(doc_id, text)`` with about ``most`` bytes of text, or one longer text."""
+    ids, words, sizes, held = [], [], [], 0
     for batch in batches:
-        t, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        texts = batch.column(1)
         bytes_ = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-        part = np.cumsum(bytes_) // most
-        for rows in np.split(np.arange(len(t)), np.flatnonzero(np.diff(part)) + 1):
+        part = (held + np.cumsum(bytes_)) // most
+        for rows in np.split(np.arange(len(bytes_)), np.flatnonzero(np.diff(part)) + 1):
+            if not len(rows):
+                continue
             if len(rows) == 1 and bytes_[rows[0]] > most:
-                cut = [_words(pa.array([p], pa.binary()).cast(pa.string()))[0] for p in pieces(texts[rows[0]].cast(pa.binary()).as_py(), most)]
-                h = np.concatenate(cut)
-                yield t[rows], h, np.array([len(h)])
-            elif len(rows):
-                yield t[rows], *_words(texts.slice(rows[0], len(rows)))
-
-
-def _orders(h: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(u, s, key, text)`` of the n-grams of each order within texts; words have s = 0 and their own hash as key."""
+                h = np.concatenate([hashed(pa.array([p], pa.binary()).cast(pa.string()))[0] for p in pieces(texts[rows[0]].cast(pa.binary()).as_py(), most)])
+                n = np.array([len(h)])
+            else:
+                h, n = hashed(texts.slice(rows[0], len(rows)))
+            ids += batch.column(0).slice(rows[0], len(rows)).to_pylist()
+            words.append(h)
+            sizes.append(n)
+            held += int(bytes_[rows].sum())
+            if held >= most:
+                yield ids, np.concatenate(words), np.concatenate(sizes)
+                ids, words, sizes, held = [], [], [], 0
+    if ids:
+        yield ids, np.concatenate(words), np.concatenate(sizes)
+
+
+def grams(words: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(keys, places)`` of the n-grams of each order that lie within texts: their hashes, and the place of their first word."""
     text = np.repeat(np.arange(len(sizes)), sizes)
-    key = h
-    yield h, np.zeros(len(h), np.int64), h, text
+    keys, place = words, np.arange(len(words))
+    yield keys, place
     for _ in range(1, order):
-        inside = text[1:] == text[:-1] if len(text) else np.empty(0, bool)
-        # The last n-gram of a text has no successor in it; ``key`` and ``text`` stay aligned by place.
-        u, s, text = key[:-1][inside], key[1:][inside], text[:-1][inside]
-        key = joined(u, s)
-        yield u, s, key, text
+        # N-grams of one text follow each other; the last one of a text has no successor in it.
+        inside = np.flatnonzero(text[place[1:]] == text[place[:-1]]) if len(place) else place
+        keys, place = joined(keys[inside], keys[inside + 1]), place[inside]
+        yield keys, place
+
+
+def _pack(raw: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(raw.tobytes())
+
+
+def _unpack(packed: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
+
+
+def blocks(docs: DataFrame, most: int = PIECE) -> DataFrame:
+    """The relation ``block, doc_ids, sizes, vocabulary, codes``, written: words are codes into a sorted vocabulary of hashes."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+        for k, (ids, words, sizes) in enumerate(blocked(batches, most)):
+            vocabulary, codes = np.unique(words, return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([first + k]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
+                    pa.array([_pack(vocabulary)], pa.binary()), pa.array([_pack(codes.astype(np.uint32))], pa.binary()),
+                ],
+                names=["block", "doc_ids", "sizes", "vocabulary", "codes"],
+            )
 
-def _shaped(docs: DataFrame, *columns: Column) -> DataFrame:
-    """``columns``, the key ``t`` of the text, and the text in lower case."""
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.select(*columns, F.xxhash64(text).alias("t"), text.alias("text"))
+    packed = docs.select(F.col("doc_id").cast("long"), text.alias("text")).mapInArrow(pack, "block long, doc_ids array<long>, sizes array<long>, vocabulary binary, codes binary")
+    return materialize(packed, "blocks")
 
 
-def tables(docs: DataFrame, order: int, cutoff: int) -> list[DataFrame]:
-    """For each order the table ``g, c, score, delta``: count, ln S, and what a hit adds to backing off (words: ``g, c, score``)."""
+def _loaded(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Words and sizes of a block."""
+    return _unpack(row["vocabulary"], "<u8")[_unpack(row["codes"], "<u4")], np.array(row["sizes"], dtype=np.int64)
+
+
+def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins among sorted keys; buckets are equal ranges of the upper half of the hash."""
+    return np.concatenate([np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets, dtype=np.uint64)), [len(keys)]])
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, sizes in _grouped(batches):
-            for n, (u, s, key, _) in enumerate(_orders(h, sizes, order), 1):
-                # Repeats within the group are added up before they travel.
-                _, first, c = np.unique(key, return_index=True, return_counts=True)
-                arrays = [pa.array(np.full(len(c), n, np.int32)), pa.array(u[first]), pa.array(s[first]), pa.array(c)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["n", "u", "s", "c"])
-
-    each = _shaped(docs).mapInArrow(explode, "n int, u long, s long, c long")
-    seen = each.groupBy("n", "u", "s").agg(F.sum("c").alias("c")).where((F.col("n") == 1) | (F.col("c") >= cutoff))
-    held = materialize(seen, "grams")
-    one = held.where("n = 1").select(F.col("u").alias("g"), "c")
-    total = one.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0] or 1
-    out = [materialize(one.withColumn("score", F.log(F.col("c") / F.lit(float(total)))), "order-1")]
-    for n in range(2, order + 1):
-        counts = out[-1].select(F.col("g").alias("u"), F.col("c").alias("cu"))
-        lower = out[-1].select(F.col("g").alias("s"), F.col("score").alias("lower"))
-        kept = held.where(F.col("n") == n).select(F.xxhash64("u", "s").alias("g"), "u", "s", "c")
-        # Context and suffix occur at least as often as the whole, so both are in the table before.
-        scored = kept.join(counts, "u").withColumn("score", F.log(F.col("c") / F.col("cu"))).join(lower, "s")
-        out.append(materialize(scored.select("g", "c", "score", (F.col("score") - math.log(ALPHA) - F.col("lower")).alias("delta")), f"order-{n}"))
-    drop_table(held)
-    return out
 
+def counted(held: DataFrame, order: int, buckets: int) -> DataFrame:
+    """The relation ``block, bucket, totals``: for the different n-grams of a block in a bucket, in order of their keys, the counts over all blocks."""
 
-def score(docs: DataFrame, *, order: int = 2, cutoff: int = CUTOFF, hot: int = HOT) -> DataFrame:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for n, (keys, _) in enumerate(grams(*_loaded(row), order)):
+                    different, counts = np.unique(keys, return_counts=True)
+                    ends = _bounds(different, buckets)
+                    used = np.flatnonzero(np.diff(ends)).tolist()
+                    parts = [(different[ends[b] : ends[b + 1]].tobytes(), counts[ends[b] : ends[b + 1]].astype("<u4").tobytes()) for b in used]
+                    arrays = [pa.array([n * buckets + b for b in used], pa.int64()), pa.array([row["block"]] * len(used), pa.int64()), *[pa.array(x, pa.binary()) for x in zip(*parts, strict=True)]]
+                    if used:
+                        yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "block", "keys", "counts"])
+
+    def count(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in table["keys"]])
+        counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["counts"]])
+        _, at = np.unique(keys, return_inverse=True)
+        totals = np.bincount(at, counts).astype("<i8")[at]
+        sizes = pc.binary_length(table["keys"]).to_numpy() // 8
+        ends = np.cumsum(sizes)
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": pa.array([_pack(totals[b - n : b]) for n, b in zip(sizes, ends, strict=True)], pa.binary())})
+
+    asked = held.select("block", "sizes", "vocabulary", "codes").mapInArrow(explode, "bucket long, block long, keys binary, counts binary")
+    return asked.groupBy("bucket").applyInArrow(count, "block long, bucket long, totals binary")
+
+
+def scores(words: np.ndarray, sizes: np.ndarray, totals: list[np.ndarray], corpus: int, cutoff: int) -> np.ndarray:
+    """ln S summed over the words of each text; ``totals``: by order, the counts of the different n-grams in order of their keys."""
+    score, before = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64)
+    for n, ((keys, place), total) in enumerate(zip(grams(words, sizes, len(totals)), totals, strict=True), 1):
+        c = total[np.unique(keys, return_inverse=True)[1]]
+        last = place + n - 1
+        # ``before`` holds the counts of the next lower order by the place of the first word: those of the contexts.
+        score[last] = np.log(c / corpus) if n == 1 else np.where(c >= cutoff, np.log(c / before[place]), math.log(ALPHA) + score[last])
+        before[place] = c
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), score, minlength=len(sizes))
+
+
+def score(docs: DataFrame, *, order: int = 2, cutoff: int = CUTOFF, block: int = PIECE, bucket: int = BUCKET) -> DataFrame:
     """``doc_id, n_words, log_score`` for every row of ``docs(doc_id, text, ...)``.
 
     Words are lower-cased and lie between ASCII white space. ``log_score`` is the mean
@@ -138,49 +203,26 @@ def score(docs: DataFrame, *, order: int = 2, cutoff: int = CUTOFF, hot: int = H
     are over all rows, repeated ones included; equal texts score alike. ``cutoff`` is for
     orders above one. Other columns play no part; no rows give no rows.
     """
-    spark = docs.sparkSession
-    short_batches(spark)
-    held = tables(docs, order, cutoff)
-    total = held[0].agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    gains = [t.select("g", "c", F.col("score" if n == 1 else "delta").alias("x")) for n, t in enumerate(held, 1)]
-    often = []
-    for table in gains:
-        # At most ``hot`` n-grams of an order can have a count of total / hot.
-        top = table.where(F.col("c") * hot >= F.lit(max(total, 1))).select("g", "x").toPandas().sort_values("g")
-        often.append((top["g"].to_numpy(np.int64), top["x"].to_numpy(np.float64)))
-    known = spark.sparkContext.broadcast(often)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, h, sizes in _grouped(batches):
-            sums = np.zeros(len(t))
-            for (top, gain), (_, _, key, text) in zip(known.value, _orders(h, sizes, order), strict=True):
-                if len(top):
-                    at = np.minimum(np.searchsorted(top, key), len(top) - 1)
-                    hit = top[at] == key
-                    sums += np.bincount(text[hit], gain[at[hit]], minlength=len(t))
-                    key, text = key[~hit], text[~hit]
-                yield _rows(t[text], key, None, None)
-            # What is known at once goes on under the text's own key, with its value.
-            yield _rows(t, t, sums, sizes)
-
-    grams = _shaped(docs).mapInArrow(explode, "t long, g long, own double, n long")
-    rest = None
-    for table in gains:
-        cold = table.where(F.col("c") * hot < F.lit(max(total, 1))).select("g", "x")
-        rest = cold if rest is None else rest.unionByName(cold)
-    x = F.coalesce("own", "x")
-    backoffs = sum((F.greatest(F.col("n") - k, F.lit(0)) for k in range(1, order)), F.lit(0))
-    # Equal texts share the key ``t``: their sums and words are added up alike, so that the mean stays.
-    per = grams.join(rest, "g", "left").groupBy("t").agg(F.sum(x).alias("x"), F.sum("n").alias("words"), F.sum(backoffs).alias("backoffs"), F.count("own").alias("copies"))
-    mean = (F.col("x") + F.col("backoffs") * math.log(ALPHA)) / F.col("words")
-    means = materialize(per.select("t", F.expr("words div copies").alias("n_words"), F.when(F.col("words") > 0, mean).alias("log_score")), "means")
-    for table in held:
-        drop_table(table)
-    return _shaped(docs, F.col("doc_id").cast("long").alias("doc_id")).drop("text").join(means, "t").select("doc_id", "n_words", "log_score")
-
-
-def _rows(t: np.ndarray, g: np.ndarray, own: np.ndarray | None, n: np.ndarray | None) -> pa.RecordBatch:
-    none = lambda kind: pa.nulls(len(t), kind)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(t), pa.array(g), none(pa.float64()) if own is None else pa.array(own), none(pa.int64()) if n is None else pa.array(n.astype(np.int64))], names=["t", "g", "own", "n"]
-    )
+    short_batches(docs.sparkSession)
+    held = blocks(docs, block)
+    corpus = held.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    buckets = max(1, -(-corpus // bucket))
+    found = materialize(counted(held, order, buckets), "found")
+    lists = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "totals")).alias("found"))
+    whole = held.join(lists, "block", "left")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, sizes = _loaded(row)
+                parts: list[list[np.ndarray]] = [[np.empty(0, "<i8")] for _ in range(order)]
+                for x in sorted(row["found"] or (), key=lambda x: x["bucket"]):
+                    parts[x["bucket"] // buckets].append(_unpack(x["totals"], "<i8"))
+                sums = scores(words, sizes, [np.concatenate(x) for x in parts], corpus, cutoff)
+                mean = pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(sizes), mean], names=["doc_id", "n_words", "log_score"])
+
+    out = materialize(whole.mapInArrow(finish, "doc_id long, n_words long, log_score double"), "scores")
+    drop_table(held)
+    drop_table(found)
+    return out

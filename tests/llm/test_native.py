@@ -224,17 +224,17 @@ def slow_backoff(texts, cutoff=2):
     return [(len(t), sum(s(t, i) for i in range(len(t))) / len(t) if t else None) for t in split_]
 
 
-@pytest.mark.parametrize("hot", [1 << 17, 3, 1])
-def test_backoff(docs, none, hot):
+@pytest.mark.parametrize("sizes", [{}, {"block": 300, "bucket": 40}])
+def test_backoff(docs, none, sizes):
     texts = [r.text for r in docs.select("text").collect()]
     want = sorted((n, x if x is None else round(x, 6)) for n, x in slow_backoff(texts) if n)
-    rows = backoff.score(docs, hot=hot).collect()
+    rows = backoff.score(docs, **sizes).collect()
     got = sorted((r.n_words, round(r.log_score, 6)) for r in rows if r.n_words)
     assert len(rows) == docs.count()
     assert [n for n, _ in got] == [n for n, _ in want]
     assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=2e-6)
     assert all(r.log_score is None and r.n_words == 0 for r in rows if not r.n_words)
-    assert backoff.score(none, hot=hot).count() == 0
+    assert backoff.score(none, **sizes).count() == 0
 
 
 def slow_trigrams(texts, cutoff=2):
@@ -250,20 +250,21 @@ def slow_trigrams(texts, cutoff=2):
     return [sum(s(tuple(t[max(0, i - 2) : i + 1])) for i in range(len(t))) / len(t) for t in split_ if t]
 
 
-def test_trigrams_and_long_texts(spark, monkeypatch):
-    """Order three against brute force; texts cut into pieces and put into groups give the same."""
+def test_trigrams_and_long_texts(spark):
+    """Order three against brute force; texts cut into pieces and put into blocks give the same."""
     import random
 
     r = random.Random(4)
     texts = [" ".join(r.choice("a b c d e f".split()) for _ in range(n)) + r.choice(["", " ", "\n"]) for n in (1, 2, 3, 40, 400, 4000)]
     made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = slow_trigrams(texts)
-    got = [x.log_score for x in backoff.score(made, order=3).orderBy("doc_id").collect()]
-    assert got == pytest.approx(want, abs=1e-9)
-    batch = made.toArrow().select(["doc_id", "text"]).combine_chunks().to_batches()[0]
-    whole = [h.tolist() for _, h, _ in backoff._grouped(iter([batch]))]
-    cut = [h.tolist() for _, h, _ in backoff._grouped(iter([batch]), most=50)]
-    assert sum(whole, []) == sum(cut, []) and len(cut) > len(whole)
+    for sizes in ({}, {"block": 100, "bucket": 50}):
+        got = [x.log_score for x in backoff.score(made, order=3, **sizes).orderBy("doc_id").collect()]
+        assert got == pytest.approx(want, abs=1e-9)
+    batch = made.toArrow().combine_chunks().to_batches()[0]
+    whole = [h.tolist() for _, h, _ in backoff.blocked(iter([batch, batch]))]
+    cut = [h.tolist() for _, h, _ in backoff.blocked(iter([batch, batch]), most=50)]
+    assert sum(whole, []) == sum(cut, []) and len(cut) > len(whole) == 1
 
 
 def test_keys_are_those_of_spark(spark):
@@ -272,7 +273,7 @@ def test_keys_are_those_of_spark(spark):
 
     u, s = np.array([0, 1, -5, 2**62]), np.array([7, -1, 2**63 - 1, 0])
     made = spark.createDataFrame([(int(a), int(b)) for a, b in zip(u, s, strict=True)], "u long, s long")
-    assert [x.k for x in made.select(F.xxhash64("u", "s").alias("k")).collect()] == backoff.joined(u, s).tolist()
+    assert [x.k for x in made.select(F.xxhash64("u", "s").alias("k")).collect()] == backoff.joined(u.view(np.uint64), s.view(np.uint64)).view(np.int64).tolist()
 
 
 # Lines
