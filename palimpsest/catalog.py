@@ -22,7 +22,8 @@ class Catalog:
 
     commits(commit_id, oid, position, commit_time, branch); parents(commit_id, position,
     parent_id); changes(commit_id, ordinal, status, path, additions, deletions);
-    paths(commit_id, path); documents(doc_id, subject, body, path, text);
+    paths(commit_id, path); documents(doc_id, subject, body, path, text,
+    commit_time, oid), whose paths are those of the commit of the same number;
     lines(doc_id, line_no, content); vectors(vec_id, embedding); usage(day, command,
     user_id, ts, elapsed); turns(conv_id, turn, role, text).
     """
@@ -84,7 +85,7 @@ class Catalog:
         at = F.instr("text", "\n")
         subject = F.when(at > 0, F.substring(F.col("text"), F.lit(1), at - 1)).otherwise(F.col("text"))
         body = F.when(at > 0, F.substring(F.col("text"), at + 1, F.length("text"))).otherwise("")
-        return d.select("doc_id", subject.alias("subject"), body.alias("body"), F.concat_ws("/", "source", "lang").alias("path"), "text")
+        return d.select("doc_id", subject.alias("subject"), body.alias("body"), F.concat_ws("/", "source", "lang").alias("path"), "text", (1_600_000_000 + F.floor(F.col("doc_id") / 10) * 60).alias("commit_time"), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 40).alias("oid"))
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -123,7 +124,8 @@ VIEWS: dict[str, str] = {
       FROM lineitem JOIN part ON l_partkey = p_partkey)""",
     "paths": "paths AS (SELECT DISTINCT commit_id, path FROM changes)",
     "docs": r"""docs AS (SELECT doc_id, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS subject,
-      CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS body, source || '/' || lang AS path, text FROM documents)""",
+      CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS body, source || '/' || lang AS path, text,
+      1600000000 + (doc_id // 10) * 60 AS commit_time, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 40) AS oid FROM documents)""",
     "lines": """lines AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, parts[i] AS content
       FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), unnest(range(1, len(parts) + 1)) AS t(i))""",
     "usage": "usage AS (SELECT event_id, ts, CAST(ts AS DATE) AS day, event_type AS command, user_id, value AS elapsed FROM events)",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,17 +29,29 @@ COMMON_NAMES = ("to_string", "to_owned", "is_empty", "Some", "unwrap_or_default"
 COMMON_LITERALS = ("string", "default", "true", "false", "success", "message", "result", "status", "error")
 
 
+#: Words that end nowhere within: lower-case letters after at most one capital.
+PLAIN = r"^\p{Lu}?\p{Ll}+$"
+
+
 def logical_terms(text: Column) -> Column:
     """Lower-case words in order, each once: split at anything but letters and digits, at case
     changes within identifiers, between letters and digits, and where a spaceless script begins or ends."""
-    apart = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{ALNUM}]+", " "), BOUNDARY, " ")
-    return F.array_distinct(F.array_remove(F.split(F.lower(apart), " +", -1), ""))
+    words = F.array_distinct(F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[^{ALNUM}]+", -1), ""))
+    # Only words that may have such places are searched for them.
+    apart = F.flatten(F.transform(words, lambda w: F.when(w.rlike(PLAIN), F.array(w)).otherwise(F.split(w, BOUNDARY, -1))))
+    return F.array_distinct(F.transform(F.array_remove(apart, ""), F.lower))
 
 
 def is_cjk(term: Column) -> Column:
     return term.rlike(f"^[{CJK}]+$")
 
 
+def only_cjk(term: str) -> bool:
+    """``is_cjk`` of a term of a query."""
+    chars = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), CJK)
+    return re.fullmatch(f"[{chars}]+", term) is not None
+
+
 def _fragments(term: Column, single: bool) -> Column:
     chars = F.split(term, "")
     pairs = F.when(F.size(chars) > 1, F.transform(F.sequence(F.lit(0), F.size(chars) - 2), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1)))).otherwise(F.array().cast("array<string>"))

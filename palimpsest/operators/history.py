@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring
+from palimpsest.plans.durable import checkpointed
 from palimpsest.plans.scope import under_any
 
 
@@ -63,9 +64,15 @@ def regression(suspects: DataFrame, limit: int = 10) -> DataFrame:
 
     ``temporal`` is (i + 1) / (n + 1) over the suspects counted newest first.
     """
-    w = Window.partitionBy()
-    n = F.count("*").over(w)
-    temporal = F.row_number().over(Window.orderBy(F.desc("position"))) / (n + 1)
+    # Numbers by position: within a day in its own group, after what newer days hold together.
+    held = checkpointed(suspects.withColumn("day", F.shiftright("position", 40)))
+    days = held.groupBy("day").agg(F.count("*").alias("c"))
+    newer = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each day of the history
+    before = days.select("day", F.coalesce(F.sum("c").over(newer), F.lit(0)).alias("before"))
+    total = days.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    own = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("position")))
+    suspects = held.join(F.broadcast(before), "day").join(F.broadcast(total)).withColumn("i", F.col("before") + own)
+    temporal = F.col("i") / (F.col("n") + 1)
     scored = suspects.withColumn("temporal", temporal).withColumn("score", scoring.regression_score(F.col("lexical"), F.lit(False), F.lit(False), F.col("tests"), F.col("temporal")))
     return scored.select("commit_id", F.round("temporal", 6).alias("temporal"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "commit_id").limit(limit)
 

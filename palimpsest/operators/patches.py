@@ -22,11 +22,31 @@ def edits(text: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x, i: (i > 0) & (x.startswith("+") | x.startswith("-")))
 
 
-def inverse_edits(changed: Column) -> Column:
-    """Changed lines as they would be undone: signs swapped, and in each run removals before additions."""
-    swap = F.transform(changed, lambda x: F.concat(F.when(x.startswith("+"), "-").otherwise("+"), F.substr(x, F.lit(2))))
-    # Within one hunk without context, an edit block is one run: its removed lines come first.
-    return F.concat(F.filter(swap, lambda x: x.startswith("-")), F.filter(swap, lambda x: x.startswith("+")))
+def edit_blocks(text: Column) -> Column:
+    """The changed lines of a hunk in runs that unchanged lines part: an array for each run."""
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("run"))
+    closed = lambda s: F.when(F.size(s["run"]) > 0, F.concat(s["done"], F.array(s["run"]))).otherwise(s["done"])
+
+    def step(s: Column, x: Column) -> Column:
+        changed = x.startswith("+") | x.startswith("-")
+        # A line like "\\ No newline at end of file" belongs to the line before it.
+        note = x.startswith("\\")
+        done = F.when(changed | note, s["done"]).otherwise(closed(s))
+        run = F.when(changed, F.concat(s["run"], F.array(x))).when(note, s["run"]).otherwise(F.array().cast("array<string>"))
+        return F.struct(done.alias("done"), run.alias("run"))
+
+    lines = F.split(text, "\n", -1)
+    return F.aggregate(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), start, step, closed)
+
+
+def inverse_edits(blocks: Column) -> Column:
+    """Edit blocks as they would be undone: signs swapped, and in each block removals before additions."""
+
+    def undone(changed: Column) -> Column:
+        swap = F.transform(changed, lambda x: F.concat(F.when(x.startswith("+"), "-").otherwise("+"), F.substr(x, F.lit(2))))
+        return F.concat(F.filter(swap, lambda x: x.startswith("-")), F.filter(swap, lambda x: x.startswith("+")))
+
+    return F.transform(blocks, undone)
 
 
 def file_patches(changes: DataFrame, hunks: DataFrame) -> DataFrame:
@@ -34,22 +54,22 @@ def file_patches(changes: DataFrame, hunks: DataFrame) -> DataFrame:
 
     ``changes(oid, ordinal, status, old_path, new_path, old_mode, new_mode)``,
     ``hunks(oid, ordinal, hunk, text)``. Files are sorted by paths; line numbers and
-    context do not matter, the division into hunks does. Special modes, unreadable text
+    context do not matter, the division into hunks and edit blocks does. Special modes, unreadable text
     and counts that contradict the header make a patch incomplete.
     """
     head = parse_header(F.substring_index("text", "\n", 1))
     minus, plus = lambda e: F.size(F.filter(e, lambda x: x.startswith("-"))), lambda e: F.size(F.filter(e, lambda x: x.startswith("+")))
     context = F.size(F.filter(F.split("text", "\n", -1), lambda x, i: (i > 0) & x.startswith(" ")))
-    read = hunks.withColumn("e", edits(F.col("text"))).withColumn("h", head)
+    read = hunks.withColumn("e", edits(F.col("text"))).withColumn("blocks", edit_blocks(F.col("text"))).withColumn("h", head)
     sound = F.col("text").isNotNull() & (minus(F.col("e")) + context == F.col("h.old_lines")) & (plus(F.col("e")) + context == F.col("h.new_lines"))
-    by_file = read.groupBy("oid", "ordinal").agg(F.array_sort(F.collect_list(F.struct("hunk", "e"))).alias("hs"), F.bool_and(F.coalesce(sound, F.lit(False))).alias("sound"))
+    by_file = read.groupBy("oid", "ordinal").agg(F.array_sort(F.collect_list(F.struct("hunk", "blocks"))).alias("hs"), F.bool_and(F.coalesce(sound, F.lit(False))).alias("sound"))
     files = changes.join(by_file, ["oid", "ordinal"], "left")
     regular = F.col("old_mode").isin(*REGULAR) & F.col("new_mode").isin(*REGULAR)
     hs = F.coalesce("hs", F.array().cast(by_file.schema["hs"].dataType))
     kind = F.substring("status", 1, 1)
     undone = F.when(kind == "A", "D").when(kind == "D", "A").otherwise(kind)
-    forward = F.struct("old_path", "new_path", kind.alias("kind"), "old_mode", "new_mode", F.transform(hs, lambda h: h["e"]).alias("edits"))
-    inverse = F.struct(F.col("new_path").alias("old_path"), F.col("old_path").alias("new_path"), undone.alias("kind"), F.col("new_mode").alias("old_mode"), F.col("old_mode").alias("new_mode"), F.transform(hs, lambda h: inverse_edits(h["e"])).alias("edits"))
+    forward = F.struct("old_path", "new_path", kind.alias("kind"), "old_mode", "new_mode", F.transform(hs, lambda h: h["blocks"]).alias("edits"))
+    inverse = F.struct(F.col("new_path").alias("old_path"), F.col("old_path").alias("new_path"), undone.alias("kind"), F.col("new_mode").alias("old_mode"), F.col("old_mode").alias("new_mode"), F.transform(hs, lambda h: inverse_edits(h["blocks"])).alias("edits"))
     each = files.select("oid", forward.alias("f"), inverse.alias("i"), (regular & F.coalesce("sound", F.lit(True))).alias("ok"))
     digest = lambda c: F.sha2(F.to_json(F.struct(F.array_sort(F.collect_list(F.to_json(F.col(c)))).alias("files"))), 256)
     return each.groupBy("oid").agg(digest("f").alias("forward"), digest("i").alias("inverse"), F.bool_and("ok").alias("complete"))
@@ -64,8 +84,11 @@ def equivalents(patches: DataFrame, oid: str, relation: str = "equivalent") -> D
 
 def groups(ranked: DataFrame, fingerprint: str = "fingerprint") -> DataFrame:
     """Groups of equal patches: the best-ranked member stands for each, sizes do not score; unknown ones stay alone."""
+    best = F.struct(-F.col("score"), -F.col("commit_time"), "oid")
     key = F.coalesce(F.col(fingerprint), F.concat(F.lit("?"), F.col("doc_id").cast("string")))
-    return ranked.groupBy(key.alias("g")).agg(F.min_by("doc_id", F.struct(-F.col("score"), "doc_id")).alias("representative"), F.max("score").alias("score"), F.count("*").alias("members")).drop("g")
+    return ranked.groupBy(key.alias("g")).agg(F.min_by(F.struct("doc_id", "score", "commit_time", "oid"), best).alias("b"), F.count("*").alias("members")).select(
+        F.col("b.doc_id").alias("representative"), "b.score", "members", "b.commit_time", "b.oid"
+    )
 
 
 def inverse_pairs(patches: DataFrame) -> DataFrame:

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring
-from palimpsest.functions.text import path_matches, term_hits, tokens
+from palimpsest.functions.text import only_cjk, path_matches, tokens
+from palimpsest.plans.durable import checkpointed
 
-
-def postings(documents: DataFrame) -> DataFrame:
-    """An inverted index ``term, doc_id, field, tf`` over subject, body and paths."""
-    fields = [F.struct(F.lit(f).alias("field"), tokens_with_repeats(F.col(c)).alias("terms")) for f, c in (("subject", "subject"), ("body", "body"), ("paths", "path"))]
-    each = documents.select("doc_id", F.explode(F.array(*fields)).alias("x")).select("doc_id", "x.field", F.explode("x.terms").alias("term"))
-    return each.groupBy("term", "doc_id", "field").agg(F.count("*").alias("tf"))
+FIELDS = {"subject": "subject", "body": "body", "paths": "path"}
 
 
 def tokens_with_repeats(text: Column) -> Column:
@@ -23,52 +21,172 @@ def tokens_with_repeats(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), "")
 
 
+def analyzed(documents: DataFrame) -> DataFrame:
+    """``documents`` with ``k``: the different terms (``t_``) and the words (``w_``) of each field, and terms of the opened path.
+
+    They leave a generator, which nothing is pushed or folded through: each text is taken apart once,
+    however often operators refer to its terms.
+    """
+    opened = F.regexp_replace("path", r"[/\\._-]", " ")
+    parts = [e for f, c in FIELDS.items() for e in (tokens(F.col(c)).alias(f"t_{f}"), tokens_with_repeats(F.col(c)).alias(f"w_{f}"))]
+    return documents.select("*", F.explode(F.array(F.struct(*parts, tokens(opened).alias("opened")))).alias("k"))
+
+
+def _frequencies(terms: list[str]) -> Column:
+    """For each term its weighted frequency in the indexed text, which is the text and, on a line more, its terms."""
+    one = lambda f, t: F.size(F.filter(F.col(f"k.w_{f}"), lambda x: x == t)) + F.array_contains(F.col(f"k.t_{f}"), t).cast("int")
+    return F.array(*[sum((one(f, F.lit(t)) * w for f, w in scoring.FIELD_WEIGHTS.items()), F.lit(0.0)) for t in terms])
+
+
+def _length() -> Column:
+    return sum((F.size(F.col(f"k.{x}_{f}")) for f in FIELDS for x in "wt"), F.lit(0))
+
+
+def _statistics(measured: DataFrame, terms: list[str]) -> DataFrame:
+    """One row: documents, mean length, and in how many documents each term occurs."""
+    hits = F.array(*[F.count(F.when(F.get("tf", F.lit(i)) > 0, 1)) for i in range(len(terms))])
+    return measured.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), hits.alias("hits"))
+
+
+def _rank(tf: Column, length: Column) -> Column:
+    """BM25 over the terms; a term of half of the documents or more weighs next to nothing."""
+    idf = lambda n: F.greatest(F.log((F.col("docs") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
+    part = lambda f, n: F.when(f > 0, scoring.bm25_term(f, length, F.col("mean"), idf(n))).otherwise(0.0)
+    return F.aggregate(F.zip_with(tf, F.col("hits"), part), F.lit(0.0), lambda a, x: a + x)
+
+
 def bm25(documents: DataFrame, terms: list[str]) -> DataFrame:
-    """``doc_id, bm25``: the weighted sum over fields and terms, statistics over all documents."""
+    """``doc_id, bm25`` of the documents with a term, frequencies weighted by field, statistics over all documents."""
     wanted = [t.lower() for t in terms]
-    lengths = documents.select("doc_id", *[F.size(tokens_with_repeats(F.col(c))).alias(f) for f, c in (("subject", "subject"), ("body", "body"), ("paths", "path"))])
-    means = lengths.agg(F.count("*").alias("docs"), *[F.avg(f).alias(f"mean_{f}") for f in scoring.FIELD_WEIGHTS])
-    hits = postings(documents).where(F.col("term").isin(wanted))
-    pivoted = hits.groupBy("doc_id", "term").agg(*[F.sum(F.when(F.col("field") == f, F.col("tf")).otherwise(0)).alias(f"tf_{f}") for f in scoring.FIELD_WEIGHTS])
-    df = pivoted.groupBy("term").agg(F.count("*").alias("df"))
-    joined = pivoted.join(F.broadcast(df), "term").join(lengths, "doc_id").join(F.broadcast(means))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = sum(
-        (w * scoring.bm25_term(F.col(f"tf_{f}"), F.col(f), F.col(f"mean_{f}"), idf) for f, w in scoring.FIELD_WEIGHTS.items()),
-        F.lit(0.0),
-    )
-    return joined.groupBy("doc_id").agg(F.sum(part).alias("bm25"))
+    # A few numbers for each document, written once: the statistics need them all, the ranking those with a term.
+    measured = checkpointed(analyzed(documents).select("doc_id", _frequencies(wanted).alias("tf"), _length().alias("length")))
+    met = measured.join(F.broadcast(_statistics(measured, wanted)))
+    return met.where(F.exists("tf", lambda x: x > 0)).select("doc_id", _rank(F.col("tf"), F.col("length")).alias("bm25"))
+
+
+#: Buckets of terms in a written index.
+BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(documents: DataFrame, path: str) -> None:
+    """An inverted index: postings ``term, doc_id, tf, length`` in buckets of terms, and the statistics of the documents."""
+    k = analyzed(documents).select("doc_id", "k", _length().alias("length"))
+
+    def weighted(field: str, weight: float) -> Column:
+        return F.transform(F.concat(F.col(f"k.w_{field}"), F.col(f"k.t_{field}")), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+    each = k.select("doc_id", "length", F.explode(F.concat(*[weighted(f, w) for f, w in scoring.FIELD_WEIGHTS.items()])).alias("x")).groupBy("x.term", "doc_id").agg(F.sum("x.w").alias("tf"), F.first("length").alias("length"))
+    bucketed = each.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", "term").sortWithinPartitions("bucket", "term")
+    bucketed.write.partitionBy("bucket").parquet(f"{path}/postings")
+    k.agg(F.count("*").alias("docs"), F.avg("length").alias("mean")).write.parquet(f"{path}/statistics")
+
+
+def bm25_indexed(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """As ``bm25``, from a written index: only the buckets and row groups of the terms are read."""
+    wanted = sorted({t.lower() for t in terms})
+    postings = spark.read.parquet(f"{path}/postings")
+    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in wanted], "t string").select(_bucket(F.col("t"))).collect()]
+    found = postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(wanted))
+    hits = found.groupBy("term").agg(F.count("*").alias("n"))  # a row for each term of the query
+    met = found.join(F.broadcast(hits), "term").join(F.broadcast(spark.read.parquet(f"{path}/statistics")))
+    idf = F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
+    return met.groupBy("doc_id").agg(F.sum(scoring.bm25_term(F.col("tf"), F.col("length"), F.col("mean"), idf)).alias("bm25"))
+
+
+def _hits(terms: list[str], have: list[str], texts: tuple[str, ...]) -> Column:
+    """``exact`` and ``partial`` counts of query terms in arrays of terms or, if spaceless, in the texts or by their pairs of characters."""
+    exact, partial = F.lit(0), F.lit(0)
+    for t in terms:
+        listed = reduce(or_, [F.array_contains(c, t) for c in have])
+        if only_cjk(t):
+            whole = reduce(or_, [F.contains(F.col(x), F.lit(t)) for x in texts])
+            pairs = F.array(*[F.lit(t[i : i + 2]) for i in range(len(t) - 1)]).cast("array<string>")
+            partial = partial + (~whole & (listed | reduce(or_, [F.arrays_overlap(pairs, c) for c in have]))).cast("int")
+            listed = whole
+        exact = exact + listed.cast("int")
+    return F.struct(exact.alias("exact"), partial.alias("partial"))
 
 
 def signals(documents: DataFrame, terms: list[str], anchors: list[str] = ()) -> DataFrame:
     """Every document's lexical signals and its two scores for a query, documents without a shared term left out."""
-    query = F.array(*[F.lit(t) for t in terms])
-    opened = F.regexp_replace("path", r"[/\\._-]", " ")
-    base = documents.withColumn("ts", tokens(F.col("subject"))).withColumn("tb", tokens(F.col("body"))).withColumn("tp", F.array_union(tokens(opened), tokens(F.col("path"))))
-    base = base.withColumn("prose", F.array_union("ts", "tb")).withColumn("all", F.array_union("prose", "tp"))
-    anchored = F.lit(False)
+    wanted = [t.lower() for t in terms]
+    anchored = F.lit(0)
     for a in anchors:
-        anchored = anchored | path_matches(a, F.col("path"))
-    of = lambda have, *texts: term_hits(query, F.col(have), F.array(*map(F.col, texts)))
+        anchored = anchored + path_matches(a, F.col("path")).cast("int")
+    base = analyzed(documents)
+    prose, there = ["k.t_subject", "k.t_body"], ["k.opened", "k.t_paths"]
+    of = lambda have, *texts: _hits(terms, have, texts)
+    # Whole terms of a spaceless script found anywhere as they are.
+    whole = sum((reduce(or_, [F.contains(F.col(x), F.lit(t)) for x in ("subject", "body", "path")]).cast("int") for t in terms if only_cjk(t)), F.lit(0))
+    found = F.struct(
+        of(prose[:1], "subject").alias("s"), of(there, "path").alias("r"), of(prose, "subject", "body").alias("p"), of(prose + there, "subject", "body", "path").alias("i"),
+        whole.alias("cjk"), anchored.alias("anchors"), _frequencies(wanted).alias("tf"), _length().alias("length"),
+    )
+    # A few numbers for each document, written once: the statistics need them all, the scores those with a term.
+    measured = checkpointed(base.select("doc_id", "commit_time", "oid", F.explode(F.array(found)).alias("m")).select("doc_id", "commit_time", "oid", "m.*"))
     total = lambda s: F.col(s)["exact"] + F.col(s)["partial"]
-    marked = base.withColumn("s", of("ts", "subject")).withColumn("r", of("tp", "path")).withColumn("p", of("prose", "subject", "body")).withColumn("i", of("all", "subject", "body", "path"))
-    n, none = F.lit(len(terms)), F.lit(0)
-    strong = (F.col("s.exact") > 0) & ((F.col("r.exact") > 0) | anchored)
-    moderate = (F.col("s.exact") > 0) | (F.col("r.exact") > 0) | (total("p") > 1) | (total("i") > 1) | anchored
-    return marked.where(total("i") > 0).select(
-        "doc_id", total("s").alias("subject_matches"), total("r").alias("repository_matches"), total("p").alias("covered"), total("i").alias("identified"),
-        F.round(scoring.lexical_score(total("s"), total("p"), n, total("r"), anchored, none), 6).alias("score"),
-        F.round(scoring.lexical_score(total("s"), total("i"), n, total("r"), anchored, none), 6).alias("identified_score"),
+    met = measured.where(total("i") > 0).join(F.broadcast(_statistics(measured, wanted)))
+    lexical = _rank(F.col("tf"), F.col("length"))
+    n, near = F.lit(len(terms)), F.col("anchors") > 0
+    strong = (F.col("s.exact") > 0) & ((F.col("r.exact") > 0) | near)
+    moderate = (F.col("s.exact") > 0) | (F.col("r.exact") > 0) | (total("p") > 1) | (total("i") > 1) | near
+    score = lambda coverage: F.round(lexical + scoring.lexical_score(total("s"), coverage, n, total("r"), near, F.col("cjk")), 6)
+    return met.select(
+        "doc_id", "commit_time", "oid", total("s").alias("subject_matches"), total("r").alias("repository_matches"), total("p").alias("covered"), total("i").alias("identified"), "anchors",
+        score(total("p")).alias("score"), score(total("i")).alias("identified_score"),
         F.when(strong, "high").when(moderate, "medium").otherwise("low").alias("confidence"),
     )
 
 
+def ranked(score: str = "score") -> list[Column]:
+    """The order of results: best score, then newest, then object id."""
+    return [F.desc(score), F.desc("commit_time"), F.asc("oid")]
+
+
 def search(documents: DataFrame, terms: list[str], limit: int = 10, anchors: list[str] = ()) -> DataFrame:
     """The best documents by prose coverage; subjects are fetched for those alone."""
-    top = signals(documents, terms, anchors).orderBy(F.desc("score"), "doc_id").limit(limit)
+    top = signals(documents, terms, anchors).orderBy(*ranked()).limit(limit)
     return documents.select("doc_id", "subject").join(F.broadcast(top), "doc_id").select("doc_id", "subject", "score", "covered", "confidence")
 
 
+#: What precedents gain by anchors and by paths changed together as elsewhere, how many paths that may be, and what undone work loses.
+ANCHOR, COHERENT, MOST_PATHS, UNDONE = 4.0, 2.0, 12, 8.0
+
+
+def coherent(candidates: DataFrame, paths: DataFrame) -> DataFrame:
+    """``doc_id`` of candidates of 2 to ``MOST_PATHS`` paths of which another candidate has two as well.
+
+    Each of those gives its pairs of paths, 66 at most; a pair counts if a second candidate has both.
+    """
+    own = paths.join(candidates.select("doc_id"), "doc_id", "left_semi").select("doc_id", "path").distinct()
+    sized = own.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n").between(2, MOST_PATHS)).select("doc_id")
+    few = own.join(sized, "doc_id", "left_semi")
+    lists = few.groupBy("doc_id").agg(F.array_sort(F.collect_list("path")).alias("ps"))
+    pair = F.flatten(F.transform("ps", lambda x, i: F.transform(F.slice("ps", i + 2, F.greatest(F.size("ps") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = lists.select("doc_id", F.explode(pair).alias("x")).select("doc_id", "x.a", "x.b")
+    # Those with more paths have a pair if they have both of its paths.
+    keys = pairs.select("a", "b").distinct()
+    many = own.join(sized, "doc_id", "left_anti")
+    others = many.select("doc_id", F.col("path").alias("a")).join(keys, "a").join(many.select("doc_id", F.col("path").alias("b")), ["doc_id", "b"]).select("doc_id", "a", "b")
+    shared = pairs.unionByName(others).groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    return pairs.join(shared, ["a", "b"], "left_semi").select("doc_id").distinct()
+
+
+def precedents(documents: DataFrame, terms: list[str], paths: DataFrame, undone: DataFrame, anchors: list[str] = ()) -> DataFrame:
+    """The whole pool by identified coverage, raised by anchors and coherent changes, lowered for ``undone(doc_id)``: reverts and what they revert."""
+    pool = signals(documents, terms, anchors)
+    together = coherent(pool, paths).withColumn("coherent", F.lit(True))
+    lost = undone.select("doc_id").distinct().withColumn("undone", F.lit(True))
+    met = pool.join(together, "doc_id", "left").join(lost, "doc_id", "left")
+    flag = lambda c, w: F.when(F.coalesce(F.col(c), F.lit(False)), w).otherwise(0.0)
+    score = F.col("identified_score") + F.col("anchors") * ANCHOR + flag("coherent", COHERENT) - flag("undone", UNDONE)
+    return met.select("doc_id", "commit_time", "oid", F.round(score, 6).alias("score"), F.coalesce("coherent", F.lit(False)).alias("coherent"))
+
+
 def semantic_top(vectors: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
     """``vec_id, similarity``: the best by their largest cosine with any of the query vectors.
 
@@ -80,8 +198,8 @@ def semantic_top(vectors: DataFrame, queries: DataFrame, depth: int) -> DataFram
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, limit: int) -> DataFrame:
-    """Reciprocal-rank fusion of ``lexical(doc_id, score)`` and ``semantic(vec_id, similarity)``, both cut to their depth."""
-    a = lexical.select("doc_id", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("lexical_rank"))
+    """Reciprocal-rank fusion of ``lexical(doc_id, score, commit_time, oid)`` and ``semantic(vec_id, similarity)``, both cut to their depth."""
+    a = lexical.select("doc_id", F.row_number().over(Window.orderBy(*ranked())).alias("lexical_rank"))
     b = semantic.select(F.col("vec_id").alias("doc_id"), F.row_number().over(Window.orderBy(F.desc("similarity"), "vec_id")).alias("semantic_rank"))
     both = a.join(b, "doc_id", "full")
     rr = lambda c: F.coalesce(scoring.reciprocal_rank(F.col(c)), F.lit(0.0))
@@ -90,8 +208,8 @@ def fuse(lexical: DataFrame, semantic: DataFrame, limit: int) -> DataFrame:
 
 def hybrid(documents: DataFrame, vectors: DataFrame, terms: list[str], queries: DataFrame, limit: int = 10) -> DataFrame:
     depth = max(limit, 100)
-    ranked = signals(documents, terms).orderBy(F.desc("score"), "doc_id").limit(depth)
-    return fuse(ranked, semantic_top(vectors, queries, depth), limit)
+    best = signals(documents, terms).orderBy(*ranked()).limit(depth)
+    return fuse(best, semantic_top(vectors, queries, depth), limit)
 
 
 def literal(lines: DataFrame, text: str, limit: int | None = 20) -> DataFrame:

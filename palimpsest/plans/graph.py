@@ -1,8 +1,15 @@
-"""Closures of the commit graph: frontier iteration over the edge table, never path enumeration."""
+"""Closures of the commit graph, never by path enumeration.
+
+A history is as deep as it is long, so what can be reached is not found level by level:
+commits are laid out in chains of first parents by pointer doubling, and a closure only
+moves from chain to chain, as often as merges are nested. Distances, which are asked for
+within a bound, are found by a frontier.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +51,56 @@ def descendants(parents: DataFrame, ids: Iterable[int] | DataFrame, bound: int |
     return _closure(edges, _starts(parents, ids), bound).withColumnRenamed("id", "commit_id")
 
 
+@dataclass(frozen=True)
+class Chains:
+    """A commit graph in chains: ``members(commit_id, chain, place)``, places counted from the oldest commit on, and the edges between chains, ``links(chain, place, to_chain, to_place)``."""
+
+    members: DataFrame
+    links: DataFrame
+
+    def ancestors(self, ids: Iterable[int] | DataFrame) -> DataFrame:
+        """``commit_id`` of what can be reached from ``ids`` over parents, themselves included."""
+        return self._closure(ids, self.links, up=True)
+
+    def descendants(self, ids: Iterable[int] | DataFrame) -> DataFrame:
+        """``commit_id`` of what reaches ``ids``, themselves included."""
+        back = self.links.select(F.col("to_chain").alias("chain"), F.col("to_place").alias("place"), F.col("chain").alias("to_chain"), F.col("place").alias("to_place"))
+        return self._closure(ids, back, up=False)
+
+    def _closure(self, ids: Iterable[int] | DataFrame, links: DataFrame, up: bool) -> DataFrame:
+        # Of a chain all places on one side of the farthest one are reached; only that one is kept.
+        far = (lambda c: F.max(c)) if up else (lambda c: F.min(c))
+        beyond = (lambda x, y: x > y) if up else (lambda x, y: x < y)
+        starts = _starts(self.members, ids).select(F.col("id").alias("commit_id")).distinct()
+        seen = checkpointed(self.members.join(starts, "commit_id", "left_semi").groupBy("chain").agg(far("place").alias("place")))
+        fresh = seen
+        while not fresh.isEmpty():
+            edges = links.alias("l").join(fresh.alias("f"), "chain").where(~beyond(F.col("l.place"), F.col("f.place")))
+            step = edges.groupBy(F.col("to_chain").alias("chain")).agg(far("to_place").alias("place"))
+            met = step.join(seen.withColumnRenamed("place", "old"), "chain", "left")
+            fresh = checkpointed(met.where(F.col("old").isNull() | beyond(F.col("place"), F.col("old"))).select("chain", "place"))
+            seen = checkpointed(seen.unionByName(fresh).groupBy("chain").agg(far("place").alias("place")))
+        inside = self.members.alias("m").join(seen.alias("s"), "chain").where(~beyond(F.col("m.place"), F.col("s.place"))).select("commit_id")
+        # Commits without any edge are in no chain.
+        return inside.union(starts.join(self.members, "commit_id", "left_anti"))
+
+
+def chains(parents: DataFrame) -> Chains:
+    """Lay out a graph: of the commits with one first parent, the least stays in its chain, the others begin chains of their own."""
+    edges = checkpointed(parents.select("commit_id", "position", "parent_id"))
+    kept = first_parents(edges).groupBy("parent_id").agg(F.min("commit_id").alias("commit_id"))
+    nodes = edges.select("commit_id").union(edges.select("parent_id")).distinct()
+    members = _doubled(nodes, kept.select("commit_id", "parent_id")).select("commit_id", F.col("root").alias("chain"), F.col("depth").alias("place"))
+    end = lambda c, to: members.select(F.col("commit_id").alias(c), F.col("chain").alias(f"{to}chain"), F.col("place").alias(f"{to}place"))
+    placed = edges.join(end("commit_id", ""), "commit_id").join(end("parent_id", "to_"), "parent_id")
+    # Within a chain the place alone tells what is reached.
+    links = placed.where("chain <> to_chain").select("chain", "place", "to_chain", "to_place").distinct()
+    return Chains(members, checkpointed(links))
+
+
 def reachable(parents: DataFrame, ids: Iterable[int] | DataFrame) -> DataFrame:
-    return ancestors(parents, ids).select("commit_id")
+    """``commit_id`` of what can be reached from ``ids``, themselves included."""
+    return chains(parents).ancestors(ids)
 
 
 def first_parents(parents: DataFrame) -> DataFrame:
@@ -65,13 +120,18 @@ def merges(parents: DataFrame) -> DataFrame:
 def roots(parents: DataFrame, rounds: int = 40) -> DataFrame:
     """``commit_id, root, depth`` on the first-parent forest, by pointer doubling: log2(depth) rounds."""
     one = first_parents(parents)
-    nodes = one.select("commit_id").union(one.select("parent_id")).distinct()
+    return _doubled(one.select("commit_id").union(one.select("parent_id")).distinct(), one, rounds)
+
+
+def _doubled(nodes: DataFrame, one: DataFrame, rounds: int = 60) -> DataFrame:
+    """``commit_id, root, depth`` of ``nodes(commit_id)`` on a forest ``one(commit_id, parent_id)``."""
     jump = nodes.join(one, "commit_id", "left").select("commit_id", F.coalesce("parent_id", "commit_id").alias("root"), F.col("parent_id").isNotNull().cast("long").alias("depth"))
     jump = checkpointed(jump)
     for _ in range(rounds):
         up = jump.select(F.col("commit_id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
         jump = checkpointed(jump.join(up, "root").select("commit_id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
-        if jump.where("moved").isEmpty():
-            break
+        moved = not jump.where("moved").isEmpty()
         jump = jump.drop("moved")
+        if not moved:
+            break
     return jump.select("commit_id", "root", "depth")

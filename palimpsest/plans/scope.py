@@ -10,7 +10,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.plans.graph import reachable
+from palimpsest.plans.graph import chains
 
 #: Paths that one scope may name.
 MOST_PATHS = 447
@@ -73,10 +73,11 @@ class Scope:
             out = out.where(F.col("commit_time") >= low)
         if high is not None:
             out = out.where(F.col("commit_time") <= high)
+        graph = chains(parents) if self.to or self.from_ else None
         if self.to:
-            out = out.join(reachable(parents, self.to), "commit_id", "left_semi")
+            out = out.join(graph.ancestors(self.to), "commit_id", "left_semi")
         if self.from_:
-            out = out.join(reachable(parents, self.from_), "commit_id", "left_anti")
+            out = out.join(graph.ancestors(self.from_), "commit_id", "left_anti")
         if touched is not None and self.paths and "." not in map(safe_path, self.paths):
             out = out.join(touched.where(under_any(F.col("path"), self.paths)).select("commit_id").distinct(), "commit_id", "left_semi")
         return out

@@ -24,14 +24,14 @@ def query(sql: str = ""):
     return add
 
 
-def tips(c: Catalog, n: int | None = None, *, least: bool = False) -> DataFrame:
-    """The last commits of the first ``n`` branches or of all, or their first ones."""
+def tips(c: Catalog, *, least: bool = False) -> DataFrame:
+    """The last commits of all branches, or their first ones."""
     pick = F.min_by if least else F.max_by
-    return (c.commits if n is None else c.commits.where(F.col("branch") <= n)).groupBy("branch").agg(pick("commit_id", "position").alias("id")).select("id")
+    return c.commits.groupBy("branch").agg(pick("commit_id", "position").alias("id")).select("id")
 
 
-TIPS = "tips AS (SELECT arg_max(commit_id, position) AS id FROM commits WHERE branch <= 20 GROUP BY branch)"
-FIRSTS = "firsts AS (SELECT arg_min(commit_id, position) AS id FROM commits WHERE branch <= 20 GROUP BY branch)"
+TIPS = "tips AS (SELECT arg_max(commit_id, position) AS id FROM commits GROUP BY branch)"
+FIRSTS = "firsts AS (SELECT arg_min(commit_id, position) AS id FROM commits GROUP BY branch)"
 UP = "up(id) AS (SELECT id FROM tips UNION SELECT parent_id FROM up JOIN parents ON commit_id = id)"
 DOWN = "down(id) AS (SELECT id FROM firsts UNION SELECT commit_id FROM down JOIN parents ON parent_id = id)"
 GRAPH = "commits parents"
@@ -45,12 +45,12 @@ def filter_scope_time(c: Catalog) -> DataFrame:
 
 @query(with_views(GRAPH, f"--, {TIPS}, {UP} SELECT id AS commit_id FROM up"))
 def graph_ancestors(c: Catalog) -> DataFrame:
-    return graph.ancestors(c.parents, tips(c, 20)).select("commit_id")
+    return graph.reachable(c.parents, tips(c))
 
 
 @query(with_views(GRAPH, f"--, {FIRSTS}, {DOWN} SELECT id AS commit_id FROM down"))
 def graph_descendants(c: Catalog) -> DataFrame:
-    return graph.descendants(c.parents, tips(c, 20, least=True)).select("commit_id")
+    return graph.chains(c.parents).descendants(tips(c, least=True))
 
 
 @query(
@@ -61,7 +61,7 @@ SELECT id AS commit_id, min(distance) AS distance FROM fp GROUP BY id""",
     )
 )
 def graph_first_parent(c: Catalog) -> DataFrame:
-    return graph.ancestors(graph.first_parents(c.parents), tips(c, 20))
+    return graph.ancestors(graph.first_parents(c.parents), tips(c))
 
 
 @query(
@@ -72,7 +72,7 @@ SELECT id AS commit_id, min(distance) AS distance FROM bd GROUP BY id""",
     )
 )
 def graph_bounded_distance(c: Catalog) -> DataFrame:
-    return graph.ancestors(c.parents, tips(c, 20), bound=5)
+    return graph.ancestors(c.parents, tips(c), bound=5)
 
 
 @query(
@@ -95,9 +95,9 @@ SELECT id AS commit_id FROM up WHERE id NOT IN (SELECT id FROM lo)""",
     )
 )
 def set_good_bad_difference(c: Catalog) -> DataFrame:
-    bad = tips(c, 20)
-    good = graph.ancestors(c.parents, bad.where("id % 2 = 0")).select("commit_id")
-    return graph.ancestors(c.parents, bad).select("commit_id").join(good, "commit_id", "left_anti")
+    known = graph.chains(c.parents)
+    bad = tips(c)
+    return known.ancestors(bad).join(known.ancestors(bad.where("id % 2 = 0")), "commit_id", "left_anti")
 
 
 @query(
@@ -108,7 +108,7 @@ def set_good_bad_difference(c: Catalog) -> DataFrame:
 )
 def set_union_intersect_scope(c: Catalog) -> DataFrame:
     timed = Scope(since=SINCE, until=UNTIL).apply(c.commits, c.parents)
-    return timed.join(graph.ancestors(c.parents, tips(c, 20)), "commit_id", "left_semi").select("commit_id")
+    return timed.join(graph.reachable(c.parents, tips(c)), "commit_id", "left_semi").select("commit_id")
 
 
 @query(
@@ -120,7 +120,7 @@ SELECT commit_id FROM commits WHERE commit_id IN (SELECT id FROM up) AND commit_
     )
 )
 def filter_scope_revision_range(c: Catalog) -> DataFrame:
-    ends = [r.id for r in tips(c, 20).collect()]  # the user's revisions
+    ends = [r.id for r in tips(c).collect()]  # the user's revisions
     scope = Scope(to=tuple(ends), from_=tuple(i for i in ends if i % 2 == 0), since=SINCE)
     touched = c.paths.where(F.col("path").startswith("Brand#1")).select("commit_id").distinct()
     return scope.apply(c.commits, c.parents).join(touched, "commit_id", "left_semi").select("commit_id")
@@ -366,7 +366,7 @@ def regression_rank(c: Catalog) -> DataFrame:
 @query(
     with_views(
         "commits parents changes paths",
-        f"""--, {TIPS}, {UP}, fp AS (SELECT commit_id, string_agg(path, ',' ORDER BY path) AS f FROM paths GROUP BY commit_id)
+        f"""--, {TIPS.replace("tips AS", "every AS")}, tips AS (SELECT id FROM every WHERE id % 2 = 0), {UP}, fp AS (SELECT commit_id, string_agg(path, ',' ORDER BY path) AS f FROM paths GROUP BY commit_id)
 SELECT c.commit_id, CASE WHEN c.commit_id IN (SELECT id FROM up) THEN 'contained' WHEN fp.f IS NULL THEN 'indeterminate'
   WHEN fp.f IN (SELECT f FROM fp WHERE commit_id IN (SELECT id FROM up)) THEN 'equivalent' ELSE 'not_found' END AS status FROM commits c LEFT JOIN fp USING (commit_id)""",
     )
@@ -374,40 +374,4 @@ SELECT c.commit_id, CASE WHEN c.commit_id IN (SELECT id FROM up) THEN 'contained
 def propagation_status(c: Catalog) -> DataFrame:
     prints = c.paths.groupBy("commit_id").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("fingerprint"))
     sources = c.commits.select("commit_id").join(prints, "commit_id", "left")
-    return history.propagation(sources, graph.ancestors(c.parents, tips(c, 20)), prints)
-
-
-# The same from all branches; the SQL above holds the first 20, tests hold these against brute force.
-
-
-@query()
-def graph_ancestors_all(c: Catalog) -> DataFrame:
-    return graph.ancestors(c.parents, tips(c)).select("commit_id")
-
-
-@query()
-def graph_descendants_all(c: Catalog) -> DataFrame:
-    return graph.descendants(c.parents, tips(c, least=True)).select("commit_id")
-
-
-@query()
-def graph_first_parent_all(c: Catalog) -> DataFrame:
-    return graph.ancestors(graph.first_parents(c.parents), tips(c))
-
-
-@query()
-def graph_bounded_distance_all(c: Catalog) -> DataFrame:
-    return graph.ancestors(c.parents, tips(c), bound=5)
-
-
-@query()
-def set_good_bad_difference_all(c: Catalog) -> DataFrame:
-    bad = tips(c)
-    good = graph.ancestors(c.parents, bad.where("id % 2 = 0")).select("commit_id")
-    return graph.ancestors(c.parents, bad).select("commit_id").join(good, "commit_id", "left_anti")
-
-
-@query()
-def set_union_intersect_scope_all(c: Catalog) -> DataFrame:
-    timed = Scope(since=SINCE, until=UNTIL).apply(c.commits, c.parents)
-    return timed.join(graph.ancestors(c.parents, tips(c)), "commit_id", "left_semi").select("commit_id")
+    return history.propagation(sources, graph.reachable(c.parents, tips(c).where("id % 2 = 0")), prints)

@@ -71,16 +71,37 @@ def agg_deletion_events(c: Catalog) -> DataFrame:
     return search.literal(c.lines, "ingth", None).groupBy("doc_id").agg(F.count("*").alias("lines"), F.min("line_no").alias("first_line"))
 
 
-TOKENS = r"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-SIGNALS = f"""--, t AS (SELECT doc_id, subject, {TOKENS.format(c="subject")} AS ts, {TOKENS.format(c="body")} AS tb, {TOKENS.format(c="path")} AS tw, {LIST} AS q FROM docs),
-tp AS (SELECT *, list_concat(tw, list_filter(regexp_extract_all(array_to_string(tw, ' '), '[a-z]+|[0-9]+'), lambda x: true)) AS tp FROM t),
-s AS (SELECT doc_id, subject, len(list_filter(q, lambda x: list_contains(ts, x))) AS sm, len(list_filter(q, lambda x: list_contains(tp, x))) AS rm,
-  len(list_filter(q, lambda x: list_contains(ts, x) OR list_contains(tb, x))) AS cov, len(list_filter(q, lambda x: list_contains(ts, x) OR list_contains(tb, x) OR list_contains(tp, x))) AS ident FROM tp),
-scored AS (SELECT *, round(1.5 * sm + cov / 4 * 2.0 + rm, 6) AS score, CASE WHEN sm > 0 AND rm > 0 THEN 'high' WHEN sm > 0 OR rm > 0 OR cov > 1 OR ident > 1 THEN 'medium' ELSE 'low' END AS confidence FROM s WHERE ident > 0)
+WORDS = r"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+#: Different terms: words split where case changes and between letters and digits as well.
+TERMS_OF = r"list_filter(list_distinct(string_split(lower({split}), ' ')), lambda x: x <> '')"
+
+
+def _terms(c: str) -> str:
+    split = rf"regexp_replace({c}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
+    for left, right in ((r"\p{Lu}{2}", r"\p{Lu}\p{Ll}"), (r"\p{Ll}", r"\p{Lu}"), (r"\p{L}", r"\p{N}"), (r"\p{N}", r"\p{L}")):
+        split = rf"regexp_replace({split}, '({left})({right})', '\1 \2', 'g')"
+    return TERMS_OF.format(split=split)
+
+
+_F = {"subject": 10, "body": 3, "path": 2}
+_freq = " + ".join(f"{w} * (len(list_filter(w_{c}, lambda x: x = q)) + CAST(list_contains(t_{c}, q) AS INTEGER))" for c, w in _F.items())
+BM25 = f"""k AS (SELECT *, {", ".join(f"{_terms(c)} AS t_{c}, {WORDS.format(c=c)} AS w_{c}" for c in _F)}, {_terms("regexp_replace(path, '[/._-]', ' ', 'g')")} AS opened FROM docs),
+lengths AS (SELECT doc_id, {" + ".join(f"len({x}_{c})" for c in _F for x in "wt")} AS length FROM k),
+tf AS (SELECT doc_id, q, {_freq} AS tf FROM k, unnest({LIST}) AS u(q)),
+st AS (SELECT count(*) AS docs, avg(length) AS mean FROM lengths),
+hits AS (SELECT q, count(*) AS n FROM tf WHERE tf > 0 GROUP BY q),
+bm AS (SELECT doc_id, sum(greatest(ln((docs - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS bm25
+  FROM tf JOIN hits USING (q) JOIN lengths USING (doc_id), st WHERE tf > 0 GROUP BY doc_id)"""
+SIGNALS = f"""--, {BM25}, t AS (SELECT doc_id, subject, commit_time, oid, t_subject AS ts, t_body AS tb, list_concat(opened, t_path) AS tp, {LIST} AS q FROM k),
+s AS (SELECT doc_id, subject, commit_time, oid, len(list_filter(q, lambda x: list_contains(ts, x))) AS sm, len(list_filter(q, lambda x: list_contains(tp, x))) AS rm,
+  len(list_filter(q, lambda x: list_contains(ts, x) OR list_contains(tb, x))) AS cov, len(list_filter(q, lambda x: list_contains(ts, x) OR list_contains(tb, x) OR list_contains(tp, x))) AS ident FROM t),
+scored AS (SELECT s.*, coalesce(bm25, 0) AS lex, round(coalesce(bm25, 0) + 1.5 * sm + cov / 4 * 2.0 + rm, 6) AS score,
+  CASE WHEN sm > 0 AND rm > 0 THEN 'high' WHEN sm > 0 OR rm > 0 OR cov > 1 OR ident > 1 THEN 'medium' ELSE 'low' END AS confidence FROM s LEFT JOIN bm USING (doc_id) WHERE ident > 0)
 """
+BEST = "score DESC, commit_time DESC, oid"
 
 
-@query(with_views("docs", SIGNALS + "SELECT doc_id, subject, score, CAST(cov AS INTEGER) AS covered, confidence FROM scored ORDER BY score DESC, doc_id LIMIT 10"))
+@query(with_views("docs", SIGNALS + "SELECT doc_id, subject, score, CAST(cov AS INTEGER) AS covered, confidence FROM scored ORDER BY " + BEST + " LIMIT 10"))
 def text_search_rank(c: Catalog) -> DataFrame:
     return search.search(c.documents, TERMS)
 
@@ -90,24 +111,7 @@ def agg_match_count(c: Catalog) -> DataFrame:
     return search.signals(c.documents, TERMS).agg(F.count("*").alias("matched"))
 
 
-def _bm25_sql() -> str:
-    f = lambda c, n: f"SELECT doc_id, '{n}' AS field, unnest({TOKENS.format(c=c)}) AS term FROM docs"
-    size = lambda c: f"len({TOKENS.format(c=c)})"
-    part = lambda n, w: f"{w} * idf * tf_{n} * 2.2 / (tf_{n} + 1.2 * (0.25 + 0.75 * l_{n} / m_{n}))"
-    return with_views(
-        "docs",
-        f"""--, post AS ({f("subject", "subject")} UNION ALL {f("body", "body")} UNION ALL {f("path", "paths")}),
-tf AS (SELECT doc_id, term, count(*) FILTER (field = 'subject') AS tf_subject, count(*) FILTER (field = 'body') AS tf_body, count(*) FILTER (field = 'paths') AS tf_paths
-  FROM post WHERE list_contains({LIST}, term) GROUP BY doc_id, term),
-len AS (SELECT doc_id, {size("subject")} AS l_subject, {size("body")} AS l_body, {size("path")} AS l_paths FROM docs),
-m AS (SELECT count(*) AS docs, avg(l_subject) AS m_subject, avg(l_body) AS m_body, avg(l_paths) AS m_paths FROM len),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-x AS (SELECT *, ln(1 + (docs - df + 0.5) / (df + 0.5)) AS idf FROM tf JOIN df USING (term) JOIN len USING (doc_id), m)
-SELECT doc_id, round(sum({part("subject", 10)} + {part("body", 3)} + {part("paths", 2)}), 6) AS bm25 FROM x GROUP BY doc_id""",
-    )
-
-
-@query(_bm25_sql())
+@query(with_views("docs", f"--, {BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM bm"))
 def text_bm25(c: Catalog) -> DataFrame:
     return search.bm25(c.documents, TERMS).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
@@ -153,16 +157,11 @@ def queried(c: Catalog) -> DataFrame:
     return c.vectors.where("vec_id < 3").select("embedding")
 
 
-@query(f"WITH {VECTORS} SELECT vec_id, similarity FROM s ORDER BY similarity DESC, vec_id LIMIT 25")
-def vec_topk_cosine(c: Catalog) -> DataFrame:
-    return search.semantic_top(c.vectors, queried(c), 25)
-
-
 @query(
     with_views(
         "docs",
         SIGNALS.rstrip()
-        + f""", {VECTORS}, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS lr FROM (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 100)),
+        + f""", {VECTORS}, a AS (SELECT doc_id, row_number() OVER (ORDER BY {BEST}) AS lr FROM (SELECT * FROM scored ORDER BY {BEST} LIMIT 100)),
 b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY similarity DESC, vec_id) AS sr FROM (SELECT * FROM s2 ORDER BY similarity DESC, vec_id LIMIT 100))
 SELECT doc_id, CAST(lr AS INTEGER) AS lexical_rank, CAST(sr AS INTEGER) AS semantic_rank, round(coalesce(1 / (60 + lr), 0) + coalesce(1 / (60 + sr), 0), 8) AS score
 FROM a FULL JOIN b USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10""".replace(", s AS (SELECT vec_id", ", s2 AS (SELECT vec_id"),
@@ -173,7 +172,7 @@ def hybrid_rrf(c: Catalog) -> DataFrame:
 
 
 @query(VECTOR_PAIRS)
-def vec_topk_cosine_all(c: Catalog) -> DataFrame:
+def vec_topk_cosine(c: Catalog) -> DataFrame:
     """The ten best for each vector whose id is divisible by 100, itself left out."""
     q = c.vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
     met = c.vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(scoring.cosine(F.col("embedding"), F.col("e")), 6).alias("similarity"))
@@ -194,19 +193,28 @@ def patch_equivalent(c: Catalog) -> DataFrame:
     return d.join(two, "h").select("doc_id", F.when(F.col("doc_id") == F.col("first"), F.get("ids", F.lit(1))).otherwise(F.col("first")).alias("equivalent"))
 
 
+UNDONE = r"^\s*(revert|rollback|roll back|back out)"
+
+
 @query(
     with_views(
-        "docs",
+        "changes paths docs",
         SIGNALS.rstrip()
-        + """, f AS (SELECT s.doc_id, sha256(d.text) AS h, 1.5 * sm + ident / 4 * 2.0 + rm AS sc FROM s JOIN docs d USING (doc_id) WHERE ident > 0)
-SELECT arg_min(doc_id, (-sc, doc_id)) AS representative, round(max(sc), 6) AS score, count(*) AS members FROM f GROUP BY h ORDER BY score DESC, representative LIMIT 10""",
+        + rf""", own AS (SELECT commit_id AS doc_id, path FROM paths WHERE commit_id IN (SELECT doc_id FROM scored)), sized AS (SELECT doc_id, count(*) AS n FROM own GROUP BY doc_id),
+met AS (SELECT DISTINCT doc_id FROM (SELECT a.doc_id, b.doc_id AS other FROM own a JOIN own b ON a.path = b.path AND a.doc_id <> b.doc_id JOIN sized z ON z.doc_id = a.doc_id AND z.n BETWEEN 2 AND 12
+  GROUP BY 1, 2 HAVING count(*) >= 2)),
+f AS (SELECT s.doc_id, s.commit_time, s.oid, sha256(d.text) AS h, round(round(lex + 1.5 * sm + ident / 4 * 2.0 + rm, 6) + CASE WHEN s.doc_id IN (SELECT doc_id FROM met) THEN 2.0 ELSE 0 END
+  - CASE WHEN regexp_matches(lower(s.subject), '{UNDONE}') THEN 8.0 ELSE 0 END, 6) AS sc FROM scored s JOIN docs d USING (doc_id)),
+g AS (SELECT h, arg_min(doc_id, (-sc, -commit_time, oid)) AS representative, max(sc) AS score, count(*) AS members FROM f GROUP BY h)
+SELECT representative, score, members FROM g JOIN docs ON doc_id = representative ORDER BY score DESC, commit_time DESC, oid LIMIT 10""",
     )
 )
 def examples_rank(c: Catalog) -> DataFrame:
-    """Precedents: the whole pool by identified coverage, grouped by equal patches before the limit."""
-    scored = search.signals(c.documents, TERMS).select("doc_id", F.col("identified_score").alias("score"))
-    ranked = scored.join(c.documents.select("doc_id", F.sha2("text", 256).alias("fingerprint")), "doc_id")
-    return patches.groups(ranked).orderBy(F.desc("score"), "representative").limit(10)
+    """Precedents: the whole pool by identified coverage and its adjustments, grouped by equal patches before the limit."""
+    undone = c.documents.where(provenance.is_revert_subject(F.col("subject"))).select("doc_id")
+    found = search.precedents(c.documents, TERMS, c.paths.select(F.col("commit_id").alias("doc_id"), "path"), undone)
+    ranked = found.join(c.documents.select("doc_id", F.sha2("text", 256).alias("fingerprint")), "doc_id")
+    return patches.groups(ranked).orderBy(*search.ranked()).limit(10).select("representative", "score", "members")
 
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")

@@ -127,3 +127,44 @@ def test_closed_patterns(spark):
 def test_cosine(spark):
     r = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>").select(scoring.cosine(F.col("a"), F.col("b")).alias("x")).first()
     assert r.x == pytest.approx(0.5**0.5)
+
+
+def test_inverse_of_two_edit_blocks_in_one_hunk(spark):
+    mode = "100644"
+    changes = spark.createDataFrame([(o, 0, "M", "x", "x", mode, mode) for o in "abc"], "oid string, ordinal long, status string, old_path string, new_path string, old_mode string, new_mode string")
+    texts = ["@@ -1,3 +1,3 @@\n-p\n+q\n k\n-r\n+t", "@@ -1,3 +1,3 @@\n-q\n+p\n k\n-t\n+r", "@@ -1,3 +1,3 @@\n k\n-q\n-t\n+p\n+r"]
+    hunks = spark.createDataFrame([(o, 0, 0, t) for o, t in zip("abc", texts, strict=True)], "oid string, ordinal long, hunk long, text string")
+    found = patches.file_patches(changes, hunks)
+    assert [r.oid for r in patches.equivalents(found, "a", "inverse").collect()] == ["b"]
+    assert {(r.a, r.b) for r in patches.inverse_pairs(found).collect()} == {("a", "b")}
+
+
+def test_search_scores(spark, tmp_path):
+    """BM25 of a written index equals that of the texts; whole spaceless terms add their bonus, their pairs count as partial; equal scores go by time and id."""
+    from palimpsest.operators import search
+
+    rows = [(1, "fix parser", "the parseError of HTTPServer", "src/a.rs", 10, "b"), (2, "数据库 fix", "", "src/数据.rs", 10, "a"), (3, "other", "parser parser", "doc", 20, "c"), (4, "none", "", "x", 5, "d"), (5, "none", "", "x", 5, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, subject string, body string, path string, commit_time long, oid string")
+    near = {r.doc_id: r.bm25 for r in search.bm25(docs, ["parser", "fix"]).collect()}
+    search.write_index(docs, str(tmp_path / "index"))
+    far = {r.doc_id: r.bm25 for r in search.bm25_indexed(spark, str(tmp_path / "index"), ["fix", "parser"]).collect()}
+    assert near.keys() == far.keys() == {1, 2, 3}
+    assert near == pytest.approx(far)
+    got = {r.doc_id: r for r in search.signals(docs, ["数据库", "error"]).collect()}
+    assert set(got) == {1, 2} and got[2].subject_matches == 1 and got[1].covered == 1
+    plain = {r.doc_id: r.score for r in search.signals(docs, ["fix", "error"]).collect()}
+    assert got[2].score > plain[2]
+    assert [r.doc_id for r in search.search(docs.withColumn("body", F.lit("fix")).withColumn("subject", F.lit("s")).withColumn("path", F.lit("p")), ["fix"]).orderBy("doc_id").collect()] == [1, 2, 3, 4, 5]
+    order = search.signals(docs.withColumn("body", F.lit("fix")).withColumn("subject", F.lit("s")).withColumn("path", F.lit("p")), ["fix"]).orderBy(*search.ranked()).collect()
+    assert [r.doc_id for r in order] == [3, 2, 1, 4, 5]
+
+
+def test_coherent_changes(spark):
+    from palimpsest.operators import search
+
+    own = {1: "ab", 2: "abc", 3: "ac", 4: "x", 5: [f"p{i}" for i in range(20)] + ["a", "b"], 6: "yz", 7: [f"q{i}" for i in range(13)] + ["y", "z"], 8: "st"}
+    paths = spark.createDataFrame([(d, p) for d, ps in own.items() for p in ps], "doc_id long, path string")
+    pool = spark.createDataFrame([(d,) for d in own], "doc_id long")
+    sets = {d: set(ps) for d, ps in own.items()}
+    want = sorted(d for d, s in sets.items() if 2 <= len(s) <= 12 and any(len(s & t) >= 2 for e, t in sets.items() if e != d))
+    assert sorted(r.doc_id for r in search.coherent(pool, paths).collect()) == want == [1, 2, 3, 6]
