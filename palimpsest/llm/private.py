@@ -11,7 +11,10 @@ result is again a valid value of the format:
 - phone numbers of the North American plan: area and exchange codes stay valid; area codes
   below 200, which are not in use, become others below 200.
 - social security numbers with valid area, group and serial.
-- dates from 1900 to 2099, year first or last, that exist: permuted as day numbers.
+- dates from 1900 to 2099, year first or last, that exist: permuted as day numbers. What
+  can only be read month first (the day is over 12) becomes another such date, by year and
+  by month and day, the 29th of February by leap year; so each way of writing is permuted
+  within itself, and equal dates are linked if written day first or year first.
 - IPv4 addresses: permuted as 32 bits.
 
 E-mail addresses get a keyed name at a reserved domain, which also links equal ones;
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31 = 17 x 4297.
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 17, 4297
+#: Days over 12 in the months of a common year before each month, and in all; years; leap years from 1904 to 2096 = 7 x 7.
+LATE, LATE_DAYS, YEARS, LEAP = (0, 19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202), 221, 200, 7
 
 #: What to look for, by kind; the first kind that fits a match decides.
 PATTERNS: dict[str, str] = {
@@ -170,12 +175,26 @@ def _date(key: str, m: Column) -> Column:
     ymd = m.rlike("^[0-9]{4}")
     iso = lambda y, mo, da: F.try_to_date(F.concat_ws("-", F.substring(d, y, 4), F.substring(d, mo, 2), F.substring(d, da, 2)), "yyyy-MM-dd")
     day_first = iso(5, 3, 1)
-    date = F.when(ymd, iso(1, 5, 7)).otherwise(F.coalesce(day_first, iso(5, 1, 3)))
+    date = F.when(ymd, iso(1, 5, 7)).otherwise(day_first)
+    month_first = iso(5, 1, 3)
     number = F.datediff(date, F.to_date(F.lit(FIRST_DAY))).cast("long")
     p = feistel(key, "date", F.floor(number / DAYS_B), F.lit(DAYS_A).cast("long"), number % DAYS_B, F.lit(DAYS_B).cast("long"))
     new = F.date_add(F.to_date(F.lit(FIRST_DAY)), (p["a"] * DAYS_B + p["b"]).cast("int"))
-    style = F.when(ymd, F.date_format(new, "yyyy-MM-dd")).when(day_first.isNotNull(), F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy"))
-    return F.when(number.isNotNull(), style).otherwise(m)
+    style = F.when(ymd, F.date_format(new, "yyyy-MM-dd")).otherwise(F.date_format(new, "dd/MM/yyyy"))
+    return F.when(number.isNotNull(), style).when(~ymd & month_first.isNotNull(), _month_first(key, _part(d, 1, 2), _part(d, 3, 2), _part(d, 5, 4))).otherwise(m)
+
+
+def _month_first(key: str, month: Column, day: Column, year: Column) -> Column:
+    """A date whose day is over 12, month first, as another such."""
+    before = F.array(*map(F.lit, LATE))
+    leap_day = (month == 2) & (day == 29)
+    p = feistel(key, "month first", year - 1900, F.lit(YEARS).cast("long"), F.get(before, month.cast("int") - 1) + day - 13, F.lit(LATE_DAYS).cast("long"))
+    new = F.size(F.filter(before, lambda x: x <= p["b"]))
+    common = F.concat_ws("/", _zeros(new, 2), _zeros(p["b"] - F.get(before, new - 1) + 13, 2), (p["a"] + 1900).cast("string"))
+    # Of the years from 1900 to 2099 that are multiples of four all but the first have a leap day.
+    at = F.floor((year - 1904) / 4)
+    q = feistel(key, "leap day", F.floor(at / LEAP), F.lit(LEAP).cast("long"), at % LEAP, F.lit(LEAP).cast("long"))
+    return F.when(leap_day, F.concat(F.lit("02/29/"), (1904 + 4 * (q["a"] * LEAP + q["b"])).cast("string"))).otherwise(common)
 
 
 def _ip(key: str, m: Column) -> Column:
@@ -205,7 +224,7 @@ def _more(m: Column, key: str) -> Column:
 
 
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with the column text replaced, and columns ``n_found`` and ``n_replaced`` (long) put last.
+    """``docs`` with the column text replaced, and columns ``n_found`` and ``n_replaced`` (long) put last, in the place of columns of those names.
 
     Null texts stay null with nothing found; texts without personal data stay as they
     are. ``n_found`` counts the places that look like personal data, ``n_replaced`` those
@@ -221,5 +240,5 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     out = new.withColumn("__gap", gaps).withColumn("__out", F.when(F.size("__old") > 0, joined).otherwise(F.col("__text")))
     more = F.aggregate("__old", F.lit(0), lambda n, m: n + _more(m, key))
     changed = F.size(F.filter(F.zip_with("__old", "__new", lambda a, b: a != b), lambda x: x))
-    columns = [F.col("__out").alias(f.name) if f.name == "text" else F.col(f"__row.`{f.name}`") for f in docs.schema.fields]
+    columns = [F.col("__out").alias(f.name) if f.name == "text" else F.col(f"__row.`{f.name}`") for f in docs.schema.fields if f.name not in ("n_found", "n_replaced")]
     return out.select(*columns, (F.greatest(F.size("__old"), F.lit(0)) + F.coalesce(more, F.lit(0))).cast("long").alias("n_found"), (F.greatest(changed, F.lit(0)) + F.coalesce(more, F.lit(0))).cast("long").alias("n_replaced"))

@@ -207,6 +207,124 @@ def test_feistel_is_a_permutation(spark):
     assert len({tuple(r) for r in out}) == 17 * 40 and all(0 <= r.a < 17 and 0 <= r.b < 40 for r in out)
 
 
+def test_dates_stay_apart(spark):
+    """All days in all three ways of writing: as many pseudonyms as dates, each of the same way, equal days linked."""
+    from pyspark.sql import functions as F
+
+    days = spark.range(73_049).select(F.date_add(F.to_date(F.lit("1900-01-01")), F.col("id").cast("int")).alias("d"))
+    styles = ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy"]
+    written = days.select(F.explode(F.array(*[F.date_format("d", x) for x in styles])).alias("m")).distinct()
+    out = written.select("m", private.pseudonym("k", F.col("m")).alias("p"))
+    first = lambda c: F.try_to_date(F.col(c), "dd/MM/yyyy").isNotNull()
+    month = lambda c: F.try_to_date(F.col(c), "MM/dd/yyyy").isNotNull()
+    way = lambda c: F.when(F.col(c).rlike("^[0-9]{4}-"), 0).when(first(c), 1).when(month(c), 2).otherwise(3)
+    found = out.agg(F.count("*").alias("n"), F.count_distinct("p").alias("p"), F.sum((way("m") != way("p")).cast("int")).alias("other"), F.sum((F.col("m") == F.col("p")).cast("int")).alias("same")).first()
+    assert found.n == found.p == 2 * 73_049 + 44_249 and found.other == 0 and found.same < 60
+    assert spark.createDataFrame([("1977-03-24", "24/03/1977")], "a string, b string").where(F.date_format(F.to_date(private.pseudonym("k", F.col("a"))), "dd/MM/yyyy") == private.pseudonym("k", F.col("b"))).count() == 1
+
+
+def slow_pseudonyms(text, key):
+    """The same by plain code, a match at a time."""
+    import hashlib
+    from datetime import date, timedelta
+
+    def feistel(kind, a, m1, b, m2):
+        for r in range(8):
+            h = int(hashlib.sha256(f"{key}|{kind}|{r}|{b if r % 2 == 0 else a}|{key}".encode()).hexdigest()[:12], 16)
+            a, b = ((a + h) % m1, b) if r % 2 == 0 else (a, (b + h) % m2)
+        return a, b
+
+    def fill(m, digits):
+        it = iter(digits)
+        return "".join(next(it) if c in "0123456789" else c for c in m)
+
+    def card(m):
+        d = re.sub("[^0-9]", "", m)
+        if not (13 <= len(d) <= 19 and luhn(d)):
+            return m
+        half = (len(d) - 1) // 2
+        rest = len(d) - 1 - half
+        a, b = feistel("card", int(d[:half]), 10**half, int(d[half:-1]), 10**rest)
+        body = f"{a:0{half}d}{b:0{rest}d}"
+        return fill(m, body + next(c for c in "0123456789" if luhn(body + c)))
+
+    def phone(m):
+        d = re.sub("[^0-9]", "", m)
+        lead, d = d[:-10], d[-10:]
+        low, size = (0, 20_000) if int(d[:3]) < 200 else (200, 80_000)
+        a, b = feistel("phone", (int(d[:3]) - low) * 100 + int(d[6:8]), size, (int(d[3]) - 2) * 10_000 + int(d[4:6]) * 100 + int(d[8:]), 80_000)
+        return fill(m, f"{lead}{a // 100 + low:03d}{b // 100 + 200:03d}{a % 100:02d}{b % 100:02d}")
+
+    def ssn(m):
+        area, group, serial = map(int, m.split("-"))
+        if not (0 < area < 900 and area != 666 and group and serial):
+            return m
+        areas = [x for x in range(1, 900) if x != 666]
+        a, b = feistel("ssn", areas.index(area) * 99 + group - 1, 898 * 99, serial - 1, 9999)
+        return f"{areas[a // 99]:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+
+    def valid(y, mo, d):
+        try:
+            return date(y, mo, d)
+        except ValueError:
+            return None
+
+    def dated(m):
+        iso = m[4] == "-"
+        y, mo, d = map(int, m.split("-")) if iso else (int(m[6:]), int(m[3:5]), int(m[:2]))
+        x = valid(y, mo, d)
+        if x:
+            n = (x - date(1900, 1, 1)).days
+            a, b = feistel("date", n // 4297, 17, n % 4297, 4297)
+            return (date(1900, 1, 1) + timedelta(a * 4297 + b)).strftime("%Y-%m-%d" if iso else "%d/%m/%Y")
+        if iso or not valid(y, d, mo):
+            return m
+        mo, d = d, mo
+        if (mo, d) == (2, 29):
+            years = [y for y in range(1900, 2100) if valid(y, 2, 29)]
+            at = years.index(y)
+            a, b = feistel("leap day", at // 7, 7, at % 7, 7)
+            return f"02/29/{years[a * 7 + b]}"
+        late = [(i, k) for i in range(1, 13) for k in range(13, 32) if valid(1901, i, k)]
+        a, b = feistel("month first", y - 1900, 200, late.index((mo, d)), 221)
+        return f"{late[b][0]:02d}/{late[b][1]:02d}/{a + 1900}"
+
+    def ip(m):
+        o = list(map(int, m.split(".")))
+        if max(o) > 255:
+            return m
+        a, b = feistel("ip", o[0] * 256 + o[1], 65536, o[2] * 256 + o[3], 65536)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+
+    email = lambda m: f"user-{hashlib.sha256(f'{key}|email|{m.lower()}'.encode()).hexdigest()[:16]}@example.invalid"
+    made = {"email": email, "secret": lambda m: "[secret]", "ip": ip, "ssn": ssn, "phone": phone, "date": dated, "card": card}
+    one = lambda m: next(made[k](m) for k, p in private.PATTERNS.items() if re.fullmatch(p, m))
+    return re.sub(private.ANY, lambda m: one(m[0]), text, flags=re.ASCII)
+
+
+def test_pseudonyms_by_plain_code(spark):
+    import random
+
+    r = random.Random(6)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    texts = []
+    for _ in range(150):
+        body = digits(r.choice([12, 14, 15, 18]))
+        number = body + next(c for c in "0123456789" if luhn(body + c))
+        parts = [
+            number, " ".join(number[i : i + 4] for i in range(0, 16, 4)) if len(number) == 16 else digits(9), f"({digits(3)}) {r.randrange(2, 10)}{digits(2)}-{digits(4)}", f"+1 {digits(3)}.{digits(3)}.{digits(4)}",
+            f"{digits(3)}-{digits(2)}-{digits(4)}", f"{r.choice([19, 20])}{digits(2)}-{r.randrange(1, 14):02d}-{r.randrange(1, 33):02d}", f"{r.randrange(1, 33):02d}/{r.randrange(1, 33):02d}/{r.choice([19, 20])}{digits(2)}",
+            f"{r.randrange(300)}.{r.randrange(300)}.{r.randrange(20)}.1", f"A{digits(2)}b@mail{digits(1)}.example.org", f"api_key: {digits(14)}", "AKIA" + digits(16), "02/29/2004", "plain words",
+        ]
+        r.shuffle(parts)
+        texts.append("; ".join(parts))
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in private.pseudonymize(made, "k").collect():
+        assert x.text == slow_pseudonyms(texts[x.doc_id], "k")
+    clash = private.pseudonymize(made.selectExpr("doc_id", "7 AS n_found", "text"), "k")
+    assert clash.columns == ["doc_id", "text", "n_found", "n_replaced"] and clash.where("n_found > 5").count() > 100
+
+
 # Backoff
 
 
