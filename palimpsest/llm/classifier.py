@@ -111,11 +111,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, sample:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t.as_py() or b"") for t in batch.column(0).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "quality"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), *batch.columns[1:]], names=["x", "quality", "h"])
 
-    # ``train`` has ``sample`` rows at most, and so has the result unless doc_ids repeat.
+    short_batches(docs.sparkSession)
+    # ``train`` has ``sample`` rows at most, and so has the result unless doc_ids repeat. Texts become features where they lie.
     joined = texts.join(F.broadcast(train), "doc_id").select("text", "quality", F.xxhash64("doc_id", "text").alias("h"))
-    rows = joined.orderBy("h").limit(sample).drop("h").mapInArrow(scan, "x array<double>, quality int").collect()
+    rows = joined.mapInArrow(scan, "x array<double>, quality int, h long").orderBy("h", "quality").limit(sample).collect()
     x = np.array([r.x for r in rows]).reshape(-1, len(NAMES))
     return fit(x, np.array([r.quality == 1 for r in rows], dtype=bool), threshold=threshold)
 
