@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import drop_table, materialize
 from palimpsest.llm.components import connected_components
 
-#: Rounds of hubs at most; pairs that may be left for each row of the prefix table; members of a salted block.
-ROUNDS, LEFT, BLOCK = 2, 16, 256
+#: Rounds of hubs; members of a salted block; first keys of a member, by which a pair that shares several is met once.
+ROUNDS, BLOCK, SHARED = 2, 256, 16
 
 
 def _may(similar: float, at_a: str, n_a: str, at_b: str, n_b: str) -> Column:
@@ -25,54 +25,79 @@ def _may(similar: float, at_a: str, n_a: str, at_b: str, n_b: str) -> Column:
     return most >= (F.col(n_a) + F.col(n_b)) * (similar / (1 + similar)) - 1e-6
 
 
-def _rest(members: DataFrame, similar: float) -> DataFrame:
-    """Pairs ``a, b`` of different roots under one key, paired in salted blocks."""
+def _words(sketches: DataFrame | None) -> list[str]:
+    return [c for c in sketches.columns if c != "id"] if sketches is not None else []
+
+
+def _near(words: list[str], most: int) -> Column:
+    """Whether the sketches of two sides, ``s_a, ...`` and ``s_b, ...``, differ in ``most`` bits or fewer."""
+    if not words:
+        return F.lit(True)
+    return sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0)) <= most
+
+
+def _close(pairs: DataFrame, sketches: DataFrame | None, most: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sketches are near each other."""
+    if sketches is None:
+        return pairs
+    words = _words(sketches)
+    side = lambda s: sketches.select(F.col("id").alias(s), *[F.col(w).alias(f"{w}_{s}") for w in words])
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_near(words, most)).select("a", "b")
+
+
+def _rest(members: DataFrame, similar: float, sketches: DataFrame | None = None, most: int = 0) -> DataFrame:
+    """Pairs ``a, b`` of different roots under one key whose sketches are near each other, met in salted blocks."""
+    words = _words(sketches)
+    if words:
+        members = members.join(sketches, "id")
+    first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("at", "key"))), 1, SHARED), lambda x: x["key"])
+    members = members.join(members.groupBy("id").agg(first.alias("ks")), "id")
+    words = [*words, "ks"]
     blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # A member goes to the cells of its block's row and column, so that each two blocks meet in one cell.
     cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "id", "at", "n", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        "key", "id", "at", "n", "root", *words, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
-    left = cells.where("block = i").select("key", "i", "j", *[F.col(c).alias(f"{c}_a") for c in ("id", "at", "n", "root")])
-    right = cells.where("block = j").select("key", "i", "j", *[F.col(c).alias(f"{c}_b") for c in ("id", "at", "n", "root")])
+    left = cells.where("block = i").select("key", "i", "j", *[F.col(c).alias(f"{c}_a") for c in ("id", "at", "n", "root", *words)])
+    right = cells.where("block = j").select("key", "i", "j", *[F.col(c).alias(f"{c}_b") for c in ("id", "at", "n", "root", *words)])
     met = left.join(right, ["key", "i", "j"]).where("root_a <> root_b").where("i < j OR id_a < id_b")
-    return met.where(_may(similar, "at_a", "n_a", "at_b", "n_b")).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    # A pair is met under each key it shares: it goes on from the first of those, as far as that is among the first ones of both.
+    once = F.coalesce(F.get(F.array_intersect("ks_a", "ks_b"), F.lit(0)), F.col("key")) == F.col("key")
+    return met.where(_may(similar, "at_a", "n_a", "at_b", "n_b") & _near(words[:-1], most) & once).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-def links(prefix: DataFrame, verified: Callable[[DataFrame], DataFrame], similar: float) -> DataFrame:
+def links(prefix: DataFrame, verified: Callable[[DataFrame], DataFrame], similar: float, sketches: DataFrame | None = None, most: int = 0) -> DataFrame:
     """Edges ``a, b`` that connect exactly the ids that pairs of similarity ``similar`` or more connect.
 
     Pairs within one component need no look. So the members of each key are compared
-    with one hub a round, which joins near-copies at linear cost, and keys whose members
-    are in one component leave. When few pairs of different components are left, or after
-    ``ROUNDS`` rounds however many there are, all of them are compared.
-    ``verified`` takes pairs ``a, b`` and returns those that are similar.
+    with one hub a round, which joins near-copies at linear cost. The hub, which has then
+    been compared with all, leaves the key, and keys whose members are in one component
+    are done. After ``ROUNDS`` rounds all pairs of different components under a key are compared.
+    ``verified`` takes pairs ``a, b`` and returns those that are similar. ``sketches``: by
+    ``id`` words of bits of which similar sets differ in ``most`` at most; other pairs are not verified.
     """
     group = prefix.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     todo = materialize(prefix.join(group, "key", "left_semi").select("key", "id", "at", "n", F.col("id").alias("root")), "prefix")
     edges = todo.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     for k in range(ROUNDS + 1):
-        by_root = todo.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
-        open_ = by_root.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
-        found = open_.agg(F.sum("c").alias("rows"), F.sum((F.col("c") * F.col("c") - F.col("own")) / 2).alias("pairs")).first()
-        if not found.pairs:
+        if todo.isEmpty():
             break
-        last = k == ROUNDS or (k > 0 and found.pairs <= LEFT * found.rows)
-        if last:
-            pairs = _rest(todo, similar)
-        else:
-            rank = F.xxhash64(F.lit(k), "id")
-            hub = todo.groupBy("key").agg(F.min_by(F.struct("id", "at", "n", "root"), rank).alias("h")).select("key", *[F.col(f"h.{c}").alias(f"{c}_h") for c in ("id", "at", "n", "root")])
-            met = todo.join(hub, "key").where("root <> root_h").where(_may(similar, "at", "n", "at_h", "n_h"))
-            pairs = met.select(F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b")).distinct()
-        edges = materialize(edges.unionByName(verified(materialize(pairs, "candidates"))), "similar")
-        if last:
+        if k == ROUNDS:
+            pairs = _rest(todo, similar, sketches, most)
+            edges = materialize(edges.unionByName(verified(materialize(pairs, "candidates"))), "similar")
             break
+        rank = F.xxhash64(F.lit(k), "id")
+        hub = todo.groupBy("key").agg(F.min_by(F.struct("id", "at", "n", "root"), rank).alias("h")).select("key", *[F.col(f"h.{c}").alias(f"{c}_h") for c in ("id", "at", "n", "root")])
+        met = materialize(todo.join(hub, "key").where("id <> id_h"), "met")
+        near = met.where("root <> root_h").where(_may(similar, "at", "n", "at_h", "n_h"))
+        pairs = _close(near.select(F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b")).distinct(), sketches, most)
+        edges = materialize(edges.unionByName(verified(materialize(pairs, "candidates"))), "similar")
         roots = connected_components(edges)
-        rooted = todo.drop("root").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", "at", "n", F.coalesce("root", "id").alias("root"))
+        rooted = met.select("key", "id", "at", "n").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", "at", "n", F.coalesce("root", "id").alias("root"))
         rooted = materialize(rooted, "rooted")
         drop_table(todo)
-        # Keys whose members are all connected are done.
+        drop_table(met)
         several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
         todo = materialize(rooted.join(several, "key", "left_semi"), "prefix")
         drop_table(rooted)
