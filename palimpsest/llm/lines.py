@@ -6,15 +6,17 @@ under each of the permutations. Bands of the signatures give candidate pairs, wh
 Jaccard similarity is computed exactly, and components of the similar pairs keep their
 first line.
 
-A band shared by very many different lines is not paired: its lines go by their rarest
-shingles. Of two lines with similarity s or more, each having shingles in any one order,
-some shingle is among the first n - ceil(s n) + 1 of both. With the rarest first, the
-texts that crowd a band hardly share one unless they are near-copies; ``prefixes``
-links those of a shared rare shingle exactly, however many they are.
+Lines of one band are not all paired: they are compared with hubs, which joins near-copies
+at linear cost, and only those left in different components in blocks (``prefixes``). Before
+their lines are fetched, pairs have to agree in most of their signatures.
 """
 
 from __future__ import annotations
 
+import math
+import random
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,8 +25,8 @@ from palimpsest.llm import prefixes
 from palimpsest.llm.common import drop_table, materialize, small
 from palimpsest.llm.components import connected_components
 
-#: Code points of a shingle, bands and hashes in a band, similarity, lines of a band that are paired.
-SHINGLE, BANDS, ROWS, SIMILAR, PAIRED = 9, 8, 3, 0.8, 64
+#: Code points of a shingle, bands and hashes in a band, similarity, standard deviations that signatures may lie apart beyond the mean.
+SHINGLE, BANDS, ROWS, SIMILAR, DEVIATIONS = 9, 8, 3, 0.8, 3.5
 
 
 def _wide(line: Column) -> Column:
@@ -40,25 +42,34 @@ def _shingles(wide: str, shingle: int) -> Column:
     return F.array_distinct(F.transform(_starts(F.col(wide), shingle), lambda i: F.xxhash64(F.substr(wide, i, F.lit(4 * shingle)))))
 
 
-def _shingled(lines: DataFrame, shingle: int) -> DataFrame:
-    """``id, s`` of ``lines(id, line)``: the different shingles of each line."""
-    wide = lines.select("id", _wide(F.col("line")).alias("wide"))  # a column of its own, so that it is made once a line
-    return wide.select("id", _shingles("wide", shingle).alias("s"))
-
-
 def signatures(lines: DataFrame, shingle: int, hashes: int) -> DataFrame:
     """``id`` and ``m0, m1, ...`` from ``lines(id, line)``: the least 32-bit shingle hash under each permutation."""
     wide = lines.select("id", _wide(F.col("line")).alias("wide"))
     each = wide.select("id", "wide", F.explode(_starts(F.col("wide"), shingle)).alias("at"))
     hashed = each.select("id", F.hash(F.substr(F.col("wide"), F.col("at"), F.lit(4 * shingle))).alias("x"))
-    # Exclusive or with a constant permutes the hashes.
-    keys = [(2654435761 * (k + 1)) % (1 << 32) - (1 << 31) for k in range(hashes)]
-    return hashed.groupBy("id").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(keys)])
+    # An odd factor and a summand permute the numbers below 2^32.
+    draw = random.Random(11)
+    orders = [(draw.randrange(1 << 29, 1 << 30) * 2 + 1, draw.randrange(1 << 32)) for _ in range(hashes)]
+    ordered = [(F.col("x").cast("long") * a + b).bitwiseAND(F.lit((1 << 32) - 1)) for a, b in orders]
+    return hashed.groupBy("id").agg(*[F.min(x).alias(f"m{k}") for k, x in enumerate(ordered)])
+
+
+def _sketches(signed: DataFrame, hashes: int) -> DataFrame:
+    """``id, s0, s1, ...``: the last eight bits of each hash of a signature, eight to a word."""
+    byte = lambda k: F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(255)), 8 * (k % 8))
+    words = [reduce(lambda x, y: x.bitwiseOR(y), [byte(k) for k in range(w, min(w + 8, hashes))]) for w in range(0, hashes, 8)]
+    return signed.select("id", *[w.alias(f"s{k}") for k, w in enumerate(words)])
+
+
+def most_different(hashes: int, similar: float) -> int:
+    """Bits in which sketches of two similar lines differ, at most: a hash differs with probability 1 - similar, and then in four bits of eight on the average."""
+    p = 1 - similar
+    return int(hashes * 4 * p + DEVIATIONS * math.sqrt(hashes * (2 * p + 16 * p * (1 - p))))
 
 
 def _compared(lines: DataFrame, wanted: DataFrame, shingle: int, similar: float) -> DataFrame:
     """Those of the pairs ``wanted(a, b)``, which are a table, that have similarity ``similar`` or more."""
-    ids = materialize(wanted.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    ids = materialize(wanted.select(F.col("a").alias("id")).distinct().union(wanted.select("b").distinct()).distinct(), "wanted")
     texts = materialize(lines.join(small(ids), "id", "left_semi").select("id", "line"), "wanted-lines")
     both = wanted.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
     # Pairs travel with their lines, which are far smaller than the lines' shingles.
@@ -71,71 +82,64 @@ def _compared(lines: DataFrame, wanted: DataFrame, shingle: int, similar: float)
     return common.where(F.col("n") >= similar * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
 
 
-def similar_lines(lines: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, paired: int = PAIRED) -> DataFrame:
-    """Edges ``(a, b)`` between ids of ``lines(id, line)`` with similarity ``similar`` or more."""
-    signed = signatures(lines, shingle, bands * rows)
+def similar_lines(lines: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
+    """Edges ``(a, b)`` that connect those ids of ``lines(id, line)`` which pairs of similarity ``similar`` or more with a common band connect."""
+    hashes = bands * rows
+    signed = materialize(signatures(lines, shingle, hashes), "signatures")
     key = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
-    keyed = materialize(signed.select("id", F.explode(F.array(*key)).alias("key")), "bands")
-    crowd = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(keyed.join(crowd, "key"), "shared")
-    drop_table(keyed)
-    few = shared.where(F.col("n") <= paired)
-    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
-    crowded = shared.where(F.col("n") > paired).select("id").distinct()
-    met = _shingled(lines.join(small(materialize(crowded, "crowded")), "id", "left_semi"), shingle).select("id", F.explode("s").alias("s"))
-    there = materialize(met, "crowd-shingles")
-    rare = there.groupBy("s").agg(F.count("*").alias("df"), F.min("id").alias("least"))
-    ranked = there.join(rare.where("df > 1"), "s")
-    sizes = there.groupBy("id").agg(F.count("*").alias("size"), )
-    # Shingles of one line only come first of all; they are counted, not kept.
-    spread = ranked.join(sizes, "id").withColumn("shared", F.count("*").over(Window.partitionBy("id"))).withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")))
-    prefix = spread.where(F.col("size") - F.col("shared") + F.col("k") <= F.col("size") - F.ceil(F.col("size") * similar) + 1)
-    prefix = materialize(prefix.select(F.col("s").alias("key"), "id", (F.col("size") - F.col("shared") + F.col("k")).alias("at"), F.col("size").alias("n")), "prefix")
-    verified = lambda wanted: _compared(lines, wanted, shingle, similar)
-    edges = verified(materialize(pairs.distinct(), "candidates")).unionByName(prefixes.links(prefix, verified, similar))
-    for t in (shared, there, prefix):
-        drop_table(t)
+    # A band stands in the place of a prefix of one element.
+    keyed = signed.select("id", F.posexplode(F.array(*key)).alias("at", "key")).select("key", "id", F.lit(1).alias("at"), F.lit(1).alias("n"))
+    edges = prefixes.links(keyed, lambda wanted: _compared(lines, wanted, shingle, similar), similar, _sketches(signed, hashes), most_different(hashes, similar))
+    drop_table(signed)
     return edges
 
 
-def duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, dropped`` for every row of ``docs(doc_id, text, ...)``.
-
-    A line is what lies between line feeds, less the white space around it; blank lines
-    are neither counted nor dropped. Of each component of similar lines, equal ones
-    included, the first stays in order of doc_id (nulls last), hash of the text and
-    place. ``dropped`` lists the others' places among the lines, from 0 on. Null texts have
-    no lines. Rows alike in doc_id and text are treated as the same row, each
-    reporting the same. Other columns play no part.
-    """
+def _judged(docs: DataFrame, keep: list[Column], **options) -> DataFrame:
+    """The columns ``keep`` of every row of docs, ``n_lines``, and the places ``dropped``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     last = F.lit(2**63 - 1)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.split(text, "\n", -1).alias("l"))
-    trimmed = F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    placed = rows.select(F.coalesce("doc_id", last).alias("d"), "t", F.posexplode("l").alias("at", "line")).select("d", "t", "at", trimmed.alias("line")).where("line <> ''")
+    rows = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), last).alias("__d"), F.xxhash64(text).alias("__t"), F.split(text, "\n", -1).alias("__l"))
+    placed = rows.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.posexplode("__l").alias("at", "line")).select("d", "t", "at", F.btrim("line", F.lit(" \t\n\x0b\f\r")).alias("line")).where("line <> ''")
     different = placed.groupBy("line").agg(F.count("*").alias("n"))
     lines = materialize(different.select(F.xxhash64("line").alias("id"), "line", "n"), "lines")
-    roots = connected_components(similar_lines(lines.select("id", "line"), **options))
+    edges = similar_lines(lines.select("id", "line"), **options)
+    roots = connected_components(edges)
     repeated = lines.where("n > 1").select("id").join(roots.select(F.col("node").alias("id"), "root"), "id", "full").select("id", F.coalesce("root", "id").alias("root"))
     repeated = materialize(repeated, "repeated")
     there = materialize(placed.select("d", "t", "at", F.xxhash64("line").alias("id")).join(repeated, "id").select("d", "t", "at", "root"), "places")
     order = F.struct("d", "t", "at")
-    first = there.groupBy("root").agg(F.min(order).alias("first"))
-    lost = there.join(materialize(first, "first"), "root").where(order != F.col("first")).select("d", "t", "at").distinct()
-    by_text = lost.groupBy("d", "t").agg(F.array_sort(F.collect_list("at")).alias("dropped"))
-    counted = rows.select("doc_id", F.coalesce("doc_id", last).alias("d"), "t", F.size(F.filter("l", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))
-    gone = F.coalesce("dropped", F.array().cast("array<int>"))
-    drop_table(lines)
-    return counted.join(materialize(by_text, "dropped"), ["d", "t"], "left").select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_dropped"), gone.alias("dropped"))
+    first = materialize(there.groupBy("root").agg(F.min(order).alias("first")), "first")
+    lost = there.join(first, "root").where(order != F.col("first")).select("d", "t", "at").distinct()
+    gone = materialize(lost.groupBy(F.col("d").alias("__d"), F.col("t").alias("__t")).agg(F.array_sort(F.collect_list("at")).alias("__dropped")), "dropped")
+    for t in (lines, edges, repeated, there, first):
+        drop_table(t)
+    filled = F.filter(F.transform("__l", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    counted = rows.select(*[c for c in rows.columns if c != "__l"], filled.alias("__filled"))
+    # Of rows alike in doc_id and text one has its turn first; the lines of the others all repeat its own.
+    turn = F.row_number().over(Window.partitionBy("__d", "__t").orderBy(F.lit(0)))
+    met = counted.join(gone, ["__d", "__t"], "left").withColumn("__turn", turn)
+    dropped = F.when(F.col("__turn") > 1, F.col("__filled")).otherwise(F.coalesce("__dropped", F.array().cast("array<int>")))
+    return met.select(*[c for c in rows.columns if not c.startswith("__") or c == "__row"], F.size("__filled").cast("long").alias("n_lines"), dropped.alias("dropped"))
+
+
+def duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, n_lines, n_dropped, dropped`` for every row of ``docs(doc_id, text, ...)``.
+
+    A line is what lies between line feeds, less the white space around it; blank lines
+    are neither counted nor dropped. Of each component of similar lines, equal ones
+    included, the first stays in order of doc_id (nulls last), hash of the text and
+    place. ``dropped`` lists the others' places among the lines, from 0 on. Null texts have
+    no lines. Of rows alike in doc_id and text one counts as the first, the others drop
+    all their lines. Other columns play no part.
+    """
+    found = _judged(docs, [F.col("doc_id").cast("long").alias("doc_id")], **options)
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``; null texts stay null."""
-    found = duplicates(docs, **options).where("n_dropped > 0").withColumnsRenamed({"doc_id": "__doc", "dropped": "__dropped"})
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"), text.alias("__text"))
-    one = found.groupBy("__doc").agg(F.first("__dropped").alias("__dropped"))
-    kept = F.filter(F.split("__text", "\n", -1), lambda x, i: ~F.array_contains("__dropped", i))
-    out = marked.join(one, F.col("__id").eqNullSafe(F.col("__doc")), "left")
-    new = F.when(F.col("__dropped").isNull(), F.col("__row.text").cast("string")).otherwise(F.array_join(kept, "\n"))
-    return out.select(*[new.alias(f.name) if f.name == "text" else F.col(f"__row.`{f.name}`") for f in docs.schema.fields])
+    found = _judged(docs, [F.struct("*").alias("__row")], **options)
+    text = F.col("__row.text").cast("string")
+    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("dropped", i))
+    new = F.when(F.size("dropped") == 0, text).otherwise(F.array_join(kept, "\n"))
+    return found.select(*[new.alias(f.name) if f.name == "text" else F.col(f"__row.`{f.name}`") for f in docs.schema.fields])

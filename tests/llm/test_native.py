@@ -414,7 +414,7 @@ def test_fuzzy_lines(spark, docs, none):
         texts += [(3 * k, f"{x}\nshort"), (3 * k + 1, f"\n  {near}\nshort\nown {k}"), (3 * k + 2, f"{x}  \n{x}")]
     crowd = base[0]
     texts += [(100 + k, crowd[:k] + "~" + crowd[k + 1 :]) for k in range(5, 95)]
-    got = {x.doc_id: x for x in lines.duplicates(spark.createDataFrame(texts, "doc_id long, text string"), paired=20).collect()}
+    got = {x.doc_id: x for x in lines.duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     everything = sorted({x.strip() for _, t in texts for x in t.split("\n") if x.strip()})
     root = {x: x for x in everything}
 
@@ -443,6 +443,40 @@ def test_fuzzy_lines(spark, docs, none):
     assert cleaned[0] == texts[0][1] and cleaned[2] == ""
 
 
+def test_repeated_rows_and_ids(spark):
+    """Rows alike keep a line once; of rows of one doc_id each loses its own places."""
+    rows = [(1, "A LINE OF ITS OWN\nseen in both"), (1, "seen in both\nKEEP ONE\nmore"), (2, "twice the same\n\nrow"), (2, "twice the same\n\nrow"), (None, "row"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS n_lines", "'x' AS dropped")
+    out = lines.clean(docs)
+    assert out.columns == docs.columns
+    kept = [x for r in out.collect() if r.text for x in r.text.split("\n") if x]
+    assert sorted(kept) == sorted({x for _, t in rows if t for x in t.split("\n") if x})
+    assert sum(r.n_dropped for r in lines.duplicates(docs).collect()) == 1 + 2 + 1
+
+
+def test_recall_of_bands(spark):
+    """Pairs of lines at similarity 0.8 and 0.9, short and long: nine in ten are found, and nothing below 0.8."""
+    import random
+
+    r = random.Random(9)
+    texts, pairs = {}, []
+    for k in range(400):
+        n = r.choice([60, 120, 300])
+        x = "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+        y = x
+        while slow_similar(x, y) > r.choice([0.82, 0.92]) and slow_similar(x, y) > 0.805:
+            at = r.randrange(n)
+            z = y[:at] + r.choice("QRSTUV") + y[at + 1 :]
+            if slow_similar(x, z) < 0.8:
+                break
+            y = z
+        texts[2 * k], texts[2 * k + 1] = x, y
+        pairs.append((2 * k, 2 * k + 1))
+    found = {tuple(sorted(e)) for e in lines.similar_lines(spark.createDataFrame(list(texts.items()), "id long, line string")).collect()}
+    assert all(slow_similar(texts[a], texts[b]) >= 0.8 for a, b in found)
+    assert sum(p in found for p in pairs) >= 0.95 * len(pairs)
+
+
 def test_crowds_of_different_lines_link_exactly(spark):
     """Boilerplate of few phrases with a letter changed: many share every rare shingle, and few are similar to any one hub."""
     import random
@@ -454,7 +488,7 @@ def test_crowds_of_different_lines_link_exactly(spark):
             at = r.randrange(len(base))
             texts.add(base[:at] + r.choice("ABCDEFGH") + base[at + 1 :])
     texts = sorted(texts)
-    edges = lines.similar_lines(spark.createDataFrame(list(enumerate(texts)), "id long, line string"), bands=24, rows=1, paired=8).collect()
+    edges = lines.similar_lines(spark.createDataFrame(list(enumerate(texts)), "id long, line string"), bands=24, rows=1).collect()
 
     def groups(pairs):
         root = list(range(len(texts)))
