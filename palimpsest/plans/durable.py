@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder of the session and read from there.
 
-    The folder is that of ``spark.checkpoint.dir``; only where none is set, as in
-    tests, a local one is made.
+    The folder is that of ``spark.checkpoint.dir``; a local one is made only in local
+    mode, as in tests, where none is set.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="palimpsest-"))
     return df.checkpoint(eager=True)
