@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring
 from palimpsest.functions.text import is_test_path, normalize_path
 from palimpsest.plans.scope import under_any
 
-#: Commits that touch more files than this say nothing about relations.
-MASS = 50
+#: Commits that touch more files than this say nothing about relations; paths that may be broadcast.
+MASS, FEW = 50, 100_000
 
 
 def eligible_commits(paths: DataFrame, merges: DataFrame, mass: int = MASS, least: int = 2) -> DataFrame:
@@ -40,6 +40,18 @@ def seed_matches(paths: DataFrame, seeds: DataFrame) -> DataFrame:
     return exact.unionByName(whole).unionByName(named)
 
 
+def _stem(path: Column) -> Column:
+    """The last part of a path up to its last dot."""
+    return F.regexp_replace(F.regexp_extract(path, "[^/]*$", 0), r"\.[^.]*$", "")
+
+
+def tested_name(path: Column) -> Column:
+    """What a test's file name says it tests: its stem less one mark of a test before it, else after it."""
+    stem = _stem(normalize_path(path))
+    before = F.regexp_replace(stem, "^test[_-]", "")
+    return F.when(before != stem, before).otherwise(F.regexp_replace(stem, "_test$", ""))
+
+
 def related_files(paths: DataFrame, merges: DataFrame, seeds: DataFrame, *, mass: int = MASS, limit: int | None = 10, tests_only: bool = False) -> DataFrame:
     """Files changed in the same commits as ``seeds(seed)``, ranked.
 
@@ -49,7 +61,9 @@ def related_files(paths: DataFrame, merges: DataFrame, seeds: DataFrame, *, mass
     eligible = eligible_commits(paths, merges, mass)
     there = paths.join(eligible, "commit_id", "left_semi")
     matched = seed_matches(paths, seeds)
-    touched = there.join(F.broadcast(matched) if seeds.count() <= 1000 else matched, "path").groupBy("commit_id").agg(F.count_distinct("seed").alias("seeds_here"), F.collect_set("seed").alias("seeds"))
+    # One base name may match very many paths, so these are counted, not the seeds.
+    few = matched.limit(FEW + 1).count() <= FEW
+    touched = there.join(F.broadcast(matched) if few else matched, "path").groupBy("commit_id").agg(F.count_distinct("seed").alias("seeds_here"), F.collect_set("seed").alias("seeds"))
     others = there.join(touched, "commit_id").join(matched.select("path").distinct(), "path", "left_anti")
     support = others.groupBy("path").agg(F.count("*").alias("support"), F.size(F.array_distinct(F.flatten(F.collect_set("seeds")))).alias("seed_coverage"), F.max("commit_id").alias("latest"))
     total = there.groupBy("path").agg(F.count("*").alias("touches"))
@@ -63,7 +77,10 @@ def related_files(paths: DataFrame, merges: DataFrame, seeds: DataFrame, *, mass
         .withColumn("confidence", scoring.relation_confidence(F.col("support"), F.col("proportion")))
     )
     if tests_only:
-        scored = scored.where(is_test_path(F.col("path"))).withColumn("score", F.col("score") * 1.25)
+        # A test that is only named like a seed is no news; support for another one is.
+        names = seeds.select(_stem(F.lower("seed")).alias("stem"), F.lit(True).alias("mirror")).distinct()
+        tests = scored.where(is_test_path(F.col("path"))).withColumn("stem", tested_name(F.col("path"))).join(names, "stem", "left")
+        scored = tests.withColumn("score", F.col("score") * F.when(F.col("mirror"), 1.0).otherwise(1.25))
     ranked = scored.select("path", "support", F.round("proportion", 6).alias("proportion"), F.round("ubiquity", 6).alias("ubiquity"), "seed_coverage", F.round("score", 6).alias("score"), "confidence")
     return ranked if limit is None else ranked.orderBy(F.desc("score"), "path").limit(limit)
 

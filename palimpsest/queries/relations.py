@@ -132,6 +132,8 @@ cand AS (SELECT t.path, count(DISTINCT t.commit_id) AS support, count(DISTINCT t
 total AS (SELECT path, count(*) AS touches FROM there GROUP BY path),
 scored AS (SELECT cand.path, support, support / seed_commits AS proportion, touches / commits AS ubiquity, seed_coverage, n_seeds FROM cand JOIN total USING (path), n)
 """
+_STEM = r"regexp_replace(regexp_extract({}, '[^/]*$'), '\.[^.]*$', '')"
+MIRROR = f"regexp_replace({_STEM.format('lower(path)')}, '^test[_-]|_test$', '') IN (SELECT {_STEM.format('lower(seed)')} FROM seeds)"
 SCORE = "support * proportion * (1 + 0.5 * seed_coverage / n_seeds) / (1 + ubiquity)"
 
 
@@ -203,7 +205,7 @@ def win_total_touches(c: Catalog) -> DataFrame:
     with_views(
         BASE,
         RELATED
-        + f"SELECT path, support, round(1.25 * {SCORE}, 6) AS score FROM scored WHERE regexp_matches(lower(path), '(^|/)(test|tests|__tests__|spec)/|(^|/)test[_-][^/]*$|(^|/)[^/]*(_test|_spec)(\\.[^./]*)?$|(^|/)[^/]*\\.(test|spec)\\.[^/]*$') ORDER BY score DESC, path LIMIT 10",
+        + f"SELECT path, support, round(CASE WHEN {MIRROR} THEN 1.0 ELSE 1.25 END * {SCORE}, 6) AS score FROM scored WHERE regexp_matches(lower(path), '(^|/)(test|tests|__tests__|spec)/|(^|/)test[_-][^/]*$|(^|/)[^/]*(_test|_spec)(\\.[^./]*)?$|(^|/)[^/]*\\.(test|spec)\\.[^/]*$') ORDER BY score DESC, path LIMIT 10",
     )
 )
 def tests_candidates(c: Catalog) -> DataFrame:

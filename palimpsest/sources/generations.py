@@ -1,14 +1,16 @@
 """Generations of cached tables: full builds, increments, pruning and clearing behind one manifest.
 
-A generation is a folder of Parquet tables. Readers follow the manifest, which names the
-current generation and is replaced in one rename after the tables are complete, so that a
-failed write leaves the last generation in place. All file operations go through Hadoop's
-file systems.
+A generation is a folder of Parquet tables. Manifests are numbered and never replaced: each
+names the tables of a generation and is made, if its number is not there yet, once they are
+complete. Readers follow the newest one that is whole, so that a failed write leaves the last
+generation in place; of two writers that began from one manifest the second one fails. All
+file operations go through Hadoop's file systems.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,13 +25,22 @@ class Store:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _manifests(self) -> list[tuple[int, str]]:
+        """Numbers and names of the manifests, newest first, broken ones too."""
+        found = self._fs.globStatus(self._path(f"{self.root}/MANIFEST-*.json"))
+        names = [x.getPath().toString() for x in found or ()]
+        return sorted(((int(re.search(r"MANIFEST-(\d+)\.json$", n)[1]), n) for n in names), reverse=True)
+
     def manifest(self) -> dict | None:
-        """The current manifest, or None if nothing was built or its version is another one."""
-        name = self._path(f"{self.root}/MANIFEST.json")
-        if not self._fs.exists(name):
-            return None
-        found = json.loads("".join(r.value for r in self.spark.read.text(name.toString(), wholetext=True).collect()))
-        return found if found["schema"] == SCHEMA_VERSION else None
+        """The newest whole manifest, or None if nothing was built or its version is another one."""
+        for _, name in self._manifests():
+            text = "".join(r.value for r in self.spark.read.text(name, wholetext=True).collect())
+            try:
+                found = json.loads(text)
+            except json.JSONDecodeError:
+                continue  # its writer was lost
+            return found if found["schema"] == SCHEMA_VERSION else None
+        return None
 
     def table(self, name: str) -> DataFrame:
         current = self.manifest()
@@ -37,16 +48,19 @@ class Store:
             raise LookupError("nothing is built here")
         return self.spark.read.parquet(*[f"{self.root}/{p}" for p in current["tables"][name]])
 
-    def _publish(self, tables: dict[str, list[str]], meta: dict) -> dict:
+    def _next(self) -> int:
+        """The number that a change begun now is to take."""
+        found = self._manifests()
+        return found[0][0] + 1 if found else 1
+
+    def _publish(self, number: int, tables: dict[str, list[str]], meta: dict) -> dict:
         body = json.dumps({"schema": SCHEMA_VERSION, "generation": uuid.uuid4().hex, "tables": tables, **meta})
-        staged, final = self._path(f"{self.root}/MANIFEST.{uuid.uuid4().hex}"), self._path(f"{self.root}/MANIFEST.json")
-        out = self._fs.create(staged, True)
+        name = self._path(f"{self.root}/MANIFEST-{number:012d}.json")
+        if self._fs.exists(name):
+            raise FileExistsError("another writer has changed the store")
+        out = self._fs.create(name, False)  # fails if it was made meanwhile
         out.write(bytearray(body.encode()))
         out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        if not self._fs.rename(staged, final):
-            raise OSError("the manifest could not be replaced")
         return json.loads(body)
 
     def _write(self, tables: dict[str, DataFrame]) -> dict[str, list[str]]:
@@ -57,11 +71,12 @@ class Store:
 
     def build(self, tables: dict[str, DataFrame], **meta) -> dict:
         """A new generation from scratch; the last one stays until it is cleared."""
-        return self._publish(self._write(tables), meta)
+        number = self._next()
+        return self._publish(number, self._write(tables), meta)
 
     def append(self, tables: dict[str, DataFrame], key: str = "oid", **meta) -> dict:
         """Rows of commits that are not cached yet, as further folders of each table. Fresh tables change nothing."""
-        current = self.manifest()
+        number, current = self._next(), self.manifest()
         if current is None:
             return self.build(tables, **meta)
         have = self.table("commits").select(key)
@@ -69,18 +84,18 @@ class Store:
         if new["commits"].isEmpty():
             return current
         added = self._write(new)
-        return self._publish({n: [*current["tables"].get(n, []), *added.get(n, [])] for n in {**current["tables"], **added}}, {**{k: v for k, v in current.items() if k not in ("schema", "generation", "tables")}, **meta})
+        return self._publish(number, {n: [*current["tables"].get(n, []), *added.get(n, [])] for n in {**current["tables"], **added}}, {**{k: v for k, v in current.items() if k not in ("schema", "generation", "tables")}, **meta})
 
     def prune(self, missing: DataFrame, key: str = "oid", *, dry_run: bool = False) -> dict[str, int]:
         """Rewrite all tables without the commits ``missing(oid)``; counts of rows that go (or would)."""
-        current = self.manifest()
+        number, current = self._next(), self.manifest()
         if current is None:
             return {}
         gone = missing.select(key).distinct()
         counts = {n: self.table(n).join(gone, key, "left_semi").count() for n in current["tables"]}
         if not dry_run and any(counts.values()):
             kept = {n: self.table(n).join(gone, key, "left_anti") for n in current["tables"]}
-            self._publish(self._write(kept), {k: v for k, v in current.items() if k not in ("schema", "generation", "tables")})
+            self._publish(number, self._write(kept), {k: v for k, v in current.items() if k not in ("schema", "generation", "tables")})
         return counts
 
     def clear(self, *, dry_run: bool = False) -> int:

@@ -79,11 +79,7 @@ def raw_hunks(repo: str, oids: list[str], context: int = 3) -> Iterator[tuple]:
     """Rows of ``hunks``: text from the ``@@`` line on. A change of type is one change with two diffs."""
     for oid in oids:
         patch = git(repo, "diff-tree", "--root", "-r", "-M", "-p", f"-U{context}", "--no-commit-id", "-m", "--first-parent", "--no-ext-diff", "--no-textconv", oid)
-        order = {}
-        for _, n, status, old, new, *_ in raw_changes(repo, [oid]):
-            order.setdefault((old or new, new or old), n)
         ordinal, hunk, rows, seen = -1, 0, [], None
-        names: list[bytes | None] = []
         for line in [*patch.split(b"\n")[:-1], b"diff --git end"]:
             opens = line.startswith(b"diff --git ")
             if (opens or line.startswith(b"@@ ")) and rows:
@@ -92,7 +88,7 @@ def raw_hunks(repo: str, oids: list[str], context: int = 3) -> Iterator[tuple]:
             if opens:
                 if line != seen:
                     ordinal, hunk = ordinal + 1, 0
-                seen, names = line, []
+                seen = line
             elif line.startswith(b"@@ ") or rows:
                 rows.append(line)
 

@@ -168,3 +168,16 @@ def test_coherent_changes(spark):
     sets = {d: set(ps) for d, ps in own.items()}
     want = sorted(d for d, s in sets.items() if 2 <= len(s) <= 12 and any(len(s & t) >= 2 for e, t in sets.items() if e != d))
     assert sorted(r.doc_id for r in search.coherent(pool, paths).collect()) == want == [1, 2, 3, 6]
+
+
+def test_mirrored_tests_gain_nothing(spark):
+    from palimpsest.operators import relations
+
+    names = ["src/parser.rs", "tests/test_parser.rs", "a/test-parser.rs", "tests/parser_test.rs", "tests/other_test.rs", "tests/test_parser_test.rs"]
+    paths = spark.createDataFrame([(c, p) for c in range(4) for p in names], "commit_id long, path string")
+    assert [r.n for r in paths.where("commit_id = 0").select(relations.tested_name(F.col("path")).alias("n")).collect()] == ["parser", "parser", "parser", "parser", "other", "parser_test"]
+    none = spark.createDataFrame([], "commit_id long")
+    found = relations.related_files(paths, none, spark.createDataFrame([("src/parser.rs",)], "seed string"), tests_only=True).collect()
+    score = {r.path: r.score for r in found}
+    assert score["tests/other_test.rs"] == pytest.approx(1.25 * score["tests/test_parser.rs"]) and score["tests/parser_test.rs"] == score["a/test-parser.rs"] == score["tests/test_parser.rs"]
+    assert score["tests/test_parser_test.rs"] == score["tests/other_test.rs"]

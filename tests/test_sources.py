@@ -92,3 +92,21 @@ def test_streams_equal_batches(spark, tmp_path):
         got, want = spark.table(name).collect(), make(events).collect()
         key = (lambda r: (str(r.start), r.command, r.calls)) if name == "counts" else tuple
         assert sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_manifests_are_never_replaced(spark, tmp_path):
+    """A writer lost while publishing leaves the last generation; of two writers from one manifest the second fails."""
+    root = tmp_path / "store"
+    store = generations.Store(spark, str(root))
+    rows = lambda *oids: {"commits": spark.createDataFrame([(o,) for o in oids], "oid string")}
+    store.build(rows("a"))
+    (root / "MANIFEST-000000000002.json").write_text('{"schema": 1, "tab')
+    assert [r.oid for r in store.table("commits").collect()] == ["a"]
+    store.append(rows("a", "b"))
+    assert sorted(r.oid for r in store.table("commits").collect()) == ["a", "b"] and (root / "MANIFEST-000000000003.json").exists()
+    late = generations.Store(spark, str(root))
+    number = late._next()
+    store.append(rows("c"))
+    with pytest.raises(FileExistsError):
+        late._publish(number, {"commits": []}, {})
+    assert sorted(r.oid for r in store.table("commits").collect()) == ["a", "b", "c"]
