@@ -31,6 +31,36 @@ def test_classifier_edges(spark, docs, none):
     assert classifier.accept(docs, labels.limit(0)).schema == docs.schema
 
 
+def test_scores_and_weights_by_plain_code(spark):
+    """Weights are where the Bradley-Terry loss of the drawn pairs is flat; each row has the score that plain code gives its whole text."""
+    import math
+
+    small = ROOT.replace("0.01", "0.001")
+    docs, labels = read(spark, small, "documents"), read(spark, small, "labels")
+    model = classifier.learn(docs, labels)
+    good, bad = ({r.doc_id for r in labels.collect() if r.quality == q} for q in (1, 0))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    import zlib
+
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    rows = [d for d in texts if d in good | bad and not held(d)]
+    x = np.array([classifier.features(texts[d]) for d in rows])
+    z = np.clip((x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-3), -8, 8)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-3))
+    up, down = z[[d in good for d in rows]], z[[d in bad for d in rows]]
+    raw_up, raw_down = up @ model.weights, down @ model.weights
+    # Over all pairs, not only those drawn, the gradient is nearly the ridge's.
+    p = 1 / (1 + np.exp(raw_up[:, None] - raw_down[None]))
+    slope = (p.sum(axis=1) @ up - p.sum(axis=0) @ down) / p.size - 1e-2 * model.weights
+    assert np.abs(slope).max() < 0.01
+    wrong = lambda cut: (raw_up < cut).sum() + (raw_down >= cut).sum()
+    assert wrong(model.cutoff) == min(wrong(c) for c in [*raw_up, *raw_down, math.inf])
+    for r in classifier.classify(docs, labels).collect():
+        v = np.clip((np.array(classifier.features(texts[r.doc_id])) - model.mean) / model.scale, -8, 8) @ model.weights - model.cutoff
+        want = 1 / (1 + math.exp(-v) * 7 / 3)
+        assert abs(r.score - want) < 1e-9 and r.predicted == (r.score >= 0.3) and r.held_out == held(r.doc_id)
+
+
 def test_pipeline(spark, tmp_path):
     documents = read(spark, ROOT, "documents").where("doc_id < 300")
     at = str(tmp_path)
