@@ -1,10 +1,10 @@
-"""Fuzzy line deduplication by MinHash over character shingles, in DataFrame operations only.
+"""Fuzzy line deduplication by MinHash over character shingles.
 
-Equal lines are gathered first. The different ones are laid out in fixed-width code
-points, so that a shingle is a slice, and exploded; one aggregate keeps the least hash
-under each of the permutations. Bands of the signatures give candidate pairs, whose
-Jaccard similarity is computed exactly, and components of the similar pairs keep their
-first line.
+One pass in Python workers takes the texts apart and signs each line: its shingles are
+hashed all at once by vectors of code points, and the least hash under each of the orders
+makes a signature, whose bands are the line's keys. All else is DataFrame operations over
+hashes. Only lines that share a key with another keep their text, for the exact Jaccard
+similarity of candidate pairs; components of the similar pairs keep their first line.
 
 Lines of one band are not all paired: they are compared with hubs, which joins near-copies
 at linear cost, and only those left in different components in blocks (``prefixes``). Before
@@ -14,51 +14,109 @@ their lines are fetched, pairs have to agree in most of their signatures.
 from __future__ import annotations
 
 import math
-import random
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.llm import prefixes
-from palimpsest.llm.common import drop_table, materialize, small
+from palimpsest.llm.common import drop_table, materialize, short_batches, small
 from palimpsest.llm.components import connected_components
 
 #: Code points of a shingle, bands and hashes in a band, similarity, standard deviations that signatures may lie apart beyond the mean.
 SHINGLE, BANDS, ROWS, SIMILAR, DEVIATIONS = 9, 8, 3, 0.8, 3.5
+#: Code points that are hashed at once; lines of a task that are known not to need a second signature.
+SLICE, SEEN = 1 << 17, 100_000
+#: White space around a line.
+BLANK = " \t\n\x0b\f\r"
+#: Odd factors of the rolled hash and of its mixing.
+ROLL, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Fills up lines shorter than a shingle; no text holds it.
+FILLER = "\ud800"
 
 
-def _wide(line: Column) -> Column:
-    return F.encode(line, "UTF-32")
+def _rolled(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k`` code points from each place on."""
+    if k == 1:
+        return codes
+    half = k // 2
+    part = _rolled(codes, half)
+    whole = part[:-half] * np.uint64(pow(ROLL, half, 1 << 64)) + part[half:]
+    return whole[:-1] * np.uint64(ROLL) + codes[k - 1 :] if k % 2 else whole
 
 
-def _starts(wide: Column, shingle: int) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.octet_length(wide) - 4 * shingle + 1, F.lit(1)), F.lit(4))
+def _shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mixed 64-bit hashes of all shingles of lines of ``shingle`` code points or more, and where each line's begin."""
+    sizes = np.array([len(x) for x in lines])
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    inside = np.ones(len(codes), bool)
+    for back in range(1, shingle):
+        inside[np.cumsum(sizes) - back] = False
+    rolled = _rolled(codes, shingle)
+    rolled = rolled[inside[: len(rolled)]]
+    mixed = (rolled ^ (rolled >> np.uint64(31))) * np.uint64(MIX)
+    return mixed ^ (mixed >> np.uint64(32)), np.concatenate([[0], np.cumsum(sizes - shingle + 1)[:-1]])
 
 
-def _shingles(wide: str, shingle: int) -> Column:
-    """The different shingles of a column of ``_wide`` lines, hashed; a shorter line is one."""
-    return F.array_distinct(F.transform(_starts(F.col(wide), shingle), lambda i: F.xxhash64(F.substr(wide, i, F.lit(4 * shingle)))))
+def _cut(line: str, shingle: int) -> list[str]:
+    """The line in parts of about ``SLICE`` code points that overlap by all but one of a shingle's; filled up if it is shorter than one."""
+    if len(line) <= SLICE:
+        return [line if len(line) >= shingle else line + FILLER * (shingle - len(line))]
+    return [line[k : k + SLICE + shingle - 1] for k in range(0, len(line) - shingle + 1, SLICE)]
 
 
-def signatures(lines: DataFrame, shingle: int, hashes: int) -> DataFrame:
-    """``id`` and ``m0, m1, ...`` from ``lines(id, line)``: the least 32-bit shingle hash under each permutation."""
-    wide = lines.select("id", _wide(F.col("line")).alias("wide"))
-    each = wide.select("id", "wide", F.explode(_starts(F.col("wide"), shingle)).alias("at"))
-    hashed = each.select("id", F.hash(F.substr(F.col("wide"), F.col("at"), F.lit(4 * shingle))).alias("x"))
-    # An odd factor and a summand permute the numbers below 2^32.
-    draw = random.Random(11)
-    orders = [(draw.randrange(1 << 29, 1 << 30) * 2 + 1, draw.randrange(1 << 32)) for _ in range(hashes)]
-    ordered = [(F.col("x").cast("long") * a + b).bitwiseAND(F.lit((1 << 32) - 1)) for a, b in orders]
-    return hashed.groupBy("id").agg(*[F.min(x).alias(f"m{k}") for k, x in enumerate(ordered)])
+def shingle_set(line: str, shingle: int) -> np.ndarray:
+    """Sorted different hashes of the shingles; a line shorter than one is one shingle."""
+    return np.unique(np.concatenate([_shingle_hashes([x], shingle)[0] for x in _cut(line, shingle)]))
 
 
-def _sketches(signed: DataFrame, hashes: int) -> DataFrame:
-    """``id, s0, s1, ...``: the last eight bits of each hash of a signature, eight to a word."""
-    byte = lambda k: F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(255)), 8 * (k % 8))
-    words = [reduce(lambda x, y: x.bitwiseOR(y), [byte(k) for k in range(w, min(w + 8, hashes))]) for w in range(0, hashes, 8)]
-    return signed.select("id", *[w.alias(f"s{k}") for k, w in enumerate(words)])
+def sign(lines: list[str], shingle: int, hashes: int) -> np.ndarray:
+    """For each line a row of the least 32-bit shingle hash under each of ``hashes`` orders."""
+    # An odd factor permutes the numbers below 2^32.
+    factors = np.random.default_rng(11).integers(0, 1 << 31, hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    least = np.full((len(lines), hashes), 0xFFFFFFFF, np.uint32)
+    parts: list[str] = []
+    owner: list[int] = []
+
+    def work() -> None:
+        mixed, begin = _shingle_hashes(parts, shingle)
+        x = (mixed >> np.uint64(32)).astype(np.uint32)
+        order = np.empty_like(x)
+        for k in range(hashes):
+            np.multiply(x, factors[k], out=order)
+            np.minimum.at(least[:, k], owner, np.minimum.reduceat(order, begin))
+        parts.clear()
+        owner.clear()
+
+    held = 0
+    for n, line in enumerate(lines):
+        for part in _cut(line, shingle):
+            parts.append(part)
+            owner.append(n)
+            held += len(part)
+            if held >= SLICE:
+                work()
+                held = 0
+    if parts:
+        work()
+    return least
+
+
+def marks(lines: list[str], shingle: int, bands: int, rows: int) -> np.ndarray:
+    """For each line its ``bands`` keys, then its sketch: the last eight bits of each hash, eight to a word."""
+    signed = sign(lines, shingle, bands * rows)
+    keys = np.empty((len(lines), bands), np.uint64)
+    for b in range(bands):
+        key = np.full(len(lines), b + 1, np.uint64)
+        for r in range(rows):
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(MIX) + signed[:, b * rows + r]
+        keys[:, b] = (key ^ (key >> np.uint64(31))) * np.uint64(ROLL)
+    sketch = np.zeros((len(lines), -(-bands * rows // 8) * 8), np.uint8)
+    sketch[:, : bands * rows] = signed & np.uint32(255)
+    return np.concatenate([keys.view(np.int64), sketch.view(np.int64)], axis=1)
 
 
 def most_different(hashes: int, similar: float) -> int:
@@ -67,59 +125,132 @@ def most_different(hashes: int, similar: float) -> int:
     return int(hashes * 4 * p + DEVIATIONS * math.sqrt(hashes * (2 * p + 16 * p * (1 - p))))
 
 
-def _compared(lines: DataFrame, wanted: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """Those of the pairs ``wanted(a, b)``, which are a table, that have similarity ``similar`` or more."""
-    ids = materialize(wanted.select(F.col("a").alias("id")).distinct().union(wanted.select("b").distinct()).distinct(), "wanted")
-    texts = materialize(lines.join(small(ids), "id", "left_semi").select("id", "line"), "wanted-lines")
-    both = wanted.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+def _compared(texts: DataFrame, wanted: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """Those of the pairs ``wanted(a, b)`` of ``texts(id, line)`` that have similarity ``similar`` or more."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = shingle_set(x, shingle), shingle_set(y, shingle)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similar * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda s: texts.select(F.col("id").alias(s), F.col("line").alias(f"l{s}"))
     # Pairs travel with their lines, which are far smaller than the lines' shingles.
-    wide = both.select("a", "b", _wide(F.col("la")).alias("wa"), _wide(F.col("lb")).alias("wb"))
-    sets = wide.select("a", "b", _shingles("wa", shingle).alias("sa"), _shingles("wb", shingle).alias("sb"))
-    # Written before it is filtered: a filter would move below, and make the shingles anew within itself.
-    common = materialize(sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n")), "compared")
-    for t in (wanted, texts):
+    return wanted.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb").mapInArrow(compare, "a long, b long")
+
+
+def _linked(signed: DataFrame, shingle: int, bands: int, rows: int, similar: float) -> DataFrame:
+    """Edges ``(a, b)`` between ids of ``signed(id, marks, line)``; rows without a line, and rows of one id, are repeats."""
+    hashes = bands * rows
+    own = signed.where("line IS NOT NULL")
+    keyed = own.select("id", F.explode(F.slice("marks", 1, bands)).alias("key"))
+    shared = materialize(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared")
+    todo = materialize(keyed.join(small(shared), "key", "left_semi").distinct(), "keyed")
+    ids = materialize(todo.select("id").distinct(), "wanted")
+    texts = materialize(own.join(small(ids), "id", "left_semi").groupBy("id").agg(F.any_value("marks").alias("marks"), F.any_value("line").alias("line")), "texts")
+    sketches = texts.select("id", *[F.get("marks", F.lit(bands + k)).alias(f"s{k}") for k in range(-(-hashes // 8))])
+    # A band stands in the place of a prefix of one element.
+    prefix = todo.select("key", "id", F.lit(1).alias("at"), F.lit(1).alias("n"))
+    edges = prefixes.links(prefix, lambda wanted: _compared(texts, wanted, shingle, similar), similar, sketches, most_different(hashes, similar))
+    for t in (shared, todo, ids, texts):
         drop_table(t)
-    return common.where(F.col("n") >= similar * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
+    return edges
 
 
 def similar_lines(lines: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
     """Edges ``(a, b)`` that connect those ids of ``lines(id, line)`` which pairs of similarity ``similar`` or more with a common band connect."""
-    hashes = bands * rows
-    signed = materialize(signatures(lines, shingle, hashes), "signatures")
-    key = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
-    # A band stands in the place of a prefix of one element.
-    keyed = signed.select("id", F.posexplode(F.array(*key)).alias("at", "key")).select("key", "id", F.lit(1).alias("at"), F.lit(1).alias("n"))
-    edges = prefixes.links(keyed, lambda wanted: _compared(lines, wanted, shingle, similar), similar, _sketches(signed, hashes), most_different(hashes, similar))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = marks(batch.column(1).to_pylist(), shingle, bands, rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found), pa.list_(pa.int64())), batch.column(1)], names=["id", "marks", "line"])
+
+    short_batches(lines.sparkSession)
+    signed = materialize(lines.where("line IS NOT NULL").select(F.col("id").cast("long").alias("id"), "line").mapInArrow(scan, "id long, marks array<long>, line string"), "signed")
+    edges = _linked(signed, shingle, bands, rows, similar)
     drop_table(signed)
     return edges
 
 
-def _judged(docs: DataFrame, keep: list[Column], **options) -> DataFrame:
+def _placed(rows: DataFrame, shingle: int, bands: int, hashes: int) -> DataFrame:
+    """``d, t, at, id`` of each line that is not blank of ``rows(d, t, text)``; with its first in a while, ``marks`` and ``line``."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        seen: set[int] = set()
+        row: list[int] = []
+        at: list[int] = []
+        ids: list[int] = []
+        new: list[str | None] = []
+
+        def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
+            first = [x for x in new if x is not None]
+            found = marks(first, shingle, bands, hashes)
+            ends = np.concatenate([[0], np.cumsum([x is not None for x in new])]) * found.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.ravel(), pa.int64()))
+            whose = pa.array(row, pa.int32())
+            key = pa.array(np.array(ids, np.uint64).view(np.int64))
+            out = [batch.column(0).take(whose), batch.column(1).take(whose), pa.array(at, pa.int32()), key, lists, pa.array(new, pa.string())]
+            for x in (row, at, ids, new):
+                x.clear()
+            return pa.RecordBatch.from_arrays(out, names=["d", "t", "at", "id", "marks", "line"])
+
+        for batch in batches:
+            held = 0
+            for n, text in enumerate(batch.column(2)):
+                for k, line in enumerate(text.as_py().split("\n")):
+                    line = line.strip(BLANK)
+                    if not line:
+                        continue
+                    key = xxh64_intdigest(line, 42)
+                    row.append(n)
+                    at.append(k)
+                    ids.append(key)
+                    new.append(None if key in seen else line)
+                    if key not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(key)
+                        held += len(line)
+                    if held >= 4 * SLICE or len(row) >= 4 * SLICE:
+                        yield signed(batch)
+                        held = 0
+            if row:
+                yield signed(batch)
+
+    return rows.mapInArrow(scan, "d long, t long, at int, id long, marks array<long>, line string")
+
+
+def _judged(docs: DataFrame, keep: list[Column], *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
     """The columns ``keep`` of every row of docs, ``n_lines``, and the places ``dropped``."""
+    short_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     last = F.lit(2**63 - 1)
-    rows = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), last).alias("__d"), F.xxhash64(text).alias("__t"), F.split(text, "\n", -1).alias("__l"))
-    placed = rows.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.posexplode("__l").alias("at", "line")).select("d", "t", "at", F.btrim("line", F.lit(" \t\n\x0b\f\r")).alias("line")).where("line <> ''")
-    different = placed.groupBy("line").agg(F.count("*").alias("n"))
-    lines = materialize(different.select(F.xxhash64("line").alias("id"), "line", "n"), "lines")
-    edges = similar_lines(lines.select("id", "line"), **options)
+    named = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), last).alias("__d"), F.xxhash64(text).alias("__t"), text.alias("__s"))
+    placed = materialize(_placed(named.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.col("__s").alias("text")), shingle, bands, rows), "placed", compression="zstd")
+    edges = _linked(placed.select("id", "marks", "line"), shingle, bands, rows, similar)
     roots = connected_components(edges)
-    repeated = lines.where("n > 1").select("id").join(roots.select(F.col("node").alias("id"), "root"), "id", "full").select("id", F.coalesce("root", "id").alias("root"))
+    repeated = placed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    repeated = repeated.join(roots.select(F.col("node").alias("id"), "root"), "id", "full").select("id", F.coalesce("root", "id").alias("root"))
     repeated = materialize(repeated, "repeated")
-    there = materialize(placed.select("d", "t", "at", F.xxhash64("line").alias("id")).join(repeated, "id").select("d", "t", "at", "root"), "places")
+    there = materialize(placed.select("d", "t", "at", "id").join(small(repeated), "id").select("d", "t", "at", "root"), "places")
     order = F.struct("d", "t", "at")
     first = materialize(there.groupBy("root").agg(F.min(order).alias("first")), "first")
     lost = there.join(first, "root").where(order != F.col("first")).select("d", "t", "at").distinct()
     gone = materialize(lost.groupBy(F.col("d").alias("__d"), F.col("t").alias("__t")).agg(F.array_sort(F.collect_list("at")).alias("__dropped")), "dropped")
-    for t in (lines, edges, repeated, there, first):
+    for t in (placed, edges, repeated, there, first):
         drop_table(t)
-    filled = F.filter(F.transform("__l", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
-    counted = rows.select(*[c for c in rows.columns if c != "__l"], filled.alias("__filled"))
+    filled = F.filter(F.transform(F.split("__s", "\n", -1), lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    counted = named.select(*[c for c in named.columns if c != "__s"], filled.alias("__filled"))
     # Of rows alike in doc_id and text one has its turn first; the lines of the others all repeat its own.
     turn = F.row_number().over(Window.partitionBy("__d", "__t").orderBy(F.lit(0)))
     met = counted.join(gone, ["__d", "__t"], "left").withColumn("__turn", turn)
     dropped = F.when(F.col("__turn") > 1, F.col("__filled")).otherwise(F.coalesce("__dropped", F.array().cast("array<int>")))
-    return met.select(*[c for c in rows.columns if not c.startswith("__") or c == "__row"], F.size("__filled").cast("long").alias("n_lines"), dropped.alias("dropped"))
+    return met.select(*[c for c in named.columns if not c.startswith("__") or c == "__row"], F.size("__filled").cast("long").alias("n_lines"), dropped.alias("dropped"))
 
 
 def duplicates(docs: DataFrame, **options) -> DataFrame:
