@@ -7,14 +7,14 @@ hashes. Only lines that share a key with another keep their text, for the exact
 similarity of candidate pairs; components of the similar pairs keep their first line.
 
 Lines of one band are not all paired: they are compared with hubs, which joins near-copies
-at linear cost, and only those left in different components in blocks (``prefixes``). Before
-their lines are fetched, pairs have to agree in most of their signatures.
+at linear cost, and only those left in different components in blocks (``prefixes``). Pairs
+whose sketches of one-bit minhashes lie too far apart are not compared.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.llm import prefixes
-from palimpsest.llm.common import drop_table, materialize, short_batches, small
+from palimpsest.llm.common import drop_table, materialize, passes, short_batches, sieve
 from palimpsest.llm.components import connected_components
 
-#: Code points of a shingle, bands and hashes in a band, similarity, standard deviations that signatures may lie apart beyond the mean.
+#: Code points of a shingle, bands and hashes in a band, similarity, standard deviations that sketches may lie apart beyond the mean.
 SHINGLE, BANDS, ROWS, SIMILAR, DEVIATIONS = 9, 8, 3, 0.8, 3.5
-#: Code points that are hashed at once; lines of a task that are known not to need a second signature.
-SLICE, SEEN = 1 << 17, 100_000
+#: One-bit minhashes of a sketch.
+BITS = 512
+#: Code points that are hashed at once; lines of a task that are known not to need a second signature; hashes of lines kept for further pairs.
+SLICE, SEEN, KEPT = 1 << 17, 100_000, 1 << 22
 #: White space around a line.
 BLANK = " \t\n\x0b\f\r"
 #: Odd factors of the rolled hash and of its mixing.
@@ -74,10 +76,10 @@ def shingle_set(line: str, shingle: int) -> np.ndarray:
 
 
 def sign(lines: list[str], shingle: int, hashes: int) -> np.ndarray:
-    """For each line a row of the least 32-bit shingle hash under each of ``hashes`` orders."""
+    """The least 32-bit shingle hash under each of ``hashes`` orders, a row for each order and a column for each line."""
     # An odd factor permutes the numbers below 2^32.
     factors = np.random.default_rng(11).integers(0, 1 << 31, hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    least = np.full((len(lines), hashes), 0xFFFFFFFF, np.uint32)
+    least = np.full((hashes, len(lines)), 0xFFFFFFFF, np.uint32)
     parts: list[str] = []
     owner: list[int] = []
 
@@ -87,7 +89,7 @@ def sign(lines: list[str], shingle: int, hashes: int) -> np.ndarray:
         order = np.empty_like(x)
         for k in range(hashes):
             np.multiply(x, factors[k], out=order)
-            np.minimum.at(least[:, k], owner, np.minimum.reduceat(order, begin))
+            np.minimum.at(least[k], owner, np.minimum.reduceat(order, begin))
         parts.clear()
         owner.clear()
 
@@ -105,34 +107,51 @@ def sign(lines: list[str], shingle: int, hashes: int) -> np.ndarray:
     return least
 
 
-def marks(lines: list[str], shingle: int, bands: int, rows: int) -> np.ndarray:
-    """For each line its ``bands`` keys, then its sketch: the last eight bits of each hash, eight to a word."""
+def band_keys(lines: list[str], shingle: int, bands: int, rows: int) -> np.ndarray:
+    """For each line a row of its ``bands`` keys."""
     signed = sign(lines, shingle, bands * rows)
     keys = np.empty((len(lines), bands), np.uint64)
     for b in range(bands):
         key = np.full(len(lines), b + 1, np.uint64)
         for r in range(rows):
-            key = (key ^ (key >> np.uint64(29))) * np.uint64(MIX) + signed[:, b * rows + r]
-        keys[:, b] = (key ^ (key >> np.uint64(31))) * np.uint64(ROLL)
-    sketch = np.zeros((len(lines), -(-bands * rows // 8) * 8), np.uint8)
-    sketch[:, : bands * rows] = signed & np.uint32(255)
-    return np.concatenate([keys.view(np.int64), sketch.view(np.int64)], axis=1)
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(MIX) + signed[b * rows + r]
+        key = (key ^ (key >> np.uint64(31))) * np.uint64(ROLL)
+        keys[:, b] = key ^ (key >> np.uint64(32))
+    return keys.view(np.int64)
 
 
-def most_different(hashes: int, similar: float) -> int:
-    """Bits in which sketches of two similar lines differ, at most: a hash differs with probability 1 - similar, and then in four bits of eight on the average."""
-    p = 1 - similar
-    return int(hashes * 4 * p + DEVIATIONS * math.sqrt(hashes * (2 * p + 16 * p * (1 - p))))
+def sketches(lines: list[str], shingle: int) -> np.ndarray:
+    """For each line a row of words with one bit of the least hash under each of ``BITS`` orders."""
+    bits = sign(lines, shingle, BITS) >> (np.arange(BITS, dtype=np.uint32) % np.uint32(16))[:, None] & np.uint32(1)
+    return np.ascontiguousarray(np.packbits(bits.astype(np.uint8), axis=0, bitorder="little").T).view(np.int64)
+
+
+def most_different(similar: float) -> int:
+    """Bits in which sketches of two similar lines differ, at most: by the normal law one pair in 4,000 of just that similarity lies beyond."""
+    p = (1 - similar) / 2
+    return int(BITS * p + DEVIATIONS * math.sqrt(BITS * p * (1 - p)))
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel(), pa.int64()))
 
 
 def _compared(texts: DataFrame, wanted: DataFrame, shingle: int, similar: float) -> DataFrame:
     """Those of the pairs ``wanted(a, b)`` of ``texts(id, line)`` that have similarity ``similar`` or more."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = shingle_set(x, shingle), shingle_set(y, shingle)
+            for a, b, *both in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for key, line in zip((a, b), both, strict=True):
+                    if key not in known:
+                        if held > KEPT:
+                            known, held = {k: v for k, v in known.items() if k == a}, 0
+                        known[key] = shingle_set(line, shingle)
+                        held += len(known[key])
+                x, y = known[a], known[b]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= similar * (len(x) + len(y) - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
@@ -142,21 +161,39 @@ def _compared(texts: DataFrame, wanted: DataFrame, shingle: int, similar: float)
     return wanted.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb").mapInArrow(compare, "a long, b long")
 
 
-def _linked(signed: DataFrame, shingle: int, bands: int, rows: int, similar: float) -> DataFrame:
-    """Edges ``(a, b)`` between ids of ``signed(id, marks, line)``; rows without a line, and rows of one id, are repeats."""
-    hashes = bands * rows
-    own = signed.where("line IS NOT NULL")
-    keyed = own.select("id", F.explode(F.slice("marks", 1, bands)).alias("key"))
+def _linked(signed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similar: float) -> DataFrame:
+    """Edges ``(a, b)`` between ids of ``signed(id, keys)``, where rows of one id are alike or have no keys.
+
+    ``texts_of`` takes ids and returns at least their ``id, line``, a row or more for each.
+    """
+    keyed = signed.where(F.size("keys") > 0).select("id", F.explode("keys").alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared")
-    todo = materialize(keyed.join(small(shared), "key", "left_semi").distinct(), "keyed")
+    bitmap = shared.sparkSession.sparkContext.broadcast(sieve(shared))
+
+    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(1)
+            values, whose = keys.flatten(), np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy())
+            good = passes(bitmap.value, values.to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whose[good])), values.filter(pa.array(good))], names=["id", "key"])
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([*batch.columns, _lists(sketches(batch.column(1).to_pylist(), shingle))], names=["id", "line", "sketch"])
+
+    likely = signed.where(F.size("keys") > 0).select("id", "keys").mapInArrow(sifted, "id long, key long")
+    todo = materialize(likely.join(shared, "key", "left_semi").distinct(), "keyed")
     ids = materialize(todo.select("id").distinct(), "wanted")
-    texts = materialize(own.join(small(ids), "id", "left_semi").groupBy("id").agg(F.any_value("marks").alias("marks"), F.any_value("line").alias("line")), "texts")
-    sketches = texts.select("id", *[F.get("marks", F.lit(bands + k)).alias(f"s{k}") for k in range(-(-hashes // 8))])
+    found = texts_of(ids).join(ids, "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
+    texts = materialize(found.mapInArrow(sketched, "id long, line string, sketch array<long>"), "texts")
+    words = texts.select("id", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(BITS // 64)])
     # A band stands in the place of a prefix of one element.
     prefix = todo.select("key", "id", F.lit(1).alias("at"), F.lit(1).alias("n"))
-    edges = prefixes.links(prefix, lambda wanted: _compared(texts, wanted, shingle, similar), similar, sketches, most_different(hashes, similar))
+    edges = prefixes.links(prefix, lambda wanted: _compared(texts, wanted, shingle, similar), similar, words, most_different(similar))
     for t in (shared, todo, ids, texts):
         drop_table(t)
+    bitmap.destroy()
     return edges
 
 
@@ -165,56 +202,81 @@ def similar_lines(lines: DataFrame, *, shingle: int = SHINGLE, bands: int = BAND
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = marks(batch.column(1).to_pylist(), shingle, bands, rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found), pa.list_(pa.int64())), batch.column(1)], names=["id", "marks", "line"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(band_keys(batch.column(1).to_pylist(), shingle, bands, rows))], names=["id", "keys"])
 
     short_batches(lines.sparkSession)
-    signed = materialize(lines.where("line IS NOT NULL").select(F.col("id").cast("long").alias("id"), "line").mapInArrow(scan, "id long, marks array<long>, line string"), "signed")
-    edges = _linked(signed, shingle, bands, rows, similar)
+    there = lines.where("line IS NOT NULL").select(F.col("id").cast("long").alias("id"), "line")
+    signed = materialize(there.mapInArrow(scan, "id long, keys array<long>"), "signed")
+    edges = _linked(signed, lambda _: there, shingle, similar)
     drop_table(signed)
     return edges
 
 
-def _placed(rows: DataFrame, shingle: int, bands: int, hashes: int) -> DataFrame:
-    """``d, t, at, id`` of each line that is not blank of ``rows(d, t, text)``; with its first in a while, ``marks`` and ``line``."""
+def _lines(text: str) -> Iterator[tuple[int, str, int]]:
+    """Place, line and 64-bit hash of each line that is not blank."""
+    from xxhash import xxh64_intdigest
+
+    for k, line in enumerate(text.split("\n")):
+        line = line.strip(BLANK)
+        if line:
+            yield k, line, xxh64_intdigest(line, 42)
+
+
+def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, line`` of the lines of ``rows(d, t, text)`` whose ids are among ``ids``, and of some others."""
+    bitmap = rows.sparkSession.sparkContext.broadcast(sieve(ids))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+        seen: set[int] = set()
+        for batch in batches:
+            for text in batch.column(0):
+                _, lines, keys = zip(*_lines(text.as_py()), strict=True) if text.as_py().strip(BLANK + "\n") else ((), (), ())
+                keys = np.array(keys, np.uint64)
+                good = [k for k in np.flatnonzero(passes(bitmap.value, keys)).tolist() if int(keys[k]) not in seen]
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.update(keys[good].tolist())
+                if good:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[good].view(np.int64)), pa.array([lines[k] for k in good])], names=["id", "line"])
 
+    return rows.select("text").mapInArrow(scan, "id long, line string")
+
+
+def _placed(rows: DataFrame, shingle: int, bands: int, hashes: int) -> DataFrame:
+    """``d, t, at, id`` of each line that is not blank of ``rows(d, t, text)``; with its first in a while its ``keys``, with others none."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         row: list[int] = []
         at: list[int] = []
         ids: list[int] = []
-        new: list[str | None] = []
+        fresh: list[bool] = []
+        new: list[str] = []
 
         def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
-            first = [x for x in new if x is not None]
-            found = marks(first, shingle, bands, hashes)
-            ends = np.concatenate([[0], np.cumsum([x is not None for x in new])]) * found.shape[1]
+            found = band_keys(new, shingle, bands, hashes)
+            ends = np.concatenate([[0], np.cumsum(fresh)]) * bands
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.ravel(), pa.int64()))
             whose = pa.array(row, pa.int32())
             key = pa.array(np.array(ids, np.uint64).view(np.int64))
-            out = [batch.column(0).take(whose), batch.column(1).take(whose), pa.array(at, pa.int32()), key, lists, pa.array(new, pa.string())]
-            for x in (row, at, ids, new):
+            out = [batch.column(0).take(whose), batch.column(1).take(whose), pa.array(at, pa.int32()), key, lists]
+            for x in (row, at, ids, fresh, new):
                 x.clear()
-            return pa.RecordBatch.from_arrays(out, names=["d", "t", "at", "id", "marks", "line"])
+            return pa.RecordBatch.from_arrays(out, names=["d", "t", "at", "id", "keys"])
 
         for batch in batches:
             held = 0
             for n, text in enumerate(batch.column(2)):
-                for k, line in enumerate(text.as_py().split("\n")):
-                    line = line.strip(BLANK)
-                    if not line:
-                        continue
-                    key = xxh64_intdigest(line, 42)
+                for k, line, key in _lines(text.as_py()):
                     row.append(n)
                     at.append(k)
                     ids.append(key)
-                    new.append(None if key in seen else line)
-                    if key not in seen:
+                    fresh.append(key not in seen)
+                    if fresh[-1]:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(key)
+                        new.append(line)
                         held += len(line)
                     if held >= 4 * SLICE or len(row) >= 4 * SLICE:
                         yield signed(batch)
@@ -222,7 +284,7 @@ def _placed(rows: DataFrame, shingle: int, bands: int, hashes: int) -> DataFrame
             if row:
                 yield signed(batch)
 
-    return rows.mapInArrow(scan, "d long, t long, at int, id long, marks array<long>, line string")
+    return rows.mapInArrow(scan, "d long, t long, at int, id long, keys array<long>")
 
 
 def _judged(docs: DataFrame, keep: list[Column], *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
@@ -231,13 +293,14 @@ def _judged(docs: DataFrame, keep: list[Column], *, shingle: int = SHINGLE, band
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     last = F.lit(2**63 - 1)
     named = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), last).alias("__d"), F.xxhash64(text).alias("__t"), text.alias("__s"))
-    placed = materialize(_placed(named.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.col("__s").alias("text")), shingle, bands, rows), "placed", compression="zstd")
-    edges = _linked(placed.select("id", "marks", "line"), shingle, bands, rows, similar)
+    plain = named.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.col("__s").alias("text"))
+    placed = materialize(_placed(plain, shingle, bands, rows), "placed")
+    edges = _linked(placed.select("id", "keys"), lambda ids: _texts(plain, ids), shingle, similar)
     roots = connected_components(edges)
     repeated = placed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     repeated = repeated.join(roots.select(F.col("node").alias("id"), "root"), "id", "full").select("id", F.coalesce("root", "id").alias("root"))
     repeated = materialize(repeated, "repeated")
-    there = materialize(placed.select("d", "t", "at", "id").join(small(repeated), "id").select("d", "t", "at", "root"), "places")
+    there = materialize(placed.select("d", "t", "at", "id").join(repeated, "id").select("d", "t", "at", "root"), "places")
     order = F.struct("d", "t", "at")
     first = materialize(there.groupBy("root").agg(F.min(order).alias("first")), "first")
     lost = there.join(first, "root").where(order != F.col("first")).select("d", "t", "at").distinct()
