@@ -87,9 +87,16 @@ def sign(lines: list[str], shingle: int, hashes: int) -> np.ndarray:
         mixed, begin = _shingle_hashes(parts, shingle)
         x = (mixed >> np.uint64(32)).astype(np.uint32)
         order = np.empty_like(x)
+        whose = np.array(owner)
+        # Owners ascend by one, but where a long line has several parts.
+        whole = whose[-1] - whose[0] == len(whose) - 1
         for k in range(hashes):
             np.multiply(x, factors[k], out=order)
-            np.minimum.at(least[k], owner, np.minimum.reduceat(order, begin))
+            found = np.minimum.reduceat(order, begin)
+            if whole:
+                np.minimum(least[k, whose[0] : whose[-1] + 1], found, out=least[k, whose[0] : whose[-1] + 1])
+            else:
+                np.minimum.at(least[k], whose, found)
         parts.clear()
         owner.clear()
 
@@ -161,10 +168,11 @@ def _compared(texts: DataFrame, wanted: DataFrame, shingle: int, similar: float)
     return wanted.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb").mapInArrow(compare, "a long, b long")
 
 
-def _linked(signed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similar: float) -> DataFrame:
+def _linked(signed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similar: float, often: DataFrame | None = None) -> DataFrame:
     """Edges ``(a, b)`` between ids of ``signed(id, keys)``, where rows of one id are alike or have no keys.
 
-    ``texts_of`` takes ids and returns at least their ``id, line``, a row or more for each.
+    ``texts_of`` takes ids and returns at least their ``id, line``, a row or more for each. Lines
+    that ``often(id, n)`` has most often are compared first: others are mostly copies of them.
     """
     keyed = signed.where(F.size("keys") > 0).select("id", F.explode("keys").alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared")
@@ -190,6 +198,8 @@ def _linked(signed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shing
     words = texts.select("id", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(BITS // 64)])
     # A band stands in the place of a prefix of one element.
     prefix = todo.select("key", "id", F.lit(1).alias("at"), F.lit(1).alias("n"))
+    if often is not None:
+        prefix = prefix.join(often.select("id", F.col("n").alias("times")), "id", "left").select("key", "id", "at", "n", F.coalesce("times", F.lit(1)).alias("weight"))
     edges = prefixes.links(prefix, lambda wanted: _compared(texts, wanted, shingle, similar), similar, words, most_different(similar))
     for t in (shared, todo, ids, texts):
         drop_table(t)
@@ -295,17 +305,17 @@ def _judged(docs: DataFrame, keep: list[Column], *, shingle: int = SHINGLE, band
     named = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), last).alias("__d"), F.xxhash64(text).alias("__t"), text.alias("__s"))
     plain = named.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.col("__s").alias("text"))
     placed = materialize(_placed(plain, shingle, bands, rows), "placed")
-    edges = _linked(placed.select("id", "keys"), lambda ids: _texts(plain, ids), shingle, similar)
+    often = materialize(placed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    edges = _linked(placed.select("id", "keys"), lambda ids: _texts(plain, ids), shingle, similar, often)
     roots = connected_components(edges)
-    repeated = placed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    repeated = repeated.join(roots.select(F.col("node").alias("id"), "root"), "id", "full").select("id", F.coalesce("root", "id").alias("root"))
+    repeated = often.select("id").join(roots.select(F.col("node").alias("id"), "root"), "id", "full").select("id", F.coalesce("root", "id").alias("root"))
     repeated = materialize(repeated, "repeated")
     there = materialize(placed.select("d", "t", "at", "id").join(repeated, "id").select("d", "t", "at", "root"), "places")
     order = F.struct("d", "t", "at")
     first = materialize(there.groupBy("root").agg(F.min(order).alias("first")), "first")
     lost = there.join(first, "root").where(order != F.col("first")).select("d", "t", "at").distinct()
     gone = materialize(lost.groupBy(F.col("d").alias("__d"), F.col("t").alias("__t")).agg(F.array_sort(F.collect_list("at")).alias("__dropped")), "dropped")
-    for t in (placed, edges, repeated, there, first):
+    for t in (placed, often, edges, repeated, there, first):
         drop_table(t)
     filled = F.filter(F.transform(F.split("__s", "\n", -1), lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
     counted = named.select(*[c for c in named.columns if c != "__s"], filled.alias("__filled"))

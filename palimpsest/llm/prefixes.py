@@ -76,9 +76,11 @@ def links(prefix: DataFrame, verified: Callable[[DataFrame], DataFrame], similar
     are done. After ``ROUNDS`` rounds all pairs of different components under a key are compared.
     ``verified`` takes pairs ``a, b`` and returns those that are similar. ``sketches``: by
     ``id`` words of bits of which similar sets differ in ``most`` at most; other pairs are not verified.
+    ``prefix`` may have a ``weight``, the same in all rows of an id: the heaviest members are hubs first.
     """
     group = prefix.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    todo = materialize(prefix.join(group, "key", "left_semi").select("key", "id", "at", "n", F.col("id").alias("root")), "prefix")
+    own = ["id", "at", "n", *[c for c in prefix.columns if c == "weight"]]
+    todo = materialize(prefix.join(group, "key", "left_semi").select("key", *own, F.col("id").alias("root")), "prefix")
     edges = todo.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     for k in range(ROUNDS + 1):
         if todo.isEmpty():
@@ -87,14 +89,14 @@ def links(prefix: DataFrame, verified: Callable[[DataFrame], DataFrame], similar
             pairs = _rest(todo, similar, sketches, most)
             edges = materialize(edges.unionByName(verified(materialize(pairs, "candidates"))), "similar")
             break
-        rank = F.xxhash64(F.lit(k), "id")
+        rank = F.struct(*[-F.col(c) for c in own if c == "weight"], F.xxhash64(F.lit(k), "id").alias("turn"))
         hub = todo.groupBy("key").agg(F.min_by(F.struct("id", "at", "n", "root"), rank).alias("h")).select("key", *[F.col(f"h.{c}").alias(f"{c}_h") for c in ("id", "at", "n", "root")])
         met = materialize(todo.join(hub, "key").where("id <> id_h"), "met")
         near = met.where("root <> root_h").where(_may(similar, "at", "n", "at_h", "n_h"))
         pairs = _close(near.select(F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b")).distinct(), sketches, most)
         edges = materialize(edges.unionByName(verified(materialize(pairs, "candidates"))), "similar")
         roots = connected_components(edges)
-        rooted = met.select("key", "id", "at", "n").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", "at", "n", F.coalesce("root", "id").alias("root"))
+        rooted = met.select("key", *own).join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", *own, F.coalesce("root", "id").alias("root"))
         rooted = materialize(rooted, "rooted")
         drop_table(todo)
         drop_table(met)

@@ -505,3 +505,18 @@ def test_crowds_of_different_lines_link_exactly(spark):
     want = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if slow_similar(a, b) >= 0.8]
     assert all(slow_similar(texts[e.a], texts[e.b]) >= 0.8 for e in edges)
     assert groups([(e.a, e.b) for e in edges]) == groups(want)
+
+
+def test_parts_of_long_lines():
+    """A line cut in parts has the signature, the sketch and the shingles of the whole; short ones are one shingle."""
+    import random
+
+    draw = random.Random(8)
+    long = "".join(draw.choice("abcdefg \u6f22\U0001f600") for _ in range(2 * lines.SLICE + 77))
+    rows = ["ab", long, "abcdefghi", "x" * 40]
+    alone = [lines.sign([x], 9, 24)[:, 0].tolist() for x in rows]
+    assert lines.sign(rows, 9, 24).T.tolist() == alone
+    assert [len(lines.shingle_set(x, 9)) for x in rows] == [len({x[i : i + 9] for i in range(max(1, len(x) - 8))}) for x in rows]
+    whole = lines._shingle_hashes([long], 9)[0]
+    assert lines.shingle_set(long, 9).tolist() == sorted(set(whole.tolist()))
+    assert lines.sketches(rows, 9).shape == (4, lines.BITS // 64) and len(set(lines.shingle_set("ab", 9)) & set(lines.shingle_set("ab\0", 9))) == 0
