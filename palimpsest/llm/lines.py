@@ -195,12 +195,12 @@ def _linked(signed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shing
     ids = materialize(todo.select("id").distinct(), "wanted")
     found = texts_of(ids).join(ids, "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
     texts = materialize(found.mapInArrow(sketched, "id long, line string, sketch array<long>"), "texts")
-    words = texts.select("id", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(BITS // 64)])
+    words = texts.select("id", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(BITS // 64)], F.lit(most_different(similar)).alias("most"))
     # A band stands in the place of a prefix of one element.
     prefix = todo.select("key", "id", F.lit(1).alias("at"), F.lit(1).alias("n"))
     if often is not None:
         prefix = prefix.join(often.select("id", F.col("n").alias("times")), "id", "left").select("key", "id", "at", "n", F.coalesce("times", F.lit(1)).alias("weight"))
-    edges = prefixes.links(prefix, lambda wanted: _compared(texts, wanted, shingle, similar), similar, words, most_different(similar))
+    edges = prefixes.links(prefix, lambda wanted: _compared(texts, wanted, shingle, similar), similar, words)
     for t in (shared, todo, ids, texts):
         drop_table(t)
     bitmap.destroy()

@@ -29,23 +29,24 @@ def _words(sketches: DataFrame | None) -> list[str]:
     return [c for c in sketches.columns if c != "id"] if sketches is not None else []
 
 
-def _near(words: list[str], most: int) -> Column:
-    """Whether the sketches of two sides, ``s_a, ...`` and ``s_b, ...``, differ in ``most`` bits or fewer."""
+def _near(words: list[str]) -> Column:
+    """Whether the sketches of two sides, ``s_a, ...`` and ``s_b, ...``, differ in as many bits as the looser side's ``most`` or fewer."""
     if not words:
         return F.lit(True)
-    return sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0)) <= most
+    bits = (F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words if w != "most")
+    return sum(bits, F.lit(0)) <= F.greatest("most_a", "most_b")
 
 
-def _close(pairs: DataFrame, sketches: DataFrame | None, most: int) -> DataFrame:
+def _close(pairs: DataFrame, sketches: DataFrame | None) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sketches are near each other."""
     if sketches is None:
         return pairs
     words = _words(sketches)
     side = lambda s: sketches.select(F.col("id").alias(s), *[F.col(w).alias(f"{w}_{s}") for w in words])
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_near(words, most)).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_near(words)).select("a", "b")
 
 
-def _rest(members: DataFrame, similar: float, sketches: DataFrame | None = None, most: int = 0) -> DataFrame:
+def _rest(members: DataFrame, similar: float, sketches: DataFrame | None = None) -> DataFrame:
     """Pairs ``a, b`` of different roots under one key whose sketches are near each other, met in salted blocks."""
     words = _words(sketches)
     if words:
@@ -64,10 +65,22 @@ def _rest(members: DataFrame, similar: float, sketches: DataFrame | None = None,
     met = left.join(right, ["key", "i", "j"]).where("root_a <> root_b").where("i < j OR id_a < id_b")
     # A pair is met under each key it shares: it goes on from the first of those, as far as that is among the first ones of both.
     once = F.coalesce(F.get(F.array_intersect("ks_a", "ks_b"), F.lit(0)), F.col("key")) == F.col("key")
-    return met.where(_may(similar, "at_a", "n_a", "at_b", "n_b") & _near(words[:-1], most) & once).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    return met.where(_may(similar, "at_a", "n_a", "at_b", "n_b") & _near(words[:-1]) & once).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-def links(prefix: DataFrame, verified: Callable[[DataFrame], DataFrame], similar: float, sketches: DataFrame | None = None, most: int = 0) -> DataFrame:
+def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """``members`` with the ``root`` of the component that ``edges`` put each id in."""
+    roots = connected_components(edges).select(F.col("node").alias("id"), "root")
+    return members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Those of ``members`` whose key has several components."""
+    several = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    return members.join(several, "key", "left_semi")
+
+
+def links(prefix: DataFrame, verified: Callable[[DataFrame], DataFrame], similar: float, sketches: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """Edges ``a, b`` that connect exactly the ids that pairs of similarity ``similar`` or more connect.
 
     Pairs within one component need no look. So the members of each key are compared
@@ -75,33 +88,36 @@ def links(prefix: DataFrame, verified: Callable[[DataFrame], DataFrame], similar
     been compared with all, leaves the key, and keys whose members are in one component
     are done. After ``ROUNDS`` rounds all pairs of different components under a key are compared.
     ``verified`` takes pairs ``a, b`` and returns those that are similar. ``sketches``: by
-    ``id`` words of bits of which similar sets differ in ``most`` at most; other pairs are not verified.
+    ``id`` words of bits of which similar sets differ in ``most`` (a column) at most, that of either; other pairs are not verified.
+    ``known``: edges ``a, b`` between similar ids that are there already; they are among those returned.
     ``prefix`` may have a ``weight``, the same in all rows of an id: the heaviest members are hubs first.
     """
-    group = prefix.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    own = ["id", "at", "n", *[c for c in prefix.columns if c == "weight"]]
-    todo = materialize(prefix.join(group, "key", "left_semi").select("key", *own, F.col("id").alias("root")), "prefix")
-    edges = todo.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    own = ["id", "at", "n", *[c for c in prefix.columns if c in ("weight", "point")]]
+    todo = materialize(_open(prefix.select("key", *own, F.col("id").alias("root"))), "prefix")
+    edges = todo.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if known is None else known
+    if known is not None and not known.isEmpty():
+        every, rooted = todo, materialize(_rooted(todo.drop("root"), known), "rooted")
+        todo = materialize(_open(rooted), "prefix")
+        drop_table(every)
+        drop_table(rooted)
     for k in range(ROUNDS + 1):
         if todo.isEmpty():
             break
         if k == ROUNDS:
-            pairs = _rest(todo, similar, sketches, most)
+            pairs = _rest(todo, similar, sketches)
             edges = materialize(edges.unionByName(verified(materialize(pairs, "candidates"))), "similar")
             break
         rank = F.struct(*[-F.col(c) for c in own if c == "weight"], F.xxhash64(F.lit(k), "id").alias("turn"))
         hub = todo.groupBy("key").agg(F.min_by(F.struct("id", "at", "n", "root"), rank).alias("h")).select("key", *[F.col(f"h.{c}").alias(f"{c}_h") for c in ("id", "at", "n", "root")])
         met = materialize(todo.join(hub, "key").where("id <> id_h"), "met")
         near = met.where("root <> root_h").where(_may(similar, "at", "n", "at_h", "n_h"))
-        pairs = _close(near.select(F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b")).distinct(), sketches, most)
+        pairs = _close(near.select(F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b")).distinct(), sketches)
         edges = materialize(edges.unionByName(verified(materialize(pairs, "candidates"))), "similar")
-        roots = connected_components(edges)
-        rooted = met.select("key", *own).join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", *own, F.coalesce("root", "id").alias("root"))
+        rooted = _rooted(met.select("key", *own), edges)
         rooted = materialize(rooted, "rooted")
         drop_table(todo)
         drop_table(met)
-        several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        todo = materialize(rooted.join(several, "key", "left_semi"), "prefix")
+        todo = materialize(_open(rooted), "prefix")
         drop_table(rooted)
     drop_table(todo)
     return edges

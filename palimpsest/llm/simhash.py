@@ -113,6 +113,43 @@ def fingerprint(text: bytes, shingle: int, seed: int) -> int:
     return int.from_bytes(np.packbits(count * 2 > n, bitorder="little").tobytes(), "little")
 
 
+#: 64-bit words of a wide fingerprint, and the odd factors that make further bits of a shingle's hash.
+WIDE = 32
+FACTORS = np.random.default_rng(5).integers(0, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide(hashes: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """SimHash of ``64 * WIDE`` bits over unsigned 64-bit hashes, as signed integers: a bit is set if it is in over half of them.
+
+    The first word is the SimHash of the hashes as they are; the others are those of the hashes mixed
+    anew. Two sets whose vectors have the angle t between them differ in a bit with probability t / pi.
+    """
+    count = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), step):
+        part = hashes[at : at + step, None] * FACTORS
+        part = (part ^ (part >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        part ^= part >> np.uint64(32)
+        part[:, 0] = hashes[at : at + step]
+        # Full adders on whole words: three of one weight leave one of it and one of twice that.
+        weight = 1
+        while len(part):
+            carried = []
+            while len(part) > 1:
+                k = max(len(part) // 3, 1)
+                a, b, c = part[:k], part[k : 2 * k], part[2 * k : 3 * k]
+                if len(part) == 2:
+                    carried.append(a & b)
+                    part = a ^ b
+                    break
+                both = a ^ b
+                carried.append(a & b | c & both)
+                part = np.concatenate([both ^ c, part[3 * k :]])
+            count += np.unpackbits(part[0].astype("<u8").view(np.uint8), bitorder="little") * np.int64(weight)
+            part = np.concatenate(carried) if carried else part[:0]
+            weight *= 2
+    return np.packbits(count * 2 > len(hashes), bitorder="little").view("<i8").astype(np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """``(doc_id, fp, text_hash)`` for every row of ``docs``: the SimHash of the whole text as a signed long.
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 
-from palimpsest.llm import prefixes, shingles
+from palimpsest.llm import prefixes, shingles, simhash
 
 
 def grams(text, k=5):
@@ -70,3 +72,43 @@ def test_stage_edges(docs, none):
     rows = shingles.keep_one(docs).collect()
     assert [r.doc_id for r in rows].count(6) == 0 and len(rows) < docs.count()
     assert shingles.keep_one(none).count() == 0 and shingles.keep_one(docs).schema == docs.schema
+
+
+def test_wide_simhash_by_plain_code():
+    """Each bit is the majority of that bit in the hashes, which are mixed anew for each word but the first; similar sets stay within the bound."""
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 7, 200, 301):
+        hashes = r.integers(0, 1 << 64, n, dtype=np.uint64)
+        words = []
+        for k, factor in enumerate(simhash.FACTORS.tolist()):
+            mixed = [int(h) if k == 0 else (lambda x: (x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64)(int(h) * factor % 2**64) for h in hashes]
+            mixed = mixed if k == 0 else [x ^ x >> 32 for x in mixed]
+            words.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > n))
+        assert [w % 2**64 for w in simhash.wide(hashes).tolist()] == words == [w % 2**64 for w in simhash.wide(hashes, step=50).tolist()]
+    differ = lambda a, b: int(np.bitwise_count((simhash.wide(a) ^ simhash.wide(b)).view(np.uint64)).sum())
+    for common, own in ((8, 1), (4, 0), (40, 5), (160, 20), (800, 100)):
+        for _ in range(30):
+            x = r.integers(0, 1 << 64, common + 2 * own + 1, dtype=np.uint64)
+            a, b = (x[: common + own], x[own : common + 2 * own]) if own else (x[:4], x[:5])
+            assert differ(a, b) <= shingles.most_different(0.8, few=len(a) < shingles.FEW)
+    assert differ(x[:200], x[150:350]) > shingles.most_different(0.8)
+
+
+def test_stage_is_by_simhash(spark, monkeypatch):
+    """Near-copies within two bits of a SimHash are linked by it alone; no pair is compared whose SimHashes are far apart."""
+    r = random.Random(9)
+    prose = lambda n: " ".join(f"w{r.randrange(4000)}" for _ in range(n))
+    base, long = [prose(40) for _ in range(6)], prose(3000)
+    rows = [(k, t) for k, t in enumerate([*base, long, long + " end", base[0].upper()])]
+    given = {}
+
+    def none(prefix, verified, similar, sketches, known):
+        given.update(words=len(sketches.columns) - 2, first={x.id: x.s0 for x in sketches.collect()})
+        return known
+
+    monkeypatch.setattr(prefixes, "links", none)
+    kept = shingles.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, similar=0.8, seed=42)
+    assert sorted(x.doc_id for x in kept.collect()) == [0, 1, 2, 3, 4, 5, 6]
+    assert given["words"] == simhash.WIDE
+    fps = {simhash.fingerprint(t.encode(), 5, 42) for t in [*base, long, long + " end"]}
+    assert {x % 2**64 for x in given["first"].values()} == fps
