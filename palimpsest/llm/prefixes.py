@@ -46,23 +46,30 @@ def _close(pairs: DataFrame, sketches: DataFrame | None) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(_near(words)).select("a", "b")
 
 
+def _mains(members: DataFrame) -> DataFrame:
+    """By ``key`` the root ``main`` that most members have, the number of ``members`` and of ``loners``, which have others."""
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("members"))
+    return most.select("key", F.col("m.root").alias("main"), "members", (F.col("members") - F.col("m.c")).alias("loners"))
+
+
 def _rest(members: DataFrame, similar: float, sketches: DataFrame | None = None) -> DataFrame:
     """Pairs ``a, b`` of different roots under one key whose sketches are near each other, met in salted blocks."""
     words = _words(sketches)
+    mains = _mains(members)
     if words:
         members = members.join(sketches, "id")
     first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("at", "key"))), 1, SHARED), lambda x: x["key"])
     members = members.join(members.groupBy("id").agg(first.alias("ks")), "id")
     words = [*words, "ks"]
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # A member goes to the cells of its block's row and column, so that each two blocks meet in one cell.
-    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "id", "at", "n", "root", *words, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
-    left = cells.where("block = i").select("key", "i", "j", *[F.col(c).alias(f"{c}_a") for c in ("id", "at", "n", "root", *words)])
-    right = cells.where("block = j").select("key", "i", "j", *[F.col(c).alias(f"{c}_b") for c in ("id", "at", "n", "root", *words)])
-    met = left.join(right, ["key", "i", "j"]).where("root_a <> root_b").where("i < j OR id_a < id_b")
+    blocks = mains.select("key", "main", F.ceil(F.col("loners") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(blocks, "key").withColumn("loner", F.col("root") != F.col("main"))
+    # Members of the main root need no look at each other: loners are dealt to blocks, and all members go to each of those.
+    side = lambda s, *more: ["key", "block", *more, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "at", "n", "root", *words)]]
+    every = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*side("a", "loner"))
+    alone = own.where("loner").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(*side("b"))
+    # Two loners are met in the blocks of both.
+    met = every.join(alone, ["key", "block"]).where("root_a <> root_b").where("NOT loner OR id_a < id_b")
     # A pair is met under each key it shares: it goes on from the first of those, as far as that is among the first ones of both.
     once = F.coalesce(F.get(F.array_intersect("ks_a", "ks_b"), F.lit(0)), F.col("key")) == F.col("key")
     return met.where(_may(similar, "at_a", "n_a", "at_b", "n_b") & _near(words[:-1]) & once).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
@@ -92,7 +99,7 @@ def links(prefix: DataFrame, verified: Callable[[DataFrame], DataFrame], similar
     ``known``: edges ``a, b`` between similar ids that are there already; they are among those returned.
     ``prefix`` may have a ``weight``, the same in all rows of an id: the heaviest members are hubs first.
     """
-    own = ["id", "at", "n", *[c for c in prefix.columns if c in ("weight", "point")]]
+    own = ["id", "at", "n", *[c for c in prefix.columns if c == "weight"]]
     todo = materialize(_open(prefix.select("key", *own, F.col("id").alias("root"))), "prefix")
     edges = todo.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if known is None else known
     if known is not None and not known.isEmpty():

@@ -112,3 +112,24 @@ def test_stage_is_by_simhash(spark, monkeypatch):
     assert given["words"] == simhash.WIDE
     fps = {simhash.fingerprint(t.encode(), 5, 42) for t in [*base, long, long + " end"]}
     assert {x % 2**64 for x in given["first"].values()} == fps
+
+
+def test_blocks_are_for_loners(spark, monkeypatch):
+    """Members of a key's largest component are not paired among themselves: a key with few others has one block, whatever its size; all pairs are met once."""
+    monkeypatch.setattr(prefixes, "BLOCK", 16)
+    rows = [(7, k, 1, 1, 0) for k in range(400)] + [(7, 1000 + k, 1, 1, 1000 + k) for k in range(20)] + [(8, k, 1, 1, 0) for k in range(300)] + [(8, 2000, 1, 1, 2000)]
+    members = spark.createDataFrame(rows, "key long, id long, at int, n int, root long")
+    mains = {r.key: (r.main, r.members, r.loners) for r in prefixes._mains(members).collect()}
+    assert mains == {7: (0, 420, 20), 8: (0, 301, 1)}
+    found = sorted((r.a, r.b) for r in prefixes._rest(members, 0.8).collect())
+    root = {(k, i): r for k, i, _, _, r in rows}
+    ids = {k: [i for x, i in root if x == k] for k in (7, 8)}
+    assert found == sorted({(a, b) for k in ids for a in ids[k] for b in ids[k] if a < b and root[k, a] != root[k, b]})
+
+
+def test_order_follows_the_input(spark, monkeypatch):
+    """A passage that a fixed share of more texts than the sample holds is still known as frequent."""
+    monkeypatch.setattr(shingles, "SAMPLE", 10)
+    texts = spark.createDataFrame([(f"a b c d e f{k}" if k % 10 == 0 else f"{k} {k + 1} {k + 2} {k + 3} {k + 4}",) for k in range(600)], "text string")
+    known, counts = shingles._common(texts, 5, 42)
+    assert shingles.shingle_set(b"a b c d e", 5, 42)[0] in known and (counts >= shingles.OFTEN).all()
