@@ -1,312 +1,171 @@
-"""Fuzzy line deduplication by MinHash over character shingles.
+"""Fuzzy line deduplication by MinHash over character shingles, in DataFrame operations only.
 
-One pass in Python workers takes the texts apart and signs each line: its shingles are
-hashed all at once by vectors of code points, and the least hash under each of the orders
-makes a signature, whose bands are the line's keys. All else is DataFrame operations over
-hashes. Only lines that share a key with another keep their text, for the exact Jaccard
-similarity of candidate pairs; components of the similar pairs keep their first line.
+Lines are laid out in fixed-width code points, so that a shingle is a slice, and exploded.
+Each shingle is hashed once: the range of hashes is cut into as many bins as there are
+orders, and one aggregate keeps the least hash of each bin, an empty bin that of the next
+one (one-permutation MinHash with rotation). Bands of these are the line's keys; components
+of the similar pairs, by exact Jaccard similarity, keep their first line.
 
 Lines of one band are not all paired: they are compared with hubs, which joins near-copies
 at linear cost, and only those left in different components in blocks (``prefixes``). Pairs
-whose sketches of one-bit minhashes lie too far apart are not compared.
+whose sizes or sketches lie too far apart are not compared. A sketch has the parities of the
+shingles under each of its bits, so that those of two lines differ in a bit for about every
+shingle that only one of them has.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.llm import prefixes
-from palimpsest.llm.common import drop_table, materialize, passes, short_batches, sieve
+from palimpsest.llm.common import drop_table, materialize
 from palimpsest.llm.components import connected_components
 
 #: Code points of a shingle, bands and hashes in a band, similarity, standard deviations that sketches may lie apart beyond the mean.
 SHINGLE, BANDS, ROWS, SIMILAR, DEVIATIONS = 9, 8, 3, 0.8, 3.5
-#: One-bit minhashes of a sketch.
-BITS = 512
-#: Code points that are hashed at once; lines of a task that are known not to need a second signature; hashes of lines kept for further pairs.
-SLICE, SEEN, KEPT = 1 << 17, 100_000, 1 << 22
+#: Bits of a sketch; a second one is of one shingle in ``THINNED``, for pairs that have more shingles than ``FULL``.
+BITS, THINNED, FULL = 512, 8, 2400
+#: Bins with a shingle of their own up to which a line, as it has few shingles, has each ``EVERY``-th bin alone as a key too.
+SPARSE, EVERY = 16, 3
 #: White space around a line.
 BLANK = " \t\n\x0b\f\r"
-#: Odd factors of the rolled hash and of its mixing.
-ROLL, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: Fills up lines shorter than a shingle; no text holds it.
+#: Code points that the plain form hashes at once; odd factors of its rolled hash and of its mixing.
+SLICE, ROLL, MIX = 1 << 17, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Fills up lines shorter than a shingle in the plain form; no text holds it.
 FILLER = "\ud800"
 
 
-def _rolled(codes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the ``k`` code points from each place on."""
-    if k == 1:
-        return codes
-    half = k // 2
-    part = _rolled(codes, half)
-    whole = part[:-half] * np.uint64(pow(ROLL, half, 1 << 64)) + part[half:]
-    return whole[:-1] * np.uint64(ROLL) + codes[k - 1 :] if k % 2 else whole
+def _wide(line: Column) -> Column:
+    return F.encode(line, "UTF-32")
 
 
-def _shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mixed 64-bit hashes of all shingles of lines of ``shingle`` code points or more, and where each line's begin."""
-    sizes = np.array([len(x) for x in lines])
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    inside = np.ones(len(codes), bool)
-    for back in range(1, shingle):
-        inside[np.cumsum(sizes) - back] = False
-    rolled = _rolled(codes, shingle)
-    rolled = rolled[inside[: len(rolled)]]
-    mixed = (rolled ^ (rolled >> np.uint64(31))) * np.uint64(MIX)
-    return mixed ^ (mixed >> np.uint64(32)), np.concatenate([[0], np.cumsum(sizes - shingle + 1)[:-1]])
+def _starts(wide: str, shingle: int) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(wide) - 4 * shingle + 1, F.lit(1)), F.lit(4))
 
 
-def _cut(line: str, shingle: int) -> list[str]:
-    """The line in parts of about ``SLICE`` code points that overlap by all but one of a shingle's; filled up if it is shorter than one."""
-    if len(line) <= SLICE:
-        return [line if len(line) >= shingle else line + FILLER * (shingle - len(line))]
-    return [line[k : k + SLICE + shingle - 1] for k in range(0, len(line) - shingle + 1, SLICE)]
+def _shingle(wide: str, at: Column, shingle: int) -> Column:
+    """The hash of the shingle at a place of a column of ``_wide`` lines; a line shorter than one is one shingle."""
+    return F.xxhash64(F.substr(F.col(wide), at, F.lit(4 * shingle)))
 
 
-def shingle_set(line: str, shingle: int) -> np.ndarray:
-    """Sorted different hashes of the shingles; a line shorter than one is one shingle."""
-    return np.unique(np.concatenate([_shingle_hashes([x], shingle)[0] for x in _cut(line, shingle)]))
+def _shingles(wide: str, shingle: int) -> Column:
+    """The hashes of the different shingles."""
+    return F.array_distinct(F.transform(_starts(wide, shingle), lambda i: _shingle(wide, i, shingle)))
 
 
-def sign(lines: list[str], shingle: int, hashes: int) -> np.ndarray:
-    """The least 32-bit shingle hash under each of ``hashes`` orders, a row for each order and a column for each line."""
-    # An odd factor permutes the numbers below 2^32.
-    factors = np.random.default_rng(11).integers(0, 1 << 31, hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    least = np.full((hashes, len(lines)), 0xFFFFFFFF, np.uint32)
-    parts: list[str] = []
-    owner: list[int] = []
+def signatures(lines: DataFrame, shingle: int, orders: int) -> DataFrame:
+    """``id, m0, m1, ...`` from ``lines(id, line)``, where rows of one id are alike: the least hash in each of ``orders`` bins, null in empty ones."""
+    wide = lines.select("id", _wide(F.col("line")).alias("wide"))
+    each = wide.select("id", "wide", F.explode(_starts("wide", shingle)).alias("at"))
+    hashed = each.select("id", _shingle("wide", F.col("at"), shingle).alias("x"))
+    binned = hashed.select("id", "x", F.expr(f"cast(shiftright(shiftrightunsigned(x, 32) * {orders}L, 32) AS int)").alias("bin"))
+    return binned.groupBy("id").agg(*[F.min(F.when(F.col("bin") == k, F.col("x"))).alias(f"m{k}") for k in range(orders)])
 
-    def work() -> None:
-        mixed, begin = _shingle_hashes(parts, shingle)
-        x = (mixed >> np.uint64(32)).astype(np.uint32)
-        order = np.empty_like(x)
-        whose = np.array(owner)
-        # Owners ascend by one, but where a long line has several parts.
-        whole = whose[-1] - whose[0] == len(whose) - 1
-        for k in range(hashes):
-            np.multiply(x, factors[k], out=order)
-            found = np.minimum.reduceat(order, begin)
-            if whole:
-                np.minimum(least[k, whose[0] : whose[-1] + 1], found, out=least[k, whose[0] : whose[-1] + 1])
-            else:
-                np.minimum.at(least[k], whose, found)
-        parts.clear()
-        owner.clear()
 
-    held = 0
-    for n, line in enumerate(lines):
-        for part in _cut(line, shingle):
-            parts.append(part)
-            owner.append(n)
-            held += len(part)
-            if held >= SLICE:
-                work()
-                held = 0
-    if parts:
-        work()
-    return least
+def _keyed(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """``id, keys``: a key for each band; lines of few shingles, whose bins repeat each other's, have keys of single bins too."""
+    orders = bands * rows
+    full = signatures(lines, shingle, orders).select(
+        "id",
+        sum((F.col(f"m{k}").isNotNull().cast("int") for k in range(orders)), F.lit(0)).alias("bins"),
+        *[F.coalesce(*[f"m{(k + j) % orders}" for j in range(orders)]).alias(f"m{k}") for k in range(orders)],
+    )
+    # The bins of a band lie far apart, so that one shingle doesn't stand for several of them.
+    banded = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b + r * bands}") for r in range(rows)]) for b in range(bands)])
+    single = F.array(*[F.xxhash64(F.lit(-1 - k), F.col(f"m{k}")) for k in range(0, orders, EVERY)])
+    return full.select("id", F.when(F.col("bins") <= SPARSE, F.concat(banded, single)).otherwise(banded).alias("keys"))
 
 
-def band_keys(lines: list[str], shingle: int, bands: int, rows: int) -> np.ndarray:
-    """For each line a row of its ``bands`` keys."""
-    signed = sign(lines, shingle, bands * rows)
-    keys = np.empty((len(lines), bands), np.uint64)
-    for b in range(bands):
-        key = np.full(len(lines), b + 1, np.uint64)
-        for r in range(rows):
-            key = (key ^ (key >> np.uint64(29))) * np.uint64(MIX) + signed[b * rows + r]
-        key = (key ^ (key >> np.uint64(31))) * np.uint64(ROLL)
-        keys[:, b] = key ^ (key >> np.uint64(32))
-    return keys.view(np.int64)
+def _sketched(texts: DataFrame, shingle: int) -> DataFrame:
+    """``id, size, s0, s1, ...`` of ``texts(id, line)``: the number of different shingles, a sketch of all and one of those thinned."""
+    wide = texts.select("id", _wide(F.col("line")).alias("wide"))
+    each = wide.select("id", F.explode(_shingles("wide", shingle)).alias("x"))
+    bits = each.select(
+        "id",
+        F.expr(f"cast(shiftright(x, 6) & {BITS // 64 - 1} AS int)").alias("word"),
+        F.expr("shiftleft(1L, cast(x & 63 AS int))").alias("bit"),
+        (F.shiftright("x", 20).bitwiseAND(F.lit(THINNED - 1)) == 0).alias("thin"),
+    )
+    own = lambda k: F.col("word") == k
+    full = [F.bit_xor(F.when(own(k), F.col("bit")).otherwise(0)) for k in range(BITS // 64)]
+    thinned = [F.bit_xor(F.when(own(k) & F.col("thin"), F.col("bit")).otherwise(0)) for k in range(BITS // 64)]
+    return bits.groupBy("id").agg(F.count("*").alias("size"), *[x.alias(f"s{k}") for k, x in enumerate(full + thinned)])
 
 
-def sketches(lines: list[str], shingle: int) -> np.ndarray:
-    """For each line a row of words with one bit of the least hash under each of ``BITS`` orders."""
-    bits = sign(lines, shingle, BITS) >> (np.arange(BITS, dtype=np.uint32) % np.uint32(16))[:, None] & np.uint32(1)
-    return np.ascontiguousarray(np.packbits(bits.astype(np.uint8), axis=0, bitorder="little").T).view(np.int64)
-
+def _near(similar: float) -> Column:
+    """Whether the sketches of two sides differ in so few bits that they can be ``similar``: by the normal law one pair in 4,000 of just that similarity does not.
 
-def most_different(similar: float) -> int:
-    """Bits in which sketches of two similar lines differ, at most: by the normal law one pair in 4,000 of just that similarity lies beyond."""
-    p = (1 - similar) / 2
-    return int(BITS * p + DEVIATIONS * math.sqrt(BITS * p * (1 - p)))
+    Shingles that only one of two lines has are, at that similarity, a fixed part of the sum of both lines' shingles.
+    """
+    both = F.col("size_a") + F.col("size_b")
+    words = BITS // 64
 
+    def within(first: int, part: float) -> Column:
+        apart = both * ((1 - similar) / (1 + similar) * part)
+        left = F.exp(apart * (-2 / BITS))
+        mean = (1 - left) * (BITS / 2)
+        # Of parities, and of the number of shingles that the thinned have.
+        spread = (1 - left * left) * (BITS / 4) - apart * left * left + apart * (1 - part) * left * left
+        bits = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(first, first + words)), F.lit(0))
+        return bits <= mean + F.sqrt(F.greatest(spread, F.lit(0.0))) * DEVIATIONS + 1
 
-def _lists(rows: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel(), pa.int64()))
+    return F.when(both <= FULL, within(0, 1.0)).otherwise(within(words, 1 / THINNED))
 
 
 def _compared(texts: DataFrame, wanted: DataFrame, shingle: int, similar: float) -> DataFrame:
     """Those of the pairs ``wanted(a, b)`` of ``texts(id, line)`` that have similarity ``similar`` or more."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        held = 0
-        for batch in batches:
-            good = []
-            for a, b, *both in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                for key, line in zip((a, b), both, strict=True):
-                    if key not in known:
-                        if held > KEPT:
-                            known, held = {k: v for k, v in known.items() if k == a}, 0
-                        known[key] = shingle_set(line, shingle)
-                        held += len(known[key])
-                x, y = known[a], known[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similar * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
     side = lambda s: texts.select(F.col("id").alias(s), F.col("line").alias(f"l{s}"))
     # Pairs travel with their lines, which are far smaller than the lines' shingles.
-    return wanted.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb").mapInArrow(compare, "a long, b long")
+    both = wanted.join(side("a"), "a").join(side("b"), "b")
+    wide = both.select("a", "b", _wide(F.col("la")).alias("wa"), _wide(F.col("lb")).alias("wb"))
+    sets = wide.select("a", "b", _shingles("wa", shingle).alias("sa"), _shingles("wb", shingle).alias("sb"))
+    # Written before it is filtered: a filter would move below, and make the shingles anew within itself.
+    common = materialize(sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n")), "compared")
+    return common.where(F.col("n") >= similar * (F.col("na") + F.col("nb") - F.col("n")) - 1e-9).select("a", "b")
 
 
-def _linked(signed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similar: float, often: DataFrame | None = None) -> DataFrame:
-    """Edges ``(a, b)`` between ids of ``signed(id, keys)``, where rows of one id are alike or have no keys.
+def _linked(lines: DataFrame, shingle: int, bands: int, rows: int, similar: float, often: DataFrame | None = None) -> DataFrame:
+    """Edges ``(a, b)`` between ids of ``lines(id, line)``, where rows of one id are alike.
 
-    ``texts_of`` takes ids and returns at least their ``id, line``, a row or more for each. Lines
-    that ``often(id, n)`` has most often are compared first: others are mostly copies of them.
+    Lines that ``often(id, n)`` has most often are compared first: others are mostly copies of them.
     """
-    keyed = signed.where(F.size("keys") > 0).select("id", F.explode("keys").alias("key"))
-    shared = materialize(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared")
-    bitmap = shared.sparkSession.sparkContext.broadcast(sieve(shared))
-
-    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(1)
-            values, whose = keys.flatten(), np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy())
-            good = passes(bitmap.value, values.to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whose[good])), values.filter(pa.array(good))], names=["id", "key"])
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                yield pa.RecordBatch.from_arrays([*batch.columns, _lists(sketches(batch.column(1).to_pylist(), shingle))], names=["id", "line", "sketch"])
-
-    likely = signed.where(F.size("keys") > 0).select("id", "keys").mapInArrow(sifted, "id long, key long")
-    todo = materialize(likely.join(shared, "key", "left_semi").distinct(), "keyed")
+    signed = materialize(_keyed(lines, shingle, bands, rows), "signed")
+    # Dealt once, for both sides of the join.
+    keyed = signed.select("id", F.explode("keys").alias("key")).repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    todo = materialize(keyed.join(shared.hint("shuffle_hash"), "key", "left_semi"), "keyed")
     ids = materialize(todo.select("id").distinct(), "wanted")
-    found = texts_of(ids).join(ids, "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
-    texts = materialize(found.mapInArrow(sketched, "id long, line string, sketch array<long>"), "texts")
-    words = texts.select("id", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(BITS // 64)], F.lit(most_different(similar)).alias("most"))
-    # A band stands in the place of a prefix of one element.
-    prefix = todo.select("key", "id", F.lit(1).alias("at"), F.lit(1).alias("n"))
+    texts = materialize(lines.join(ids.hint("shuffle_hash"), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line")), "texts")
+    words = materialize(_sketched(texts, shingle), "sketches")
+    # A band stands in the place of a prefix of one element; the sizes bound what two sets share.
+    prefix = todo.join(words.select("id", "size"), "id").select("key", "id", F.lit(1).alias("at"), F.col("size").alias("n"))
     if often is not None:
         prefix = prefix.join(often.select("id", F.col("n").alias("times")), "id", "left").select("key", "id", "at", "n", F.coalesce("times", F.lit(1)).alias("weight"))
-    edges = prefixes.links(prefix, lambda wanted: _compared(texts, wanted, shingle, similar), similar, words)
-    for t in (shared, todo, ids, texts):
+    edges = prefixes.links(prefix, lambda wanted: _compared(texts, wanted, shingle, similar), similar, words, near=_near(similar))
+    for t in (signed, todo, ids, texts, words):
         drop_table(t)
-    bitmap.destroy()
     return edges
 
 
 def similar_lines(lines: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
-    """Edges ``(a, b)`` that connect those ids of ``lines(id, line)`` which pairs of similarity ``similar`` or more with a common band connect."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(band_keys(batch.column(1).to_pylist(), shingle, bands, rows))], names=["id", "keys"])
-
-    short_batches(lines.sparkSession)
+    """Edges ``(a, b)`` that connect those ids of ``lines(id, line)`` which pairs of similarity ``similar`` or more with a common key connect."""
     there = lines.where("line IS NOT NULL").select(F.col("id").cast("long").alias("id"), "line")
-    signed = materialize(there.mapInArrow(scan, "id long, keys array<long>"), "signed")
-    edges = _linked(signed, lambda _: there, shingle, similar)
-    drop_table(signed)
-    return edges
-
-
-def _lines(text: str) -> Iterator[tuple[int, str, int]]:
-    """Place, line and 64-bit hash of each line that is not blank."""
-    from xxhash import xxh64_intdigest
-
-    for k, line in enumerate(text.split("\n")):
-        line = line.strip(BLANK)
-        if line:
-            yield k, line, xxh64_intdigest(line, 42)
-
-
-def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, line`` of the lines of ``rows(d, t, text)`` whose ids are among ``ids``, and of some others."""
-    bitmap = rows.sparkSession.sparkContext.broadcast(sieve(ids))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for text in batch.column(0):
-                _, lines, keys = zip(*_lines(text.as_py()), strict=True) if text.as_py().strip(BLANK + "\n") else ((), (), ())
-                keys = np.array(keys, np.uint64)
-                good = [k for k in np.flatnonzero(passes(bitmap.value, keys)).tolist() if int(keys[k]) not in seen]
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.update(keys[good].tolist())
-                if good:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[good].view(np.int64)), pa.array([lines[k] for k in good])], names=["id", "line"])
-
-    return rows.select("text").mapInArrow(scan, "id long, line string")
-
-
-def _placed(rows: DataFrame, shingle: int, bands: int, hashes: int) -> DataFrame:
-    """``d, t, at, id`` of each line that is not blank of ``rows(d, t, text)``; with its first in a while its ``keys``, with others none."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        row: list[int] = []
-        at: list[int] = []
-        ids: list[int] = []
-        fresh: list[bool] = []
-        new: list[str] = []
-
-        def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = band_keys(new, shingle, bands, hashes)
-            ends = np.concatenate([[0], np.cumsum(fresh)]) * bands
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.ravel(), pa.int64()))
-            whose = pa.array(row, pa.int32())
-            key = pa.array(np.array(ids, np.uint64).view(np.int64))
-            out = [batch.column(0).take(whose), batch.column(1).take(whose), pa.array(at, pa.int32()), key, lists]
-            for x in (row, at, ids, fresh, new):
-                x.clear()
-            return pa.RecordBatch.from_arrays(out, names=["d", "t", "at", "id", "keys"])
-
-        for batch in batches:
-            held = 0
-            for n, text in enumerate(batch.column(2)):
-                for k, line, key in _lines(text.as_py()):
-                    row.append(n)
-                    at.append(k)
-                    ids.append(key)
-                    fresh.append(key not in seen)
-                    if fresh[-1]:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen.add(key)
-                        new.append(line)
-                        held += len(line)
-                    if held >= 4 * SLICE or len(row) >= 4 * SLICE:
-                        yield signed(batch)
-                        held = 0
-            if row:
-                yield signed(batch)
-
-    return rows.mapInArrow(scan, "d long, t long, at int, id long, keys array<long>")
+    return _linked(there, shingle, bands, rows, similar)
 
 
 def _judged(docs: DataFrame, keep: list[Column], *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
     """The columns ``keep`` of every row of docs, ``n_lines``, and the places ``dropped``."""
-    short_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     last = F.lit(2**63 - 1)
     named = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), last).alias("__d"), F.xxhash64(text).alias("__t"), text.alias("__s"))
-    plain = named.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.col("__s").alias("text"))
-    placed = materialize(_placed(plain, shingle, bands, rows), "placed")
+    each = named.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.posexplode(F.split("__s", "\n", -1)).alias("at", "line"))
+    each = each.select("d", "t", "at", F.btrim("line", F.lit(BLANK)).alias("line")).where("line <> ''").select("d", "t", "at", F.xxhash64("line").alias("id"), "line")
+    placed = materialize(each.select("d", "t", "at", "id"), "placed")
     often = materialize(placed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "often")
-    edges = _linked(placed.select("id", "keys"), lambda ids: _texts(plain, ids), shingle, similar, often)
+    edges = _linked(each.select("id", "line"), shingle, bands, rows, similar, often)
     roots = connected_components(edges)
     repeated = often.select("id").join(roots.select(F.col("node").alias("id"), "root"), "id", "full").select("id", F.coalesce("root", "id").alias("root"))
     repeated = materialize(repeated, "repeated")
@@ -347,3 +206,85 @@ def clean(docs: DataFrame, **options) -> DataFrame:
     kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("dropped", i))
     new = F.when(F.size("dropped") == 0, text).otherwise(F.array_join(kept, "\n"))
     return found.select(*[new.alias(f.name) if f.name == "text" else F.col(f"__row.`{f.name}`") for f in docs.schema.fields])
+
+# The plain form of shingles, signatures and sketches, by vectors and in one process: no query goes by it, tests hold to it.
+
+
+def _rolled(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k`` code points from each place on."""
+    if k == 1:
+        return codes
+    half = k // 2
+    part = _rolled(codes, half)
+    whole = part[:-half] * np.uint64(pow(ROLL, half, 1 << 64)) + part[half:]
+    return whole[:-1] * np.uint64(ROLL) + codes[k - 1 :] if k % 2 else whole
+
+
+def _shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mixed 64-bit hashes of all shingles of lines of ``shingle`` code points or more, and where each line's begin."""
+    sizes = np.array([len(x) for x in lines])
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    inside = np.ones(len(codes), bool)
+    for back in range(1, shingle):
+        inside[np.cumsum(sizes) - back] = False
+    rolled = _rolled(codes, shingle)
+    rolled = rolled[inside[: len(rolled)]]
+    mixed = (rolled ^ (rolled >> np.uint64(31))) * np.uint64(MIX)
+    return mixed ^ (mixed >> np.uint64(32)), np.concatenate([[0], np.cumsum(sizes - shingle + 1)[:-1]])
+
+
+def _cut(line: str, shingle: int) -> list[str]:
+    """The line in parts of about ``SLICE`` code points that overlap by all but one of a shingle's; filled up if it is shorter than one."""
+    if len(line) <= SLICE:
+        return [line if len(line) >= shingle else line + FILLER * (shingle - len(line))]
+    return [line[k : k + SLICE + shingle - 1] for k in range(0, len(line) - shingle + 1, SLICE)]
+
+
+def shingle_set(line: str, shingle: int) -> np.ndarray:
+    """Sorted different hashes of the shingles; a line shorter than one is one shingle."""
+    return np.unique(np.concatenate([_shingle_hashes([x], shingle)[0] for x in _cut(line, shingle)]))
+
+
+def sign(lines: list[str], shingle: int, hashes: int) -> np.ndarray:
+    """The least 32-bit shingle hash under each of ``hashes`` orders, a row for each order and a column for each line."""
+    # An odd factor permutes the numbers below 2^32.
+    factors = np.random.default_rng(11).integers(0, 1 << 31, hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    least = np.full((hashes, len(lines)), 0xFFFFFFFF, np.uint32)
+    parts: list[str] = []
+    owner: list[int] = []
+
+    def work() -> None:
+        mixed, begin = _shingle_hashes(parts, shingle)
+        x = (mixed >> np.uint64(32)).astype(np.uint32)
+        order = np.empty_like(x)
+        whose = np.array(owner)
+        # Owners ascend by one, but where a long line has several parts.
+        whole = whose[-1] - whose[0] == len(whose) - 1
+        for k in range(hashes):
+            np.multiply(x, factors[k], out=order)
+            found = np.minimum.reduceat(order, begin)
+            if whole:
+                np.minimum(least[k, whose[0] : whose[-1] + 1], found, out=least[k, whose[0] : whose[-1] + 1])
+            else:
+                np.minimum.at(least[k], whose, found)
+        parts.clear()
+        owner.clear()
+
+    held = 0
+    for n, line in enumerate(lines):
+        for part in _cut(line, shingle):
+            parts.append(part)
+            owner.append(n)
+            held += len(part)
+            if held >= SLICE:
+                work()
+                held = 0
+    if parts:
+        work()
+    return least
+
+
+def sketches(lines: list[str], shingle: int) -> np.ndarray:
+    """For each line a row of words with one bit of the least hash under each of ``BITS`` orders."""
+    bits = sign(lines, shingle, BITS) >> (np.arange(BITS, dtype=np.uint32) % np.uint32(16))[:, None] & np.uint32(1)
+    return np.ascontiguousarray(np.packbits(bits.astype(np.uint8), axis=0, bitorder="little").T).view(np.int64)

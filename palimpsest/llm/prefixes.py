@@ -37,13 +37,13 @@ def _near(words: list[str]) -> Column:
     return sum(bits, F.lit(0)) <= F.greatest("most_a", "most_b")
 
 
-def _close(pairs: DataFrame, sketches: DataFrame | None) -> DataFrame:
+def _close(pairs: DataFrame, sketches: DataFrame | None, near: Column | None = None) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sketches are near each other."""
     if sketches is None:
         return pairs
     words = _words(sketches)
     side = lambda s: sketches.select(F.col("id").alias(s), *[F.col(w).alias(f"{w}_{s}") for w in words])
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_near(words)).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_near(words) if near is None else near).select("a", "b")
 
 
 def _mains(members: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def _mains(members: DataFrame) -> DataFrame:
     return most.select("key", F.col("m.root").alias("main"), "members", (F.col("members") - F.col("m.c")).alias("loners"))
 
 
-def _rest(members: DataFrame, similar: float, sketches: DataFrame | None = None) -> DataFrame:
+def _rest(members: DataFrame, similar: float, sketches: DataFrame | None = None, near: Column | None = None) -> DataFrame:
     """Pairs ``a, b`` of different roots under one key whose sketches are near each other, met in salted blocks."""
     words = _words(sketches)
     mains = _mains(members)
@@ -72,7 +72,8 @@ def _rest(members: DataFrame, similar: float, sketches: DataFrame | None = None)
     met = every.join(alone, ["key", "block"]).where("root_a <> root_b").where("NOT loner OR id_a < id_b")
     # A pair is met under each key it shares: it goes on from the first of those, as far as that is among the first ones of both.
     once = F.coalesce(F.get(F.array_intersect("ks_a", "ks_b"), F.lit(0)), F.col("key")) == F.col("key")
-    return met.where(_may(similar, "at_a", "n_a", "at_b", "n_b") & _near(words[:-1]) & once).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    near = _near(words[:-1]) if near is None else near
+    return met.where(_may(similar, "at_a", "n_a", "at_b", "n_b") & near & once).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(several, "key", "left_semi")
 
 
-def links(prefix: DataFrame, verified: Callable[[DataFrame], DataFrame], similar: float, sketches: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+def links(prefix: DataFrame, verified: Callable[[DataFrame], DataFrame], similar: float, sketches: DataFrame | None = None, known: DataFrame | None = None, near: Column | None = None) -> DataFrame:
     """Edges ``a, b`` that connect exactly the ids that pairs of similarity ``similar`` or more connect.
 
     Pairs within one component need no look. So the members of each key are compared
@@ -96,6 +97,7 @@ def links(prefix: DataFrame, verified: Callable[[DataFrame], DataFrame], similar
     are done. After ``ROUNDS`` rounds all pairs of different components under a key are compared.
     ``verified`` takes pairs ``a, b`` and returns those that are similar. ``sketches``: by
     ``id`` words of bits of which similar sets differ in ``most`` (a column) at most, that of either; other pairs are not verified.
+    ``near``: in that rule's place a condition on any columns of ``sketches``, ``x_a`` and ``x_b`` for each column ``x``.
     ``known``: edges ``a, b`` between similar ids that are there already; they are among those returned.
     ``prefix`` may have a ``weight``, the same in all rows of an id: the heaviest members are hubs first.
     """
@@ -111,14 +113,14 @@ def links(prefix: DataFrame, verified: Callable[[DataFrame], DataFrame], similar
         if todo.isEmpty():
             break
         if k == ROUNDS:
-            pairs = _rest(todo, similar, sketches)
+            pairs = _rest(todo, similar, sketches, near)
             edges = materialize(edges.unionByName(verified(materialize(pairs, "candidates"))), "similar")
             break
         rank = F.struct(*[-F.col(c) for c in own if c == "weight"], F.xxhash64(F.lit(k), "id").alias("turn"))
         hub = todo.groupBy("key").agg(F.min_by(F.struct("id", "at", "n", "root"), rank).alias("h")).select("key", *[F.col(f"h.{c}").alias(f"{c}_h") for c in ("id", "at", "n", "root")])
         met = materialize(todo.join(hub, "key").where("id <> id_h"), "met")
-        near = met.where("root <> root_h").where(_may(similar, "at", "n", "at_h", "n_h"))
-        pairs = _close(near.select(F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b")).distinct(), sketches)
+        open_ = met.where("root <> root_h").where(_may(similar, "at", "n", "at_h", "n_h"))
+        pairs = _close(open_.select(F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b")).distinct(), sketches, near)
         edges = materialize(edges.unionByName(verified(materialize(pairs, "candidates"))), "similar")
         rooted = _rooted(met.select("key", *own), edges)
         rooted = materialize(rooted, "rooted")

@@ -520,3 +520,70 @@ def test_parts_of_long_lines():
     whole = lines._shingle_hashes([long], 9)[0]
     assert lines.shingle_set(long, 9).tolist() == sorted(set(whole.tolist()))
     assert lines.sketches(rows, 9).shape == (4, lines.BITS // 64) and len(set(lines.shingle_set("ab", 9)) & set(lines.shingle_set("ab\0", 9))) == 0
+
+
+def of_letters(r, n):
+    return "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+
+
+def test_lines_by_dataframes_only(spark, monkeypatch):
+    """No Python runs on the executors."""
+
+    def no_python(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    docs = spark.createDataFrame([(1, "a line that is seen twice, but for one end\nits own"), (2, "a line that is seen twice, but for one end.")], "doc_id long, text string")
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, no_python)
+    assert {r.doc_id: r.dropped for r in lines.duplicates(docs).collect()} == {1: [], 2: [0]}
+
+
+def test_crowd_that_shares_a_passage(spark, monkeypatch):
+    """Of lines that are alike by a long passage, but not enough, hardly any pairs are compared; all near copies among them are found."""
+    import random
+
+    r = random.Random(12)
+    passage = of_letters(r, 300)
+    own = [of_letters(r, 28) + passage + of_letters(r, 29) for _ in range(150)]
+    near = [x[:3] + "#" + x[4:] for x in own[:20]]
+    seen, compared = [], lines._compared
+
+    def counted(texts, wanted, *more):
+        seen.append(wanted.count())
+        return compared(texts, wanted, *more)
+
+    monkeypatch.setattr(lines, "_compared", counted)
+    edges = lines.similar_lines(spark.createDataFrame(list(enumerate(own + near)), "id long, line string")).collect()
+    assert {tuple(sorted(e)) for e in edges} == {(k, 150 + k) for k in range(20)}
+    assert 20 <= sum(seen) < 500
+
+
+def test_sketches_of_similar_lines_are_near(spark):
+    """Pairs of just 0.8 are near by either sketch, those well below are not."""
+    import random
+
+    r, rows, want = random.Random(13), [], {}
+    for k in range(300):
+        share, part = (400, 2000, 6000)[k % 3], (0.8, 0.6)[k // 3 % 2]
+        x = of_letters(r, share + 8)
+        tail = round(share * (1 - part) / (2 * part))
+        rows += [(2 * k, x + of_letters(r, tail - 1)), (2 * k + 1, x + of_letters(r, tail - 1))]
+        want[2 * k] = part == 0.8
+    made = lines._sketched(spark.createDataFrame(rows, "id long, line string"), 9)
+    side = lambda s, odd: made.where(f"id % 2 = {odd}").select((made.id - odd).alias("id"), *[made[c].alias(f"{c}_{s}") for c in made.columns if c != "id"])
+    got = {x.id: x.near for x in side("a", 0).join(side("b", 1), "id").select("id", lines._near(0.8).alias("near")).collect()}
+    assert got == want
+
+
+def test_short_and_repetitive_lines(spark):
+    """Lines of four or more shingles and one more, and runs of one character of any length."""
+    import random
+
+    r, rows = random.Random(14), [(0, "-" * 50), (1, "-" * 700)]
+    for k in range(1, 201):
+        n = r.randrange(4, 24)
+        x = of_letters(r, n + 8).replace(" ", "x")
+        rows += [(2 * k, x), (2 * k + 1, x + of_letters(r, max(1, n // 4)).replace(" ", "y"))]
+    found = {tuple(sorted(e)) for e in lines.similar_lines(spark.createDataFrame(rows, "id long, line string")).collect()}
+    assert all(slow_similar(rows[a][1], rows[b][1]) >= 0.8 for a, b in found)
+    assert (0, 1) in found and sum((2 * k, 2 * k + 1) in found for k in range(1, 201)) >= 196
