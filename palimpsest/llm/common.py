@@ -7,7 +7,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,25 +86,6 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
-def sieve(numbers: DataFrame) -> np.ndarray:
-    """A bitmap of ``SIEVE`` bits, whatever the input, in which the one column of 64-bit ``numbers`` is marked; see ``passes``.
-
-    Words of the bitmap are put together on the executors; the driver gets each once, 16 MB at most.
-    """
-    bit = F.col(numbers.columns[0]).bitwiseAND(F.lit(SIEVE - 1))
-    one = F.expr("shiftleft(1L, cast(bit & 63 AS int))")
-    words = numbers.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
-    bitmap = np.zeros(SIEVE // 64, np.uint64)
-    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return bitmap
-
-
-def passes(bitmap: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """Whether each of ``numbers`` (unsigned) may be among those of the bitmap: all of those may, and few others while it is sparse."""
-    bit = numbers & np.uint64(SIEVE - 1)
-    return bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1) != 0
-
-
 def pieces(text: bytes, most: int) -> Iterator[bytes]:
     """A UTF-8 text cut at ASCII white space into parts of ``most`` bytes or less, or of one longer word."""
     at = 0

@@ -15,13 +15,15 @@ shingle that only one of them has.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.llm import prefixes
-from palimpsest.llm.common import drop_table, materialize
+from palimpsest.llm.common import SIEVE, drop_table, materialize
 from palimpsest.llm.components import connected_components
 
 #: Code points of a shingle, bands and hashes in a band, similarity, standard deviations that sketches may lie apart beyond the mean.
@@ -38,6 +40,21 @@ SLICE, ROLL, MIX = 1 << 17, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 FILLER = "\ud800"
 
 
+def _trimmed(line: Column) -> Column:
+    """Less the white space around it; only lines that have some are gone through from end to end."""
+    some = [f(line, F.lit(x)) for x in BLANK for f in (F.startswith, F.endswith)]
+    return F.when(reduce(Column.__or__, some), F.btrim(line, F.lit(BLANK))).otherwise(line)
+
+
+def _sifted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of ``rows(id, ...)`` whose ids are among ``ids(id)``, and some others: by a bitmap of ``SIEVE`` bits in words of 64, 16 MB whatever the input."""
+    bit = F.col("id").bitwiseAND(F.lit(SIEVE - 1))
+    place = F.expr("shiftleft(1L, cast(id & 63 AS int))")
+    words = ids.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(place).alias("bits"))
+    met = rows.withColumn("word", F.shiftright(bit, 6)).join(F.broadcast(words), "word")
+    return met.where(F.col("bits").bitwiseAND(place) != 0).select(*rows.columns)
+
+
 def _wide(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
@@ -59,7 +76,8 @@ def _shingles(wide: str, shingle: int) -> Column:
 def signatures(lines: DataFrame, shingle: int, orders: int) -> DataFrame:
     """``id, m0, m1, ...`` from ``lines(id, line)``, where rows of one id are alike: the least hash in each of ``orders`` bins, null in empty ones."""
     wide = lines.select("id", _wide(F.col("line")).alias("wide"))
-    each = wide.select("id", "wide", F.explode(_starts("wide", shingle)).alias("at"))
+    # Outer, though there is always one: else a filter on the array's size is put below, which makes it twice.
+    each = wide.select("id", "wide", F.explode_outer(_starts("wide", shingle)).alias("at"))
     hashed = each.select("id", _shingle("wide", F.col("at"), shingle).alias("x"))
     binned = hashed.select("id", "x", F.expr(f"cast(shiftright(shiftrightunsigned(x, 32) * {orders}L, 32) AS int)").alias("bin"))
     return binned.groupBy("id").agg(*[F.min(F.when(F.col("bin") == k, F.col("x"))).alias(f"m{k}") for k in range(orders)])
@@ -82,7 +100,8 @@ def _keyed(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 def _sketched(texts: DataFrame, shingle: int) -> DataFrame:
     """``id, size, s0, s1, ...`` of ``texts(id, line)``: the number of different shingles, a sketch of all and one of those thinned."""
     wide = texts.select("id", _wide(F.col("line")).alias("wide"))
-    each = wide.select("id", F.explode(_shingles("wide", shingle)).alias("x"))
+    # Apart and outer, so that the explosion is compiled and the shingles are not made twice for a filter on their number.
+    each = wide.select("id", _shingles("wide", shingle).alias("xs")).select("id", F.explode_outer("xs").alias("x"))
     bits = each.select(
         "id",
         F.expr(f"cast(shiftright(x, 6) & {BITS // 64 - 1} AS int)").alias("word"),
@@ -138,7 +157,7 @@ def _linked(lines: DataFrame, shingle: int, bands: int, rows: int, similar: floa
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     todo = materialize(keyed.join(shared.hint("shuffle_hash"), "key", "left_semi"), "keyed")
     ids = materialize(todo.select("id").distinct(), "wanted")
-    texts = materialize(lines.join(ids.hint("shuffle_hash"), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line")), "texts")
+    texts = materialize(_sifted(lines, ids).join(ids.hint("shuffle_hash"), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line")), "texts")
     words = materialize(_sketched(texts, shingle), "sketches")
     # A band stands in the place of a prefix of one element; the sizes bound what two sets share.
     prefix = todo.join(words.select("id", "size"), "id").select("key", "id", F.lit(1).alias("at"), F.col("size").alias("n"))
@@ -161,8 +180,8 @@ def _judged(docs: DataFrame, keep: list[Column], *, shingle: int = SHINGLE, band
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     last = F.lit(2**63 - 1)
     named = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), last).alias("__d"), F.xxhash64(text).alias("__t"), text.alias("__s"))
-    each = named.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.posexplode(F.split("__s", "\n", -1)).alias("at", "line"))
-    each = each.select("d", "t", "at", F.btrim("line", F.lit(BLANK)).alias("line")).where("line <> ''").select("d", "t", "at", F.xxhash64("line").alias("id"), "line")
+    each = named.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.posexplode_outer(F.split("__s", "\n", -1)).alias("at", "line"))
+    each = each.select("d", "t", "at", _trimmed(F.col("line")).alias("line")).where("line <> ''").select("d", "t", "at", F.xxhash64("line").alias("id"), "line")
     placed = materialize(each.select("d", "t", "at", "id"), "placed")
     often = materialize(placed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "often")
     edges = _linked(each.select("id", "line"), shingle, bands, rows, similar, often)

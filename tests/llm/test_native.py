@@ -587,3 +587,15 @@ def test_short_and_repetitive_lines(spark):
     found = {tuple(sorted(e)) for e in lines.similar_lines(spark.createDataFrame(rows, "id long, line string")).collect()}
     assert all(slow_similar(rows[a][1], rows[b][1]) >= 0.8 for a, b in found)
     assert (0, 1) in found and sum((2 * k, 2 * k + 1) in found for k in range(1, 201)) >= 196
+
+
+def test_trimmed_and_sifted_lines(spark):
+    """White space goes from both ends alone; all wanted ids pass the bitmap, and hardly any others."""
+    from pyspark.sql import functions as F
+
+    texts = [a + x + b for x in ("a b\tc", "é 漢", "x") for a in ("", " ", "\t\x0b ", " ") for b in ("", "\r", " \f")] + ["", " \r"]
+    got = spark.createDataFrame([(x,) for x in texts], "line string").select("line", lines._trimmed(F.col("line")).alias("x")).collect()
+    assert all(r.x == r.line.strip(lines.BLANK) for r in got)
+    rows = spark.range(4000).select(F.xxhash64("id").alias("id"), F.col("id").alias("k"))
+    found = {r.k for r in lines._sifted(rows, rows.where("k % 40 = 0").select("id")).collect()}
+    assert found >= set(range(0, 4000, 40)) and len(found) < 120
