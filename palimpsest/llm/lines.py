@@ -157,7 +157,8 @@ def _linked(lines: DataFrame, shingle: int, bands: int, rows: int, similar: floa
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     todo = materialize(keyed.join(shared.hint("shuffle_hash"), "key", "left_semi"), "keyed")
     ids = materialize(todo.select("id").distinct(), "wanted")
-    texts = materialize(_sifted(lines, ids).join(ids.hint("shuffle_hash"), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line")), "texts")
+    # Not a semi join, which would be moved below the bitmap's: ids are different.
+    texts = materialize(_sifted(lines, ids).join(ids.hint("shuffle_hash"), "id").groupBy("id").agg(F.any_value("line").alias("line")), "texts")
     words = materialize(_sketched(texts, shingle), "sketches")
     # A band stands in the place of a prefix of one element; the sizes bound what two sets share.
     prefix = todo.join(words.select("id", "size"), "id").select("key", "id", F.lit(1).alias("at"), F.col("size").alias("n"))
