@@ -83,3 +83,13 @@ SELECT doc_id, n_words, wc AS word_chars, n_symbols, n_dup_lines, n_repeat_words
 
 
 ORACLES |= {"op5_backoff": OP5, "op8_licenses": _op8(), "op9_risk_rules": _op9()}
+
+
+ORACLES["op12_url_rules"] = r"""
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+ruled AS (SELECT p.page_id, p.host, p.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM parts p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.page_id, p.host, p.path)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, 'casino|pills|-bets|adult-|spam-|ads-') THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
+"""

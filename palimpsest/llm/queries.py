@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import backoff, classifier, decontaminate, licenses, lines, mixing, private, rules, simhash, tokens
+from palimpsest.llm import backoff, classifier, decontaminate, licenses, lines, mixing, private, rules, simhash, tokens, urls
 from palimpsest.llm.common import read
 from palimpsest.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_file"]
 
+#: Rules of op12 by host and path, and words in hosts that no rule knows.
+RULES = [urls.Rule("com", "/", "allow"), urls.Rule("example.com", "/en/", "block"), urls.Rule("www.example.com", "/en/", "allow"), urls.Rule("net", "/es/", "block"), urls.Rule("net", "/fr/", "block")]
+GLOBS = [(f"*{word}**", "block") for word in ("casino", "pills", "-bets", "adult-", "spam-", "ads-")]
+
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     """Where this machine and the executors keep a public vocabulary."""
@@ -63,9 +67,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"), RULES, GLOBS).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_token_shards, op3_pseudonyms, op4_simhash, op5_backoff, op6_fuzzy_lines, op7_source_mix, op8_licenses, op9_risk_rules, op10_quality,
+        op12_url_rules,
     )
 }
