@@ -18,7 +18,6 @@ pairs of an A token and a B token of one group are links.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -31,8 +30,13 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import materialize, short_batches
 
 #: Documents of a block, which two bytes count; bytes that a process remembers of stretches, and what one takes beside its own.
-BLOCK, MEMORY, ENTRY = 1000, 48 << 20, 700
+BLOCK, MEMORY, ENTRY = 1000, 64 << 20, 300
+#: Bytes of stretches that are tokenized by one call; pairs of tokens of one group that are listed.
+TOGETHER, LARGE = 1 << 16, 4096
 SPACE_PIECE = "▁"
+#: Ends before which neither needs to cut: ASCII controls and space, and the last two bytes of white space beyond ASCII (other characters have them too).
+WHITE = {bytes([b]) for b in (*range(0x21), 0x7F)} | {bytes([x, y]) for x in (0xC2, 0x9A, 0x80, 0x81) for y in (*range(0x80, 0x8B), 0xA0, 0xA8, 0xA9, 0xAF, 0x9F)}
+IS_WHITE = np.isin(np.arange(1 << 16), [int.from_bytes(w) for w in WHITE])
 
 TABLE = "block long, at int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, id_a int, id_b int, docs binary, times binary"
 
@@ -44,31 +48,27 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-class Stretch:
-    """What two tokenizers make of one stretch of text."""
+class Arena:
+    """Aligned stretches by number, in flat arrays: their sizes (tokens of A, of B, groups, links), groups as text, and different id pairs with how often each is linked."""
 
-    __slots__ = ("groups", "pairs", "sizes", "times")
+    def __init__(self) -> None:
+        self.groups: list[str | None] = []
+        self.sizes, self.firsts = np.zeros((0, 4), np.int64), np.zeros(1, np.int64)
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def __init__(self, ids_a: list[int], sizes_a: list[int], ids_b: list[int], sizes_b: list[int]) -> None:
-        ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
-        cuts = np.intersect1d(ends_a, ends_b)
-        to_a = (np.searchsorted(ends_a, cuts) + 1).tolist()
-        to_b = (np.searchsorted(ends_b, cuts) + 1).tolist()
-        listed, links, linked = [], Counter(), 0
-        for a, i, b, j in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False):
-            listed.append(",".join(map(str, ids_a[a:i])) + "|" + ",".join(map(str, ids_b[b:j])))
-            linked += (i - a) * (j - b)
-            if i - a == j - b == 1:
-                links[ids_a[a], ids_b[b]] += 1
-                continue
-            left, right = Counter(ids_a[a:i]), Counter(ids_b[b:j])
-            for x, m in left.items():
-                for y, n in right.items():
-                    links[x, y] += m * n
-        self.groups = ";".join(listed)
-        self.sizes = (len(ids_a), len(ids_b), len(listed), linked)
-        self.pairs = np.array([(x << 32) | y for x, y in links], np.int64)
-        self.times = np.array(list(links.values()), np.int64)
+    def add(self, groups: list[str | None], sizes: np.ndarray, counts: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> None:
+        self.groups += groups
+        self.new.append((sizes, counts, pairs, times))
+
+    def settle(self) -> None:
+        """Put what was added into the arrays."""
+        if self.new:
+            sizes, counts, pairs, times = zip(*self.new, strict=True)
+            self.sizes = np.concatenate([self.sizes, *sizes])
+            self.firsts = np.concatenate([self.firsts, self.firsts[-1] + np.cumsum(np.concatenate(counts))])
+            self.pairs, self.times = np.concatenate([self.pairs, *pairs]), np.concatenate([self.times, *times])
+            self.new = []
 
 
 class Aligner:
@@ -92,42 +92,91 @@ class Aligner:
         steps = json.loads(self.a.pre_tokenizer.__getstate__()) if self.a.pre_tokenizer else {}
         #: Whether both cut before a space that follows no white space.
         self.apart = steps.get("type") == "ByteLevel" and steps["use_regex"] and not steps["add_prefix_space"] and not self.a.normalizer and not any(SPACE_PIECE in p.lstrip(SPACE_PIECE) for p in pieces)
-        self.known: dict[bytes, Stretch | None] = {}
-        self.held = 0
+        self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.known: dict[bytes, int] = {}
+        self.arena, self.held = Arena(), 0
 
     def cuts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Where stretches begin in the UTF-8 texts one after the other that begin at ``starts``."""
         cut = np.zeros(len(data), bool)
         if self.apart and len(data) > 2:
             before, second = data[1:-1], data[:-2]
-            white = (before <= 0x20) | (before == 0x7F)
-            # White space beyond ASCII ends in these two bytes (so do a few other characters, before which no cut is needed).
-            wide = np.isin(second, [0xC2, 0x9A, 0x80, 0x81]) & (np.isin(before, [0x85, 0xA0, 0xA8, 0xA9, 0xAF, 0x9F]) | ((before >= 0x80) & (before <= 0x8A)))
-            cut[2:] = (data[2:] == 0x20) & ~white & ~wide
+            white = IS_WHITE[np.where(before >= 0x80, second, 0).astype(np.int32) * 256 + before]
+            cut[2:] = (data[2:] == 0x20) & ~white
         cut[starts] = True
         return np.flatnonzero(cut)
 
-    def stretches(self, texts: list[bytes]) -> list[Stretch | None]:
-        """Alignments of stretches that begin with a space; None where the bytes of tokens are not those of the stretch."""
+    def stretches(self, texts: list[bytes]) -> np.ndarray:
+        """The numbers in ``arena`` of different stretches that begin with a space, until the next call; their groups are None where the bytes of tokens are not those of the stretch."""
         if self.held > self.memory:
-            self.known.clear()
-            self.held = 0
-        new = [t for t in texts if t not in self.known]
-        made = {}
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            coded = self.a.encode_batch([t.decode() for t in part], add_special_tokens=False)
-            others = self.b.encode([t[1:].decode() for t in part], num_threads=1)
-            for text, e, b in zip(part, coded, others, strict=True):
-                a, b = e.ids, b if len(text) > 1 else [self.space]
-                raw_a, raw_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-                same = b"".join(raw_a) == text == b"".join(raw_b)
-                made[text] = Stretch(a, list(map(len, raw_a)), b, list(map(len, raw_b))) if same else None
-        out = [made[t] if t in made else self.known[t] for t in texts]
-        small = {t: s for t, s in made.items() if len(t) < 100}
-        self.known.update(small)
-        self.held += ENTRY * len(small)
-        return out
+            self.known, self.arena, self.held = {}, Arena(), 0
+        known = self.known
+        new = [t for t in dict.fromkeys(texts) if t not in known]
+        joined: list[bytes] = []
+        size = 0
+        for t in new:
+            known[t] = len(known)
+            # Stretches one after the other are cut where they were, if no white space ends one.
+            if not self.apart or len(t) > TOGETHER or (t[-2:] if t[-1] >= 0x80 else t[-1:]) in WHITE:
+                self._together(joined)
+                self._together([t])
+                joined, size = [], 0
+                continue
+            joined.append(t)
+            size += len(t)
+            if size > TOGETHER:
+                self._together(joined)
+                joined, size = [], 0
+        self._together(joined)
+        self.arena.settle()
+        self.held += sum(map(len, new)) + ENTRY * len(new)
+        return np.fromiter(map(known.__getitem__, texts), np.int64, len(texts))
+
+    def _together(self, texts: list[bytes]) -> None:
+        """Align stretches by one call of each tokenizer, and put them into the arena."""
+        if not texts:
+            return
+        text = b"".join(texts)
+        a = np.array(self.a.encode(text.decode(), add_special_tokens=False).ids, np.int64)
+        b = np.array(self.b.encode(text[1:].decode()) if len(text) > 1 else [self.space], np.int64)
+        same = b"".join(map(self.bytes_a.__getitem__, a.tolist())) == text == b"".join(map(self.bytes_b.__getitem__, b.tolist()))
+        bounds = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True) if same else bounds[:0]
+        if not same or not np.isin(bounds, cuts, assume_unique=True).all():
+            if len(texts) == 1:
+                self.arena.add([None], np.zeros((1, 4), np.int64), np.zeros(1, np.int64), a[:0], a[:0])
+            for t in texts if len(texts) > 1 else ():
+                self._together([t])
+            return
+        to_a, to_b = np.searchsorted(ends_a, cuts) + 1, np.searchsorted(ends_b, cuts) + 1
+        from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
+        many_a, many_b = to_a - from_a, to_b - from_b
+        of = np.searchsorted(bounds, cuts)  # the stretch of each group
+        name_a, name_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        listed = [
+            f"{name_a[i]}|{name_b[k]}" if j - i == 1 == m - k else ",".join(name_a[i:j]) + "|" + ",".join(name_b[k:m])
+            for i, j, k, m in zip(from_a.tolist(), to_a.tolist(), from_b.tolist(), to_b.tolist(), strict=True)
+        ]
+        last = np.searchsorted(of, np.arange(len(texts)), side="right")
+        groups = [listed[x] if y - x == 1 else ";".join(listed[x:y]) for x, y in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
+        total = lambda v: np.bincount(of, weights=v, minlength=len(texts)).astype(np.int64)
+        sizes = np.stack([total(many_a), total(many_b), total(None), total(many_a * many_b)], axis=1)
+        # All pairs of a group; of large groups the different ids are counted first.
+        small = np.flatnonzero(many_a * many_b <= LARGE)
+        each = _expand(from_a[small], many_a[small])
+        width, start = np.repeat(many_b[small], many_a[small]), np.repeat(from_b[small], many_a[small])
+        stretch = np.repeat(np.repeat(of[small], many_a[small]), width)
+        pair, often = (np.repeat(a[each], width) << 32) | b[_expand(start, width)], np.ones(len(stretch), np.int64)
+        for g in np.flatnonzero(many_a * many_b > LARGE).tolist():
+            (x, m), (y, n) = np.unique(a[from_a[g] : to_a[g]], return_counts=True), np.unique(b[from_b[g] : to_b[g]], return_counts=True)
+            pair = np.concatenate([pair, ((x[:, None] << 32) | y[None]).ravel()])
+            often = np.concatenate([often, (m[:, None] * n[None]).ravel()])
+            stretch = np.concatenate([stretch, np.full(len(x) * len(y), of[g])])
+        order = np.lexsort((pair, stretch))
+        pair, stretch = pair[order], stretch[order]
+        first = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(stretch, prepend=-1) != 0))
+        self.arena.add(groups, sizes, np.bincount(stretch[first], minlength=len(texts)), pair[first], np.add.reduceat(often[order], first))
 
 
 @lru_cache(maxsize=1)
@@ -173,31 +222,28 @@ def _block(known: Aligner, number: int, doc_ids: pa.Array, texts: list[bytes | N
         cuts = known.cuts(data, starts)
         stretches = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(raw)).astype("<i8").tobytes()), pa.py_buffer(raw)])
         coded = stretches.dictionary_encode()
-        codes, found = coded.indices.to_numpy(zero_copy_only=False), known.stretches(coded.dictionary.to_pylist())
+        found = known.stretches(coded.dictionary.to_pylist())
+        codes, arena = found[coded.indices.to_numpy(zero_copy_only=False)], known.arena
         firsts = np.searchsorted(cuts, starts)
-        lost = np.logical_or.reduceat(np.array([s is None for s in found])[codes], firsts)
-        each = np.array([s.sizes if s else (0, 0, 0, 0) for s in found], np.int64)
-        summed = np.add.reduceat(each[codes], firsts, axis=0)
-        listed = np.array([s.groups if s else "" for s in found], object)[codes]
+        lost = np.logical_or.reduceat(np.equal(np.array(arena.groups, object), None).astype(bool)[codes], firsts)
+        summed = np.add.reduceat(arena.sizes[codes], firsts, axis=0)
+        listed = list(map(arena.groups.__getitem__, codes.tolist()))
         for k, (doc, a, b) in enumerate(zip(there, firsts.tolist(), [*firsts[1:].tolist(), len(codes)], strict=True)):
             if not lost[k]:
                 sizes[doc], groups[doc] = summed[k], ";".join(listed[a:b])
         # How often a document holds each different stretch, then each pair.
         of = np.repeat(np.arange(len(there)), np.diff(np.append(firsts, len(codes))))
         kept = ~lost[of]
-        held, often = np.unique(of[kept] * len(found) + codes[kept], return_counts=True)
-        doc, code = held // len(found), held % len(found)
-        many = np.array([len(s.pairs) if s else 0 for s in found])
-        bounds = np.cumsum(many) - many
-        every = np.concatenate([s.pairs for s in found if s] or [np.zeros(0, np.int64)])
-        number_of = np.concatenate([s.times for s in found if s] or [np.zeros(0, np.int64)])
-        places = _expand(bounds[code], many[code])
-        different, pair = np.unique(every[places], return_inverse=True)
-        key = pair * len(there) + np.repeat(doc, many[code])
+        held, often = np.unique(of[kept] * len(arena.groups) + codes[kept], return_counts=True)
+        doc, code = held // len(arena.groups), held % len(arena.groups)
+        many = arena.firsts[code + 1] - arena.firsts[code]
+        places = _expand(arena.firsts[code], many)
+        different, pair = np.unique(arena.pairs[places], return_inverse=True)
+        key = pair * len(there) + np.repeat(doc, many)
         order = np.argsort(key, kind="stable")
         once = np.flatnonzero(np.diff(key[order], prepend=-1))
         if len(once):
-            times = np.add.reduceat((number_of[places] * np.repeat(often, many[code]))[order], once)
+            times = np.add.reduceat((arena.times[places] * np.repeat(often, many))[order], once)
             docs, pairs = np.array(there)[key[order][once] % len(there)], different[key[order][once] // len(there)]
     row = np.flatnonzero(np.diff(pairs, prepend=-1))
     counts = np.diff(np.append(row, len(pairs)))

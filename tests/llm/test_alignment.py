@@ -73,8 +73,8 @@ def test_cuts_change_no_token(known):
         raw = b" " + t.encode()
         at = known.cuts(np.frombuffer(raw, np.uint8), np.array([0])).tolist()
         cut += len(at) > 1
-        parts = known.stretches([raw[x:y] for x, y in zip(at, [*at[1:], len(raw)], strict=True)])
-        got = None if None in parts else ";".join(p.groups for p in parts)
+        parts = [known.arena.groups[k] for k in known.stretches([raw[x:y] for x, y in zip(at, [*at[1:], len(raw)], strict=True)]).tolist()]
+        got = None if None in parts else ";".join(parts)
         want = whole(known, t)
         assert got == (want and ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in want)), t
     assert cut > 500
@@ -102,7 +102,16 @@ def test_blocks_and_memory_change_nothing(spark, known, monkeypatch):
     assert sorted(got) == sorted(expected(known, rows))
     one = alignment.Aligner(tokenizer_file(A), tokenizer_file(B), memory=1)
     texts = [b" " + t.encode() for _, t in rows if t]
-    assert [s.groups for s in one.stretches(texts)] == [s.groups for s in one.stretches(texts)] and one.held <= alignment.ENTRY * len(set(texts))
+    named = lambda ids: [one.arena.groups[k] for k in ids.tolist()]
+    assert named(one.stretches(texts)) == named(one.stretches(texts)) and len(one.known) == len(set(texts)) == len(one.arena.groups)
+
+
+def test_large_groups_count_different_ids(known, monkeypatch):
+    raw = [b" " + t.encode() for t in ODD if t and not whole(known, t) is None]
+    pairs = lambda x: sorted((x.arena.groups[k], x.arena.sizes[k].tolist(), x.arena.pairs[x.arena.firsts[k] : x.arena.firsts[k + 1]].tolist(), x.arena.times[x.arena.firsts[k] : x.arena.firsts[k + 1]].tolist()) for k in x.stretches(raw).tolist())
+    first = pairs(known)
+    monkeypatch.setattr(alignment, "LARGE", 1)
+    assert pairs(alignment.Aligner(tokenizer_file(A), tokenizer_file(B))) == first
 
 
 def test_numbers_beyond_a_byte():
