@@ -34,15 +34,16 @@ FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 17, 4297
 #: Days over 12 in the months of a common year before each month, and in all; years; leap years from 1904 to 2096 = 7 x 7.
 LATE, LATE_DAYS, YEARS, LEAP = (0, 19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202), 221, 200, 7
 
-#: What to look for, by kind; the first kind that fits a match decides.
+#: What to look for, by kind; the first kind that fits a match decides. No group is repeated without a bound but possessively,
+#: since Java recurses for each repeat of others, and nothing that may be long is begun anew at each of its characters.
 PATTERNS: dict[str, str] = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,}",
     "secret": r"\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:token|password|passwd|secret|api_?key) ?[=:] ?\"?[A-Za-z0-9_\-+/]{12,}\"?)",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9]|-[0-9])",
     "date": r"(?<![0-9/-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9]|[/-][0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}(?![0-9])",
+    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+(?![0-9])",
 }
 #: A match of "card" is a whole run of digits, which may hold cards beside other numbers: in these groupings anywhere, in others at its end.
 GROUPED = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
@@ -106,30 +107,37 @@ def _parts(m: Column) -> Column:
     return F.regexp_extract_all(m, F.lit("[0-9]+|[ -]"), F.lit(0))
 
 
-def _cards(m: Column) -> Column:
-    """Valid cards within a run, as structs (i, j, text) of the first and last part, by place; they may overlap."""
-    parts = _parts(m)
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once; lambdas would compute an expression anew for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _cards(parts: Column) -> Column:
+    """Valid cards within the parts of a run, as structs (i, j, text) of the first and last part, by place; they may overlap."""
     last = F.size(parts) - 1
     # 19 digits have 18 separators at most.
     runs = lambda i: F.transform(F.sequence(i, F.least(i + 36, last), F.lit(2)), lambda j: F.struct(i.alias("i"), j.alias("j"), F.array_join(F.slice(parts, i + 1, j - i + 1), "").alias("text")))
     every = F.flatten(F.transform(F.sequence(F.lit(0), last, F.lit(2)), runs))
     right = F.filter(every, lambda c: F.char_length(_digits(c["text"])).between(13, 19) & (c["text"].rlike(GROUPED) | (c["j"] == last)) & (_luhn(_digits(c["text"]), 0) % 10 == 0))
-    grouped = F.filter(right, lambda c: c["text"].rlike(GROUPED))
-    return F.when(F.size(grouped) > 0, grouped).otherwise(F.slice(right, 1, 1))
+    return _let(right, lambda found: _let(F.filter(found, lambda c: c["text"].rlike(GROUPED)), lambda grouped: F.when(F.size(grouped) > 0, grouped).otherwise(F.slice(found, 1, 1))))
 
 
 def _card(key: str, m: Column) -> Column:
     """The run with each card in it replaced, from the left, the rest as it is; struct (out, n) with their number."""
-    parts = _parts(m)
-    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("n"))
+    return _let(_parts(m), lambda parts: _cards_replaced(key, parts))
+
+
+def _cards_replaced(key: str, parts: Column) -> Column:
+    # Pieces are put together at the end: text that grows by each card would be copied for each.
+    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("n"))
     until = lambda s, i: F.array_join(F.slice(parts, s["at"] + 1, F.greatest(i - s["at"], F.lit(0))), "")
 
     def step(s: Column, c: Column) -> Column:
         free = c["i"] >= s["at"]
-        out = F.when(free, F.concat(s["out"], until(s, c["i"]), _new_card(key, c["text"]))).otherwise(s["out"])
+        out = F.when(free, F.concat(s["out"], F.array(until(s, c["i"]), _new_card(key, c["text"])))).otherwise(s["out"])
         return F.struct(out.alias("out"), F.when(free, c["j"] + 1).otherwise(s["at"]).alias("at"), (s["n"] + free.cast("int")).alias("n"))
 
-    return F.aggregate(_cards(m), state, step, lambda s: F.struct(F.concat(s["out"], until(s, F.size(parts))).alias("out"), s["n"].alias("n")))
+    return F.aggregate(_cards(parts), state, step, lambda s: F.struct(F.concat(F.array_join(s["out"], ""), until(s, F.size(parts))).alias("out"), s["n"].alias("n")))
 
 
 def _new_card(key: str, m: Column) -> Column:
