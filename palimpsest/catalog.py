@@ -57,6 +57,17 @@ class Catalog:
         edges = two.select("commit_id", F.posexplode(F.array("p0", F.when(second, F.col("p1")))).alias("position", "parent_id"))
         return edges.where("parent_id IS NOT NULL")
 
+    @cached_property
+    def lanes(self) -> DataFrame:
+        """Parents of a history that forks and merges: a commit follows the last of its branch and priority, else forks from the last of its branch; every third also merges the last of its branch."""
+        c = self.commits
+        branch = Window.partitionBy("branch").orderBy("position")
+        lane = Window.partitionBy("branch", "priority").orderBy("position")
+        two = c.select("commit_id", F.lag("commit_id").over(branch).alias("last"), F.lag("commit_id").over(lane).alias("own")).withColumn("p0", F.coalesce("own", "last"))
+        merged = (F.col("commit_id") % 3 == 0) & (F.col("last") != F.col("p0"))
+        edges = two.select("commit_id", F.posexplode(F.array("p0", F.when(merged, F.col("last")))).alias("position", "parent_id"))
+        return edges.where("parent_id IS NOT NULL")
+
     @cached_property
     def files(self) -> DataFrame:
         p = self.table("part")
@@ -75,6 +86,23 @@ class Catalog:
             F.when(F.col("l_linestatus") == "F", F.lit(0)).otherwise(quantity).alias("deletions"),
         )
 
+    @cached_property
+    def moves(self) -> DataFrame:
+        """Changes with renames, of brands' types as files: one that an order removes and one that it adds from the same supplier, the first of each by line, are one file that moves."""
+        quantity = F.col("l_quantity").cast("long")
+        kinds = self.table("part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type").alias("path"))
+        line = self.table("lineitem").join(kinds, F.col("l_partkey") == F.col("p_partkey")).select(
+            F.col("l_orderkey").alias("commit_id"), "l_suppkey", F.col("l_linenumber").alias("ordinal"), F.when(F.col("l_returnflag") == "A", "A").when(F.col("l_returnflag") == "R", "D").otherwise("M").alias("status"), "path",
+            F.when(F.col("l_linestatus") == "F", quantity).otherwise(0).alias("additions"), F.when(F.col("l_linestatus") == "F", F.lit(0)).otherwise(quantity).alias("deletions"),
+        )
+        one = F.struct("ordinal", "path", "additions", "deletions")
+        together = Window.partitionBy("commit_id", "l_suppkey")  # lines of one order
+        least = lambda s: F.min(F.when(F.col("status") == s, one)).over(together)
+        paired = line.withColumn("gone", least("D")).withColumn("come", least("A")).withColumn("moved", F.col("gone.path") != F.col("come.path"))
+        kept = paired.where(~F.coalesce(F.col("moved") & (F.col("status") == "D") & (F.col("gone") == one), F.lit(False)))
+        here = F.coalesce(F.col("moved") & (F.col("status") == "A") & (F.col("come") == one), F.lit(False))
+        return kept.select("commit_id", "ordinal", F.when(here, "R").otherwise(F.col("status")).alias("status"), "path", F.when(here, F.col("gone.path")).alias("old_path"), "additions", "deletions")
+
     @cached_property
     def paths(self) -> DataFrame:
         return self.changes.select("commit_id", "path").distinct()
@@ -118,10 +146,23 @@ VIEWS: dict[str, str] = {
       lag(commit_id) OVER (PARTITION BY branch, priority ORDER BY position) AS p1 FROM commits),
     parents AS (SELECT commit_id, 0 AS position, p0 AS parent_id FROM linked WHERE p0 IS NOT NULL
       UNION ALL SELECT commit_id, 1, p1 FROM linked WHERE commit_id % 5 = 0 AND p1 IS NOT NULL AND p1 <> p0)""",
+    "lanes": """forked AS (SELECT commit_id, coalesce(lag(commit_id) OVER (PARTITION BY branch, priority ORDER BY position), lag(commit_id) OVER b) AS p0, lag(commit_id) OVER b AS p1
+      FROM commits WINDOW b AS (PARTITION BY branch ORDER BY position)),
+    lanes AS (SELECT commit_id, 0 AS position, p0 AS parent_id FROM forked WHERE p0 IS NOT NULL
+      UNION ALL SELECT commit_id, 1, p1 FROM forked WHERE commit_id % 3 = 0 AND p1 <> p0)""",
     "changes": """changes AS (SELECT l_orderkey AS commit_id, l_linenumber AS ordinal, CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'R' THEN 'D' ELSE 'M' END AS status,
       p_brand || '/' || p_type || '/' || p_name || '#' || p_partkey AS path,
       CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS additions, CASE WHEN l_linestatus = 'F' THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS deletions
       FROM lineitem JOIN part ON l_partkey = p_partkey)""",
+    "moves": """lined AS (SELECT l_orderkey AS commit_id, l_suppkey, l_linenumber AS ordinal, CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'R' THEN 'D' ELSE 'M' END AS status,
+      p_brand || '/' || p_type AS path,
+      CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS additions, CASE WHEN l_linestatus = 'F' THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS deletions
+      FROM lineitem JOIN part ON l_partkey = p_partkey),
+    ranked AS (SELECT *, {'o': ordinal, 'p': path, 'a': additions, 'd': deletions} AS one FROM lined),
+    firsts_of AS (SELECT commit_id, l_suppkey, min(one) FILTER (status = 'D') AS gone, min(one) FILTER (status = 'A') AS come FROM ranked GROUP BY ALL),
+    moving AS (SELECT * FROM firsts_of WHERE gone.p <> come.p),
+    moves AS (SELECT r.commit_id, ordinal, CASE WHEN status = 'A' AND one = come THEN 'R' ELSE status END AS status, path, CASE WHEN status = 'A' AND one = come THEN gone.p END AS old_path, additions, deletions
+      FROM ranked r LEFT JOIN moving m ON r.commit_id = m.commit_id AND r.l_suppkey = m.l_suppkey WHERE NOT coalesce(status = 'D' AND one = gone, false))""",
     "paths": "paths AS (SELECT DISTINCT commit_id, path FROM changes)",
     "docs": r"""docs AS (SELECT doc_id, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS subject,
       CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS body, source || '/' || lang AS path, text,

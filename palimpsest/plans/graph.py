@@ -1,9 +1,12 @@
 """Closures of the commit graph, never by path enumeration.
 
 A history is as deep as it is long, so what can be reached is not found level by level:
-commits are laid out in chains of first parents by pointer doubling, and a closure only
-moves from chain to chain, as often as merges are nested. Distances, which are asked for
-within a bound, are found by a frontier.
+commits are laid out in chains of first parents by pointer doubling. Of the commits with
+one first parent, the one that most commits have above them stays in its chain (heavy
+paths), so that a way along first parents changes chains log2(n) times at most: a trunk is
+one chain, however many branches were merged into it. A closure moves from chain to chain,
+and distances along first parents are differences of places. Distances over all parents,
+which are asked for within a bound, are found by a frontier.
 """
 
 from __future__ import annotations
@@ -11,10 +14,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.plans.durable import checkpointed
+from palimpsest.plans.durable import checkpointed, forget
 
 
 def _closure(edges: DataFrame, start: DataFrame, bound: int | None) -> DataFrame:
@@ -51,12 +54,28 @@ def descendants(parents: DataFrame, ids: Iterable[int] | DataFrame, bound: int |
     return _closure(edges, _starts(parents, ids), bound).withColumnRenamed("id", "commit_id")
 
 
+#: Places of a chain that are put in order together.
+BLOCK = 1 << 16
+
+
 @dataclass(frozen=True)
 class Chains:
-    """A commit graph in chains: ``members(commit_id, chain, place)``, places counted from the oldest commit on, and the edges between chains, ``links(chain, place, to_chain, to_place)``."""
+    """A commit graph in chains: ``members(commit_id, chain, place, depth)``, places counted from the oldest commit of the chain on, depths from the root of the first-parent tree; the edges between chains, ``links(chain, place, to_chain, to_place)``; and ``heads(chain, to_chain, to_place)``, the first parent of the oldest commit of each chain that has one."""
 
     members: DataFrame
     links: DataFrame
+    heads: DataFrame
+
+    TABLES = ("members", "links", "heads")
+
+    def save(self, path: str) -> None:
+        """Keep the layout as tables, for further queries."""
+        for name in self.TABLES:
+            getattr(self, name).write.parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Chains:
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in cls.TABLES))
 
     def ancestors(self, ids: Iterable[int] | DataFrame) -> DataFrame:
         """``commit_id`` of what can be reached from ``ids`` over parents, themselves included."""
@@ -85,17 +104,73 @@ class Chains:
         return inside.union(starts.join(self.members, "commit_id", "left_anti"))
 
 
+    def first_parents(self, ids: Iterable[int] | DataFrame) -> DataFrame:
+        """``commit_id, distance`` along first parents from the nearest of ``ids``, themselves included.
+
+        Of the starts above a commit the least deep one is the nearest. The least depth of
+        starts moves from chain to chain, log2(n) times at most; within a chain it is a running
+        minimum from the newest place on, by blocks of places first, then within each block.
+        """
+        starts = _starts(self.members, ids).select(F.col("id").alias("commit_id")).distinct()
+        entered = checkpointed(self.members.join(starts, "commit_id", "left_semi").groupBy("chain", "place").agg(F.min("depth").alias("start")))
+        seen = fresh = entered.groupBy("chain").agg(F.min("start").alias("start"))
+        while not fresh.isEmpty():
+            step = fresh.join(self.heads, "chain").select(F.col("to_chain").alias("chain"), F.col("to_place").alias("place"), "start")
+            entered = checkpointed(entered.unionByName(step).groupBy("chain", "place").agg(F.min("start").alias("start")))
+            least = entered.groupBy("chain").agg(F.min("start").alias("start"))
+            fresh = checkpointed(least.join(seen.withColumnRenamed("start", "old"), "chain", "left").where(F.col("old").isNull() | (F.col("start") < F.col("old"))).select("chain", "start"))
+            seen = least
+        block = lambda df: df.withColumn("block", F.floor(F.col("place") / BLOCK))
+        inside = block(self.members.join(entered.select("chain").distinct(), "chain", "left_semi"))
+        blocks = inside.select("chain", "block").distinct().join(block(entered).groupBy("chain", "block").agg(F.min("start").alias("start")), ["chain", "block"], "left")
+        newer = Window.partitionBy("chain").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+        later = blocks.select("chain", "block", F.min("start").over(newer).alias("later"))
+        from_here = Window.partitionBy("chain", "block").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+        met = inside.join(entered, ["chain", "place"], "left").withColumn("here", F.min("start").over(from_here)).join(later, ["chain", "block"])
+        found = met.select("commit_id", (F.least("here", "later") - F.col("depth")).alias("distance")).where("distance IS NOT NULL")
+        return found.union(starts.join(self.members, "commit_id", "left_anti").withColumn("distance", F.lit(0).cast("long")))
+
+    def segments(self, revisions: DataFrame) -> DataFrame:
+        """``revision, chain, place, hop``: the first-parent history of each of ``revisions(revision)`` as the chains it goes down, from ``place`` on, in order of ``hop``."""
+        found = self.members.join(revisions.select(F.col("revision").alias("commit_id")).distinct(), "commit_id", "left_semi").select(F.col("commit_id").alias("revision"), "chain", "place", F.lit(0).alias("hop"))
+        found = checkpointed(found)
+        fresh, k = found, 0
+        while not fresh.isEmpty():
+            k += 1
+            fresh = checkpointed(fresh.join(self.heads, "chain").select("revision", F.col("to_chain").alias("chain"), F.col("to_place").alias("place"), F.lit(k).alias("hop")))
+            found = found.unionByName(fresh)
+        return found
+
+
 def chains(parents: DataFrame) -> Chains:
-    """Lay out a graph: of the commits with one first parent, the least stays in its chain, the others begin chains of their own."""
+    """Lay out a graph: of the commits with one first parent, that of the largest subtree stays in its chain (of equals the least id), the others begin chains of their own."""
     edges = checkpointed(parents.select("commit_id", "position", "parent_id"))
-    kept = first_parents(edges).groupBy("parent_id").agg(F.min("commit_id").alias("commit_id"))
     nodes = edges.select("commit_id").union(edges.select("parent_id")).distinct()
-    members = _doubled(nodes, kept.select("commit_id", "parent_id")).select("commit_id", F.col("root").alias("chain"), F.col("depth").alias("place"))
+    one = first_parents(edges)
+    sized = _subtrees(nodes, one)
+    kept = one.join(sized.select("commit_id", "size"), "commit_id").groupBy("parent_id").agg(F.max_by("commit_id", F.struct("size", -F.col("commit_id"))).alias("commit_id"))
+    placed = _doubled(nodes, kept.select("commit_id", "parent_id")).select("commit_id", F.col("root").alias("chain"), F.col("depth").alias("place"))
+    members = checkpointed(placed.join(sized.select("commit_id", "depth"), "commit_id"))
     end = lambda c, to: members.select(F.col("commit_id").alias(c), F.col("chain").alias(f"{to}chain"), F.col("place").alias(f"{to}place"))
-    placed = edges.join(end("commit_id", ""), "commit_id").join(end("parent_id", "to_"), "parent_id")
     # Within a chain the place alone tells what is reached.
-    links = placed.where("chain <> to_chain").select("chain", "place", "to_chain", "to_place").distinct()
-    return Chains(members, checkpointed(links))
+    between = checkpointed(edges.join(end("commit_id", ""), "commit_id").join(end("parent_id", "to_"), "parent_id").where("chain <> to_chain").select("position", "chain", "place", "to_chain", "to_place"))
+    return Chains(members, between.drop("position").distinct(), between.where("position = 0").drop("position", "place").distinct())
+
+
+def _subtrees(nodes: DataFrame, one: DataFrame) -> DataFrame:
+    """``commit_id, size, depth``: how many nodes of a forest ``one(commit_id, parent_id)`` lie at or above each one, and how many below it, by doubling.
+
+    After k rounds ``up`` is the node 2^k below, ``size`` counts nodes less than 2^k above, ``depth`` up to 2^k below.
+    """
+    held = nodes.join(one, "commit_id", "left").select("commit_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("size"), F.col("parent_id").isNotNull().cast("long").alias("depth"))
+    held = checkpointed(held)
+    while not held.where("up IS NOT NULL").isEmpty():
+        gained = held.where("up IS NOT NULL").groupBy("up").agg(F.sum("size").alias("more")).withColumnRenamed("up", "commit_id")
+        grown = held.join(gained, "commit_id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0)))
+        below = held.select(F.col("commit_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("deeper"))
+        before, held = held, checkpointed(grown.join(below, "up", "left").select("commit_id", F.col("next").alias("up"), "size", (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth")))
+        forget(before)
+    return held.select("commit_id", "size", "depth")
 
 
 def reachable(parents: DataFrame, ids: Iterable[int] | DataFrame) -> DataFrame:
@@ -107,9 +182,9 @@ def first_parents(parents: DataFrame) -> DataFrame:
     return parents.where("position = 0").select("commit_id", "parent_id")
 
 
-def first_parent_chain(parents: DataFrame, ids: Iterable[int]) -> DataFrame:
+def first_parent_chain(parents: DataFrame, ids: Iterable[int] | DataFrame) -> DataFrame:
     """``commit_id, distance`` along first parents."""
-    return ancestors(first_parents(parents), ids)
+    return chains(parents).first_parents(ids)
 
 
 def merges(parents: DataFrame) -> DataFrame:
@@ -129,9 +204,8 @@ def _doubled(nodes: DataFrame, one: DataFrame, rounds: int = 60) -> DataFrame:
     jump = checkpointed(jump)
     for _ in range(rounds):
         up = jump.select(F.col("commit_id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        jump = checkpointed(jump.join(up, "root").select("commit_id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
-        moved = not jump.where("moved").isEmpty()
-        jump = jump.drop("moved")
-        if not moved:
+        before, jump = jump, checkpointed(jump.join(up, "root").select("commit_id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
+        forget(before)
+        if jump.where("moved").isEmpty():
             break
     return jump.select("commit_id", "root", "depth")

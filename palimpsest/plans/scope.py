@@ -10,7 +10,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.plans.graph import chains
+from palimpsest.plans.graph import Chains, chains
 
 #: Paths that one scope may name.
 MOST_PATHS = 447
@@ -47,10 +47,13 @@ def safe_path(path: str) -> str:
 
 @dataclass(frozen=True)
 class Scope:
-    """What a query may look at: reachable from ``to`` but not from ``from_``, within times, touching ``paths``."""
+    """What a query may look at: reachable from ``to`` but not from ``from_``, within times, touching ``paths``.
 
-    to: tuple[int, ...] = ()
-    from_: tuple[int, ...] = ()
+    Revisions are given as numbers or, if they may be many, as a table of one column.
+    """
+
+    to: tuple[int, ...] | DataFrame = ()
+    from_: tuple[int, ...] | DataFrame = ()
     since: str | None = None
     until: str | None = None
     paths: tuple[str, ...] = field(default=())
@@ -65,18 +68,20 @@ class Scope:
     def times(self) -> tuple[int | None, int | None]:
         return (time_bound(self.since) if self.since else None, time_bound(self.until, until=True) if self.until else None)
 
-    def apply(self, commits: DataFrame, parents: DataFrame, touched: DataFrame | None = None) -> DataFrame:
-        """The commits in scope: time predicates reach the scan, ranges and paths are semi and anti joins."""
+    def apply(self, commits: DataFrame, parents: DataFrame, touched: DataFrame | None = None, graph: Chains | None = None) -> DataFrame:
+        """The commits in scope: time predicates reach the scan, ranges and paths are semi and anti joins. ``graph``: a layout that is kept."""
         low, high = self.times()
         out = commits
         if low is not None:
             out = out.where(F.col("commit_time") >= low)
         if high is not None:
             out = out.where(F.col("commit_time") <= high)
-        graph = chains(parents) if self.to or self.from_ else None
-        if self.to:
+        given = lambda ids: isinstance(ids, DataFrame) or bool(ids)
+        if given(self.to) or given(self.from_):
+            graph = graph or chains(parents)
+        if given(self.to):
             out = out.join(graph.ancestors(self.to), "commit_id", "left_semi")
-        if self.from_:
+        if given(self.from_):
             out = out.join(graph.ancestors(self.from_), "commit_id", "left_anti")
         if touched is not None and self.paths and "." not in map(safe_path, self.paths):
             out = out.join(touched.where(under_any(F.col("path"), self.paths)).select("commit_id").distinct(), "commit_id", "left_semi")

@@ -61,7 +61,7 @@ SELECT id AS commit_id, min(distance) AS distance FROM fp GROUP BY id""",
     )
 )
 def graph_first_parent(c: Catalog) -> DataFrame:
-    return graph.ancestors(graph.first_parents(c.parents), tips(c))
+    return graph.first_parent_chain(c.parents, tips(c))
 
 
 @query(
@@ -120,8 +120,8 @@ SELECT commit_id FROM commits WHERE commit_id IN (SELECT id FROM up) AND commit_
     )
 )
 def filter_scope_revision_range(c: Catalog) -> DataFrame:
-    ends = [r.id for r in tips(c).collect()]  # the user's revisions
-    scope = Scope(to=tuple(ends), from_=tuple(i for i in ends if i % 2 == 0), since=SINCE)
+    ends = tips(c)
+    scope = Scope(to=ends, from_=ends.where("id % 2 = 0"), since=SINCE)
     touched = c.paths.where(F.col("path").startswith("Brand#1")).select("commit_id").distinct()
     return scope.apply(c.commits, c.parents).join(touched, "commit_id", "left_semi").select("commit_id")
 

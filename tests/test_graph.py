@@ -61,7 +61,7 @@ def test_a_long_history_takes_few_jobs(spark):
         jobs = len(status.getJobIdsForGroup("long history"))
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert jobs < 300, jobs  # two layouts of 17 doublings each, a few jobs a doubling; levels would be 100,000
+    assert jobs < 400, jobs  # two layouts of 17 doublings for sizes and 17 for places each, a few jobs a doubling; levels would be 100,000
 
 
 def test_bound_tables(spark):
@@ -81,3 +81,59 @@ def test_bound_tables(spark):
     assert ids("graph_descendants") == sorted(walk(down, least.values()))
     good = walk(up, [x for x in last.values() if x % 2 == 0])
     assert ids("set_good_bad_difference") == sorted(set(reached) - set(good))
+
+
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, "")
+    try:
+        out = run()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def merged_trunk(spark, n):
+    """A trunk of ``n`` merges, 2k + 1 the merge of branch commit 2k into the merge before it, ids not in order of time."""
+    feature = spark.range(1, n).selectExpr("2 * id AS commit_id", "0 AS position", "2 * id - 1 AS parent_id")
+    trunk = spark.range(1, n).selectExpr("2 * id + 1 AS commit_id", "explode(array(0, 1)) AS position").selectExpr("commit_id", "position", "IF(position = 0, commit_id - 2, commit_id - 1) AS parent_id")
+    return feature.unionByName(trunk)
+
+
+def test_a_trunk_of_merges_takes_few_jobs(spark):
+    """Branch commits have lesser ids than the merges beside them, so that the least id would begin a chain at each merge."""
+    took = {}
+    for n in (500, 20_000):
+        parents = merged_trunk(spark, n)
+
+        def all_ways(n=n, parents=parents):
+            laid = graph.chains(parents)
+            assert laid.members.where("chain = 1").count() == n
+            assert laid.ancestors([2 * n - 1]).count() == 2 * n - 1
+            assert laid.descendants([2 * n - 7]).count() == 7
+            far = laid.first_parents([2 * n - 1, 100])
+            assert far.count() == n + 1 and far.where("commit_id = 1").first().distance == 50
+            assert laid.segments(spark.createDataFrame([(100,)], "revision long")).count() == 2
+
+        _, took[n] = jobs_of(spark, f"trunk {n}", all_ways)
+    assert took[20_000] < 2 * took[500], took  # 40 times the merges
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_first_parent_distances(spark, seed, tmp_path, monkeypatch):
+    """Trees of first parents with places beyond a block, against a walk; kept layouts answer alike."""
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    r = random.Random(seed)
+    rows = [(child, 0, max(0, child - r.choice([1, 1, 1, 2, 9]))) for child in range(1, 80)] + [(200, 0, 199), (50, 1, 3)]
+    up, _ = edges_of([x for x in rows if x[1] == 0])
+    parents = spark.createDataFrame(rows, "commit_id long, position int, parent_id long")
+    laid = graph.chains(parents)
+    laid.save(f"{tmp_path}/layout")
+    for starts in ([79, 40, 33], [200, 500], [0]):
+        want = sorted(walk(up, starts).items())
+        for known in (laid, graph.Chains.load(spark, f"{tmp_path}/layout")):
+            assert sorted((x.commit_id, x.distance) for x in known.first_parents(starts).collect()) == want
+    members = {(x.chain, x.place): x.commit_id for x in laid.members.collect()}
+    ways = laid.segments(spark.createDataFrame([(79,), (33,)], "revision long")).collect()
+    for start in (79, 33):
+        mine = sorted((x.hop, x.chain, x.place) for x in ways if x.revision == start)
+        assert [members[chain, k] for _, chain, top in mine for k in range(top, -1, -1)] == list(walk(up, [start]))
