@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import materialize, short_batches
 
 #: Documents of a block, which two bytes count; bytes that a process remembers of stretches, and what one takes beside its own.
-BLOCK, MEMORY, ENTRY = 1000, 64 << 20, 300
+BLOCK, MEMORY, ENTRY = 1000, 40 << 20, 300
 #: Bytes of stretches that are tokenized by one call; pairs of tokens of one group that are listed.
 TOGETHER, LARGE = 1 << 16, 4096
 SPACE_PIECE = "▁"
@@ -71,8 +71,17 @@ class Arena:
             self.new = []
 
 
+    def only(self, kept: np.ndarray) -> Arena:
+        """Another one with these stretches, numbered from 0."""
+        out, counts = Arena(), self.firsts[kept + 1] - self.firsts[kept]
+        places = _expand(self.firsts[kept], counts)
+        out.add([self.groups[k] for k in kept.tolist()], self.sizes[kept], counts, self.pairs[places], self.times[places])
+        out.settle()
+        return out
+
+
 class Aligner:
-    """Both tokenizers, and a memory of stretches."""
+    """Both tokenizers, and a memory of stretches: beyond ``memory`` bytes those stay that the last block had twice."""
 
     def __init__(self, file_a: str, file_b: str, memory: int = MEMORY) -> None:
         import json
@@ -94,7 +103,8 @@ class Aligner:
         self.apart = steps.get("type") == "ByteLevel" and steps["use_regex"] and not steps["add_prefix_space"] and not self.a.normalizer and not any(SPACE_PIECE in p.lstrip(SPACE_PIECE) for p in pieces)
         self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         self.known: dict[bytes, int] = {}
-        self.arena, self.held = Arena(), 0
+        #: Aligned stretches, about how many bytes they take, and how often the last block had each.
+        self.arena, self.held, self.used = Arena(), 0, np.zeros(0, np.int64)
 
     def cuts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Where stretches begin in the UTF-8 texts one after the other that begin at ``starts``."""
@@ -109,7 +119,7 @@ class Aligner:
     def stretches(self, texts: list[bytes]) -> np.ndarray:
         """The numbers in ``arena`` of different stretches that begin with a space, until the next call; their groups are None where the bytes of tokens are not those of the stretch."""
         if self.held > self.memory:
-            self.known, self.arena, self.held = {}, Arena(), 0
+            self._trim()
         known = self.known
         new = [t for t in dict.fromkeys(texts) if t not in known]
         joined: list[bytes] = []
@@ -132,6 +142,14 @@ class Aligner:
         self.held += sum(map(len, new)) + ENTRY * len(new)
         return np.fromiter(map(known.__getitem__, texts), np.int64, len(texts))
 
+    def _trim(self) -> None:
+        kept = np.flatnonzero(self.used > 1)
+        if len(kept) * ENTRY > self.memory // 2:
+            kept = kept[:0]
+        listed = list(self.known)
+        self.known = {listed[k]: n for n, k in enumerate(kept.tolist())}
+        self.arena, self.held, self.used = self.arena.only(kept), sum(map(len, self.known)) + ENTRY * len(kept), kept[:0]
+
     def _together(self, texts: list[bytes]) -> None:
         """Align stretches by one call of each tokenizer, and put them into the arena."""
         if not texts:
@@ -224,6 +242,7 @@ def _block(known: Aligner, number: int, doc_ids: pa.Array, texts: list[bytes | N
         coded = stretches.dictionary_encode()
         found = known.stretches(coded.dictionary.to_pylist())
         codes, arena = found[coded.indices.to_numpy(zero_copy_only=False)], known.arena
+        known.used = np.bincount(codes)
         firsts = np.searchsorted(cuts, starts)
         lost = np.logical_or.reduceat(np.equal(np.array(arena.groups, object), None).astype(bool)[codes], firsts)
         summed = np.add.reduceat(arena.sizes[codes], firsts, axis=0)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import alignment, queries
 from palimpsest.llm.queries import tokenizer_file
 
+ENOUGH = 1 << 24
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
@@ -103,7 +104,12 @@ def test_blocks_and_memory_change_nothing(spark, known, monkeypatch):
     one = alignment.Aligner(tokenizer_file(A), tokenizer_file(B), memory=1)
     texts = [b" " + t.encode() for _, t in rows if t]
     named = lambda ids: [one.arena.groups[k] for k in ids.tolist()]
-    assert named(one.stretches(texts)) == named(one.stretches(texts)) and len(one.known) == len(set(texts)) == len(one.arena.groups)
+    first = named(one.stretches(texts))
+    one.used = np.arange(len(one.known)) % 3
+    assert named(one.stretches(texts)) == first and len(one.known) == len(set(texts)) == len(one.arena.groups)
+    one.memory, one.used = ENOUGH, np.arange(len(one.known)) % 3
+    one.held = ENOUGH + 1
+    assert named(one.stretches(texts)) == first and list(one.known) != list(dict.fromkeys(texts)) and len(one.known) == len(one.arena.groups) == len(one.arena.sizes)
 
 
 def test_large_groups_count_different_ids(known, monkeypatch):
