@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import materialize, short_batches
 
 #: Documents of a block, which two bytes count; bytes that a process remembers of stretches, and what one takes beside its own.
-BLOCK, MEMORY, ENTRY = 1000, 40 << 20, 300
+BLOCK, MEMORY, ENTRY = 1000, 56 << 20, 300
 #: Bytes of stretches that are tokenized by one call; pairs of tokens of one group that are listed.
 TOGETHER, LARGE = 1 << 16, 4096
 SPACE_PIECE = "▁"
@@ -101,6 +101,7 @@ class Aligner:
         steps = json.loads(self.a.pre_tokenizer.__getstate__()) if self.a.pre_tokenizer else {}
         #: Whether both cut before a space that follows no white space.
         self.apart = steps.get("type") == "ByteLevel" and steps["use_regex"] and not steps["add_prefix_space"] and not self.a.normalizer and not any(SPACE_PIECE in p.lstrip(SPACE_PIECE) for p in pieces)
+        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         self.known: dict[bytes, int] = {}
         #: Aligned stretches, about how many bytes they take, and how often the last block had each.
@@ -160,8 +161,8 @@ class Aligner:
         same = b"".join(map(self.bytes_a.__getitem__, a.tolist())) == text == b"".join(map(self.bytes_b.__getitem__, b.tolist()))
         bounds = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True) if same else bounds[:0]
-        if not same or not np.isin(bounds, cuts, assume_unique=True).all():
+        cuts = _common(ends_a, ends_b) if same else bounds[:0]
+        if not same or len(_common(bounds, cuts)) < len(bounds):
             if len(texts) == 1:
                 self.arena.add([None], np.zeros((1, 4), np.int64), np.zeros(1, np.int64), a[:0], a[:0])
             for t in texts if len(texts) > 1 else ():
@@ -171,7 +172,7 @@ class Aligner:
         from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
         many_a, many_b = to_a - from_a, to_b - from_b
         of = np.searchsorted(bounds, cuts)  # the stretch of each group
-        name_a, name_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        name_a, name_b = (list(map(self.names.__getitem__, x.tolist())) for x in (a, b))
         listed = [
             f"{name_a[i]}|{name_b[k]}" if j - i == 1 == m - k else ",".join(name_a[i:j]) + "|" + ",".join(name_b[k:m])
             for i, j, k, m in zip(from_a.tolist(), to_a.tolist(), from_b.tolist(), to_b.tolist(), strict=True)
@@ -191,7 +192,7 @@ class Aligner:
             pair = np.concatenate([pair, ((x[:, None] << 32) | y[None]).ravel()])
             often = np.concatenate([often, (m[:, None] * n[None]).ravel()])
             stretch = np.concatenate([stretch, np.full(len(x) * len(y), of[g])])
-        order = np.lexsort((pair, stretch))
+        order = np.argsort((stretch << 48) | pair) if len(self.bytes_a) <= 1 << 16 else np.lexsort((pair, stretch))
         pair, stretch = pair[order], stretch[order]
         first = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(stretch, prepend=-1) != 0))
         self.arena.add(groups, sizes, np.bincount(stretch[first], minlength=len(texts)), pair[first], np.add.reduceat(often[order], first))
@@ -203,6 +204,13 @@ def aligner(file_a: str, file_b: str) -> Aligner:
     return Aligner(file_a, file_b)
 
 
+def _common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """What two sorted arrays of different numbers share."""
+    if not len(two):
+        return two
+    return one[two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one]
+
+
 def _expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places start, start + 1, ... of each range, one range after the other."""
     ends = np.cumsum(sizes)
@@ -259,7 +267,7 @@ def _block(known: Aligner, number: int, doc_ids: pa.Array, texts: list[bytes | N
         places = _expand(arena.firsts[code], many)
         different, pair = np.unique(arena.pairs[places], return_inverse=True)
         key = pair * len(there) + np.repeat(doc, many)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         once = np.flatnonzero(np.diff(key[order], prepend=-1))
         if len(once):
             times = np.add.reduceat((arena.times[places] * np.repeat(often, many))[order], once)
