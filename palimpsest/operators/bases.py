@@ -12,24 +12,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.identity import states
 from palimpsest.plans.durable import checkpointed
 from palimpsest.plans.graph import Chains
+from palimpsest.plans.ranks import numbered
 
 #: Ranks below both revisions that the first window takes in, and how it grows.
 WINDOW, WIDER = 256, 16
 
 
 def dense_ranks(commits: DataFrame, position: str = "position", shift: int = 40) -> DataFrame:
-    """``commit_id, rank``: commits numbered from 0 by position; first by groups of its leading bits, then within each."""
-    held = commits.select("commit_id", position, F.shiftright(position, shift).alias("part"))
-    newer = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part of the history, such as a day
-    before = held.groupBy("part").agg(F.count("*").alias("c")).select("part", F.coalesce(F.sum("c").over(newer), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(position)) - 1
-    return held.join(before, "part").select("commit_id", (F.col("before") + own).cast("long").alias("rank"))
+    """``commit_id, rank``: commits numbered from 0 by position, in groups of its leading bits."""
+    return numbered(commits.select("commit_id", position), [], position, shift).select("commit_id", "rank")
 
 
 def in_ranges(ranges: DataFrame, points: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from operator import or_
 
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring
+from palimpsest.functions.patterns import java_pattern
 from palimpsest.functions.text import only_cjk, path_matches, tokens
 from palimpsest.plans.durable import checkpointed
 
@@ -218,26 +218,16 @@ def literal(lines: DataFrame, text: str, limit: int | None = 20) -> DataFrame:
     return found if limit is None else found.orderBy(F.desc("doc_id"), "line_no").limit(limit)
 
 
-def checked_pattern(pattern: str) -> str:
-    """A pattern without look-around or backreferences, of 16,384 bytes at most, for Unicode classes."""
-    if len(pattern.encode()) > 16_384:
-        raise ValueError("the pattern is too long")
-    if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]|\\k<", pattern):
-        raise ValueError("look-around and backreferences are not supported")
-    re.compile(pattern)
-    return f"(?U){pattern}"
-
-
 def by_regex(lines: DataFrame, pattern: str, limit: int | None = 20) -> DataFrame:
     """Lines in which ``pattern`` matches; a final carriage return is not part of a line."""
-    found = lines.where(F.regexp_replace("content", "\r$", "").rlike(checked_pattern(pattern)))
+    found = lines.where(F.regexp_replace("content", "\r$", "").rlike(java_pattern(lines.sparkSession, pattern)))
     return found if limit is None else found.orderBy(F.desc("doc_id"), "line_no").limit(limit)
 
 
 def fragment(lines: DataFrame, wanted: list[str], order: str = "line_no", key: str = "doc_id") -> DataFrame:
     """Starts of runs of consecutive lines equal to ``wanted``; overlapping runs all count.
 
-    A window collects as many lines as the fragment has, only for those equal to its first.
+    Lines are put in order within each key; a window looks as many lines ahead as the fragment has.
     """
     n = len(wanted)
     w = Window.partitionBy(key).orderBy(order)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.catalog import Catalog, bind, with_views
 from palimpsest.functions.text import basename, is_test_path, normalize_path
-from palimpsest.operators import relations
+from palimpsest.operators import followon, relations
+from palimpsest.operators.bases import dense_ranks
 from palimpsest.plans.graph import merges
 
 QUERIES, ORACLES = {}, {}
@@ -235,3 +236,44 @@ def join_seed_or_theta(c: Catalog) -> DataFrame:
     s = seeds(c)
     wanted = s.unionAll(s.select(F.upper("seed").alias("seed"))).unionAll(s.select(basename(F.col("seed")).alias("seed")))
     return relations.seed_matches(c.paths, wanted)
+
+
+#: The file that is changed least, and what tends to change in the two years after it. A fifth of its commits has to be followed, as given data are random.
+QUIET = "quiet AS (SELECT path FROM paths GROUP BY path ORDER BY count(*), path LIMIT 1)"
+
+
+def module_paths(c: Catalog) -> DataFrame:
+    return c.paths.select("commit_id", module(F.col("path")).alias("path")).distinct()
+
+
+def after_quiet(c: Catalog) -> DataFrame:
+    quiet = c.paths.groupBy("path").agg(F.count("*").alias("n")).orderBy("n", "path").limit(1).select("path")
+    origins = c.paths.join(F.broadcast(quiet), "path", "left_semi").select(F.col("commit_id").alias("origin_id"))
+    eligible = c.commits.select("commit_id").join(merges(c.parents), "commit_id", "left_anti")
+    selected = quiet.select(module(F.col("path")).alias("path")).distinct()
+    return followon.observations(origins, c.parents, c.commits, eligible, module_paths(c), dense_ranks(c.commits), days=730, one_in=5, excluded=selected)
+
+
+AFTER = f"""--, {MERGES}, {QUIET}, eligible AS (SELECT commit_id, commit_time, position FROM commits WHERE commit_id NOT IN (SELECT commit_id FROM merges)),
+mods AS (SELECT DISTINCT commit_id, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS path FROM paths WHERE commit_id IN (SELECT commit_id FROM eligible)),
+chosen AS (SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS path FROM quiet),
+touched AS (SELECT * FROM mods WHERE path NOT IN (SELECT path FROM chosen)),
+full_ones AS (SELECT commit_id AS origin_id, commit_time AS t0, row_number() OVER (ORDER BY position) - 1 AS rank FROM eligible WHERE commit_time + 63072000 <= (SELECT max(commit_time) FROM commits)),
+down(origin_id, id, k) AS (SELECT origin_id, origin_id, 0 FROM full_ones UNION SELECT origin_id, commit_id, k + 1 FROM down JOIN parents ON parent_id = id WHERE k < 20),
+later AS (SELECT DISTINCT origin_id, e.commit_id FROM down JOIN full_ones USING (origin_id) JOIN eligible e ON e.commit_id = id WHERE k > 0 AND e.commit_time - t0 BETWEEN 0 AND 63072000),
+own AS (SELECT DISTINCT origin_id FROM full_ones JOIN paths ON commit_id = origin_id WHERE path IN (SELECT path FROM quiet)),
+edges AS (SELECT l.origin_id, l.commit_id, t.path FROM later l JOIN touched t USING (commit_id) WHERE NOT EXISTS (SELECT 1 FROM touched x WHERE x.commit_id = l.origin_id AND x.path = t.path)),
+found AS (SELECT path, count(DISTINCT origin_id) AS supporting, count(DISTINCT commit_id) AS followers FROM edges WHERE origin_id IN (SELECT origin_id FROM own) GROUP BY path),
+counted AS (SELECT f.*, (SELECT count(*) FROM own) - (SELECT count(*) FROM own JOIN touched t ON t.commit_id = origin_id AND t.path = f.path) AS complete FROM found f),
+likely AS (SELECT * FROM counted WHERE supporting >= 2 AND followers >= 2 AND 5 * supporting >= complete),
+pool AS (SELECT l.path, origin_id, row_number() OVER (PARTITION BY l.path ORDER BY rank) - 1 AS i, count(*) OVER (PARTITION BY l.path) AS n
+  FROM likely l, full_ones WHERE NOT EXISTS (SELECT 1 FROM touched x WHERE x.commit_id = origin_id AND x.path = l.path)),
+picked AS (SELECT path, origin_id FROM pool WHERE i IN (SELECT ((2 * j + 1) * pool.n) // (2 * least(pool.n, 100)) FROM range(0, 100) AS t(j) WHERE j < least(pool.n, 100))),
+base AS (SELECT path, count(*) AS baseline_size, count(*) FILTER (EXISTS (SELECT 1 FROM edges e WHERE e.origin_id = picked.origin_id AND e.path = picked.path)) AS baseline_hits FROM picked GROUP BY path)
+"""
+
+
+@query(with_views(BASE, AFTER + "SELECT path, supporting, complete, baseline_hits, baseline_size FROM likely JOIN base USING (path) WHERE supporting * baseline_size >= 2 * baseline_hits * complete"))
+def related_followons(c: Catalog) -> DataFrame:
+    """What tends to change within two years and 20 commits after the quietest file, at twice the baseline or more."""
+    return after_quiet(c).select("path", "supporting", "complete", "baseline_hits", "baseline_size")
