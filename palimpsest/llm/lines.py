@@ -17,13 +17,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.llm import prefixes
-from palimpsest.llm.common import SIEVE, drop_table, materialize
+from palimpsest.llm.common import SIEVE, drop_table, materialize, text_partitions
 from palimpsest.llm.components import connected_components
 
 #: Code points of a shingle, bands and hashes in a band, similarity, standard deviations that sketches may lie apart beyond the mean.
@@ -34,10 +33,6 @@ BITS, THINNED, FULL = 512, 8, 2400
 SPARSE, EVERY = 16, 3
 #: White space around a line.
 BLANK = " \t\n\x0b\f\r"
-#: Code points that the plain form hashes at once; odd factors of its rolled hash and of its mixing.
-SLICE, ROLL, MIX = 1 << 17, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: Fills up lines shorter than a shingle in the plain form; no text holds it.
-FILLER = "\ud800"
 
 
 def _trimmed(line: Column) -> Column:
@@ -68,17 +63,21 @@ def _shingle(wide: str, at: Column, shingle: int) -> Column:
     return F.xxhash64(F.substr(F.col(wide), at, F.lit(4 * shingle)))
 
 
-def _shingles(wide: str, shingle: int) -> Column:
-    """The hashes of the different shingles."""
-    return F.array_distinct(F.transform(_starts(wide, shingle), lambda i: _shingle(wide, i, shingle)))
+def _hashed(lines: DataFrame, shingle: int) -> DataFrame:
+    """The columns of ``lines(..., line)`` but the line, and ``x``, the hash of each of its shingles, a row for each place.
+
+    Places are exploded, which Spark compiles; a lambda over them would fetch the whole line for each one.
+    """
+    rest = [c for c in lines.columns if c != "line"]
+    wide = lines.select(*rest, _wide(F.col("line")).alias("wide"))
+    # Outer, though there is always one: else a filter on the array's size is put below, which makes it twice.
+    each = wide.select(*rest, "wide", F.explode_outer(_starts("wide", shingle)).alias("at"))
+    return each.select(*rest, _shingle("wide", F.col("at"), shingle).alias("x"))
 
 
 def signatures(lines: DataFrame, shingle: int, orders: int) -> DataFrame:
     """``id, m0, m1, ...`` from ``lines(id, line)``, where rows of one id are alike: the least hash in each of ``orders`` bins, null in empty ones."""
-    wide = lines.select("id", _wide(F.col("line")).alias("wide"))
-    # Outer, though there is always one: else a filter on the array's size is put below, which makes it twice.
-    each = wide.select("id", "wide", F.explode_outer(_starts("wide", shingle)).alias("at"))
-    hashed = each.select("id", _shingle("wide", F.col("at"), shingle).alias("x"))
+    hashed = _hashed(lines.select("id", "line"), shingle)
     binned = hashed.select("id", "x", F.expr(f"cast(shiftright(shiftrightunsigned(x, 32) * {orders}L, 32) AS int)").alias("bin"))
     return binned.groupBy("id").agg(*[F.min(F.when(F.col("bin") == k, F.col("x"))).alias(f"m{k}") for k in range(orders)])
 
@@ -99,9 +98,9 @@ def _keyed(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
 def _sketched(texts: DataFrame, shingle: int) -> DataFrame:
     """``id, size, s0, s1, ...`` of ``texts(id, line)``: the number of different shingles, a sketch of all and one of those thinned."""
-    wide = texts.select("id", _wide(F.col("line")).alias("wide"))
-    # Apart and outer, so that the explosion is compiled and the shingles are not made twice for a filter on their number.
-    each = wide.select("id", _shingles("wide", shingle).alias("xs")).select("id", F.explode_outer("xs").alias("x"))
+    # Dealt by id as lines, and by number, so that tasks are not put together by bytes: what follows is many times larger, and needs no other exchange.
+    dealt = texts.select("id", "line").repartition(text_partitions(texts.sparkSession), "id")
+    each = _hashed(dealt, shingle).distinct()
     bits = each.select(
         "id",
         F.expr(f"cast(shiftright(x, 6) & {BITS // 64 - 1} AS int)").alias("word"),
@@ -137,13 +136,12 @@ def _near(similar: float) -> Column:
 def _compared(texts: DataFrame, wanted: DataFrame, shingle: int, similar: float) -> DataFrame:
     """Those of the pairs ``wanted(a, b)`` of ``texts(id, line)`` that have similarity ``similar`` or more."""
     side = lambda s: texts.select(F.col("id").alias(s), F.col("line").alias(f"l{s}"))
-    # Pairs travel with their lines, which are far smaller than the lines' shingles.
-    both = wanted.join(side("a"), "a").join(side("b"), "b")
-    wide = both.select("a", "b", _wide(F.col("la")).alias("wa"), _wide(F.col("lb")).alias("wb"))
-    sets = wide.select("a", "b", _shingles("wa", shingle).alias("sa"), _shingles("wb", shingle).alias("sb"))
-    # Written before it is filtered: a filter would move below, and make the shingles anew within itself.
-    common = materialize(sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n")), "compared")
-    return common.where(F.col("n") >= similar * (F.col("na") + F.col("nb") - F.col("n")) - 1e-9).select("a", "b")
+    # Pairs travel with their lines, which are far smaller than the lines' shingles; shingles are matched within a pair, without another exchange.
+    both = wanted.join(side("a"), "a").join(side("b"), "b").repartition(text_partitions(texts.sparkSession), "a", "b")
+    lines = both.select("a", "b", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("la").alias("line")), F.struct(F.lit(2).alias("side"), F.col("lb").alias("line")))).alias("s")).select("a", "b", "s.side", "s.line")
+    sides = _hashed(lines, shingle).groupBy("a", "b", "x").agg(F.bit_or("side").alias("sides"))
+    common = sides.groupBy("a", "b").agg(F.count("*").alias("all"), F.sum((F.col("sides") == 3).cast("long")).alias("n"))
+    return materialize(common.where(F.col("n") >= similar * F.col("all") - 1e-9).select("a", "b"), "compared")
 
 
 def _linked(lines: DataFrame, shingle: int, bands: int, rows: int, similar: float, often: DataFrame | None = None) -> DataFrame:
@@ -226,85 +224,3 @@ def clean(docs: DataFrame, **options) -> DataFrame:
     kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("dropped", i))
     new = F.when(F.size("dropped") == 0, text).otherwise(F.array_join(kept, "\n"))
     return found.select(*[new.alias(f.name) if f.name == "text" else F.col(f"__row.`{f.name}`") for f in docs.schema.fields])
-
-# The plain form of shingles, signatures and sketches, by vectors and in one process: no query goes by it, tests hold to it.
-
-
-def _rolled(codes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the ``k`` code points from each place on."""
-    if k == 1:
-        return codes
-    half = k // 2
-    part = _rolled(codes, half)
-    whole = part[:-half] * np.uint64(pow(ROLL, half, 1 << 64)) + part[half:]
-    return whole[:-1] * np.uint64(ROLL) + codes[k - 1 :] if k % 2 else whole
-
-
-def _shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mixed 64-bit hashes of all shingles of lines of ``shingle`` code points or more, and where each line's begin."""
-    sizes = np.array([len(x) for x in lines])
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    inside = np.ones(len(codes), bool)
-    for back in range(1, shingle):
-        inside[np.cumsum(sizes) - back] = False
-    rolled = _rolled(codes, shingle)
-    rolled = rolled[inside[: len(rolled)]]
-    mixed = (rolled ^ (rolled >> np.uint64(31))) * np.uint64(MIX)
-    return mixed ^ (mixed >> np.uint64(32)), np.concatenate([[0], np.cumsum(sizes - shingle + 1)[:-1]])
-
-
-def _cut(line: str, shingle: int) -> list[str]:
-    """The line in parts of about ``SLICE`` code points that overlap by all but one of a shingle's; filled up if it is shorter than one."""
-    if len(line) <= SLICE:
-        return [line if len(line) >= shingle else line + FILLER * (shingle - len(line))]
-    return [line[k : k + SLICE + shingle - 1] for k in range(0, len(line) - shingle + 1, SLICE)]
-
-
-def shingle_set(line: str, shingle: int) -> np.ndarray:
-    """Sorted different hashes of the shingles; a line shorter than one is one shingle."""
-    return np.unique(np.concatenate([_shingle_hashes([x], shingle)[0] for x in _cut(line, shingle)]))
-
-
-def sign(lines: list[str], shingle: int, hashes: int) -> np.ndarray:
-    """The least 32-bit shingle hash under each of ``hashes`` orders, a row for each order and a column for each line."""
-    # An odd factor permutes the numbers below 2^32.
-    factors = np.random.default_rng(11).integers(0, 1 << 31, hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    least = np.full((hashes, len(lines)), 0xFFFFFFFF, np.uint32)
-    parts: list[str] = []
-    owner: list[int] = []
-
-    def work() -> None:
-        mixed, begin = _shingle_hashes(parts, shingle)
-        x = (mixed >> np.uint64(32)).astype(np.uint32)
-        order = np.empty_like(x)
-        whose = np.array(owner)
-        # Owners ascend by one, but where a long line has several parts.
-        whole = whose[-1] - whose[0] == len(whose) - 1
-        for k in range(hashes):
-            np.multiply(x, factors[k], out=order)
-            found = np.minimum.reduceat(order, begin)
-            if whole:
-                np.minimum(least[k, whose[0] : whose[-1] + 1], found, out=least[k, whose[0] : whose[-1] + 1])
-            else:
-                np.minimum.at(least[k], whose, found)
-        parts.clear()
-        owner.clear()
-
-    held = 0
-    for n, line in enumerate(lines):
-        for part in _cut(line, shingle):
-            parts.append(part)
-            owner.append(n)
-            held += len(part)
-            if held >= SLICE:
-                work()
-                held = 0
-    if parts:
-        work()
-    return least
-
-
-def sketches(lines: list[str], shingle: int) -> np.ndarray:
-    """For each line a row of words with one bit of the least hash under each of ``BITS`` orders."""
-    bits = sign(lines, shingle, BITS) >> (np.arange(BITS, dtype=np.uint32) % np.uint32(16))[:, None] & np.uint32(1)
-    return np.ascontiguousarray(np.packbits(bits.astype(np.uint8), axis=0, bitorder="little").T).view(np.int64)

@@ -507,21 +507,6 @@ def test_crowds_of_different_lines_link_exactly(spark):
     assert groups([(e.a, e.b) for e in edges]) == groups(want)
 
 
-def test_parts_of_long_lines():
-    """A line cut in parts has the signature, the sketch and the shingles of the whole; short ones are one shingle."""
-    import random
-
-    draw = random.Random(8)
-    long = "".join(draw.choice("abcdefg \u6f22\U0001f600") for _ in range(2 * lines.SLICE + 77))
-    rows = ["ab", long, "abcdefghi", "x" * 40]
-    alone = [lines.sign([x], 9, 24)[:, 0].tolist() for x in rows]
-    assert lines.sign(rows, 9, 24).T.tolist() == alone
-    assert [len(lines.shingle_set(x, 9)) for x in rows] == [len({x[i : i + 9] for i in range(max(1, len(x) - 8))}) for x in rows]
-    whole = lines._shingle_hashes([long], 9)[0]
-    assert lines.shingle_set(long, 9).tolist() == sorted(set(whole.tolist()))
-    assert lines.sketches(rows, 9).shape == (4, lines.BITS // 64) and len(set(lines.shingle_set("ab", 9)) & set(lines.shingle_set("ab\0", 9))) == 0
-
-
 def of_letters(r, n):
     return "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
 
@@ -599,3 +584,18 @@ def test_trimmed_and_sifted_lines(spark):
     rows = spark.range(4000).select(F.xxhash64("id").alias("id"), F.col("id").alias("k"))
     found = {r.k for r in lines._sifted(rows, rows.where("k % 40 = 0").select("id")).collect()}
     assert found >= set(range(0, 4000, 40)) and len(found) < 120
+
+
+def test_lines_of_a_megabyte(spark):
+    """A pair of long near copies and one that shares half; time grows with the length."""
+    import random
+    import time
+
+    r = random.Random(21)
+    draw = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz \u6f22", k=n))
+    long = draw(1 << 20)
+    texts = [(1, f"short\n{long}"), (2, f"{long[: 1 << 19]}{draw(1 << 19)}\nown"), (3, f"own line\n{long[:500_000]}#{long[500_001:]}"), (4, "x" * (1 << 20)), (5, "x" * (1 << 19))]
+    began = time.monotonic()
+    got = {x.doc_id: x.dropped for x in lines.duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [], 3: [1], 4: [], 5: [0]}
+    assert time.monotonic() - began < 120
