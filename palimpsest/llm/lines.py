@@ -63,6 +63,12 @@ def _shingle(wide: str, at: Column, shingle: int) -> Column:
     return F.xxhash64(F.substr(F.col(wide), at, F.lit(4 * shingle)))
 
 
+def _shingles(wide: str, shingle: int) -> Column:
+    """The hashes of the different shingles; the line is the variable of an outer lambda, since an inner one would copy a column anew for each place."""
+    each = lambda w: F.array_distinct(F.transform(_starts(wide, shingle), lambda i: F.xxhash64(F.substr(w, i, F.lit(4 * shingle)))))
+    return F.get(F.transform(F.array(F.col(wide)), each), F.lit(0))
+
+
 def _hashed(lines: DataFrame, shingle: int) -> DataFrame:
     """The columns of ``lines(..., line)`` but the line, and ``x``, the hash of each of its shingles, a row for each place.
 
@@ -136,12 +142,13 @@ def _near(similar: float) -> Column:
 def _compared(texts: DataFrame, wanted: DataFrame, shingle: int, similar: float) -> DataFrame:
     """Those of the pairs ``wanted(a, b)`` of ``texts(id, line)`` that have similarity ``similar`` or more."""
     side = lambda s: texts.select(F.col("id").alias(s), F.col("line").alias(f"l{s}"))
-    # Pairs travel with their lines, which are far smaller than the lines' shingles; shingles are matched within a pair, without another exchange.
-    both = wanted.join(side("a"), "a").join(side("b"), "b").repartition(text_partitions(texts.sparkSession), "a", "b")
-    lines = both.select("a", "b", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("la").alias("line")), F.struct(F.lit(2).alias("side"), F.col("lb").alias("line")))).alias("s")).select("a", "b", "s.side", "s.line")
-    sides = _hashed(lines, shingle).groupBy("a", "b", "x").agg(F.bit_or("side").alias("sides"))
-    common = sides.groupBy("a", "b").agg(F.count("*").alias("all"), F.sum((F.col("sides") == 3).cast("long")).alias("n"))
-    return materialize(common.where(F.col("n") >= similar * F.col("all") - 1e-9).select("a", "b"), "compared")
+    # Pairs travel with their lines, which are far smaller than the lines' shingles.
+    both = wanted.join(side("a"), "a").join(side("b"), "b")
+    wide = both.select("a", "b", _wide(F.col("la")).alias("wa"), _wide(F.col("lb")).alias("wb"))
+    sets = wide.select("a", "b", _shingles("wa", shingle).alias("sa"), _shingles("wb", shingle).alias("sb"))
+    # Written before it is filtered: a filter would move below, and make the shingles anew within itself.
+    common = materialize(sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n")), "compared")
+    return common.where(F.col("n") >= similar * (F.col("na") + F.col("nb") - F.col("n")) - 1e-9).select("a", "b")
 
 
 def _linked(lines: DataFrame, shingle: int, bands: int, rows: int, similar: float, often: DataFrame | None = None) -> DataFrame:
