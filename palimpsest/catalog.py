@@ -68,6 +68,19 @@ class Catalog:
         edges = two.select("commit_id", F.posexplode(F.array("p0", F.when(merged, F.col("last")))).alias("position", "parent_id"))
         return edges.where("parent_id IS NOT NULL")
 
+    @cached_property
+    def notes(self) -> DataFrame:
+        """Commits with messages: of seven one reverts the last of its branch, by a prefix of its id of any length from 7 on, one corrects, and one names a commit that is none."""
+        w = Window.partitionBy("branch").orderBy("position")
+        c = self.commits.select("commit_id", "oid", "position", F.lag("oid").over(w).alias("last"), F.lag("commit_id").over(w).cast("string").alias("prior"))
+        kind, own = F.col("commit_id") % 7, F.col("commit_id").cast("string")
+        prefix = F.substr("last", F.lit(1), (7 + F.col("commit_id") % 34).cast("int"))
+        reverts = (kind == 0) & F.col("last").isNotNull()
+        subject = F.when(reverts, F.concat(F.lit("Revert change "), "prior")).when(kind == 1, F.concat(F.lit("Fix totals of order "), own)).otherwise(F.concat(F.lit("Change order "), own))
+        undone = F.concat(F.lit("\nThis reverts commit "), prefix, F.lit(".\nReason: change "), "prior", F.lit(" broke the totals of its customer."))
+        body = F.when(reverts, undone).when(kind == 1, F.lit("\nRetry: once the totals are right.")).when(kind == 2, F.lit("\nThis reverts commit 0000000deadbee.")).otherwise("")
+        return c.select("commit_id", "oid", "position", subject.alias("subject"), body.alias("body"))
+
     @cached_property
     def files(self) -> DataFrame:
         p = self.table("part")
@@ -107,6 +120,12 @@ class Catalog:
     def paths(self) -> DataFrame:
         return self.changes.select("commit_id", "path").distinct()
 
+    @cached_property
+    def named_tests(self) -> DataFrame:
+        """The paths with every third part's file named as a test."""
+        third = F.regexp_extract("path", "#([0-9]+)$", 1).cast("long") % 3 == 0
+        return self.paths.select("commit_id", F.when(third, F.regexp_replace("path", "([^/]+)$", "test_$1")).otherwise(F.col("path")).alias("path"))
+
     @cached_property
     def documents(self) -> DataFrame:
         d = self.table("documents")
@@ -150,6 +169,9 @@ VIEWS: dict[str, str] = {
       FROM commits WINDOW b AS (PARTITION BY branch ORDER BY position)),
     lanes AS (SELECT commit_id, 0 AS position, p0 AS parent_id FROM forked WHERE p0 IS NOT NULL
       UNION ALL SELECT commit_id, 1, p1 FROM forked WHERE commit_id % 3 = 0 AND p1 <> p0)""",
+    "notes": """recent AS (SELECT commit_id, oid, position, lag(oid) OVER b AS last, lag(commit_id) OVER b AS prior FROM commits WINDOW b AS (PARTITION BY branch ORDER BY position)),
+    notes AS (SELECT commit_id, oid, position, CASE WHEN commit_id % 7 = 0 AND last IS NOT NULL THEN 'Revert change ' || prior WHEN commit_id % 7 = 1 THEN 'Fix totals of order ' || commit_id ELSE 'Change order ' || commit_id END AS subject,
+      CASE WHEN commit_id % 7 = 0 AND last IS NOT NULL THEN 'This reverts commit ' || substr(last, 1, 7 + commit_id % 34) || '.' WHEN commit_id % 7 = 2 THEN 'This reverts commit 0000000deadbee.' ELSE '' END AS body FROM recent)""",
     "changes": """changes AS (SELECT l_orderkey AS commit_id, l_linenumber AS ordinal, CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'R' THEN 'D' ELSE 'M' END AS status,
       p_brand || '/' || p_type || '/' || p_name || '#' || p_partkey AS path,
       CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS additions, CASE WHEN l_linestatus = 'F' THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS deletions
@@ -164,6 +186,7 @@ VIEWS: dict[str, str] = {
     moves AS (SELECT r.commit_id, ordinal, CASE WHEN status = 'A' AND one = come THEN 'R' ELSE status END AS status, path, CASE WHEN status = 'A' AND one = come THEN gone.p END AS old_path, additions, deletions
       FROM ranked r LEFT JOIN moving m ON r.commit_id = m.commit_id AND r.l_suppkey = m.l_suppkey WHERE NOT coalesce(status = 'D' AND one = gone, false))""",
     "paths": "paths AS (SELECT DISTINCT commit_id, path FROM changes)",
+    "named_tests": r"""paths AS (SELECT DISTINCT commit_id, CASE WHEN CAST(regexp_extract(path, '#([0-9]+)$', 1) AS BIGINT) % 3 = 0 THEN regexp_replace(path, '([^/]+)$', 'test_\1') ELSE path END AS path FROM changes)""",
     "docs": r"""docs AS (SELECT doc_id, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS subject,
       CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS body, source || '/' || lang AS path, text,
       1600000000 + (doc_id // 10) * 60 AS commit_time, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 40) AS oid FROM documents)""",

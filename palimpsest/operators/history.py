@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring
 from palimpsest.plans.durable import checkpointed
-from palimpsest.plans.scope import under_any
+from palimpsest.plans.scope import directory_prefix, under_any
 
 
-def hotspots(changes: DataFrame, commits: DataFrame, merges: DataFrame, *, prefix: str = ".", limit: int | None = 20) -> DataFrame:
+def hotspots(changes: DataFrame, commits: DataFrame, merges: DataFrame, *, prefix: str | None = None, limit: int | None = 20) -> DataFrame:
     """Files by number of non-merge commits that touch them, with the last one's time and the churn."""
-    there = changes.where(under_any(F.col("path"), (prefix,))).join(merges, "commit_id", "left_anti").join(commits.select("commit_id", "commit_time"), "commit_id")
+    there = changes.where(F.lit(True) if prefix is None else under_any(F.col("path"), (directory_prefix(prefix),))).join(merges, "commit_id", "left_anti").join(commits.select("commit_id", "commit_time"), "commit_id")
     found = there.groupBy("path").agg(
         F.count_distinct("commit_id").alias("touches"), F.max("commit_time").alias("last_changed"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"),
     )

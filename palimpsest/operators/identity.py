@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators.history import timeline
 from palimpsest.plans.durable import checkpointed, forget
 from palimpsest.plans.graph import Chains
-from palimpsest.plans.scope import under_any
+from palimpsest.plans.scope import directory_prefix, under_any
 
 #: Places of a chain that are looked through together.
 BLOCK = 1 << 14
@@ -115,13 +115,13 @@ def files_at(revisions: DataFrame, told: DataFrame, moves: DataFrame, layout: Ch
     return there.join(told.select("commit_id", "path", "origin_commit", "origin_path"), ["commit_id", "path"]).select("revision", "path", "origin_commit", "origin_path")
 
 
-def hotspots(files: DataFrame, told: DataFrame, commits: DataFrame, merges: DataFrame, reached: DataFrame, *, prefix: str = ".", limit: int | None = 20) -> DataFrame:
+def hotspots(files: DataFrame, told: DataFrame, commits: DataFrame, merges: DataFrame, reached: DataFrame, *, prefix: str | None = None, limit: int | None = 20) -> DataFrame:
     """``path, touches, last_changed, additions, deletions`` of the files that the given revisions have: non-merge commits, among those ``reached``, that changed a file of the same identity under whatever path.
 
     ``files``: what ``files_at`` gave. A path with different identities in several revisions
     counts the changes of them all. Work on a branch counts even where the branch deleted the file before it was merged.
     """
-    mine = files.where(under_any(F.col("path"), (prefix,))).select("path", "origin_commit", "origin_path").distinct()
+    mine = files.where(F.lit(True) if prefix is None else under_any(F.col("path"), (directory_prefix(prefix),))).select("path", "origin_commit", "origin_path").distinct()
     touched = told.join(merges, "commit_id", "left_anti").join(reached, "commit_id", "left_semi").join(commits.select("commit_id", "commit_time"), "commit_id")
     # A commit may touch one identity at two paths at most where a rename and its source meet; changes are counted once.
     by_identity = touched.select("origin_commit", "origin_path", "commit_id", "commit_time", "additions", "deletions")

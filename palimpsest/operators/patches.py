@@ -71,8 +71,14 @@ def file_patches(changes: DataFrame, hunks: DataFrame) -> DataFrame:
     forward = F.struct("old_path", "new_path", kind.alias("kind"), "old_mode", "new_mode", F.transform(hs, lambda h: h["blocks"]).alias("edits"))
     inverse = F.struct(F.col("new_path").alias("old_path"), F.col("old_path").alias("new_path"), undone.alias("kind"), F.col("new_mode").alias("old_mode"), F.col("old_mode").alias("new_mode"), F.transform(hs, lambda h: inverse_edits(h["blocks"])).alias("edits"))
     each = files.select("oid", forward.alias("f"), inverse.alias("i"), (regular & F.coalesce("sound", F.lit(True))).alias("ok"))
-    digest = lambda c: F.sha2(F.to_json(F.struct(F.array_sort(F.collect_list(F.to_json(F.col(c)))).alias("files"))), 256)
-    return each.groupBy("oid").agg(digest("f").alias("forward"), digest("i").alias("inverse"), F.bool_and("ok").alias("complete"))
+    # A file's patch goes on as its digest; those of a commit are put in order in 256 parts, so that no row grows with its files.
+    part = lambda c, kind: F.struct(F.lit(kind).alias("kind"), F.sha2(F.to_json(F.col(c)), 256).alias("digest"))
+    told = each.select("oid", "ok", F.explode(F.array(part("f", "forward"), part("i", "inverse"))).alias("p")).select("oid", "ok", "p.*")
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256)
+    parts = told.groupBy("oid", "kind", F.substring("digest", 1, 2).alias("part")).agg(joined("digest").alias("digest"), F.bool_and("ok").alias("ok"))
+    whole = parts.groupBy("oid", "kind").agg(joined(F.concat("part", "digest")).alias("digest"), F.bool_and("ok").alias("ok"))
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("digest"))).alias(kind)
+    return whole.groupBy("oid").agg(of("forward"), of("inverse"), F.bool_and("ok").alias("complete"))
 
 
 def equivalents(patches: DataFrame, oid: str, relation: str = "equivalent") -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring
 from palimpsest.functions.text import is_test_path, normalize_path
+from palimpsest.plans.durable import checkpointed
 from palimpsest.plans.scope import under_any
 
 #: Commits that touch more files than this say nothing about relations; paths that may be broadcast.
@@ -94,40 +92,39 @@ def related_directories(paths: DataFrame, merges: DataFrame, roots: tuple[str, .
 
 
 def closed_patterns(paths: DataFrame, merges: DataFrame, seeds: DataFrame, *, least: int = 3, mass: int = MASS, limit: int | None = None) -> DataFrame:
-    """Closed sets of three files or more, all seeds among them, in ``least`` commits or more.
+    """``members, size, support``: closed sets of three files or more, all seeds and another file among them, in ``least`` commits or more.
 
     Only commits with every seed count. A set is closed if no other file is in all of its
-    commits. Closures are grown file by file on the observations of one set of seeds, which
-    is one group by nature; it is grouped so that many sets of seeds spread.
+    commits. All sets of a level grow together: each by every later file, to the closure of both, which
+    stays if it has no earlier file that the set had not (prefix-preserving extension). So every
+    closed set is made once, from one other, and a level is a few joins by set and commit.
     """
     there = paths.join(eligible_commits(paths, merges, mass), "commit_id", "left_semi")
     wanted = seeds.agg(F.count_distinct("seed").alias("n"))
-    full = there.join(F.broadcast(seeds), F.col("path") == F.col("seed")).groupBy("commit_id").agg(F.count_distinct("seed").alias("k")).join(F.broadcast(wanted), F.col("k") == F.col("n")).select("commit_id")
-    observed = there.join(full, "commit_id", "left_semi").groupBy("commit_id").agg(F.sort_array(F.collect_set("path")).alias("files"))
-    start = [r.seed for r in seeds.select("seed").distinct().collect()]
-
-    def grow(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        rows = {int(c): frozenset(f) for c, f in zip(batches["commit_id"], batches["files"], strict=True)}
-        closure = lambda ids: frozenset.intersection(*(rows[i] for i in ids))
-        by_file: dict[str, set[int]] = {}
-        for i, files in rows.items():
-            for f in files:
-                by_file.setdefault(f, set()).add(i)
-        found, todo = {}, [frozenset(rows)] if len(rows) >= least else []
-        while todo:
-            ids = todo.pop()
-            members = closure(ids)
-            if members in found:
-                continue
-            found[members] = ids
-            for f, there_ in by_file.items():
-                if f not in members and len(both := ids & there_) >= least:
-                    todo.append(both)
-        out = [(",".join(sorted(m)), len(m), len(i)) for m, i in found.items() if len(m) >= 3 and set(start) < m]
-        return pd.DataFrame(out, columns=["members", "size", "support"])
-
-    out = observed.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(grow, "members string, size long, support long")
-    ordered = out.orderBy(F.desc("support"), "members")
+    full = there.join(seeds, F.col("path") == F.col("seed")).groupBy("commit_id").agg(F.count_distinct("seed").alias("k")).join(F.broadcast(wanted), F.col("k") == F.col("n")).select("commit_id")
+    observed = checkpointed(there.join(full, "commit_id", "left_semi").select("commit_id", F.col("path").alias("file")).distinct())
+    # A set is known by the digest of its members; its core is the file by which it was made.
+    key = F.sha2(F.array_join("members", "\0"), 256)
+    commits = observed.agg(F.count_distinct("commit_id").alias("all")).where(F.col("all") >= least)
+    common = observed.groupBy("file").agg(F.count("*").alias("n")).join(F.broadcast(commits)).where("n = all")
+    root = commits.join(common.agg(F.array_sort(F.collect_list("file")).alias("members"))).select(key.alias("set"), "members", F.lit("").alias("core"), F.col("all").alias("support"))
+    fresh = checkpointed(root)
+    held = checkpointed(observed.select("commit_id").distinct().join(F.broadcast(fresh.select("set"))))
+    found = fresh
+    while not fresh.isEmpty():
+        tried = held.join(observed, "commit_id").join(fresh.select("set", "members", "core"), "set").where("file > core AND NOT array_contains(members, file)").select("set", "commit_id", F.col("file").alias("by"))
+        often = tried.groupBy("set", "by").agg(F.count("*").alias("support")).where(F.col("support") >= least)
+        grown = checkpointed(tried.join(often, ["set", "by"]))
+        shared = grown.join(observed, "commit_id").groupBy("set", "by", "file").agg(F.count("*").alias("n"), F.max("support").alias("support")).where("n = support")
+        closures = shared.groupBy("set", "by").agg(F.array_sort(F.collect_list("file")).alias("members"), F.max("support").alias("support"))
+        before = lambda members: F.filter(members, lambda x: x < F.col("by"))
+        kept = closures.join(fresh.select("set", F.col("members").alias("old")), "set").where(before("members") == before("old"))
+        made = checkpointed(kept.select("set", "by", key.alias("next"), "members", "support"))
+        held = checkpointed(grown.select("set", "by", "commit_id").join(made.select("set", "by", "next"), ["set", "by"]).select(F.col("next").alias("set"), "commit_id"))
+        fresh = made.select(F.col("next").alias("set"), "members", F.col("by").alias("core"), "support")
+        found = found.unionByName(fresh)
+    more = found.join(F.broadcast(wanted)).where("size(members) >= 3 AND size(members) > n")
+    ordered = more.select(F.array_join("members", ",").alias("members"), F.size("members").cast("long").alias("size"), "support").orderBy(F.desc("support"), "members")
     return ordered if limit is None else ordered.limit(limit)
 
 

@@ -45,6 +45,14 @@ def safe_path(path: str) -> str:
     return clean.removeprefix("./").rstrip("/") or "."
 
 
+def directory_prefix(prefix: str) -> str:
+    """A directory below the root as a report takes it: unlike a path of a scope it may have no ``.`` and no empty part."""
+    clean = prefix.replace("\\", "/").rstrip("/")
+    if not clean or clean.startswith("/") or re.match(r"^[A-Za-z]:", clean) or "\0" in clean or {"", ".", ".."} & set(clean.split("/")):
+        raise ScopeError(f"not a directory within the repository: {prefix}")
+    return clean
+
+
 @dataclass(frozen=True)
 class Scope:
     """What a query may look at: reachable from ``to`` but not from ``from_``, within times, touching ``paths``.

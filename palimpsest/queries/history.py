@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.catalog import Catalog, bind, with_views
-from palimpsest.operators import followon, history
+from palimpsest.operators import followon, history, reverts
 from palimpsest.plans import graph
 from palimpsest.plans.scope import Scope, time_bound
 from palimpsest.queries.relations import MERGES
@@ -375,3 +375,36 @@ def propagation_status(c: Catalog) -> DataFrame:
     prints = c.paths.groupBy("commit_id").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("fingerprint"))
     sources = c.commits.select("commit_id").join(prints, "commit_id", "left")
     return history.propagation(sources, graph.reachable(c.parents, tips(c).where("id % 2 = 0")), prints)
+
+
+LINKS = r"""declared AS (SELECT commit_id AS revert, position, regexp_extract(body, 'This reverts commit ([0-9a-f]{7,})', 1) AS hex FROM notes WHERE regexp_matches(body, 'This reverts commit [0-9a-f]{7,}')),
+named AS (SELECT hex, min(commit_id) AS target FROM (SELECT DISTINCT hex FROM declared) JOIN notes ON starts_with(oid, hex) GROUP BY hex HAVING count(*) = 1),
+resolved AS (SELECT revert, target, position FROM declared JOIN named USING (hex)),
+links AS (SELECT target, arg_min(revert, position) AS revert FROM resolved GROUP BY target)"""
+
+
+@query(with_views("commits notes", f"--, {LINKS} SELECT target, revert FROM links"))
+def revert_links(c: Catalog) -> DataFrame:
+    """Commits that a message names by a unique prefix of their ids as reverted."""
+    return reverts.links(c.notes).select("target", "revert")
+
+
+@query(
+    with_views(
+        "commits parents changes paths notes",
+        f"""--, {LINKS}, candidates AS (SELECT commit_id, CAST(count(*) AS DOUBLE) AS score FROM paths WHERE starts_with(path, 'Brand#2') GROUP BY commit_id),
+told AS (SELECT c.commit_id, c.score, l.revert, coalesce(l.revert, c.commit_id) AS recording FROM candidates c LEFT JOIN links l ON l.target = c.commit_id LEFT JOIN resolved r ON r.revert = c.commit_id WHERE l.revert IS NOT NULL OR r.revert IS NOT NULL),
+kept AS (SELECT * FROM told WHERE commit_id NOT IN (SELECT revert FROM candidates JOIN links ON target = commit_id)),
+down(recording, id, k) AS (SELECT DISTINCT recording, recording, 0 FROM kept UNION SELECT recording, commit_id, k + 1 FROM down JOIN parents ON parent_id = id WHERE k < 20),
+follow AS (SELECT kept.commit_id, arg_min(n.commit_id, n.position) AS follow_up FROM kept JOIN down USING (recording) JOIN notes n ON n.commit_id = down.id AND k > 0 AND (n.subject LIKE 'Fix%' OR n.subject LIKE 'Revert%')
+  JOIN commits a ON a.commit_id = recording JOIN commits b ON b.commit_id = n.commit_id AND b.commit_time - a.commit_time <= 315360000
+  WHERE EXISTS (SELECT 1 FROM paths x JOIN paths y ON x.path = y.path WHERE x.commit_id = kept.commit_id AND y.commit_id = n.commit_id) GROUP BY kept.commit_id),
+reasoned AS (SELECT kept.*, follow_up, f.subject AS later, 'Reason: change ' || regexp_extract(r.subject, '[0-9]+') || ' broke the totals of its customer.' AS reason FROM kept JOIN notes r ON r.commit_id = recording LEFT JOIN follow ON follow.commit_id = kept.commit_id LEFT JOIN notes f ON f.commit_id = follow_up)
+SELECT commit_id, score + CASE WHEN revert IS NULL THEN 0 ELSE 6 END + CASE WHEN follow_up IS NULL THEN 0 ELSE 3 END AS score, revert, follow_up, reason,
+  CASE WHEN later LIKE 'Fix%' THEN 'once the totals are right.' END AS retry, CASE WHEN follow_up IS NULL THEN 'medium' ELSE 'high' END AS confidence FROM reasoned""",
+    )
+)
+def failures(c: Catalog) -> DataFrame:
+    """Failed approaches among the commits that change files of brands 20 to 29."""
+    candidates = c.paths.where(F.col("path").startswith("Brand#2")).groupBy("commit_id").agg(F.count("*").cast("double").alias("score"))
+    return reverts.failures(candidates, c.notes, c.paths, c.parents, c.commits)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.catalog import Catalog, bind
-from palimpsest.operators import context, lineage
+from palimpsest.operators import context, lineage, moves
 
 QUERIES, ORACLES = {}, {}
 
@@ -45,6 +45,16 @@ def regions_followups(c: Catalog) -> DataFrame:
     return lineage.followups(versions(c))
 
 
+#: Conversations whose numbers leave the same rest are files of one repository, turns of one number its commits.
+REPOSITORIES = 10
+
+
+@query()
+def moved_lines(c: Catalog) -> DataFrame:
+    """Removed words that stand, with those around them, among the added ones of the same commit."""
+    return moves.moved_lines(versions(c), F.struct(F.col("file").cast("long") % REPOSITORIES, "position"))
+
+
 @query()
 def trace_fix(c: Catalog) -> DataFrame:
     return lineage.introducing(versions(c))

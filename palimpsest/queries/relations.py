@@ -25,9 +25,9 @@ def query(sql: str = ""):
     return add
 
 
-def seeds(c: Catalog, n: int = 3) -> DataFrame:
+def seeds(c: Catalog, n: int = 3, paths: DataFrame | None = None) -> DataFrame:
     """The busiest files."""
-    return c.paths.groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(n).select(F.col("path").alias("seed"))
+    return (c.paths if paths is None else paths).groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(n).select(F.col("path").alias("seed"))
 
 
 SEEDS = "seeds AS (SELECT path AS seed FROM paths GROUP BY path ORDER BY count(*) DESC, path LIMIT 3)"
@@ -97,9 +97,17 @@ def filter_basename(c: Catalog) -> DataFrame:
     return named.join(F.broadcast(least), "name", "left_semi").select("path")
 
 
-@query(r"SELECT page_id, url FROM pages WHERE regexp_matches(lower(url), '(^|/)(test|tests|__tests__|spec)/|(^|/)test[_-][^/]*$|(^|/)[^/]*(_test|_spec)(\.[^./]*)?$|(^|/)[^/]*\.(test|spec)\.[^/]*$')")
+@query(
+    r"""WITH shaped AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'Tests/' || p_name || '.py' WHEN 1 THEN p_type || '/test_' || p_name || '.py' WHEN 2 THEN p_type || '/' || p_name || '_test.go'
+  WHEN 3 THEN p_type || '/' || p_name || '.spec.ts' WHEN 4 THEN p_type || '/testing/' || p_name WHEN 5 THEN p_type || '/latest_' || p_name ELSE p_type || '/' || p_name END AS path FROM part)
+SELECT p_partkey, path FROM shaped WHERE regexp_matches(lower(path), '(^|/)(test|tests|__tests__|spec)/|(^|/)test[_-][^/]*$|(^|/)[^/]*(_test|_spec)(\.[^./]*)?$|(^|/)[^/]*\.(test|spec)\.[^/]*$')"""
+)
 def filter_test_like_path(c: Catalog) -> DataFrame:
-    return c.table("pages").select("page_id", "url").where(is_test_path(F.col("url")))
+    """Parts' files under names of which some are tests."""
+    k, kind, name = F.col("p_partkey") % 7, F.col("p_type"), F.col("p_name")
+    shapes = [F.concat(F.lit("Tests/"), name, F.lit(".py")), F.concat(kind, F.lit("/test_"), name, F.lit(".py")), F.concat(kind, F.lit("/"), name, F.lit("_test.go")), F.concat(kind, F.lit("/"), name, F.lit(".spec.ts")), F.concat(kind, F.lit("/testing/"), name), F.concat(kind, F.lit("/latest_"), name), F.concat(kind, F.lit("/"), name)]
+    path = F.get(F.array(*shapes), k.cast("int"))
+    return c.table("part").select("p_partkey", path.alias("path")).where(is_test_path(F.col("path")))
 
 
 @query(with_views(BASE, f"--, {MERGES}, {ELIGIBLE} SELECT commit_id FROM eligible"))
@@ -204,13 +212,14 @@ def win_total_touches(c: Catalog) -> DataFrame:
 
 @query(
     with_views(
-        BASE,
+        "commits parents changes named_tests",
         RELATED
         + f"SELECT path, support, round(CASE WHEN {MIRROR} THEN 1.0 ELSE 1.25 END * {SCORE}, 6) AS score FROM scored WHERE regexp_matches(lower(path), '(^|/)(test|tests|__tests__|spec)/|(^|/)test[_-][^/]*$|(^|/)[^/]*(_test|_spec)(\\.[^./]*)?$|(^|/)[^/]*\\.(test|spec)\\.[^/]*$') ORDER BY score DESC, path LIMIT 10",
     )
 )
 def tests_candidates(c: Catalog) -> DataFrame:
-    return relations.related_files(c.paths, merges(c.parents), seeds(c), mass=MASS, tests_only=True).select("path", "support", "score")
+    paths = c.named_tests
+    return relations.related_files(paths, merges(c.parents), seeds(c, paths=paths), mass=MASS, tests_only=True).select("path", "support", "score")
 
 
 @query()

@@ -131,10 +131,16 @@ def text_revert_declarations(c: Catalog) -> DataFrame:
     return c.turns.select("conv_id", "turn", provenance.is_revert_subject(F.col("text")).alias("is_revert"), provenance.is_corrective_subject(F.col("text")).alias("is_corrective"))
 
 
-@query(r"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '#[0-9]+'))) AS refs FROM documents WHERE regexp_matches(text, '#[0-9]')".replace("len(", "CAST(len(").replace(")) AS refs", ")) AS INTEGER) AS refs"))
+@query(
+    r"""WITH told AS (SELECT p_partkey, 'Fix ' || p_name || ', see #' || p_partkey || ', (#' || p_size || ') [#' || p_partkey % 9 || ']. x#' || p_size || ' #' || p_partkey || 'b #' || p_partkey AS message FROM part)
+SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(message, ' '), lambda x: regexp_extract(x, '^[(\[]?(#[0-9]+)[)\].,;:!?]*$', 1)), lambda x: x <> ''))), ',') AS refs FROM told"""
+)
 def text_references(c: Catalog) -> DataFrame:
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit("#[0-9]+"), F.lit(0)))
-    return c.documents.where(F.col("text").rlike("#[0-9]")).select("doc_id", F.size(found).alias("refs"))
+    """Issue references of messages about parts."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    nine = (F.col("p_partkey") % 9).cast("string")
+    message = F.concat(F.lit("Fix "), "p_name", F.lit(", see #"), key, F.lit(", (#"), size, F.lit(") [#"), nine, F.lit("]. x#"), size, F.lit(" #"), key, F.lit("b #"), key)
+    return c.table("part").select("p_partkey", F.array_join(provenance.references(message), ",").alias("refs"))
 
 
 MARKS = " + ".join(f"CAST(contains(lower(subject), '{m.replace(chr(39), chr(39) * 2)}') AS INTEGER)" for m in provenance.CAUSES + provenance.HARMS)

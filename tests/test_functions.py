@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import lines, provenance, scoring, text
 from palimpsest.operators import context, history, patches, relations
-from palimpsest.plans.scope import Scope, ScopeError, safe_path, time_bound
+from palimpsest.plans.scope import Scope, ScopeError, directory_prefix, safe_path, time_bound
 
 
 def values(spark, given, f):
@@ -59,6 +59,10 @@ def test_scope_bounds():
     for bad in ("/etc", "a/../b", "C:/x"):
         with pytest.raises(ScopeError):
             safe_path(bad)
+    for bad in ("", ".", "./a", "a/./b", "a//b", "a/..", "/a", "C:/a", "a\0b", "/"):
+        with pytest.raises(ScopeError):
+            directory_prefix(bad)
+    assert directory_prefix("a\\b//") == "a/b"
 
 
 def test_line_maps_against_difflib():
@@ -116,6 +120,33 @@ def test_region_matches(spark):
     assert {r.id: (r.status, r.match) for r in context.match_regions(own, past).collect()} == {1: ("unique", 11), 2: ("ambiguous", None), 3: ("unique", 14), 4: ("none", None)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_closed_patterns_by_every_set(spark, seed):
+    """Against the closures of all sets of commits that random ones have in common."""
+    import random
+
+    r = random.Random(seed)
+    rows = {c: {"s"} | {f for f in "abcdefg" if r.random() < 0.5} - ({"s"} if r.random() < 0.2 else set()) for c in range(14)}
+    rows = {c: fs - ({"s"} if c % 5 == 0 else set()) for c, fs in rows.items()}
+    paths = spark.createDataFrame([(c, f) for c, fs in rows.items() for f in fs], "commit_id long, path string")
+    none = spark.createDataFrame([], "commit_id long")
+    seen = {c: fs for c, fs in rows.items() if "s" in fs and len(fs) > 1}
+    want, todo = set(), [frozenset(seen)]
+    tried = set(todo)
+    while todo:
+        ids = todo.pop()
+        members = frozenset.intersection(*(frozenset(seen[c]) for c in ids))
+        if len(members) >= 3:
+            want.add((",".join(sorted(members)), len(members), sum(members <= fs for fs in seen.values())))
+        for f in "abcdefg":
+            both = frozenset(c for c in ids if f in seen[c])
+            if len(both) >= 2 and both not in tried:
+                tried.add(both)
+                todo.append(both)
+    got = relations.closed_patterns(paths, none, spark.createDataFrame([("s",)], "seed string"), least=2).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want) > 5
+
+
 def test_closed_patterns(spark):
     sets = ["abc", "abcd", "abc", "ab", "bcd", "abd"]
     paths = spark.createDataFrame([(k, p) for k, s in enumerate(sets) for p in s], "commit_id long, path string")
