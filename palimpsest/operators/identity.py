@@ -57,15 +57,20 @@ def _last(probes: DataFrame, known: DataFrame) -> DataFrame:
     return near.join(found, ["path", "chain", "block"], "left").select("probe", F.coalesce("hit", "far").alias("hit"))
 
 
+def _placed(df: DataFrame, layout: Chains) -> DataFrame:
+    """``df(commit_id, ...)`` with ``chain`` and ``place``; a commit outside the layout, without parents and children, is a chain of its own."""
+    met = df.join(layout.members.select("commit_id", "chain", "place"), "commit_id", "left")
+    return met.withColumn("chain", F.coalesce("chain", -1 - F.col("commit_id"))).fillna(0, "place")
+
+
 def states(probes: DataFrame, known: DataFrame, layout: Chains) -> DataFrame:
     """As-of join along first parents: ``probe, hit``, for each of ``probes(probe, commit_id, path)`` the last of ``known(commit_id, path, hit)`` for the path at the commit or before it.
 
     Without a row where the path is not known. Commits outside the layout (without parents
     and children) know what they have themselves.
     """
-    place = lambda df: df.join(layout.members.select("commit_id", "chain", "place"), "commit_id", "left").withColumn("chain", F.coalesce("chain", -1 - F.col("commit_id"))).fillna(0, "place")
-    has = checkpointed(place(known).select("path", "chain", "place", "hit"))
-    asks = checkpointed(place(probes).select("probe", "path", "chain", "place"))
+    has = checkpointed(_placed(known, layout).select("path", "chain", "place", "hit"))
+    asks = checkpointed(_placed(probes, layout).select("probe", "path", "chain", "place"))
     met = checkpointed(_last(asks, has))
     done = met.where("hit IS NOT NULL")
     while True:
@@ -107,9 +112,10 @@ def origins(moves: DataFrame, parents: DataFrame, layout: Chains) -> DataFrame:
 
 def files_at(revisions: DataFrame, told: DataFrame, moves: DataFrame, layout: Chains) -> DataFrame:
     """``revision, path, origin_commit, origin_path`` of the files that each of ``revisions(revision)`` has, from changes along first parents; ``told``: what ``origins`` gave."""
-    ways = layout.segments(revisions)
-    own = lambda df: df.join(layout.members.select("commit_id", "chain", F.col("place").alias("at")), "commit_id")
-    seen = own(events(moves).select("commit_id", "path", "present")).join(ways, "chain").where("at <= place")
+    alone = revisions.select(F.col("revision").alias("commit_id")).distinct().join(layout.members, "commit_id", "left_anti")
+    ways = layout.segments(revisions).unionByName(_placed(alone, layout).select(F.col("commit_id").alias("revision"), "chain", "place", F.lit(0).alias("hop")))
+    own = _placed(events(moves).select("commit_id", "path", "present"), layout).withColumnRenamed("place", "at")
+    seen = own.join(ways, "chain").where("at <= place")
     last = seen.groupBy("revision", "path").agg(F.max_by(F.struct("commit_id", "present"), F.struct(-F.col("hop"), "at")).alias("last"))
     there = last.where("last.present").select("revision", "path", F.col("last.commit_id").alias("commit_id"))
     return there.join(told.select("commit_id", "path", "origin_commit", "origin_path"), ["commit_id", "path"]).select("revision", "path", "origin_commit", "origin_path")

@@ -117,4 +117,7 @@ def test_no_rows(spark):
     commits, parents, moves = tables(spark, line(3), [(1, "A", "x", None, 1, 0)])
     assert identity.origins(moves.limit(0), parents, graph.chains(parents)).count() == 0
     alone = spark.createDataFrame([(7, 1, "A", "x", None, 1, 0), (8, 2, "M", "x", None, 1, 0)], MOVES)
+    layout = graph.chains(parents.limit(0))
+    files = identity.files_at(spark.createDataFrame([(8,), (9,)], "revision long"), identity.origins(alone, parents.limit(0), layout), alone, layout)
+    assert [tuple(x) for x in files.collect()] == [(8, "x", 8, "x")]
     assert sorted(tuple(x)[-2:] for x in identity.origins(alone, parents.limit(0), graph.chains(parents.limit(0))).collect()) == [(7, "x"), (8, "x")]
