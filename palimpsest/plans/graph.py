@@ -147,10 +147,22 @@ def chains(parents: DataFrame) -> Chains:
     edges = checkpointed(parents.select("commit_id", "position", "parent_id"))
     nodes = edges.select("commit_id").union(edges.select("parent_id")).distinct()
     one = first_parents(edges)
-    sized = _subtrees(nodes, one)
-    kept = one.join(sized.select("commit_id", "size"), "commit_id").groupBy("parent_id").agg(F.max_by("commit_id", F.struct("size", -F.col("commit_id"))).alias("commit_id"))
-    placed = _doubled(nodes, kept.select("commit_id", "parent_id")).select("commit_id", F.col("root").alias("chain"), F.col("depth").alias("place"))
-    members = checkpointed(placed.join(sized.select("commit_id", "depth"), "commit_id"))
+    # Only children stay in any case. What they form is laid out first, so that only forks are compared.
+    alone = one.groupBy("parent_id").agg(F.count("*").alias("n"), F.min("commit_id").alias("commit_id")).where("n = 1").select("commit_id", "parent_id")
+    parts = _doubled(nodes, alone).select("commit_id", F.col("root").alias("part"), F.col("depth").alias("own"))
+    forks = checkpointed(one.join(alone.select("commit_id"), "commit_id", "left_anti"))
+    if forks.isEmpty():
+        members = parts.select("commit_id", F.col("part").alias("chain"), F.col("own").alias("place"), F.col("own").alias("depth"))
+    else:
+        sized = checkpointed(parts.groupBy("part").agg(F.count("*").alias("size")).withColumnRenamed("part", "commit_id"))
+        below = parts.select(F.col("commit_id").alias("parent_id"), F.col("part").alias("to"))
+        length = sized.select(F.col("commit_id").alias("to"), F.col("size").alias("step"))
+        tree = checkpointed(forks.join(below, "parent_id").join(length, "to").select("commit_id", F.col("to").alias("parent_id"), "step"))
+        summed = _subtrees(sized, tree)
+        kept = tree.join(summed.select("commit_id", "size"), "commit_id").groupBy("parent_id").agg(F.max_by(F.struct("commit_id", "step"), F.struct("size", -F.col("commit_id"))).alias("k")).select("k.*", "parent_id")
+        placed = _doubled(sized.select("commit_id"), kept).select(F.col("commit_id").alias("part"), F.col("root").alias("chain"), F.col("depth").alias("before"))
+        members = parts.join(placed, "part").join(summed.select(F.col("commit_id").alias("part"), F.col("depth").alias("under")), "part")
+        members = checkpointed(members.select("commit_id", "chain", (F.col("before") + F.col("own")).alias("place"), (F.col("under") + F.col("own")).alias("depth")))
     end = lambda c, to: members.select(F.col("commit_id").alias(c), F.col("chain").alias(f"{to}chain"), F.col("place").alias(f"{to}place"))
     # Within a chain the place alone tells what is reached.
     between = checkpointed(edges.join(end("commit_id", ""), "commit_id").join(end("parent_id", "to_"), "parent_id").where("chain <> to_chain").select("position", "chain", "place", "to_chain", "to_place"))
@@ -158,12 +170,11 @@ def chains(parents: DataFrame) -> Chains:
 
 
 def _subtrees(nodes: DataFrame, one: DataFrame) -> DataFrame:
-    """``commit_id, size, depth``: how many nodes of a forest ``one(commit_id, parent_id)`` lie at or above each one, and how many below it, by doubling.
+    """``commit_id, size, depth``: the sizes at and above each of ``nodes(commit_id, size)`` of a forest ``one(commit_id, parent_id, step)``, and the steps below it, by doubling.
 
-    After k rounds ``up`` is the node 2^k below, ``size`` counts nodes less than 2^k above, ``depth`` up to 2^k below.
+    After k rounds ``up`` is the node 2^k below, ``size`` counts nodes less than 2^k above, ``depth`` steps up to 2^k below.
     """
-    held = nodes.join(one, "commit_id", "left").select("commit_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("size"), F.col("parent_id").isNotNull().cast("long").alias("depth"))
-    held = checkpointed(held)
+    held = checkpointed(nodes.join(one, "commit_id", "left").select("commit_id", F.col("parent_id").alias("up"), "size", F.coalesce("step", F.lit(0)).cast("long").alias("depth")))
     while not held.where("up IS NOT NULL").isEmpty():
         gained = held.where("up IS NOT NULL").groupBy("up").agg(F.sum("size").alias("more")).withColumnRenamed("up", "commit_id")
         grown = held.join(gained, "commit_id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0)))
@@ -199,8 +210,9 @@ def roots(parents: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def _doubled(nodes: DataFrame, one: DataFrame, rounds: int = 60) -> DataFrame:
-    """``commit_id, root, depth`` of ``nodes(commit_id)`` on a forest ``one(commit_id, parent_id)``."""
-    jump = nodes.join(one, "commit_id", "left").select("commit_id", F.coalesce("parent_id", "commit_id").alias("root"), F.col("parent_id").isNotNull().cast("long").alias("depth"))
+    """``commit_id, root, depth`` of ``nodes(commit_id)`` on a forest ``one(commit_id, parent_id)``; with a column ``step`` that is how far apart the two lie."""
+    step = F.col("step") if "step" in one.columns else F.lit(1)
+    jump = nodes.join(one, "commit_id", "left").select("commit_id", F.coalesce("parent_id", "commit_id").alias("root"), F.when(F.col("parent_id").isNotNull(), step).otherwise(0).cast("long").alias("depth"))
     jump = checkpointed(jump)
     for _ in range(rounds):
         up = jump.select(F.col("commit_id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
