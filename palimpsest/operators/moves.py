@@ -12,50 +12,57 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.lineage import blocks
+from palimpsest.plans.durable import checkpointed
 
 #: Lines on either side, and lines that are not blank in a window at least.
 AROUND, LEAST = 3, 3
+#: Bytes of a digest.
+SIZE = 16
 
 
-def _digest(lines: list[str]) -> bytes:
-    whole = blake2b(digest_size=16)
-    for x in lines:
-        raw = x.encode()
-        whole.update(len(raw).to_bytes(8))
-        whole.update(raw)
-    return whole.digest()
+def _digest(raw: bytes) -> bytes:
+    return blake2b(raw, digest_size=SIZE).digest()
 
 
-def _filled(lines: list[str]) -> int:
-    return sum(bool(x.strip()) for x in lines)
+class _Version:
+    """A version's lines as digests in a row, so that a window is a slice of bytes: whole, less indentation, and how many before each are not blank."""
 
+    def __init__(self, lines: list[str]) -> None:
+        self.n = len(lines)
+        self.whole = b"".join(_digest(x.encode()) for x in lines)
+        self.bare = b"".join(_digest(x.lstrip(" \t").encode()) for x in lines)
+        self.blank = [not x.strip() for x in lines]
+        self.filled = [0, *accumulate(not b for b in self.blank)]
 
-def _window(lines: list[str], at: int, before: int, after: int) -> tuple[bytes, bytes | None]:
-    """Digests of a window, and of what is around its line less indentation, if that is enough."""
-    around = [*lines[at - before : at], *lines[at + 1 : at + after + 1]]
-    return _digest(lines[at - before : at + after + 1]), _digest([x.lstrip(" \t") for x in around]) if _filled(around) >= LEAST else None
+    def window(self, at: int, before: int, after: int) -> tuple[bytes, bytes | None]:
+        """Digests of a window, and of what is around its line less indentation, if that is enough."""
+        low, high = at - before, at + after + 1
+        around = self.filled[high] - self.filled[low] - (not self.blank[at]) >= LEAST
+        bare = self.bare[low * SIZE : at * SIZE] + self.bare[(at + 1) * SIZE : high * SIZE]
+        return _digest(self.whole[low * SIZE : high * SIZE]), _digest(bare) if around else None
 
 
 def windows(old: list[str], new: list[str]) -> Iterator[tuple[bool, int, int, int, bytes, bytes | None]]:
     """``(added, line, before, after, whole, around)`` of the lines that differ; an added line in every window that it may fill, as a removed one's is cut off at the ends of its file."""
+    was, made = _Version(old), _Version(new)
     for tag, i, j, k, m in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
         if tag == "equal":
             continue
         for at in range(i, j):
-            before, after = min(AROUND, at), min(AROUND, len(old) - 1 - at)
-            if old[at].strip() and _filled(old[at - before : at + after + 1]) >= LEAST:
-                yield False, at + 1, before, after, *_window(old, at, before, after)
+            before, after = min(AROUND, at), min(AROUND, was.n - 1 - at)
+            if not was.blank[at] and was.filled[at + after + 1] - was.filled[at - before] >= LEAST:
+                yield False, at + 1, before, after, *was.window(at, before, after)
         for at in range(k, m):
             for before in range(min(AROUND, at) + 1):
-                for after in range(max(LEAST - 1 - before, 0), min(AROUND, len(new) - 1 - at) + 1):
-                    yield True, at + 1, before, after, *_window(new, at, before, after)
+                for after in range(max(LEAST - 1 - before, 0), min(AROUND, made.n - 1 - at) + 1):
+                    yield True, at + 1, before, after, *made.window(at, before, after)
 
 
 def moved_lines(rows: DataFrame, commit: Column) -> DataFrame:
@@ -72,7 +79,8 @@ def moved_lines(rows: DataFrame, commit: Column) -> DataFrame:
         return pd.DataFrame(out, columns=["file", "position", "added", "line", "before", "after", "whole", "around"])
 
     schema = "file string, position long, added boolean, line long, before int, after int, whole binary, around binary"
-    found = blocks(rows).groupBy("file", "block").applyInPandas(fold, schema).withColumn("commit", commit)
+    # Made once, for all that reads it. Spark takes the windows of texts for as large as the texts until they are written, and would send them all to the driver to be broadcast.
+    found = checkpointed(blocks(rows).groupBy("file", "block").applyInPandas(fold, schema).withColumn("commit", commit))
     added, shape = found.where("added"), ["commit", "before", "after"]
     here = F.struct("file", "line")
     whole = added.groupBy(*shape, "whole").agg(F.count("*").alias("n"), F.min(here).alias("to"))

@@ -93,3 +93,11 @@ def test_query_equals_plain_code(spark):
 
 def test_no_versions(spark):
     assert found(spark, []) == []
+
+
+def test_windows_are_not_taken_for_as_small_as_their_texts(spark):
+    # Two megabytes of texts, which Spark would broadcast, has more than a million windows, which it must not.
+    texts = [[f"{f} {p} {k % 997}" for k in range(900)] for f in range(60) for p in range(3)]
+    df = spark.createDataFrame([(str(n // 3), n % 3, x) for n, x in enumerate(texts)], "file string, position long, lines array<string>")
+    plan = moves.moved_lines(df, F.col("position"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
