@@ -180,10 +180,7 @@ def hybrid_rrf(c: Catalog) -> DataFrame:
 @query(VECTOR_PAIRS)
 def vec_topk_cosine(c: Catalog) -> DataFrame:
     """The ten best for each vector whose id is divisible by 100, itself left out."""
-    q = c.vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
-    met = c.vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(scoring.cosine(F.col("embedding"), F.col("e")), 6).alias("similarity"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(best)).where("rank <= 10")
+    return search.nearest(c.vectors, c.vectors.where("vec_id % 100 = 0"), 10)
 
 
 @query("SELECT sha256(text) AS fingerprint, min(doc_id) AS representative, count(*) AS members FROM documents GROUP BY 1 HAVING count(*) > 1")
