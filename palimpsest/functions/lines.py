@@ -86,6 +86,36 @@ def back(hunks: list[Hunk], line: int, same: bool = False) -> tuple[str, int | N
     return "unchanged", line + shift
 
 
+def not_unchanged(hunks: list[Hunk], n: int, same: bool = False) -> list[int]:
+    """Those of the ``n`` lines of the new version for which ``back`` tells anything but ``unchanged``, in one pass."""
+    if not hunks:
+        return [] if same else list(range(1, n + 1))
+    out = []
+    for h in hunks:
+        at = h.new_start + (h.new_lines == 0)
+        if not h.sound:
+            out += range(at, at + h.new_lines)
+            continue
+        for r in h.rows:
+            if r[:1] == "+":
+                out.append(at)
+            at += r[:1] in ("+", " ")
+    return sorted(out)
+
+
+def deleted(hunks: list[Hunk]) -> list[int]:
+    """The lines of the old version for which ``forward`` tells ``deleted``, in one pass."""
+    out = []
+    for h in hunks:
+        if h.sound and not any(r[:1] == "+" for r in h.rows):
+            at = h.old_start + (h.old_lines == 0)
+            for r in h.rows:
+                if r[:1] == "-":
+                    out.append(at)
+                at += r[:1] in ("-", " ")
+    return out
+
+
 def forward(hunks: list[Hunk], line: int, same: bool = False) -> tuple[str, int | None]:
     """Where a line of the old version is in the new one: ``kept``, ``deleted``, ``rewritten`` or ``unmappable``.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import linemaps
-from palimpsest.functions.lines import back, diff, forward, track
+from palimpsest.functions.lines import back, diff, forward, not_unchanged, track
 from palimpsest.plans.durable import checkpointed, forget
 
 #: Bytes of versions in a block, about.
@@ -177,7 +177,7 @@ def followups(rows: DataFrame) -> DataFrame:
         regions = list(zip(flat[::2], flat[1::2], strict=True))
         for (_, old), (position, new) in pairwise(past):
             if n == 0:
-                added = [k for k in range(1, len(new) + 1) if back(diff(old, new, 0), k, old == new)[0] != "unchanged"]
+                added = not_unchanged(diff(old, new, 0), len(new), old == new)
                 seed = position
                 for k in added:
                     regions = [*regions[:-1], (regions[-1][0], k)] if regions and regions[-1][1] == k - 1 else [*regions, (k, k)]
