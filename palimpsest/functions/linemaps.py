@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import difflib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterable
 
-from palimpsest.functions.lines import diff, forward
+from palimpsest.functions.lines import deleted, diff, forward
 
 SHIFT, CONST, OWNED = 0, 1, 2
 Piece = tuple[int, int, int, int]
@@ -52,15 +53,19 @@ def step_forward(old: list[str], new: list[str], hunks: list, line: int) -> tupl
 
 def fate_map(old: list[str], new: list[str]) -> list[Piece]:
     """Lines of ``old`` to where they are in ``new``, kept or moved; the others end."""
-    hunks, out = diff(old, new), []
+    gone, was, there = set(deleted(diff(old, new))), Counter(old), {}
+    for k, x in enumerate(new, 1):
+        there[x] = 0 if x in there else k
+    out = []
     for tag, i, j, k, _ in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
         if tag == "equal":
             out.append((i + 1, j - i, k + 1, SHIFT))
             continue
+        # As ``step_forward`` tells for each line, which would look through the whole versions.
         for line in range(i + 1, j + 1):
-            event, after = step_forward(old, new, hunks, line)
-            if event == "moved":
-                out.append((line, 1, after, CONST))
+            x = old[line - 1]
+            if line in gone and len(x.strip()) > 2 and was[x] == 1 and there.get(x):
+                out.append((line, 1, there[x], CONST))
     return merged(out)
 
 
