@@ -58,15 +58,20 @@ class Catalog:
         return edges.where("parent_id IS NOT NULL")
 
     @cached_property
-    def lanes(self) -> DataFrame:
-        """Parents of a history that forks and merges: a commit follows the last of its branch and priority, else forks from the last of its branch; every third also merges the last of its branch."""
+    def forked(self) -> DataFrame:
+        """``commit_id, p0, p1, rank``: both parents of each commit of a history that forks and merges, and its number in its branch. A commit follows the last of its branch and priority, else forks from the last of its branch; every third also merges the last of its branch."""
         c = self.commits
         branch = Window.partitionBy("branch").orderBy("position")
         lane = Window.partitionBy("branch", "priority").orderBy("position")
-        two = c.select("commit_id", F.lag("commit_id").over(branch).alias("last"), F.lag("commit_id").over(lane).alias("own")).withColumn("p0", F.coalesce("own", "last"))
+        number = (F.row_number().over(branch) - 1).cast("long").alias("rank")
+        two = c.select("commit_id", number, F.lag("commit_id").over(branch).alias("last"), F.lag("commit_id").over(lane).alias("own")).withColumn("p0", F.coalesce("own", "last"))
         merged = (F.col("commit_id") % 3 == 0) & (F.col("last") != F.col("p0"))
-        edges = two.select("commit_id", F.posexplode(F.array("p0", F.when(merged, F.col("last")))).alias("position", "parent_id"))
-        return edges.where("parent_id IS NOT NULL")
+        return two.select("commit_id", "p0", F.when(merged, F.col("last")).alias("p1"), "rank")
+
+    @cached_property
+    def lanes(self) -> DataFrame:
+        """Parents of the forked history."""
+        return edges(self.forked)
 
     @cached_property
     def notes(self) -> DataFrame:
@@ -152,6 +157,11 @@ class Catalog:
         return self.table("conversations")
 
 
+def edges(forked: DataFrame) -> DataFrame:
+    """``commit_id, position, parent_id`` of ``forked(commit_id, p0, p1)``."""
+    return forked.select("commit_id", F.posexplode(F.array("p0", "p1")).alias("position", "parent_id")).where("parent_id IS NOT NULL")
+
+
 def bind(spark: SparkSession, root: str) -> Catalog:
     return Catalog(spark, root)
 

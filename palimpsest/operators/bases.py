@@ -5,7 +5,7 @@ chain held as its highest place. A walk is cut off below a rank, which grows fro
 children, and the window is widened sixteenfold for those pairs only in which what one side
 alone has reached goes on below it; so a pair costs what lies between its revisions and their
 bases, not its whole history. Ranges of places meet their commits and links in blocks of a
-power of two near their length, two blocks for each range.
+power of four near their length (16 at least), two blocks for each range.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from palimpsest.plans.ranks import numbered
 
 #: Ranks below both revisions that the first window takes in, and how it grows.
 WINDOW, WIDER = 256, 16
+#: Ranges of 2 to the power of this or fewer meet points in blocks of that size.
+LEAST = 4
 
 
 def dense_ranks(commits: DataFrame, position: str = "position", shift: int = 40) -> DataFrame:
@@ -31,7 +33,9 @@ def dense_ranks(commits: DataFrame, position: str = "position", shift: int = 40)
 
 def in_ranges(ranges: DataFrame, points: DataFrame) -> DataFrame:
     """``ranges(chain, low, high, ...)`` joined with the ``points(chain, at, ...)`` in them."""
-    sized = ranges.where("high >= low").withColumn("level", F.ceil(F.log2(F.col("high") - F.col("low") + 1)).cast("int"))
+    # Points are copied for each level in use, so short ranges share one and the longer ones every second.
+    near = F.ceil(F.log2(F.col("high") - F.col("low") + 1))
+    sized = ranges.where("high >= low").withColumn("level", F.greatest(F.lit(LEAST), F.ceil(near / 2) * 2).cast("int"))
     sized = checkpointed(sized.withColumn("block", F.explode(F.expr("sequence(shiftright(low, level), shiftright(high, level))"))))
     levels = [r.level for r in sized.select("level").distinct().collect()]  # 63 at most
     keyed = points.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("block", F.expr("shiftright(at, level)"))

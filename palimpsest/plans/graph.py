@@ -210,14 +210,21 @@ def roots(parents: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def _doubled(nodes: DataFrame, one: DataFrame, rounds: int = 60) -> DataFrame:
-    """``commit_id, root, depth`` of ``nodes(commit_id)`` on a forest ``one(commit_id, parent_id)``; with a column ``step`` that is how far apart the two lie."""
+    """``commit_id, root, depth`` of ``nodes(commit_id)`` on a forest ``one(commit_id, parent_id)``; with a column ``step`` that is how far apart the two lie.
+
+    Nodes that have met one which knows its root ask no more and are not written again.
+    """
     step = F.col("step") if "step" in one.columns else F.lit(1)
-    jump = nodes.join(one, "commit_id", "left").select("commit_id", F.coalesce("parent_id", "commit_id").alias("root"), F.when(F.col("parent_id").isNotNull(), step).otherwise(0).cast("long").alias("depth"))
-    jump = checkpointed(jump)
+    asks = F.col("parent_id").isNotNull()
+    going = nodes.join(one, "commit_id", "left").select("commit_id", F.coalesce("parent_id", "commit_id").alias("root"), F.when(asks, step).otherwise(0).cast("long").alias("depth"), asks.alias("open"))
+    going, done = checkpointed(going), None
     for _ in range(rounds):
-        up = jump.select(F.col("commit_id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        before, jump = jump, checkpointed(jump.join(up, "root").select("commit_id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
-        forget(before)
-        if jump.where("moved").isEmpty():
+        asking = going.where("open")
+        if asking.isEmpty():
             break
-    return jump.select("commit_id", "root", "depth")
+        known = going if done is None else done.unionByName(going)
+        up = known.select(F.col("commit_id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("open").alias("on"))
+        closed = going.where("NOT open")
+        done = closed if done is None else done.unionByName(closed)
+        going = checkpointed(asking.join(up, "root").select("commit_id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("on").alias("open")))
+    return (going if done is None else done.unionByName(going)).select("commit_id", "root", "depth")

@@ -76,3 +76,23 @@ def test_all_merges_of_a_long_trunk(spark):
 
         _, took[n] = jobs_of(spark, f"bases {n}", every)
     assert took[6000] < 2 * took[300], took
+
+
+def test_branches_beside_do_not_widen_windows(spark, monkeypatch):
+    """Histories of branches are ranked on their own, so that one window does however many orders there are."""
+    from oracle import SMALL
+
+    from palimpsest.queries.bases import QUERIES
+
+    walks, spread = [], bases._Walk.spread
+    monkeypatch.setattr(bases._Walk, "spread", lambda self, starts: walks.append(1) or spread(self, starts))
+    assert QUERIES["merge_bases"](spark, SMALL).count() > 0
+    assert len(walks) == 2  # one window, and tops that lead to others
+
+
+def test_short_ranges_share_one_level(spark):
+    ranges = spark.createDataFrame([(1, 0, n) for n in (0, 1, 3, 7, 15, 40)], "chain long, low long, high long")
+    points = spark.createDataFrame([(1, k) for k in range(60)], "chain long, at long")
+    met = bases.in_ranges(ranges, points)
+    assert sorted((r.high, r.at) for r in met.collect()) == sorted((n, k) for n in (0, 1, 3, 7, 15, 40) for k in range(n + 1))
+    assert "array(4, 6)" in met._jdf.queryExecution().analyzed().toString()

@@ -137,3 +137,19 @@ def test_first_parent_distances(spark, seed, tmp_path, monkeypatch):
     for start in (79, 33):
         mine = sorted((x.hop, x.chain, x.place) for x in ways if x.revision == start)
         assert [members[chain, k] for _, chain, top in mine for k in range(top, -1, -1)] == list(walk(up, [start]))
+
+
+def test_nodes_that_know_their_root_are_not_written_again(spark, monkeypatch):
+    """A long chain beside many short ones: rounds write what still asks."""
+    written, keep = [], graph.checkpointed
+
+    def counted(df):
+        out = keep(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "checkpointed", counted)
+    rows = [(c, 0, c - 1) for c in range(1, 65)] + [(1000 + c, 0, 0) for c in range(1000)]
+    got = {r.commit_id: (r.root, r.depth) for r in graph.roots(spark.createDataFrame(rows, "commit_id long, position int, parent_id long")).collect()}
+    assert got == {0: (0, 0)} | {c: (0, c) for c in range(1, 65)} | {1000 + c: (0, 1) for c in range(1000)}
+    assert sum(written) < 3 * len(got), written
