@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.history import timeline
-from palimpsest.plans.durable import checkpointed, forget
-from palimpsest.plans.graph import Chains
+from palimpsest.plans.durable import checkpointed
+from palimpsest.plans.graph import Chains, doubled
 from palimpsest.plans.scope import directory_prefix, under_any
 
 #: Places of a chain that are looked through together.
@@ -49,7 +49,7 @@ def _last(probes: DataFrame, known: DataFrame) -> DataFrame:
     none = F.lit(None).cast(known.schema["hit"].dataType)
     both = has.select("path", "chain", "block", "place", "hit", F.lit(0).alias("ask"), F.lit(None).cast(asks.schema["probe"].dataType).alias("probe")).unionByName(asks.select("path", "chain", "block", "place", none.alias("hit"), F.lit(1).alias("ask"), "probe"))
     order = Window.partitionBy("path", "chain", "block").orderBy("place", "ask").rowsBetween(Window.unboundedPreceding, 0)
-    near = both.withColumn("hit", F.last("hit", ignorenulls=True).over(order)).where("ask = 1").select("path", "chain", "block", "probe", "hit")
+    near = checkpointed(both.withColumn("hit", F.last("hit", ignorenulls=True).over(order)).where("ask = 1").select("path", "chain", "block", "probe", "hit"))  # read twice below
     blocks = has.groupBy("path", "chain", "block").agg(F.max_by("hit", "place").alias("far"))
     wanted = near.where("hit IS NULL").select("path", "chain", "block").distinct()
     earlier = Window.partitionBy("path", "chain").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,23 +90,19 @@ def origins(moves: DataFrame, parents: DataFrame, layout: Chains) -> DataFrame:
     every = checkpointed(events(moves))
     nodes = every.where("present")
     node = F.struct("commit_id", "path")
-    known = every.select("commit_id", "path", F.struct("commit_id", "path", "present").alias("hit"))
+    known = every.select("commit_id", "path", F.struct("commit_id", "present").alias("hit"))
     # What a node asks for, and of which parent; an addition asks the other parents of a merge.
     begun = F.col("status").startswith("A") | F.col("status").startswith("C")
     asked = F.when(F.col("status").startswith("R"), F.col("old_path")).otherwise(F.col("path"))
     edges = nodes.select(node.alias("node"), "commit_id", "status", asked.alias("asked"), begun.alias("begun")).join(parents.select("commit_id", "position", "parent_id"), "commit_id")
     asks = edges.where(F.when(F.col("begun"), F.col("status").startswith("A") & (F.col("position") > 0)).otherwise(F.col("position") == 0))
-    probes = asks.select(F.struct("node", "position").alias("probe"), F.col("parent_id").alias("commit_id"), F.col("asked").alias("path"))
+    # A hit is at the path that was asked for: the probe keeps it where it is not the node's own.
+    probes = asks.select(F.struct("node", "position", F.when(F.col("asked") != F.col("node.path"), F.col("asked")).alias("old")).alias("probe"), F.col("parent_id").alias("commit_id"), F.col("asked").alias("path"))
     found = states(probes, known, layout).where("hit.present")
-    first = found.groupBy("probe.node").agg(F.min_by("hit", "probe.position").alias("hit"))
-    jump = nodes.select(node.alias("node")).join(first, "node", "left").select("node", F.coalesce(F.struct("hit.commit_id", "hit.path"), F.col("node")).alias("origin"))
-    jump = checkpointed(jump.withColumn("origin", F.when(F.col("origin.commit_id").isNull(), F.col("node")).otherwise(F.col("origin"))))
-    while True:
-        up = jump.select(F.col("node").alias("origin"), F.col("origin").alias("next"))
-        before, jump = jump, checkpointed(jump.join(up, "origin").select("node", F.col("next").alias("origin"), (F.col("next") != F.col("origin")).alias("moved")))
-        forget(before)
-        if jump.where("moved").isEmpty():
-            break
+    hit = F.struct("hit.commit_id", F.coalesce("probe.old", "probe.node.path").alias("path"))
+    first = found.groupBy("probe.node").agg(F.min_by(hit, "probe.position").alias("hit"))
+    pointers = first.select(F.col("node").alias("commit_id"), F.struct("hit.commit_id", "hit.path").alias("parent_id"))
+    jump = doubled(nodes.select(node.alias("commit_id")), pointers).select(F.col("commit_id").alias("node"), F.col("root").alias("origin"))
     return nodes.drop("present", "old_path").join(jump.select("node.*", F.col("origin.commit_id").alias("origin_commit"), F.col("origin.path").alias("origin_path")), ["commit_id", "path"])
 
 

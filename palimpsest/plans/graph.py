@@ -149,7 +149,7 @@ def chains(parents: DataFrame) -> Chains:
     one = first_parents(edges)
     # Only children stay in any case. What they form is laid out first, so that only forks are compared.
     alone = one.groupBy("parent_id").agg(F.count("*").alias("n"), F.min("commit_id").alias("commit_id")).where("n = 1").select("commit_id", "parent_id")
-    parts = _doubled(nodes, alone).select("commit_id", F.col("root").alias("part"), F.col("depth").alias("own"))
+    parts = doubled(nodes, alone).select("commit_id", F.col("root").alias("part"), F.col("depth").alias("own"))
     forks = checkpointed(one.join(alone.select("commit_id"), "commit_id", "left_anti"))
     if forks.isEmpty():
         members = parts.select("commit_id", F.col("part").alias("chain"), F.col("own").alias("place"), F.col("own").alias("depth"))
@@ -160,7 +160,7 @@ def chains(parents: DataFrame) -> Chains:
         tree = checkpointed(forks.join(below, "parent_id").join(length, "to").select("commit_id", F.col("to").alias("parent_id"), "step"))
         summed = _subtrees(sized, tree)
         kept = tree.join(summed.select("commit_id", "size"), "commit_id").groupBy("parent_id").agg(F.max_by(F.struct("commit_id", "step"), F.struct("size", -F.col("commit_id"))).alias("k")).select("k.*", "parent_id")
-        placed = _doubled(sized.select("commit_id"), kept).select(F.col("commit_id").alias("part"), F.col("root").alias("chain"), F.col("depth").alias("before"))
+        placed = doubled(sized.select("commit_id"), kept).select(F.col("commit_id").alias("part"), F.col("root").alias("chain"), F.col("depth").alias("before"))
         members = parts.join(placed, "part").join(summed.select(F.col("commit_id").alias("part"), F.col("depth").alias("under")), "part")
         members = checkpointed(members.select("commit_id", "chain", (F.col("before") + F.col("own")).alias("place"), (F.col("under") + F.col("own")).alias("depth")))
     end = lambda c, to: members.select(F.col("commit_id").alias(c), F.col("chain").alias(f"{to}chain"), F.col("place").alias(f"{to}place"))
@@ -206,10 +206,10 @@ def merges(parents: DataFrame) -> DataFrame:
 def roots(parents: DataFrame, rounds: int = 40) -> DataFrame:
     """``commit_id, root, depth`` on the first-parent forest, by pointer doubling: log2(depth) rounds."""
     one = first_parents(parents)
-    return _doubled(one.select("commit_id").union(one.select("parent_id")).distinct(), one, rounds)
+    return doubled(one.select("commit_id").union(one.select("parent_id")).distinct(), one, rounds)
 
 
-def _doubled(nodes: DataFrame, one: DataFrame, rounds: int = 60) -> DataFrame:
+def doubled(nodes: DataFrame, one: DataFrame, rounds: int = 60) -> DataFrame:
     """``commit_id, root, depth`` of ``nodes(commit_id)`` on a forest ``one(commit_id, parent_id)``; with a column ``step`` that is how far apart the two lie.
 
     Nodes that have met one which knows its root ask no more and are not written again.

@@ -121,3 +121,25 @@ def test_no_rows(spark):
     files = identity.files_at(spark.createDataFrame([(8,), (9,)], "revision long"), identity.origins(alone, parents.limit(0), layout), alone, layout)
     assert [tuple(x) for x in files.collect()] == [(8, "x", 8, "x")]
     assert sorted(tuple(x)[-2:] for x in identity.origins(alone, parents.limit(0), graph.chains(parents.limit(0))).collect()) == [(7, "x"), (8, "x")]
+
+
+def test_paths_are_kept_once_and_settled_nodes_not_written_again(spark, monkeypatch):
+    """A file changed 64 times, one renamed, beside 500 that are added once."""
+    written, hits = [], []
+    for module in (identity, graph):
+        def counted(df, keep=module.checkpointed):
+            out = keep(df)
+            hits.extend(f.dataType for f in out.schema if f.name == "hit")
+            if out.columns in (["commit_id", "root", "depth", "open"], ["node", "origin"], ["node", "origin", "moved"]) and "struct" in out.dtypes[0][1]:
+                written.append(out.count())
+            return out
+
+        monkeypatch.setattr(module, "checkpointed", counted)
+    history = {c: [c - 1] if c else [] for c in range(64)}
+    changes = [(c, 0, "A" if c == 0 else "R" if c == 30 else "M", "b" if c >= 30 else "a", "a" if c == 30 else None, 1, 0) for c in range(64)] + [(0, 1 + k, "A", f"x{k}", None, 1, 0) for k in range(500)]
+    parents = spark.createDataFrame([(c, 0, p) for c, ps in history.items() for p in ps], "commit_id long, position int, parent_id long")
+    moves = spark.createDataFrame(changes, "commit_id long, ordinal int, status string, path string, old_path string, additions long, deletions long")
+    told = identity.origins(moves, parents, graph.chains(parents)).collect()
+    assert len(told) == 564 and {(r.origin_commit, r.origin_path) for r in told if r.path in "ab"} == {(0, "a")}
+    assert written and sum(written) < 2 * len(told), written
+    assert hits and not any("path" in t.fieldNames() for t in hits)
