@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.identity import states
+from palimpsest.operators.identity import states_at_once
 from palimpsest.plans.durable import checkpointed
 from palimpsest.plans.graph import Chains
 from palimpsest.plans.ranks import numbered
@@ -116,12 +116,15 @@ def sides(pairs: DataFrame, layout: Chains, ranks: DataFrame) -> Sides:
 
 def contested(only: DataFrame, paths: DataFrame) -> DataFrame:
     """``pair, path, left_commits, right_commits`` of the paths that both sides of a pair changed; ``paths(commit_id, path)``."""
-    n = lambda side: F.count_distinct(F.when(F.col("side") == side, F.col("commit_id"))).alias(f"{side}_commits")
-    return only.join(paths, "commit_id").groupBy("pair", "path").agg(n("left"), n("right")).where("left_commits > 0 AND right_commits > 0")
+    # A pair has a commit once and a commit a path once, so that rows are counted, not told apart again.
+    each = paths.groupBy("commit_id").agg(F.collect_set("path").alias("paths"))
+    n = lambda side: F.count(F.when(F.col("side") == side, 1)).alias(f"{side}_commits")
+    met = only.join(each, "commit_id").select("pair", "side", F.explode("paths").alias("path"))
+    return met.groupBy("pair", "path").agg(n("left"), n("right")).where("left_commits > 0 AND right_commits > 0")
 
 
 def shared_history(disputed: DataFrame, bases: DataFrame, paths: DataFrame, layout: Chains) -> DataFrame:
     """``pair, path, base, commit_id``: for each ``disputed(pair, path)`` the last change of the path at or before each base, along first parents."""
-    probes = disputed.select("pair", "path").join(bases, "pair").select(F.struct("pair", "path", "base").alias("probe"), F.col("base").alias("commit_id"), "path")
-    found = states(probes, paths.select("commit_id", "path", F.struct("commit_id").alias("hit")), layout)
+    probes = checkpointed(disputed.select("pair", "path").join(bases, "pair").select("pair", "path", "base"))
+    found = states_at_once(probes.select(F.struct("pair", "path", "base").alias("probe"), F.col("base").alias("commit_id"), "path"), paths.select("commit_id", "path", F.struct("commit_id").alias("hit")), layout)
     return found.select("probe.*", "hit.commit_id")

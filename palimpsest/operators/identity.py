@@ -50,8 +50,11 @@ def _last(probes: DataFrame, known: DataFrame) -> DataFrame:
     both = has.select("path", "chain", "block", "place", "hit", F.lit(0).alias("ask"), F.lit(None).cast(asks.schema["probe"].dataType).alias("probe")).unionByName(asks.select("path", "chain", "block", "place", none.alias("hit"), F.lit(1).alias("ask"), "probe"))
     order = Window.partitionBy("path", "chain", "block").orderBy("place", "ask").rowsBetween(Window.unboundedPreceding, 0)
     near = checkpointed(both.withColumn("hit", F.last("hit", ignorenulls=True).over(order)).where("ask = 1").select("path", "chain", "block", "probe", "hit"))  # read twice below
+    # Before the first block there is nothing.
+    wanted = near.where("hit IS NULL AND block > 0").select("path", "chain", "block").distinct()
+    if wanted.isEmpty():
+        return near.select("probe", "hit")
     blocks = has.groupBy("path", "chain", "block").agg(F.max_by("hit", "place").alias("far"))
-    wanted = near.where("hit IS NULL").select("path", "chain", "block").distinct()
     earlier = Window.partitionBy("path", "chain").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     found = blocks.join(wanted.withColumn("asked", F.lit(True)), ["path", "chain", "block"], "full").withColumn("far", F.last("far", ignorenulls=True).over(earlier)).where("asked").select("path", "chain", "block", "far")
     return near.join(found, ["path", "chain", "block"], "left").select("probe", F.coalesce("hit", "far").alias("hit"))
@@ -82,6 +85,20 @@ def states(probes: DataFrame, known: DataFrame, layout: Chains) -> DataFrame:
         done = done.unionByName(met.where("hit IS NOT NULL"))
 
 
+def states_at_once(probes: DataFrame, known: DataFrame, layout: Chains) -> DataFrame:
+    """What ``states`` gives, for probes that are few beside what is known: they go to all chains of their ways, log2(n) at most each, so that what is known moves once."""
+    ways = checkpointed(_ways(probes.select(F.col("commit_id").alias("revision")).distinct(), layout))
+    asks = checkpointed(probes.join(ways.withColumnRenamed("revision", "commit_id"), "commit_id").select(F.struct("probe", "hop").alias("probe"), "path", "chain", "place"))
+    found = _last(asks, _placed(known, layout).select("path", "chain", "place", "hit")).where("hit IS NOT NULL")
+    return found.groupBy("probe.probe").agg(F.min_by("hit", "probe.hop").alias("hit"))
+
+
+def _ways(revisions: DataFrame, layout: Chains) -> DataFrame:
+    """Segments of ``revisions(revision)``; one outside the layout is a chain of its own."""
+    alone = revisions.select(F.col("revision").alias("commit_id")).distinct().join(layout.members, "commit_id", "left_anti")
+    return layout.segments(revisions).unionByName(_placed(alone, layout).select(F.col("commit_id").alias("revision"), "chain", "place", F.lit(0).alias("hop")))
+
+
 def origins(moves: DataFrame, parents: DataFrame, layout: Chains) -> DataFrame:
     """``commit_id, path, status, additions, deletions, origin_commit, origin_path`` of every change that leaves a file at its path.
 
@@ -108,8 +125,7 @@ def origins(moves: DataFrame, parents: DataFrame, layout: Chains) -> DataFrame:
 
 def files_at(revisions: DataFrame, told: DataFrame, moves: DataFrame, layout: Chains) -> DataFrame:
     """``revision, path, origin_commit, origin_path`` of the files that each of ``revisions(revision)`` has, from changes along first parents; ``told``: what ``origins`` gave."""
-    alone = revisions.select(F.col("revision").alias("commit_id")).distinct().join(layout.members, "commit_id", "left_anti")
-    ways = layout.segments(revisions).unionByName(_placed(alone, layout).select(F.col("commit_id").alias("revision"), "chain", "place", F.lit(0).alias("hop")))
+    ways = _ways(revisions, layout)
     own = _placed(events(moves).select("commit_id", "path", "present"), layout).withColumnRenamed("place", "at")
     seen = own.join(ways, "chain").where("at <= place")
     last = seen.groupBy("revision", "path").agg(F.max_by(F.struct("commit_id", "present"), F.struct(-F.col("hop"), "at")).alias("last"))

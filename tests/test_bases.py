@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from test_graph import jobs_of, merged_trunk, walk
 
 from palimpsest.operators import bases
@@ -96,3 +97,25 @@ def test_short_ranges_share_one_level(spark):
     met = bases.in_ranges(ranges, points)
     assert sorted((r.high, r.at) for r in met.collect()) == sorted((n, k) for n in (0, 1, 3, 7, 15, 40) for k in range(n + 1))
     assert "array(4, 6)" in met._jdf.queryExecution().analyzed().toString()
+
+
+def test_contested_and_shared_history_move_rows_once(spark):
+    """Commits of sides are counted without an expansion for each side; what is known is looked through once, however many chains there are."""
+    from palimpsest.operators import identity
+
+    rows = [(1, 0, 0), (2, 0, 1), (3, 0, 1), (4, 0, 2), (5, 0, 2), (6, 0, 4), (7, 0, 4), (8, 0, 6), (9, 0, 6), (9, 1, 7), (10, 0, 5)]
+    layout = graph.chains(spark.createDataFrame(rows, "commit_id long, position int, parent_id long"))
+    known = spark.createDataFrame([(0, "a"), (2, "b"), (2, "b"), (6, "c"), (3, "a"), (77, "a")], "commit_id long, path string").distinct().withColumn("hit", F.struct("commit_id"))
+    probes = spark.createDataFrame([(k, c, p) for k, (c, p) in enumerate((c, p) for c in [0, 1, 3, 5, 7, 8, 9, 10, 77, 78] for p in "abc")], "probe long, commit_id long, path string")
+    want = {(r.probe, r.hit.commit_id) for r in identity.states(probes, known, layout).collect()}
+    passes, last = [], identity._last
+    identity._last = lambda *a: passes.append(1) or last(*a)
+    try:
+        assert {(r.probe, r.hit.commit_id) for r in identity.states_at_once(probes, known, layout).collect()} == want and len(want) > 10
+    finally:
+        identity._last = last
+    assert len(passes) == 1
+    only = spark.createDataFrame([(1, "left", 2), (1, "left", 3), (1, "right", 6), (2, "left", 2)], "pair long, side string, commit_id long")
+    met = bases.contested(only, spark.createDataFrame([(2, "b"), (2, "b"), (3, "b"), (6, "b"), (6, "c")], "commit_id long, path string"))
+    assert [tuple(r) for r in met.collect()] == [(1, "b", 2, 1)]
+    assert "Expand" not in met._jdf.queryExecution().optimizedPlan().toString()
