@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Positions put days first and ids after them, a total order without a global sort.
@@ -39,7 +39,7 @@ class Catalog:
         seconds = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
         return self.table("orders").select(
             F.col("o_orderkey").alias("commit_id"),
-            F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 40).alias("oid"),
+            _oid("o_orderkey").alias("oid"),
             (F.floor(seconds / 86400) * DAY + F.col("o_orderkey")).alias("position"),
             seconds.alias("commit_time"),
             F.col("o_custkey").alias("branch"),
@@ -77,7 +77,8 @@ class Catalog:
     def notes(self) -> DataFrame:
         """Commits with messages: of seven one reverts the last of its branch, by a prefix of its id of any length from 7 on, one corrects, and one names a commit that is none."""
         w = Window.partitionBy("branch").orderBy("position")
-        c = self.commits.select("commit_id", "oid", "position", F.lag("oid").over(w).alias("last"), F.lag("commit_id").over(w).cast("string").alias("prior"))
+        # Object ids come from the numbers, after these were moved.
+        c = self.commits.select("commit_id", "position", F.lag("commit_id").over(w).alias("prior")).select("commit_id", _oid("commit_id").alias("oid"), "position", _oid("prior").alias("last"), F.col("prior").cast("string").alias("prior"))
         kind, own = F.col("commit_id") % 7, F.col("commit_id").cast("string")
         prefix = F.substr("last", F.lit(1), (7 + F.col("commit_id") % 34).cast("int"))
         reverts = (kind == 0) & F.col("last").isNotNull()
@@ -123,13 +124,26 @@ class Catalog:
 
     @cached_property
     def paths(self) -> DataFrame:
-        return self.changes.select("commit_id", "path").distinct()
+        return self._touched(self.files)
 
     @cached_property
     def named_tests(self) -> DataFrame:
         """The paths with every third part's file named as a test."""
         third = F.regexp_extract("path", "#([0-9]+)$", 1).cast("long") % 3 == 0
-        return self.paths.select("commit_id", F.when(third, F.regexp_replace("path", "([^/]+)$", "test_$1")).otherwise(F.col("path")).alias("path"))
+        return self._touched(self.files.withColumn("path", F.when(third, F.regexp_replace("path", "([^/]+)$", "test_$1")).otherwise(F.col("path"))))
+
+    @cached_property
+    def numbers(self) -> DataFrame:
+        """``paths`` with the part's number for the path, for those who only ask whether paths are the same."""
+        return self._pairs.join(self.files, "p_partkey", "left_semi").select("commit_id", F.col("p_partkey").alias("path"))
+
+    @cached_property
+    def _pairs(self) -> DataFrame:
+        return self.table("lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("p_partkey")).distinct()
+
+    def _touched(self, files: DataFrame) -> DataFrame:
+        """``commit_id, path``, each once: paths end with their part's number, so numbers are told apart, not the long paths."""
+        return self._pairs.join(files.distinct(), "p_partkey").select("commit_id", "path")
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -157,6 +171,10 @@ class Catalog:
         return self.table("conversations")
 
 
+def _oid(number: str) -> Column:
+    return F.substring(F.sha2(F.col(number).cast("string"), 256), 1, 40)
+
+
 def edges(forked: DataFrame) -> DataFrame:
     """``commit_id, position, parent_id`` of ``forked(commit_id, p0, p1)``."""
     return forked.select("commit_id", F.posexplode(F.array("p0", "p1")).alias("position", "parent_id")).where("parent_id IS NOT NULL")

@@ -93,12 +93,14 @@ def later_descendants(origins: DataFrame, parents: DataFrame, commits: DataFrame
     """
     timed = commits.select("commit_id", "commit_time")
     starts = origins.select("origin_id").distinct().join(timed.select(F.col("commit_id").alias("origin_id"), F.col("commit_time").alias("start")), "origin_id")
+    # Read at every step, so made once, with the children's times.
     children = parents.select(F.col("parent_id").alias("commit_id"), F.col("commit_id").alias("child")).distinct()
+    children = checkpointed(children.join(timed.select(F.col("commit_id").alias("child"), "commit_time"), "child"))
     seen = frontier = checkpointed(starts.select("origin_id", "start", F.col("origin_id").alias("commit_id"), F.lit(0).alias("distance"), F.lit(0).cast("long").alias("elapsed")))
     for k in range(1, steps + 1):
-        next_ones = frontier.join(children, "commit_id").select("origin_id", "start", F.col("child").alias("commit_id")).distinct()
-        new = next_ones.join(seen.select("origin_id", "commit_id"), ["origin_id", "commit_id"], "left_anti").join(timed, "commit_id").withColumn("elapsed", F.col("commit_time") - F.col("start"))
-        frontier = checkpointed(new.where(F.col("elapsed") <= seconds + slack).select("origin_id", "start", "commit_id", F.lit(k).alias("distance"), "elapsed"))
+        next_ones = frontier.join(children, "commit_id").select("origin_id", "start", F.col("child").alias("commit_id"), (F.col("commit_time") - F.col("start")).alias("elapsed"))
+        new = next_ones.where(F.col("elapsed") <= seconds + slack).distinct().join(seen.select("origin_id", "commit_id"), ["origin_id", "commit_id"], "left_anti")
+        frontier = checkpointed(new.select("origin_id", "start", "commit_id", F.lit(k).alias("distance"), "elapsed"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier) if k % 5 else checkpointed(seen.unionByName(frontier))
@@ -124,6 +126,7 @@ def observations(origins: DataFrame, parents: DataFrame, commits: DataFrame, eli
     changes = touched.join(eligible, "commit_id", "left_semi").distinct()
     if excluded is not None:
         changes = changes.join(excluded, "path", "left_anti")
+    changes = checkpointed(changes)  # read five times
     edges = later.join(changes, "commit_id").join(changes.select(F.col("commit_id").alias("origin_id"), "path"), ["origin_id", "path"], "left_anti")
     # Two origins and two followers or more are two chains: else all pairs would share one commit.
     found = edges.groupBy("path").agg(F.count_distinct("origin_id").alias("supporting"), F.count_distinct("commit_id").alias("followers"), F.max_by("commit_id", F.struct("elapsed", "commit_id")).alias("latest"))

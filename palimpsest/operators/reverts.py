@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import provenance
 from palimpsest.operators.followon import later_descendants
+from palimpsest.plans.durable import checkpointed
 
 #: Digits that a prefix of an object id has at least; all ids that share so many meet.
 LEAST = 7
@@ -28,20 +29,25 @@ def links(notes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     A message whose declarations name different commits links none. Prefixes have to be unique among
     ``known(commit_id, oid)``, the notes' commits if it is not given; targets are among the notes' commits.
     """
+    return _earliest(_single(notes, known), notes)
+
+
+def _earliest(single: DataFrame, notes: DataFrame) -> DataFrame:
+    first = single.groupBy("target").agg(F.min_by(F.struct("revert", "position"), F.struct("position", "revert")).alias("r"))
+    return first.join(notes.select(F.col("commit_id").alias("target")), "target", "left_semi").select("target", "r.revert", "r.position")
+
+
+def _single(notes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``revert, position, target`` of every revert that names one commit."""
     message = F.concat_ws("\n", "subject", "body")
     declared = notes.select(F.col("commit_id").alias("revert"), "position", F.explode(provenance.revert_targets(message)).alias("hex"))
     named = declared.join(unique_ids(declared, notes if known is None else known).withColumnRenamed("commit_id", "target"), "hex")
-    single = named.groupBy("revert", "position").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).where("n = 1")
-    first = single.groupBy("target").agg(F.min_by(F.struct("revert", "position"), F.struct("position", "revert")).alias("r"))
-    return first.join(notes.select(F.col("commit_id").alias("target")), "target", "left_semi").select("target", "r.revert", "r.position")
+    return named.groupBy("revert", "position").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).where("n = 1").drop("n")
 
 
 def resolved(notes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``revert, target`` of every revert that names one commit, the earliest or not."""
-    message = F.concat_ws("\n", "subject", "body")
-    declared = notes.select(F.col("commit_id").alias("revert"), F.explode(provenance.revert_targets(message)).alias("hex"))
-    named = declared.join(unique_ids(declared, notes if known is None else known).withColumnRenamed("commit_id", "target"), "hex")
-    return named.groupBy("revert").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).where("n = 1").drop("n")
+    return _single(notes, known).select("revert", "target")
 
 
 def corrective_followups(recordings: DataFrame, notes: DataFrame, paths: DataFrame, parents: DataFrame, commits: DataFrame, *, steps: int = 20, seconds: int = 10 * 365 * 86_400) -> DataFrame:
@@ -62,11 +68,13 @@ def failures(candidates: DataFrame, notes: DataFrame, paths: DataFrame, parents:
     undid is left out. Reason and retry come from the message of the revert alone (for the
     retry, that of a later correction goes first), never from what was abandoned.
     """
-    named = links(notes).select(F.col("target").alias("commit_id"), "revert")
-    told = candidates.join(named, "commit_id", "left").join(resolved(notes).select(F.col("revert").alias("commit_id"), F.col("target").alias("undoes")), "commit_id", "left")
+    notes, paths = checkpointed(notes), checkpointed(paths.select("commit_id", "path"))
+    single = checkpointed(_single(notes))
+    named = _earliest(single, notes).select(F.col("target").alias("commit_id"), "revert")
+    told = checkpointed(candidates.join(named, "commit_id", "left").join(single.select(F.col("revert").alias("commit_id"), F.col("target").alias("undoes")), "commit_id", "left").where("revert IS NOT NULL OR undoes IS NOT NULL"))
     known = told.select(F.col("revert").alias("commit_id")).where("commit_id IS NOT NULL").distinct()
     # A candidate that reverts another candidate, whose own earliest revert it is, is told by that one.
-    kept = told.join(known, "commit_id", "left_anti").where("revert IS NOT NULL OR undoes IS NOT NULL").withColumn("recording", F.coalesce("revert", "commit_id"))
+    kept = checkpointed(told.join(known, "commit_id", "left_anti").withColumn("recording", F.coalesce("revert", "commit_id")))
     follow = corrective_followups(kept.select("commit_id", "recording"), notes, paths, parents, commits)
     text = notes.select("commit_id", F.concat_ws("\n", "subject", "body").alias("message"), "body")
     recorded = text.select(F.col("commit_id").alias("recording"), provenance.stated_reason(F.col("message")).alias("reason"), provenance.stated_retry(F.col("body")).alias("own_retry"))
