@@ -9,6 +9,7 @@ from palimpsest.catalog import Catalog, bind, with_views
 from palimpsest.functions.text import basename, is_test_path, normalize_path
 from palimpsest.operators import followon, relations
 from palimpsest.operators.bases import dense_ranks
+from palimpsest.plans.durable import checkpointed
 from palimpsest.plans.graph import merges
 
 QUERIES, ORACLES = {}, {}
@@ -252,11 +253,11 @@ QUIET = "quiet AS (SELECT path FROM paths GROUP BY path ORDER BY count(*), path
 
 
 def module_paths(c: Catalog) -> DataFrame:
-    return c.paths.select("commit_id", module(F.col("path")).alias("path")).distinct()
+    return c.changes.select("commit_id", module(F.col("path")).alias("path")).distinct()
 
 
 def after_quiet(c: Catalog) -> DataFrame:
-    quiet = c.paths.groupBy("path").agg(F.count("*").alias("n")).orderBy("n", "path").limit(1).select("path")
+    quiet = checkpointed(c.paths.groupBy("path").agg(F.count("*").alias("n")).orderBy("n", "path").limit(1).select("path"))  # one row, read twice
     origins = c.paths.join(F.broadcast(quiet), "path", "left_semi").select(F.col("commit_id").alias("origin_id"))
     eligible = c.commits.select("commit_id").join(merges(c.parents), "commit_id", "left_anti")
     selected = quiet.select(module(F.col("path")).alias("path")).distinct()
