@@ -30,7 +30,7 @@ def seed_matches(paths: DataFrame, seeds: DataFrame) -> DataFrame:
     from palimpsest.functions.text import basename
 
     known = paths.select("path").distinct()
-    keyed = known.select("path", normalize_path(F.col("path")).alias("key"), basename(normalize_path(F.col("path"))).alias("name"))
+    keyed = checkpointed(known.select("path", normalize_path(F.col("path")).alias("key"), basename(normalize_path(F.col("path"))).alias("name")))  # read by three joins
     exact = keyed.join(seeds, F.col("path") == F.col("seed")).select("path", "seed")
     loose = seeds.join(exact.select("seed").distinct(), "seed", "left_anti").withColumn("wanted", normalize_path(F.col("seed")))
     whole = keyed.join(loose.where(F.contains("seed", F.lit("/"))), F.col("key") == F.col("wanted")).select("path", "seed")
@@ -56,9 +56,11 @@ def related_files(paths: DataFrame, merges: DataFrame, seeds: DataFrame, *, mass
     The seeds' commits are found first, and only their files are joined; the number of
     all touches of a candidate comes from an aggregate over the eligible commits.
     """
-    eligible = eligible_commits(paths, merges, mass)
-    there = paths.join(eligible, "commit_id", "left_semi")
-    matched = seed_matches(paths, seeds)
+    # Each is read several times below.
+    eligible = checkpointed(eligible_commits(paths, merges, mass))
+    there = checkpointed(paths.join(eligible, "commit_id", "left_semi"))
+    seeds = checkpointed(seeds)
+    matched = checkpointed(seed_matches(paths, seeds))
     # One base name may match very many paths, so these are counted, not the seeds.
     few = matched.limit(FEW + 1).count() <= FEW
     touched = there.join(F.broadcast(matched) if few else matched, "path").groupBy("commit_id").agg(F.count_distinct("seed").alias("seeds_here"), F.collect_set("seed").alias("seeds"))

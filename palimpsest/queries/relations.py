@@ -157,17 +157,20 @@ FROM scored ORDER BY score DESC, path LIMIT 10""",
     )
 )
 def related_files(c: Catalog) -> DataFrame:
-    return relations.related_files(c.paths, merges(c.parents), seeds(c), mass=MASS)
+    paths = checkpointed(c.paths)
+    return relations.related_files(paths, merges(c.parents), seeds(c, paths=paths), mass=MASS)
 
 
 @query(with_views(BASE, RELATED + "SELECT path, support, CAST(seed_coverage AS INTEGER) AS seed_coverage FROM scored"))
 def join_cochange_self(c: Catalog) -> DataFrame:
-    return relations.related_files(c.paths, merges(c.parents), seeds(c), mass=MASS, limit=None).select("path", "support", "seed_coverage")
+    paths = checkpointed(c.paths)
+    return relations.related_files(paths, merges(c.parents), seeds(c, paths=paths), mass=MASS, limit=None).select("path", "support", "seed_coverage")
 
 
 @query(with_views(BASE, RELATED + f"SELECT path, round({SCORE}, 6) AS score FROM scored"))
 def agg_relation_score(c: Catalog) -> DataFrame:
-    return relations.related_files(c.paths, merges(c.parents), seeds(c), mass=MASS, limit=None).select("path", "score")
+    paths = checkpointed(c.paths)
+    return relations.related_files(paths, merges(c.parents), seeds(c, paths=paths), mass=MASS, limit=None).select("path", "score")
 
 
 @query(
@@ -219,7 +222,7 @@ def win_total_touches(c: Catalog) -> DataFrame:
     )
 )
 def tests_candidates(c: Catalog) -> DataFrame:
-    paths = c.named_tests
+    paths = checkpointed(c.named_tests)
     return relations.related_files(paths, merges(c.parents), seeds(c, paths=paths), mass=MASS, tests_only=True).select("path", "support", "score")
 
 
