@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.plans.durable import checkpointed
+
+#: Signals that may be broadcast.
+FEW = 100_000
+
 
 def shared_signals(local: DataFrame, historical: DataFrame, least: int = 2) -> DataFrame:
     """``doc_id, shared``: historical rows that share ``least`` signals or more with the local ones, through an inverted index."""
-    wanted = local.select(F.explode(F.array_distinct("signals")).alias("s")).distinct()
-    there = historical.select("doc_id", F.explode(F.array_distinct("signals")).alias("s"))
-    return there.join(wanted, "s").groupBy("doc_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    wanted = checkpointed(local.select(F.explode_outer("signals").alias("s")).where("s IS NOT NULL").distinct())
+    few = wanted.limit(FEW + 1).count() <= FEW  # else both sides would be shuffled, for the few signals that are shared
+    # Outer, as the filter on the array's size that comes with the other makes the array twice.
+    there = historical.select("doc_id", F.explode_outer(F.array_distinct("signals")).alias("s"))
+    return there.join(F.broadcast(wanted) if few else wanted, "s").groupBy("doc_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def suggestions(ranked: DataFrame, *, limit: int = 8, per_category: int = 3) -> DataFrame:
