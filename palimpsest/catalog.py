@@ -137,6 +137,13 @@ class Catalog:
         """``paths`` with the part's number for the path, for those who only ask whether paths are the same."""
         return self._pairs.join(self.files, "p_partkey", "left_semi").select("commit_id", F.col("p_partkey").alias("path"))
 
+    @cached_property
+    def brands(self) -> DataFrame:
+        """``commit_id, path``: the first parts of the paths that a commit touches, each once; parts are told apart by it before the join, not by their paths."""
+        first = self.files.select("p_partkey", F.substring_index("path", "/", 1).alias("path"))
+        line = self.table("lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("p_partkey"))
+        return line.join(first, "p_partkey").select("commit_id", "path").distinct()
+
     @cached_property
     def _pairs(self) -> DataFrame:
         return self.table("lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("p_partkey")).distinct()

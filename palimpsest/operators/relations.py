@@ -99,17 +99,20 @@ def closed_patterns(paths: DataFrame, merges: DataFrame, seeds: DataFrame, *, le
     Only commits with every seed count. A set is closed if no other file is in all of its
     commits. All sets of a level grow together: each by every later file, to the closure of both, which
     stays if it has no earlier file that the set had not (prefix-preserving extension). So every
-    closed set is made once, from one other, and a level is a few joins by set and commit.
+    closed set is made once, from one other, and a level is a few joins by set and commit. A set has
+    no more commits than the one it was made from: once ``limit`` sets are found, those with fewer
+    commits than all of them are neither among the first ``limit`` nor are any made from them.
     """
-    there = paths.join(eligible_commits(paths, merges, mass), "commit_id", "left_semi")
-    wanted = seeds.agg(F.count_distinct("seed").alias("n"))
-    full = there.join(seeds, F.col("path") == F.col("seed")).groupBy("commit_id").agg(F.count_distinct("seed").alias("k")).join(F.broadcast(wanted), F.col("k") == F.col("n")).select("commit_id")
-    observed = checkpointed(there.join(full, "commit_id", "left_semi").select("commit_id", F.col("path").alias("file")).distinct())
-    # A set is known by the digest of its members; its core is the file by which it was made.
-    key = F.sha2(F.array_join("members", "\0"), 256)
+    seeds = checkpointed(seeds.where("seed IS NOT NULL").select("seed").distinct())
+    n = seeds.count()
+    full = paths.join(seeds, F.col("path") == F.col("seed")).groupBy("commit_id").agg(F.count_distinct("seed").alias("k")).where(F.col("k") == n).select("commit_id")
+    touched = checkpointed(paths.join(full, "commit_id", "left_semi").select("commit_id", "path"))
+    observed = checkpointed(touched.join(eligible_commits(touched, merges, mass), "commit_id", "left_semi").select("commit_id", F.col("path").alias("file")).distinct())
+    wanted = lambda sets: sets.where((F.size("members") >= 3) & (F.size("members") > n))
+    # Sets of a level are numbered as they are written; a set's core is the file by which it was made.
     commits = observed.agg(F.count_distinct("commit_id").alias("all")).where(F.col("all") >= least)
     common = observed.groupBy("file").agg(F.count("*").alias("n")).join(F.broadcast(commits)).where("n = all")
-    root = commits.join(common.agg(F.array_sort(F.collect_list("file")).alias("members"))).select(key.alias("set"), "members", F.lit("").alias("core"), F.col("all").alias("support"))
+    root = commits.join(common.agg(F.array_sort(F.collect_list("file")).alias("members"))).select(F.lit(0).cast("long").alias("set"), "members", F.lit("").alias("core"), F.col("all").alias("support"))
     fresh = checkpointed(root)
     held = checkpointed(observed.select("commit_id").distinct().join(F.broadcast(fresh.select("set"))))
     found = fresh
@@ -121,12 +124,15 @@ def closed_patterns(paths: DataFrame, merges: DataFrame, seeds: DataFrame, *, le
         closures = shared.groupBy("set", "by").agg(F.array_sort(F.collect_list("file")).alias("members"), F.max("support").alias("support"))
         before = lambda members: F.filter(members, lambda x: x < F.col("by"))
         kept = closures.join(fresh.select("set", F.col("members").alias("old")), "set").where(before("members") == before("old"))
-        made = checkpointed(kept.select("set", "by", key.alias("next"), "members", "support"))
+        made = checkpointed(kept.select("set", "by", F.monotonically_increasing_id().alias("next"), "members", "support"))
+        found = found.unionByName(made.select(F.col("next").alias("set"), "members", F.col("by").alias("core"), "support"))
+        if limit:
+            best = wanted(found).orderBy(F.desc("support")).limit(limit).agg(F.count("*"), F.min("support")).first()
+            least = max(least, best[1]) if best[0] == limit else least
+        made = made.where(F.col("support") >= least)
         held = checkpointed(grown.select("set", "by", "commit_id").join(made.select("set", "by", "next"), ["set", "by"]).select(F.col("next").alias("set"), "commit_id"))
         fresh = made.select(F.col("next").alias("set"), "members", F.col("by").alias("core"), "support")
-        found = found.unionByName(fresh)
-    more = found.join(F.broadcast(wanted)).where("size(members) >= 3 AND size(members) > n")
-    ordered = more.select(F.array_join("members", ",").alias("members"), F.size("members").cast("long").alias("size"), "support").orderBy(F.desc("support"), "members")
+    ordered = wanted(found).select(F.array_join("members", ",").alias("members"), F.size("members").cast("long").alias("size"), "support").orderBy(F.desc("support"), "members")
     return ordered if limit is None else ordered.limit(limit)
 
 

@@ -229,7 +229,7 @@ def tests_candidates(c: Catalog) -> DataFrame:
 @query()
 def patterns_closed_sets(c: Catalog) -> DataFrame:
     """Brands that change together, around the busiest one."""
-    brands = c.paths.select("commit_id", F.substring_index("path", "/", 1).alias("path")).distinct()
+    brands = checkpointed(c.brands)
     seed = brands.groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(1).select(F.col("path").alias("seed"))
     return relations.closed_patterns(brands, merges(c.parents), seed, least=3, limit=50)
 
