@@ -103,17 +103,22 @@ def not_unchanged(hunks: list[Hunk], n: int, same: bool = False) -> list[int]:
     return sorted(out)
 
 
-def deleted(hunks: list[Hunk]) -> list[int]:
-    """The lines of the old version for which ``forward`` tells ``deleted``, in one pass."""
+def removed(hunks: list[Hunk]) -> list[int]:
+    """The lines of the old version for which ``forward`` tells ``deleted`` or ``rewritten``, in one pass."""
     out = []
     for h in hunks:
-        if h.sound and not any(r[:1] == "+" for r in h.rows):
+        if h.sound:
             at = h.old_start + (h.old_lines == 0)
             for r in h.rows:
                 if r[:1] == "-":
                     out.append(at)
                 at += r[:1] in ("-", " ")
-    return out
+    return sorted(out)
+
+
+def deleted(hunks: list[Hunk]) -> list[int]:
+    """The lines of the old version for which ``forward`` tells ``deleted``, in one pass."""
+    return removed([h for h in hunks if not any(r[:1] == "+" for r in h.rows)])
 
 
 def forward(hunks: list[Hunk], line: int, same: bool = False) -> tuple[str, int | None]:

@@ -14,11 +14,11 @@ from itertools import pairwise
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import linemaps
-from palimpsest.functions.lines import back, diff, forward, not_unchanged, track
+from palimpsest.functions.lines import back, diff, not_unchanged, removed, track
 from palimpsest.plans.durable import checkpointed, forget
 
 #: Bytes of versions in a block, about.
@@ -50,14 +50,46 @@ def _history(pdf: pd.DataFrame) -> list[tuple[int, list[str]]]:
     return [(int(p), list(x)) for p, x in zip(ordered["position"], ordered["lines"], strict=True)]
 
 
+def _short_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of the session hold fewer rows and bytes, as versions may be long; settings below these stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
 def _maps(dealt: DataFrame, one: Callable[[list[tuple[int, list[str]]], bool], list[linemaps.Piece]]) -> DataFrame:
     """``file, block, map``: what each block does to lines."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces = one(_history(pdf), bool(pdf["before"].any()))
-        return pd.DataFrame({"file": [pdf["file"].iloc[0]], "block": [pdf["block"].iloc[0]], "map": [[dict(zip(("first", "size", "target", "kind"), p, strict=True)) for p in pieces]]})
+    names = ("first", "size", "target", "kind")
+
+    maps = pa.list_(pa.struct([(n, pa.int64()) for n in names]))
 
-    return dealt.groupBy("file", "block").applyInPandas(fold, f"file string, block int, map {PIECES}")
+    def told(key: tuple, past: list[tuple[int, list[str]]], before: bool) -> tuple:
+        return *key, [dict(zip(names, p, strict=True)) for p in one(past, before)]
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int32(), maps), strict=True)], ["file", "block", "map"])
+
+    # Blocks follow each other in a stream that holds one at a time: very many are small, and each as a group of its own takes longer than its fold.
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, past, before = None, [], False
+        for batch in batches:
+            out = []
+            for file, block, position, lines, mark in zip(*(batch[c].to_pylist() for c in ("file", "block", "position", "lines", "before")), strict=True):
+                if (file, block) != key:
+                    if past:
+                        out.append(told(key, past, before))
+                    key, past, before = (file, block), [], False
+                past.append((position, lines))
+                before = before or mark
+            yield table(out)
+        if past:
+            yield table([told(key, past, before)])
+
+    _short_batches(dealt.sparkSession)
+    placed = dealt.select("file", "block", "position", "lines", "before").repartition("file", "block").sortWithinPartitions("file", "block", "position")
+    return placed.mapInArrow(fold, f"file string, block int, map {PIECES}")
 
 
 def _composed(one: pa.Array, two: pa.Array) -> pa.Array:
@@ -150,10 +182,12 @@ def blame(rows: DataFrame) -> DataFrame:
     """``file, line, position``: the version that introduced or last changed each line of the last one."""
 
     def one(past: list[tuple[int, list[str]]], before: bool) -> list[linemaps.Piece]:
-        found = [(1, len(past[0][1]), *((1, linemaps.SHIFT) if before else (past[0][0], linemaps.OWNED)))]
-        for (_, old), (position, new) in pairwise(past):
-            found = linemaps.compose(linemaps.blame_map(old, new, position), found)
-        return found
+        found = [(1, len(past[-1][1]), 1, linemaps.SHIFT)]
+        for (_, old), (position, new) in zip(past[-2::-1], past[:0:-1], strict=True):
+            found = linemaps.compose(found, linemaps.blame_map(old, new, position))
+            if all(kind == linemaps.OWNED for _, _, _, kind in found):  # older versions have no line more
+                return found
+        return found if before else linemaps.compose(found, [(1, len(past[0][1]), past[0][0], linemaps.OWNED)])
 
     whole = _scanned(_maps(blocks(rows), one), back=True).where("block = 0")
     piece = whole.select("file", F.explode("map").alias("p")).select("file", "p.*")
@@ -208,6 +242,7 @@ def followups(rows: DataFrame) -> DataFrame:
 
 def introducing(rows: DataFrame) -> DataFrame:
     """Trace a fix: the versions that introduced the lines which the last version removed, by number of lines."""
+    rows = checkpointed(rows.select("file", "position", "lines"))  # read five times
     newest = lambda df: df.groupBy("file").agg(F.max("position").alias("position"), F.max_by("lines", "position").alias("lines"))
     last = newest(rows).select("file", F.col("position").alias("fixed"), F.col("lines").alias("new"))
     earlier = rows.join(last.select("file", "fixed"), "file").where(F.col("position") < F.col("fixed")).drop("fixed")
@@ -217,9 +252,8 @@ def introducing(rows: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for file, fixed, old, new in zip(pdf["file"], pdf["fixed"], map(list, pdf["old"]), map(list, pdf["new"]), strict=True):
-                hunks = diff(old, new, 0)
-                out += [(file, k, fixed) for k in range(1, len(old) + 1) if forward(hunks, k, old == new)[0] in ("deleted", "rewritten")]
+                out += [(file, k, fixed) for k in removed(diff(old, new, 0))]
             yield pd.DataFrame(out, columns=["file", "line", "fixed"])
 
-    removed = two.mapInPandas(gone, "file string, line long, fixed long")
-    return removed.join(blame(earlier), ["file", "line"]).groupBy("file", "fixed", "position").agg(F.count("*").alias("lines"), F.min("line").alias("first_line"))
+    lost = two.mapInPandas(gone, "file string, line long, fixed long")
+    return lost.join(blame(earlier), ["file", "line"]).groupBy("file", "fixed", "position").agg(F.count("*").alias("lines"), F.min("line").alias("first_line"))
