@@ -95,16 +95,19 @@ class Catalog:
     @cached_property
     def changes(self) -> DataFrame:
         line = self.table("lineitem")
-        quantity = F.col("l_quantity").cast("long")
         return line.join(self.files, F.col("l_partkey") == F.col("p_partkey")).select(
             F.col("l_orderkey").alias("commit_id"),
             F.col("l_linenumber").alias("ordinal"),
             F.when(F.col("l_returnflag") == "A", "A").when(F.col("l_returnflag") == "R", "D").otherwise("M").alias("status"),
             "path",
-            F.when(F.col("l_linestatus") == "F", quantity).otherwise(0).alias("additions"),
-            F.when(F.col("l_linestatus") == "F", F.lit(0)).otherwise(quantity).alias("deletions"),
+            *_churn(),
         )
 
+    @cached_property
+    def churn(self) -> DataFrame:
+        """``commit_id, path, additions, deletions`` of each change with the part's number for the path, of parts without a file too."""
+        return self.table("lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("path"), *_churn())
+
     @cached_property
     def moves(self) -> DataFrame:
         """Changes with renames, of brands' types as files: one that an order removes and one that it adds from the same supplier, the first of each by line, are one file that moves."""
@@ -178,6 +181,11 @@ class Catalog:
         return self.table("conversations")
 
 
+def _churn() -> list[Column]:
+    quantity, added = F.col("l_quantity").cast("long"), F.col("l_linestatus") == "F"
+    return [F.when(added, quantity).otherwise(0).alias("additions"), F.when(added, F.lit(0)).otherwise(quantity).alias("deletions")]
+
+
 def _oid(number: str) -> Column:
     return F.substring(F.sha2(F.col(number).cast("string"), 256), 1, 40)
 

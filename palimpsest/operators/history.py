@@ -10,12 +10,16 @@ from palimpsest.plans.durable import checkpointed
 from palimpsest.plans.scope import directory_prefix, under_any
 
 
-def hotspots(changes: DataFrame, commits: DataFrame, merges: DataFrame, *, prefix: str | None = None, limit: int | None = 20) -> DataFrame:
-    """Files by number of non-merge commits that touch them, with the last one's time and the churn."""
-    there = changes.where(F.lit(True) if prefix is None else under_any(F.col("path"), (directory_prefix(prefix),))).join(merges, "commit_id", "left_anti").join(commits.select("commit_id", "commit_time"), "commit_id")
-    found = there.groupBy("path").agg(
-        F.count_distinct("commit_id").alias("touches"), F.max("commit_time").alias("last_changed"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"),
-    )
+def hotspots(changes: DataFrame, commits: DataFrame, merges: DataFrame, *, prefix: str | None = None, limit: int | None = 20, parts: int | None = None) -> DataFrame:
+    """Files by number of non-merge commits that touch them, with the last one's time and the churn.
+
+    ``parts``: partitions that changes are dealt to by commit, so that the memory of a task has a bound where it goes with the number of changes.
+    """
+    dealt = changes if parts is None else changes.repartition(parts, "commit_id")
+    there = dealt.where(F.lit(True) if prefix is None else under_any(F.col("path"), (directory_prefix(prefix),))).join(merges, "commit_id", "left_anti").join(commits.select("commit_id", "commit_time"), "commit_id")
+    # A row for each commit of a file, made where the joins by commit left them.
+    one = there.groupBy("commit_id", "path").agg(F.max("commit_time").alias("commit_time"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
+    found = one.groupBy("path").agg(F.count("*").alias("touches"), F.max("commit_time").alias("last_changed"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
     return found if limit is None else found.orderBy(F.desc("touches"), "path").limit(limit)
 
 
