@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.plans.durable import checkpointed
+
 #: Positions put days first and ids after them, a total order without a global sort.
 DAY = 1 << 40
 
@@ -111,12 +113,29 @@ class Catalog:
     @cached_property
     def moves(self) -> DataFrame:
         """Changes with renames, of brands' types as files: one that an order removes and one that it adds from the same supplier, the first of each by line, are one file that moves."""
+        return self._moved(self._kinds)
+
+    @cached_property
+    def kind_numbers(self) -> DataFrame:
+        """``number, path``: numbers of the paths of ``moves`` that are in the same order as they are."""
+        return checkpointed(self._kinds.select("path").distinct().orderBy("path").select(F.monotonically_increasing_id().alias("number"), "path"))
+
+    @cached_property
+    def numbered_moves(self) -> DataFrame:
+        """``moves`` with numbers for the paths."""
+        return self._moved(self._kinds.join(self.kind_numbers, "path").select("p_partkey", F.col("number").alias("path")))
+
+    @cached_property
+    def _kinds(self) -> DataFrame:
+        return self.table("part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type").alias("path"))
+
+    def _moved(self, kinds: DataFrame) -> DataFrame:
         quantity = F.col("l_quantity").cast("long")
-        kinds = self.table("part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type").alias("path"))
+        # Dealt by commit for all that asks for lines or paths of one commit.
         line = self.table("lineitem").join(kinds, F.col("l_partkey") == F.col("p_partkey")).select(
             F.col("l_orderkey").alias("commit_id"), "l_suppkey", F.col("l_linenumber").alias("ordinal"), F.when(F.col("l_returnflag") == "A", "A").when(F.col("l_returnflag") == "R", "D").otherwise("M").alias("status"), "path",
             F.when(F.col("l_linestatus") == "F", quantity).otherwise(0).alias("additions"), F.when(F.col("l_linestatus") == "F", F.lit(0)).otherwise(quantity).alias("deletions"),
-        )
+        ).repartition("commit_id")
         one = F.struct("ordinal", "path", "additions", "deletions")
         together = Window.partitionBy("commit_id", "l_suppkey")  # lines of one order
         least = lambda s: F.min(F.when(F.col("status") == s, one)).over(together)

@@ -32,10 +32,12 @@ def events(moves: DataFrame) -> DataFrame:
     deleted or renamed away.
     """
     gone = F.col("status").startswith("D")
-    there = moves.where(~gone).select("commit_id", "path", F.lit(True).alias("present"), "ordinal", "status", "old_path", "additions", "deletions")
-    left = moves.where(gone | F.col("status").startswith("R")).select("commit_id", F.when(gone, F.col("path")).otherwise(F.col("old_path")).alias("path"), F.lit(False).alias("present"), "ordinal", F.lit("D").alias("status"), F.lit(None).cast("string").alias("old_path"), "additions", "deletions")
+    there = F.struct("path", F.lit(True).alias("present"), "ordinal", "status", "old_path", "additions", "deletions")
+    left = F.struct(F.when(gone, F.col("path")).otherwise(F.col("old_path")).alias("path"), F.lit(False).alias("present"), "ordinal", F.lit("D").alias("status"), F.lit(None).cast(moves.schema["path"].dataType).alias("old_path"), "additions", "deletions")
     rest = ["present", "ordinal", "status", "old_path", "additions", "deletions"]
-    one = there.unionByName(left).where("path IS NOT NULL").groupBy("commit_id", "path").agg(F.min_by(F.struct(*rest), F.struct((~F.col("present")).alias("late"), *rest[1:])).alias("e"))
+    # Both from one row, which stays where it is: changes dealt by commit are not dealt again.
+    both = moves.select("commit_id", F.explode(F.array(F.when(~gone, there), F.when(gone | F.col("status").startswith("R"), left))).alias("x"))
+    one = both.where("x IS NOT NULL").select("commit_id", "x.*").where("path IS NOT NULL").groupBy("commit_id", "path").agg(F.min_by(F.struct(*rest), F.struct((~F.col("present")).alias("late"), *rest[1:])).alias("e"))
     return one.select("commit_id", "path", *[f"e.{f}" for f in rest if f != "ordinal"])
 
 
@@ -99,12 +101,13 @@ def _ways(revisions: DataFrame, layout: Chains) -> DataFrame:
     return layout.segments(revisions).unionByName(_placed(alone, layout).select(F.col("commit_id").alias("revision"), "chain", "place", F.lit(0).alias("hop")))
 
 
-def origins(moves: DataFrame, parents: DataFrame, layout: Chains) -> DataFrame:
+def origins(moves: DataFrame, parents: DataFrame, layout: Chains, made: DataFrame | None = None) -> DataFrame:
     """``commit_id, path, status, additions, deletions, origin_commit, origin_path`` of every change that leaves a file at its path.
 
-    Deletions have no row; they end what stands before them, as a rename does for its old path.
+    Deletions have no row; they end what stands before them, as a rename does for its old path. ``made``:
+    what ``events`` gave of the moves, as a table, where it is there.
     """
-    every = checkpointed(events(moves))
+    every = checkpointed(events(moves)) if made is None else made
     nodes = every.where("present")
     node = F.struct("commit_id", "path")
     known = every.select("commit_id", "path", F.struct("commit_id", "present").alias("hit"))
@@ -123,10 +126,10 @@ def origins(moves: DataFrame, parents: DataFrame, layout: Chains) -> DataFrame:
     return nodes.drop("present", "old_path").join(jump.select("node.*", F.col("origin.commit_id").alias("origin_commit"), F.col("origin.path").alias("origin_path")), ["commit_id", "path"])
 
 
-def files_at(revisions: DataFrame, told: DataFrame, moves: DataFrame, layout: Chains) -> DataFrame:
-    """``revision, path, origin_commit, origin_path`` of the files that each of ``revisions(revision)`` has, from changes along first parents; ``told``: what ``origins`` gave."""
+def files_at(revisions: DataFrame, told: DataFrame, moves: DataFrame, layout: Chains, made: DataFrame | None = None) -> DataFrame:
+    """``revision, path, origin_commit, origin_path`` of the files that each of ``revisions(revision)`` has, from changes along first parents; ``told``: what ``origins`` gave, ``made`` as there."""
     ways = _ways(revisions, layout)
-    own = _placed(events(moves).select("commit_id", "path", "present"), layout).withColumnRenamed("place", "at")
+    own = _placed((events(moves) if made is None else made).select("commit_id", "path", "present"), layout).withColumnRenamed("place", "at")
     seen = own.join(ways, "chain").where("at <= place")
     last = seen.groupBy("revision", "path").agg(F.max_by(F.struct("commit_id", "present"), F.struct(-F.col("hop"), "at")).alias("last"))
     there = last.where("last.present").select("revision", "path", F.col("last.commit_id").alias("commit_id"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.catalog import Catalog, bind, with_views
 from palimpsest.operators import identity
 from palimpsest.plans import graph
+from palimpsest.plans.durable import checkpointed
 from palimpsest.queries.history import TIPS, UP, tips
 from palimpsest.queries.relations import MERGES
 
@@ -42,9 +43,11 @@ latest AS (SELECT tip, path, arg_min(commit_id, k) AS commit_id, arg_min(present
 files AS (SELECT tip AS revision, path, origin_commit, origin_path FROM latest JOIN told USING (commit_id, path) WHERE present)"""
 
 
-def laid(c: Catalog) -> tuple[graph.Chains, DataFrame]:
-    layout = graph.chains(c.parents)
-    return layout, identity.origins(c.moves, c.parents, layout)
+def laid(c: Catalog, moves: DataFrame | None = None) -> tuple[graph.Chains, DataFrame, DataFrame]:
+    """The layout, the origins and what they were made of, which others read as well."""
+    layout, moves = graph.chains(c.parents), c.moves if moves is None else moves
+    made = checkpointed(identity.events(moves))
+    return layout, identity.origins(moves, c.parents, layout, made), made
 
 
 @query(with_views(BASE, f"--, {ORIGINS} SELECT commit_id, path, status, origin_commit, origin_path FROM told"))
@@ -62,8 +65,8 @@ def identity_incarnations(c: Catalog) -> DataFrame:
 @query(with_views(BASE, f"--, {TIPS}, {ORIGINS}, {FILES} SELECT * FROM files"))
 def identity_files(c: Catalog) -> DataFrame:
     """The files of the last commit of each branch, by identity."""
-    layout, told = laid(c)
-    return identity.files_at(tips(c).select(F.col("id").alias("revision")), told, c.moves, layout)
+    layout, told, made = laid(c)
+    return identity.files_at(tips(c).select(F.col("id").alias("revision")), told, c.moves, layout, made)
 
 
 @query(
@@ -76,9 +79,13 @@ GROUP BY mine.path ORDER BY touches DESC, mine.path LIMIT 20""",
     )
 )
 def identity_hotspots(c: Catalog) -> DataFrame:
-    layout, told = laid(c)
-    files = identity.files_at(tips(c).select(F.col("id").alias("revision")), told, c.moves, layout)
-    return identity.hotspots(files, told, c.commits, graph.merges(c.parents), layout.ancestors(tips(c)))
+    # By numbers, which move in less room than paths and are in their order.
+    layout, told, made = laid(c, c.numbered_moves)
+    told = checkpointed(told.drop("status"))  # read twice
+    files = identity.files_at(tips(c).select(F.col("id").alias("revision")), told, c.numbered_moves, layout, made)
+    top = identity.hotspots(files, told, c.commits, graph.merges(c.parents), layout.ancestors(tips(c)))
+    named = c.kind_numbers.join(F.broadcast(top.withColumnRenamed("path", "number")), "number")  # twenty rows
+    return named.select("path", "touches", "last_changed", "additions", "deletions").orderBy(F.desc("touches"), "path")
 
 
 BUSY = "busy AS (SELECT origin_commit, origin_path FROM told GROUP BY ALL ORDER BY count(*) FILTER (status = 'R') DESC, count(*) DESC, origin_commit, origin_path LIMIT 1)"

@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from oracle import SMALL, compare
 
 from palimpsest.operators import identity
 from palimpsest.plans import graph
+from palimpsest.queries.identity import ORACLES, QUERIES
 
 MOVES = "commit_id long, ordinal int, status string, path string, old_path string, additions long, deletions long"
 COMMITS = "commit_id long, position long, commit_time long"
@@ -143,3 +145,10 @@ def test_paths_are_kept_once_and_settled_nodes_not_written_again(spark, monkeypa
     assert len(told) == 564 and {(r.origin_commit, r.origin_path) for r in told if r.path in "ab"} == {(0, "a")}
     assert written and sum(written) < 2 * len(told), written
     assert hits and not any("path" in t.fieldNames() for t in hits)
+
+
+def test_hotspots_make_events_once_and_of_numbers(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(identity, "events", lambda moves, f=identity.events: made.append(moves.schema["path"].dataType.typeName()) or f(moves))
+    assert compare(spark, SMALL, QUERIES["identity_hotspots"], ORACLES["identity_hotspots"]) == 20
+    assert made == ["long"]
